@@ -52,10 +52,12 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     minimum (partial aggregation map-side) joined back on the group key.
     """
     glob = with_position(df, [F.asc_nulls_first(g) for g in group] + list(order), "_gpos")
-    first = glob.groupBy(*group).agg(F.min("_gpos").alias("_gfirst"))
-    return (glob.join(first, [glob[g].eqNullSafe(first[g]) for g in group])
-            .select(*[glob[c] for c in df.columns],
-                    (F.col("_gpos") - F.col("_gfirst") + 1).alias(name)))
+    keys = [f"_gk{i}" for i in range(len(group))]
+    first = (glob.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)])
+             .agg(F.min("_gpos").alias("_gfirst")))
+    cond = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys)]
+    return (glob.join(first, cond)
+            .select(*df.columns, (F.col("_gpos") - F.col("_gfirst") + 1).alias(name)))
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,

@@ -17,7 +17,7 @@ def oracle(name: str, sql: str, extra: dict[str, str] | None = None) -> None:
 
 
 def _load_all() -> None:
-    from parkops.plans import o_reports  # noqa: F401
+    from parkops.plans import o_boards, o_reports  # noqa: F401
 
 
 _load_all()
