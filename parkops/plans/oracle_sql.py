@@ -7,6 +7,7 @@ computed column aliased to the engine's name.
 
 from __future__ import annotations
 
+from parkops.plans import oracle_inputs  # noqa: F401  (registers input CTEs)
 from parkops.plans.oracle_views import with_views
 
 SQL: dict[str, str] = {}
@@ -17,7 +18,7 @@ def oracle(name: str, sql: str, extra: dict[str, str] | None = None) -> None:
 
 
 def _load_all() -> None:
-    from parkops.plans import o_boards, o_reports  # noqa: F401
+    from parkops.plans import o_boards, o_quality, o_reports, o_transforms  # noqa: F401
 
 
 _load_all()

@@ -25,7 +25,7 @@ def query(name: str):
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from parkops.plans import q_boards, q_reports  # noqa: F401
+    from parkops.plans import q_boards, q_quality, q_reports, q_transforms  # noqa: F401
 
 
 _load_all()

@@ -244,6 +244,11 @@ def owns(service_request_df: DataFrame) -> DataFrame:
     ).select("vehicle_id", "request_id")
 
 
+def _inputs():
+    from parkops.sources import inputs
+    return inputs
+
+
 class Garage:
     """Lazily built garage tables for one driver folder.
 
@@ -267,6 +272,18 @@ class Garage:
         "requests": lambda g: requests_mn(g.reports),
         "controls": lambda g: controls(g.users),
         "owns": lambda g: owns(g.service_request),
+        # inputs of the batch transforms (parkops/sources/inputs.py)
+        "decisions": lambda g: _inputs().decisions(g.raw("orders")),
+        "registration_decisions": lambda g: _inputs().registration_decisions(g.raw("part")),
+        "garage_actions": lambda g: _inputs().garage_actions(g.raw("nation")),
+        "vehicle_actions": lambda g: _inputs().vehicle_actions(g.raw("part")),
+        "vehicle_edits": lambda g: _inputs().vehicle_edits(g.raw("part")),
+        "submissions": lambda g: _inputs().submissions(g.raw("customer")),
+        "payments_in": lambda g: _inputs().payments_in(g.raw("orders")),
+        "registrations_in": lambda g: _inputs().registrations_in(g.raw("part")),
+        "users_in": lambda g: _inputs().users_in(g.raw("customer")),
+        "purge_ids": lambda g: _inputs().purge_ids(g.raw("customer")),
+        "purge_plates": lambda g: _inputs().purge_plates(g.raw("part")),
     }
 
     def __init__(self, spark: SparkSession, sf_dir: str):
