@@ -66,7 +66,7 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     partial WindowGroupLimit before the shuffle, so at most k rows per group
     and map task are shuffled even for a hot group."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(w).cast("long")).filter(F.col(name) <= k)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

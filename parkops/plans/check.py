@@ -48,6 +48,15 @@ def canon(cols: list[str], rows: list) -> tuple[list[str], list[tuple]]:
     return [cols[i] for i in order], out
 
 
+def spark_type(t: str) -> str:
+    m = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT",
+         "smallint": "SMALLINT", "tinyint": "TINYINT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+    if t.startswith("decimal"):
+        return t.upper().replace(" ", "")
+    return m.get(t, t.upper())
+
+
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> dict:
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -61,6 +70,12 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> dict:
     rel = con.sql(sql)
     d_cols = list(rel.columns)
     d_rows = rel.fetchall()
+    s_types = {c.lower(): spark_type(t) for c, t in df.dtypes}
+    d_types = {c.lower(): str(t).upper().replace(" ", "") for c, t in zip(d_cols, rel.types)}
+    tdiff = {c: (s_types[c], d_types.get(c)) for c in s_types
+             if s_types[c].replace(" ", "") != (d_types.get(c) or "")}
+    if tdiff:
+        res["types"] = tdiff
     sc, sr = canon(s_cols, s_rows)
     dc, dr = canon(d_cols, d_rows)
     res["oracle_rows"] = len(d_rows)

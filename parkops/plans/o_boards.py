@@ -274,7 +274,7 @@ SELECT user_id, upper(name) AS name_upper, lower(uni_id) AS uni_id_lower,
        trim(' ' || chr(9) || name || chr(10), ' ' || chr(9) || chr(10) || chr(13) || chr(11))
          AS name_trimmed,
        (phone IS NULL OR phone IN ('', '0')) AS phone_blank,
-       strlen(name) AS name_bytes,
+       CAST(strlen(name) AS INTEGER) AS name_bytes,
        regexp_matches(regexp_replace(phone, '[\s-]', '', 'g'), '^[0-9]{10,15}$') AS phone_valid,
        regexp_replace(phone, '[\s-]', '', 'g') AS phone_digits,
        upper(substr(name, 1, 1)) AS initial,

@@ -31,6 +31,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "8g"))
     for k, v in SESSION_CONF.items():
