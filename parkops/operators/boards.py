@@ -316,7 +316,10 @@ def garage_occupancy(garage: DataFrame, spots: DataFrame) -> DataFrame:
 
 
 def status_domain(spark) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in S.REQUEST_STATUSES], "status string")
+    from parkops.sources.views import literal_table
+    from pyspark.sql.types import StringType, StructField, StructType
+    return literal_table(spark, [(s,) for s in S.REQUEST_STATUSES],
+                         StructType([StructField("status", StringType())]))
 
 
 # Counts of both request kinds merged onto the fixed status domain;

@@ -137,8 +137,8 @@ def plan_purge(candidates: DataFrame, acting_id: int, users: DataFrame, vehicles
              .withColumn("reason", F.lit("manager"))
              .unionByName(cand.filter(F.col("user_id") == acting_id).select("user_id")
                           .withColumn("reason", F.lit("self"))))
-    blocked = cut_lineage(rules.unionByName(used).unionByName(owned).unionByName(requested)
-                          .unionByName(lg).groupBy("user_id").agg(F.min("reason").alias("reason")))
+    allr = rules.unionByName(used).unionByName(owned).unionByName(requested).unionByName(lg)
+    blocked = cut_lineage(first_reason(allr, "user_id", PURGE_REASONS))
     ok = cut_lineage(cand.select("user_id").join(blocked, "user_id", "left_anti"))
     p_req = requests.join(ok, "user_id", "left_semi").select("request_id")
     p_veh = vehicles.join(ok, "user_id", "left_semi").select("vehicle_id")
@@ -147,6 +147,24 @@ def plan_purge(candidates: DataFrame, acting_id: int, users: DataFrame, vehicles
     return Purge(ok, cut_lineage(p_req), p_veh, p_rep, cut_lineage(p_inv), blocked)
 
 
+def first_reason(flags: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """One reason per key: the earliest in ``order`` (ranked as an int so the
+    aggregate stays a hash aggregate)."""
+    rank = F.lit(len(order))
+    for i, r in reversed(list(enumerate(order))):
+        rank = F.when(F.col("reason") == r, F.lit(i)).otherwise(rank)
+    best = flags.groupBy(key).agg(F.min(rank).alias("_r"))
+    pick = F.lit(None).cast("string")
+    for i, r in reversed(list(enumerate(order))):
+        pick = F.when(F.col("_r") == i, F.lit(r)).otherwise(pick)
+    return best.select(key, pick.alias("reason"))
+
+
+# Fixed order in which purge blockers are reported.
+PURGE_REASONS = ("manager", "self", "vehicle_used_by_other", "vehicle_in_owns",
+                 "report_requested", "report_logged")
+
+
 def purge_apply(p: Purge, name: str, t: DataFrame) -> DataFrame:
     """The table ``name`` after the purge."""
     if name == "payment":

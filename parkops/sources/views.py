@@ -11,6 +11,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
 from parkops.sources import schema as S
@@ -56,12 +57,20 @@ PAYMENT_METHOD_ROWS = [
 ]
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A small literal table built on the JVM (inline of an array of typed
+    structs): no Python worker is involved in scanning it."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def service_type(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SERVICE_TYPE_ROWS, S.SERVICE_TYPE)
+    return literal_table(spark, SERVICE_TYPE_ROWS, S.SERVICE_TYPE)
 
 
 def payment_method(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAYMENT_METHOD_ROWS, S.PAYMENT_METHOD)
+    return literal_table(spark, PAYMENT_METHOD_ROWS, S.PAYMENT_METHOD)
 
 
 # --- views over driver tables ---
@@ -187,19 +196,26 @@ def invoice(orders: DataFrame) -> DataFrame:
 
 def payment(lineitem: DataFrame) -> DataFrame:
     """One payment per (l_orderkey, l_linenumber); that pair is not unique in
-    lineitem, hence the aggregation (partial aggregation runs map-side)."""
+    lineitem, hence the aggregation (partial aggregation runs map-side).
+
+    The two flags are one-character codes; their minimum is taken over the
+    character code so that every aggregate buffer is fixed-width and Spark
+    keeps a hash aggregate (a min over strings falls back to a sort
+    aggregate)."""
     g = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_extendedprice").alias("px"), F.min("l_shipdate").alias("ship"),
-        F.min("l_linestatus").alias("ls"), F.min("l_returnflag").alias("rf"))
+        F.min(F.ascii("l_linestatus")).alias("ls"), F.min(F.ascii("l_returnflag")).alias("rf"))
     return g.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("payment_id"),
         F.col("l_orderkey").alias("invoice_id"),
         F.col("px").cast(S.MONEY).alias("amount"),
         F.col("ship").cast("date").alias("date_paid"),
         F.lit("00:00:00").alias("time_paid"),
-        F.when(F.col("ls") == "F", "Paid").when(F.col("ls") == "O", "Failed").alias("status"),
-        F.when(F.col("rf") == "A", F.lit(1).cast("long")).when(F.col("rf") == "N", F.lit(2).cast("long"))
-         .when(F.col("rf") == "R", F.lit(3).cast("long")).alias("method_id"),
+        F.when(F.col("ls") == ord("F"), "Paid").when(F.col("ls") == ord("O"), "Failed")
+         .alias("status"),
+        F.when(F.col("rf") == ord("A"), F.lit(1).cast("long"))
+         .when(F.col("rf") == ord("N"), F.lit(2).cast("long"))
+         .when(F.col("rf") == ord("R"), F.lit(3).cast("long")).alias("method_id"),
     )
 
 
