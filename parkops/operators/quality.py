@@ -69,18 +69,24 @@ def dq_domain(table: TableFn, checks=DOMAIN_CHECKS) -> DataFrame:
 
 
 # Orphan references per foreign key, one row per missing value with the
-# number of child rows holding it. NULL passes.
+# number of child rows holding it. NULL passes. References to the same parent
+# key are checked together: their values are unioned, counted per (child
+# table, column, value) with a partial aggregate, and anti-joined once against
+# the parent's distinct keys (one scan and one join per parent table).
 def dq_foreign_key(table: TableFn, fks=S.FOREIGN_KEYS) -> DataFrame:
-    parts = []
+    by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for child, col, parent, pcol in fks:
-        vals = (table(child).filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v"))
-                .agg(F.count(F.lit(1)).alias("n")))
-        keys = table(parent).select(F.col(pcol).alias("_v")).distinct()
-        orphan = vals.join(keys, "_v", "left_anti")
-        parts.append(orphan.select(
-            F.lit("foreign_key").alias("rule"), F.lit(child).alias("table_name"),
-            F.lit(col).alias("column_name"), F.lit(parent).alias("parent_table"),
-            F.col("_v").cast("string").alias("value"), "n"))
+        by_parent.setdefault((parent, pcol), []).append((child, col))
+    parts = []
+    for (parent, pcol), refs in by_parent.items():
+        vals = _union([table(child).filter(F.col(col).isNotNull()).select(
+            F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
+            F.col(col).cast("long").alias("_v")) for child, col in refs])
+        counted = vals.groupBy("table_name", "column_name", "_v").agg(F.count(F.lit(1)).alias("n"))
+        keys = table(parent).select(F.col(pcol).cast("long").alias("_v")).distinct()
+        parts.append(counted.join(keys, "_v", "left_anti").select(
+            F.lit("foreign_key").alias("rule"), "table_name", "column_name",
+            F.lit(parent).alias("parent_table"), F.col("_v").cast("string").alias("value"), "n"))
     return _union(parts)
 
 
