@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from parkops.functions import text as T
 from parkops.operators import quality as Q
 from parkops.operators.decisions import apply_updates
+from parkops.operators.ranking import with_position
 from parkops.operators.tables import assign_identity
+from parkops.session import cut_lineage
 from parkops.sources import schema as S
 
 
@@ -68,6 +70,10 @@ def _accepted_submissions(subs, requests, invoices, service_type, spots, garage)
 
 def submit_requests_requests(subs, requests, invoices, service_type, spots, garage) -> DataFrame:
     a = _accepted_submissions(subs, requests, invoices, service_type, spots, garage)
+    return _new_requests(a, requests)
+
+
+def _new_requests(a: DataFrame, requests: DataFrame) -> DataFrame:
     new = a.select("request_id", "user_id", "vehicle_id", "service_id",
                    F.lit("Pending").alias("status"), F.lit(None).cast("long").alias("approved_by"),
                    F.col("submitted_at").alias("created_at"),
@@ -79,6 +85,10 @@ def submit_requests_requests(subs, requests, invoices, service_type, spots, gara
 
 def submit_requests_invoices(subs, requests, invoices, service_type, spots, garage) -> DataFrame:
     a = _accepted_submissions(subs, requests, invoices, service_type, spots, garage)
+    return _new_invoices(a, invoices)
+
+
+def _new_invoices(a: DataFrame, invoices: DataFrame) -> DataFrame:
     new = a.select("invoice_id", "request_id",
                    F.coalesce(F.col("_price"), F.lit(0).cast(S.MONEY)).alias("amount"),
                    T.date_part("submitted_at").alias("date_issued"),
@@ -106,20 +116,24 @@ def _payable(payments_in, requests, service_type) -> DataFrame:
 
 
 def _with_ids(payments_in, requests, invoices, service_type, methods, payments) -> DataFrame:
+    """Accepted payments with their invoice (existing or new), method and
+    payment ids. Method and payment ids share one numbering pass; only the
+    payments without an invoice need a second one."""
     p = _payable(payments_in, requests, service_type)
     inv = invoices.groupBy("request_id").agg(F.min("invoice_id").alias("invoice_id"))
     p = p.join(inv, "request_id", "left")
     order = [F.col("paid_at").asc(), F.col("request_id").asc()]
-    have = p.filter(F.col("invoice_id").isNotNull())
+    p = with_position(p, order, "_pay_pos")
+    top = lambda df, c: df.select(F.coalesce(F.max(c), F.lit(0)).cast("long")).scalar()
+    p = p.withColumn("method_id", top(methods, "method_id") + F.col("_pay_pos")) \
+         .withColumn("payment_id", top(payments, "payment_id") + F.col("_pay_pos"))
+    have = p.filter(F.col("invoice_id").isNotNull()).withColumn("_created", F.lit(False))
     need = assign_identity(p.filter(F.col("invoice_id").isNull()).drop("invoice_id"), invoices,
                            "invoice_id", order).withColumn("_created", F.lit(True))
-    p = have.withColumn("_created", F.lit(False)).unionByName(need)
-    p = assign_identity(p, methods, "method_id", order)
-    return assign_identity(p, payments, "payment_id", order)
+    return have.unionByName(need).drop("_pay_pos")
 
 
-def apply_payments_requests(payments_in, requests, invoices, service_type, methods, payments):
-    p = _with_ids(payments_in, requests, invoices, service_type, methods, payments)
+def _paid_requests(p: DataFrame, requests: DataFrame) -> DataFrame:
     req = requests
     for c, t in (("payment_method", "string"), ("payment_amount", "decimal(10,2)")):
         if c not in req.columns:
@@ -131,8 +145,7 @@ def apply_payments_requests(payments_in, requests, invoices, service_type, metho
         "payment_status": F.lit("Paid"), "receipt_id": F.col("_receipt")})
 
 
-def apply_payments_invoices(payments_in, requests, invoices, service_type, methods, payments):
-    p = _with_ids(payments_in, requests, invoices, service_type, methods, payments)
+def _paid_invoices(p: DataFrame, invoices: DataFrame) -> DataFrame:
     new = p.filter("_created").select(
         "invoice_id", "request_id", "amount", T.date_part("paid_at").alias("date_issued"),
         T.time_part("paid_at").alias("time_issued"),
@@ -147,8 +160,7 @@ def apply_payments_invoices(payments_in, requests, invoices, service_type, metho
 CASH_INFO = "Cash payment at service counter"
 
 
-def apply_payments_methods(payments_in, requests, invoices, service_type, methods, payments):
-    p = _with_ids(payments_in, requests, invoices, service_type, methods, payments)
+def _new_methods(p: DataFrame, methods: DataFrame) -> DataFrame:
     new = p.select("method_id",
                    F.when(F.col("method") == "Credit", F.lit("Credit Card")).otherwise(F.lit("Cash"))
                    .alias("method_type"),
@@ -159,8 +171,7 @@ def apply_payments_methods(payments_in, requests, invoices, service_type, method
     return methods.unionByName(new)
 
 
-def apply_payments_payments(payments_in, requests, invoices, service_type, methods, payments):
-    p = _with_ids(payments_in, requests, invoices, service_type, methods, payments)
+def _new_payments(p: DataFrame, payments: DataFrame) -> DataFrame:
     new = p.select("payment_id", "invoice_id", "amount", T.date_part("paid_at").alias("date_paid"),
                    T.time_part("paid_at").alias("time_paid"), F.lit("Paid").alias("status"),
                    "method_id")
@@ -234,3 +245,46 @@ def register_users_users(users_in, users) -> DataFrame:
                     F.lit(None).cast("boolean").alias("access_status"),
                     F.col("submitted_at").alias("created_at"))
     return users.unionByName(new.select(*users.columns))
+
+
+def apply_payments(payments_in, requests, invoices, service_type, methods, payments) -> dict:
+    """All tables changed by a batch of payments; the accepted payments with
+    their new ids are computed once and materialised for the four outputs."""
+    p = cut_lineage(_with_ids(payments_in, requests, invoices, service_type, methods, payments))
+    return {"service_request": _paid_requests(p, requests), "invoice": _paid_invoices(p, invoices),
+            "payment_method": _new_methods(p, methods), "payment": _new_payments(p, payments)}
+
+
+def apply_payments_requests(*args) -> DataFrame:
+    return apply_payments(*args)["service_request"]
+
+
+def apply_payments_invoices(*args) -> DataFrame:
+    return apply_payments(*args)["invoice"]
+
+
+def apply_payments_methods(*args) -> DataFrame:
+    return apply_payments(*args)["payment_method"]
+
+
+def apply_payments_payments(*args) -> DataFrame:
+    return apply_payments(*args)["payment"]
+
+
+def submit_requests(subs, requests, invoices, service_type, spots, garage) -> dict:
+    """Tables changed by a batch of service-request submissions."""
+    a = cut_lineage(_accepted_submissions(subs, requests, invoices, service_type, spots, garage))
+    return {"service_request": _new_requests(a, requests), "invoice": _new_invoices(a, invoices),
+            "rejected": submit_requests_rejected(subs, service_type, spots, garage)}
+
+
+def submit_registrations(regs_in, vehicles, registrations) -> dict:
+    return {"vehicle_registration_request":
+            submit_registrations_registrations(regs_in, vehicles, registrations),
+            "rejected": submit_registrations_rejected(regs_in, vehicles, registrations)}
+
+
+def register_users(users_in, users) -> dict:
+    return {"users": register_users_users(users_in, users),
+            "rejected": register_users_rejected(users_in, users)}
+

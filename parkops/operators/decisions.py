@@ -210,3 +210,26 @@ def join_update(vehicles: DataFrame, requests: DataFrame) -> DataFrame:
                   "vehicle_id", ["completed_at", "request_id"], ["_approver"])
     return apply_updates(vehicles, "vehicle_id", last.drop("completed_at", "request_id"), {
         "access_status": F.lit(True), "approved_by": F.col("_approver")})
+
+
+# Whole transforms: every changed table from one call.
+def apply_request_decisions(requests: DataFrame, vehicles: DataFrame, spots: DataFrame,
+                            decisions: DataFrame) -> dict:
+    return {"service_request": request_decisions_requests(requests, decisions),
+            "vehicle": request_decisions_vehicles(vehicles, requests, decisions),
+            "parking_spots": request_decisions_spots(spots, requests, decisions)}
+
+
+def apply_registration_decisions(registrations: DataFrame, vehicles: DataFrame,
+                                 decisions: DataFrame) -> dict:
+    return {"vehicle_registration_request":
+            registration_decisions_registrations(registrations, vehicles, decisions),
+            "vehicle": registration_decisions_vehicles(registrations, vehicles, decisions)}
+
+
+def reject_vehicles(vehicles: DataFrame, logs: DataFrame, requests: DataFrame,
+                    actions: DataFrame) -> dict:
+    return {"vehicle": reject_vehicles_vehicles(vehicles, requests, actions),
+            "log_record": reject_vehicles_logs(logs, vehicles, requests, actions),
+            "blocked": reject_vehicles_blocked(vehicles, requests, actions)}
+

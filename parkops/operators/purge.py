@@ -186,3 +186,27 @@ def purge_apply(p: Purge, name: str, t: DataFrame) -> DataFrame:
     if name in ("reports", "requests", "controls", "users"):
         return drop_keys(t, p.users, "user_id")
     raise KeyError(name)
+
+
+# Whole transforms over a dict of tables (names as in schema.TABLES).
+PURGE_TABLES = ("users", "vehicle", "service_request", "invoice", "payment", "log_record", "owns",
+                "reports", "requests", "controls", "vehicle_registration_request")
+
+
+def purge_users(candidates: DataFrame, acting_id: int, t: dict) -> dict:
+    p = plan_purge(candidates, acting_id, t["users"], t["vehicle"], t["service_request"],
+                   t["invoice"], t["log_record"], t["reports"], t["requests"], t["owns"])
+    out = {name: purge_apply(p, name, t[name]) for name in PURGE_TABLES}
+    out["blocked"] = p.blocked
+    return out
+
+
+def delete_vehicle_cascade(plates: DataFrame, t: dict) -> dict:
+    c = plan_cascade(plates, t["vehicle"], t["service_request"], t["invoice"], t["log_record"],
+                     t["owns"])
+    return {"payment": drop_keys(t["payment"], c.invoices, "invoice_id"),
+            "invoice": drop_keys(t["invoice"], c.requests, "request_id"),
+            "service_request": drop_keys(t["service_request"], c.requests, "request_id"),
+            "vehicle": drop_keys(t["vehicle"], c.vehicles, "vehicle_id"),
+            "blocked": c.blocked}
+
