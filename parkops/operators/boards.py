@@ -8,6 +8,7 @@ board is one lazy plan; per-user boards are computed for all users at once
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,13 +115,14 @@ def row_search(board: DataFrame, term: str, cells: Sequence[str] = BOARD_CELLS)
 
 
 # Students and Staff see their own rows, Admins and Managers all rows.
-# The viewer is one row (looked up by id), so its broadcast is bounded.
+# Own rows are an equi semi join on the viewer id; "all rows" is an
+# uncorrelated EXISTS on the viewer's role (a filter, not a join).
 def role_scope(rows: DataFrame, users: DataFrame, viewer_id: int) -> DataFrame:
-    viewer = users.filter(F.col("user_id") == viewer_id).select(
-        F.col("user_id").alias("_viewer"), F.col("user_type").alias("_role")).limit(1)
-    sees = (F.col("_role").isin("Admin", "Manager")
-            | (F.col("_role").isin("Student", "Staff") & (F.col("user_id") == F.col("_viewer"))))
-    return rows.join(F.broadcast(viewer), sees, "left_semi")
+    viewer = users.filter(F.col("user_id") == viewer_id)
+    own = rows.join(viewer.filter(F.col("user_type").isin("Student", "Staff")).select("user_id"),
+                    "user_id", "left_semi")
+    every = rows.filter(viewer.filter(F.col("user_type").isin("Admin", "Manager")).exists())
+    return own.unionByName(every)
 
 
 # Vehicles not approved (false or NULL) with their owner.
@@ -352,21 +354,25 @@ def _count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-# One conditional aggregate per table, joined as 1-row results.
+# One row of counters over four tables: each table contributes 0/1
+# flags to a union, and a single aggregate sums them (no join at all).
 def admin_kpis(requests: DataFrame, registrations: DataFrame, users: DataFrame,
                vehicle: DataFrame, day: str) -> DataFrame:
     start = F.lit(day).cast("date").cast("timestamp_ntz")
     end = F.date_add(F.lit(day).cast("date"), 1).cast("timestamp_ntz")
-    sr = requests.agg(
-        _count_if(F.col("status") == "Pending").alias("service_pending"),
-        _count_if((F.col("status") == "Approved") & (F.col("completed_at") >= start)
-                  & (F.col("completed_at") < end)).alias("approved_today"))
-    rg = registrations.agg(_count_if(F.col("status") == "Pending").alias("registration_pending"))
-    us = users.agg(F.count(F.lit(1)).alias("total_users"))
-    vh = vehicle.agg(_count_if(F.col("access_status")).alias("total_vehicles"))
-    return (sr.crossJoin(rg).crossJoin(us).crossJoin(vh)
-            .select((F.col("service_pending") + F.col("registration_pending")).alias("pending_count"),
-                    "approved_today", "total_users", "total_vehicles"))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    zero = F.lit(0)
+    cols = ("pending_count", "approved_today", "total_users", "total_vehicles")
+    parts = [
+        requests.select(flag(F.col("status") == "Pending"),
+                        flag((F.col("status") == "Approved") & (F.col("completed_at") >= start)
+                             & (F.col("completed_at") < end)), zero, zero),
+        registrations.select(flag(F.col("status") == "Pending"), zero, zero, zero),
+        users.select(zero, zero, F.lit(1), zero),
+        vehicle.select(zero, zero, zero, flag(F.col("access_status"))),
+    ]
+    union = reduce(lambda a, b: a.union(b), [p.toDF(*cols) for p in parts])
+    return union.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in cols])
 
 
 # Per Student/Staff user: approved vehicles, requests of both kinds and

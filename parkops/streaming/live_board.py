@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parkops.operators.boards import status_domain
-from parkops.session import ensure_checkpoint_dir
+from parkops.session import checkpoint_dir
 from parkops.sources import schema as S
 from parkops.sources import views as V
 
@@ -36,11 +36,16 @@ def live_status_counts(spark: SparkSession, folder: str) -> DataFrame:
             .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 
 
-def start(spark: SparkSession, folder: str, name: str | None = None) -> StreamingQuery:
-    """Run the board into an in-memory table; the stream's checkpoint lives in
-    the session's (shared) checkpoint folder."""
+def start(spark: SparkSession, folder: str, name: str | None = None,
+          checkpoint_location: str | None = None) -> StreamingQuery:
+    """Run the board into an in-memory table. The stream's checkpoint lives in
+    the session's shared checkpoint folder (``spark.checkpoint.dir``) unless a
+    location is given; without either the stream is not started."""
     name = name or f"live_status_{uuid.uuid4().hex[:8]}"
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    base = checkpoint_dir(spark)
+    if checkpoint_location is None and base is None:
+        raise ValueError("set spark.checkpoint.dir (a shared folder) or pass checkpoint_location")
+    ckpt = checkpoint_location or f"{base.rstrip('/')}/streams/{name}"
     return (live_status_counts(spark, folder).writeStream.outputMode("complete")
             .format("memory").queryName(name).option("checkpointLocation", ckpt).start())
 

@@ -240,3 +240,14 @@ def test_cascade_is_all_or_nothing(garage):
     for ref in (g.log_record, g.owns):
         assert ref.join(c.vehicles, "vehicle_id", "left_semi").count() == 0
         assert ref.join(c.requests, "request_id", "left_semi").count() == 0
+
+
+def test_role_scope_admin_sees_all_student_sees_own(garage):
+    g = garage
+    rows = g.service_request.select("request_id", "user_id")
+    types = {r.user_id: r.user_type for r in g.users.filter("user_id IN (0, 4)").collect()}
+    assert types == {0: "Admin", 4: "Student"}  # at sf0.01
+    assert B.role_scope(rows, g.users, 0).count() == rows.count()
+    own = B.role_scope(rows, g.users, 4)
+    assert own.count() == rows.filter("user_id = 4").count() > 0
+    assert B.role_scope(rows, g.users, 10**9).count() == 0  # unknown viewer sees nothing
