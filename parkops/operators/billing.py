@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parkops.functions import text as T
 from parkops.operators import quality as Q
 from parkops.operators.decisions import apply_updates
+from parkops.operators.reports import bounded
 from parkops.operators.ranking import with_position
 from parkops.operators.tables import assign_identity
 from parkops.session import cut_lineage
@@ -49,7 +50,7 @@ def request_detail(board: DataFrame, keys: DataFrame) -> DataFrame:
 def _submission_check(subs: DataFrame, service_type: DataFrame, spots: DataFrame,
                       garage: DataFrame) -> DataFrame:
     checked = Q.spot_reasons(subs, spots, garage)
-    st = F.broadcast(service_type.select("service_id", F.col("price").alias("_price"),
+    st = bounded(service_type.select("service_id", F.col("price").alias("_price"),
                                          F.lit(True).alias("_svc")))
     j = checked.join(st, "service_id", "left")
     return j.withColumn("reason", F.coalesce(
@@ -103,7 +104,7 @@ def _new_invoices(a: DataFrame, invoices: DataFrame) -> DataFrame:
 def _payable(payments_in, requests, service_type) -> DataFrame:
     r = requests.select("request_id", F.col("user_id").alias("_owner"), "status", "payment_status",
                         "service_id")
-    st = F.broadcast(service_type.select("service_id", F.col("price").alias("amount")))
+    st = bounded(service_type.select("service_id", F.col("price").alias("amount")))
     j = payments_in.join(r, "request_id").join(st, "service_id", "left")
     card = Q.card_reason(F.col("card_number"), F.col("card_cvv"), F.col("card_expiry"),
                          F.col("cardholder_name"))

@@ -17,8 +17,10 @@ from parkops.sources import schema as S
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a table whose row count is fixed by construction
-    (a literal catalogue or domain list, a handful of rows)."""
+    """Broadcast hint for a table whose row count is fixed by construction:
+    the literal service catalogue and payment methods (``views.literal_table``,
+    six and three rows) and the three-status domain. Every other table is
+    broadcast only if AQE measures it below the adaptive threshold."""
     return F.broadcast(df)
 
 
@@ -159,10 +161,20 @@ def distinct_ids(requests: DataFrame) -> DataFrame:
 
 
 # NOT IN with SQL NULL semantics: one NULL vehicle_id in the subquery
-# empties the result. Catalyst plans a null-aware anti join.
+# empties the result; an empty subquery keeps every row (NULL ids included);
+# otherwise a NULL id never qualifies. Written as an equi anti join (shuffled
+# or broadcast as AQE measures) gated by two uncorrelated EXISTS filters, so
+# it never needs the whole subquery broadcast (Spark's null-aware anti join)
+# nor a nested-loop join.
 def never_used_not_in(vehicle: DataFrame, requests: DataFrame) -> DataFrame:
-    return vehicle.filter(~F.col("vehicle_id").isin(distinct_ids(requests))).select(
-        "license_plate")
+    ids = requests.select("vehicle_id")
+    has_null = ids.filter(F.col("vehicle_id").isNull()).exists()
+    nonempty = ids.exists()
+    known = ids.filter(F.col("vehicle_id").isNotNull()).distinct()
+    found = (vehicle.filter(F.col("vehicle_id").isNotNull()).join(known, "vehicle_id", "left_anti")
+             .filter(~has_null))
+    null_ids = vehicle.filter(F.col("vehicle_id").isNull() & ~nonempty)
+    return found.unionByName(null_ids).select("license_plate")
 
 
 # The evident intent: vehicles with no request.

@@ -48,6 +48,11 @@ def test_payment_view_uses_hash_aggregate(spark):
     assert "HashAggregate" in p and "SortAggregate" not in p
 
 
-def test_null_aware_anti_join(spark):
-    p = plan(QUERIES["never_used_not_in"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in p and "LeftAnti" in p
+def test_not_in_is_an_equi_anti_join(spark):
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(QUERIES["never_used_not_in"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
+    assert "LeftAnti" in p and "BroadcastNestedLoopJoin" not in p
+    assert "isNullAwareAntiJoin=true" not in p

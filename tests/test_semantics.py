@@ -28,6 +28,12 @@ def test_not_in_with_null_empties_result(spark):
     assert sorted(r[0] for r in R.never_used_anti(v, reqs).collect()) == ["B", "C"]
     reqs2 = spark.createDataFrame([(10, 1)], "request_id long, vehicle_id long")
     assert sorted(r[0] for r in R.never_used_not_in(v, reqs2).collect()) == ["B", "C"]
+    # empty subquery: every row, a NULL id included; non-empty: a NULL id never qualifies
+    vn = _veh(spark, [(1, "A", 1), (None, "N", 1)])
+    assert sorted(r[0] for r in R.never_used_not_in(vn, reqs2.limit(0)).collect()) == ["A", "N"]
+    assert sorted(r[0] for r in R.never_used_not_in(vn, reqs2.filter("vehicle_id = 5")
+                                                    .union(spark.createDataFrame(
+                                                        [(11, 2)], reqs2.schema))).collect()) == ["A"]
 
 
 def test_count_col_after_left_join_is_zero(spark):
