@@ -73,8 +73,8 @@ def plan_cascade(plates: DataFrame, vehicles: DataFrame, requests: DataFrame,
                       .join(reqs, "request_id").select("vehicle_id"))
         return by_vehicle.unionByName(by_request).distinct().withColumn("reason", F.lit(reason))
 
-    blockers = (hits(logs, "referenced_by_log").unionByName(hits(owns, "referenced_by_owns"))
-                .groupBy("vehicle_id").agg(F.min("reason").alias("reason")))
+    blockers = first_reason(hits(logs, "referenced_by_log").unionByName(
+        hits(owns, "referenced_by_owns")), "vehicle_id", ("referenced_by_log", "referenced_by_owns"))
     flagged = cut_lineage(target.join(blockers, "vehicle_id", "left"))
     ok = flagged.filter(F.col("reason").isNull()).select("vehicle_id")
     ok_reqs = reqs.join(ok, "vehicle_id", "left_semi").select("request_id")
@@ -84,7 +84,7 @@ def plan_cascade(plates: DataFrame, vehicles: DataFrame, requests: DataFrame,
 
 
 # Purge users and what depends on them, in the application's order.
-# Managers and the acting user are never purged. A user is blocked (left
+# Only Students, Staff and Admins are purged, never the acting user. A user is blocked (left
 # untouched and reported) when the deletion would leave a reference behind:
 # another user's request or an ownership row uses one of their vehicles, a
 # Requests row names one of their reports (reports go before Requests), or a
@@ -133,8 +133,12 @@ def plan_purge(candidates: DataFrame, acting_id: int, users: DataFrame, vehicles
                     | F.coalesce(F.col("user_id") == F.col("author"), F.lit(False))))
           .select(F.col("author").alias("user_id")).distinct()
           .withColumn("reason", F.lit("report_logged")))
+    purgeable = F.col("user_type").isin("Student", "Staff", "Admin")
     rules = (cand.filter(F.col("user_type") == "Manager").select("user_id")
              .withColumn("reason", F.lit("manager"))
+             .unionByName(cand.filter(~F.coalesce(purgeable | (F.col("user_type") == "Manager"),
+                                                   F.lit(False)))
+                          .select("user_id").withColumn("reason", F.lit("type_not_allowed")))
              .unionByName(cand.filter(F.col("user_id") == acting_id).select("user_id")
                           .withColumn("reason", F.lit("self"))))
     allr = rules.unionByName(used).unionByName(owned).unionByName(requested).unionByName(lg)
@@ -161,8 +165,8 @@ def first_reason(flags: DataFrame, key: str, order: tuple[str, ...]) -> DataFram
 
 
 # Fixed order in which purge blockers are reported.
-PURGE_REASONS = ("manager", "self", "vehicle_used_by_other", "vehicle_in_owns",
-                 "report_requested", "report_logged")
+PURGE_REASONS = ("manager", "type_not_allowed", "self", "vehicle_used_by_other",
+                 "vehicle_in_owns", "report_requested", "report_logged")
 
 
 def purge_apply(p: Purge, name: str, t: DataFrame) -> DataFrame:

@@ -239,10 +239,13 @@ SELECT vehicle_id, user_id AS owner FROM vehicle WHERE user_id IN (SELECT user_i
     "pcrep": """
 SELECT report_id, user_id AS author FROM reports WHERE user_id IN (SELECT user_id FROM pcand)""",
     "pblk": """
-SELECT user_id, arg_min(reason, CASE reason WHEN 'manager' THEN 0 WHEN 'self' THEN 1
-                                 WHEN 'vehicle_used_by_other' THEN 2 WHEN 'vehicle_in_owns' THEN 3
-                                 WHEN 'report_requested' THEN 4 ELSE 5 END) AS reason FROM (
+SELECT user_id, arg_min(reason, CASE reason WHEN 'manager' THEN 0 WHEN 'type_not_allowed' THEN 1
+                                 WHEN 'self' THEN 2 WHEN 'vehicle_used_by_other' THEN 3
+                                 WHEN 'vehicle_in_owns' THEN 4 WHEN 'report_requested' THEN 5
+                                 ELSE 6 END) AS reason FROM (
   SELECT user_id, 'manager' AS reason FROM pcand WHERE user_type = 'Manager'
+  UNION ALL SELECT user_id, 'type_not_allowed' FROM pcand
+            WHERE user_type IS NULL OR user_type NOT IN ('Student', 'Staff', 'Admin', 'Manager')
   UNION ALL SELECT user_id, 'self' FROM pcand WHERE user_id = 1
   UNION ALL SELECT cv.owner, 'vehicle_used_by_other' FROM service_request sr
             JOIN pcveh cv ON sr.vehicle_id = cv.vehicle_id WHERE sr.user_id <> cv.owner

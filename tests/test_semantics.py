@@ -257,3 +257,13 @@ def test_role_scope_admin_sees_all_student_sees_own(garage):
     own = B.role_scope(rows, g.users, 4)
     assert own.count() == rows.filter("user_id = 4").count() > 0
     assert B.role_scope(rows, g.users, 10**9).count() == 0  # unknown viewer sees nothing
+
+
+def test_purge_only_students_staff_admins(garage):
+    g = garage
+    users = g.users.withColumn("user_type", F.when(F.col("user_id") == 20, F.lit("Stafff"))
+                               .otherwise(F.col("user_type")))
+    p = P.plan_purge(g.purge_ids, 1, users, g.vehicle, g.service_request, g.invoice,
+                     g.log_record, g.reports, g.requests, g.owns)
+    blocked = {r.user_id: r.reason for r in p.blocked.collect()}
+    assert blocked[20] == "type_not_allowed"
