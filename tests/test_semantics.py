@@ -267,3 +267,24 @@ def test_purge_only_students_staff_admins(garage):
                      g.log_record, g.reports, g.requests, g.owns)
     blocked = {r.user_id: r.reason for r in p.blocked.collect()}
     assert blocked[20] == "type_not_allowed"
+
+
+def test_contact_rules_with_email(spark):
+    from parkops.operators import quality as Q
+    users = spark.createDataFrame(
+        [(1, "Ann", "010-1234-5678", "ann@x.org"), (2, " ", "12", "bad@"), (3, "Bo", None, None)],
+        "user_id long, name string, phone string, email string")
+    got = sorted((r.user_id, r.rule) for r in Q.dq_contact_fields(users).collect())
+    assert got == [(2, "email_invalid"), (2, "name_required"), (2, "phone_invalid"),
+                   (3, "email_required"), (3, "phone_required")]
+
+
+def test_status_labels(spark):
+    df = spark.createDataFrame([("Open", True, "Pending", None), (None, None, "Approved", None),
+                                ("Closed", False, "Rejected", "Mia")],
+                               "g string, a boolean, s string, ap string")
+    got = [(r.o, r.act, r.by) for r in df.select(
+        T.open_label(F.col("g")).alias("o"), T.active_label(F.col("a")).alias("act"),
+        T.decided_by_label(F.col("s"), F.col("ap")).alias("by")).collect()]
+    assert got == [("Open", "Active", None), ("Open", "Inactive", "By: System"),
+                   ("Closed", "Inactive", "By: Mia")]
