@@ -48,29 +48,36 @@ def request_detail(board: DataFrame, keys: DataFrame) -> DataFrame:
 # a Pending request and an invoice at the current price (NULL -> 0) sharing
 # the receipt id = invoice id.
 def _submission_check(subs: DataFrame, service_type: DataFrame, spots: DataFrame,
-                      garage: DataFrame) -> DataFrame:
+                      garage: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Spot rules first (checked before the insert), then the references the
+    insert needs: the service and, when one is chosen, the vehicle."""
     checked = Q.spot_reasons(subs, spots, garage)
     st = bounded(service_type.select("service_id", F.col("price").alias("_price"),
-                                         F.lit(True).alias("_svc")))
-    j = checked.join(st, "service_id", "left")
+                                     F.lit(True).alias("_svc")))
+    known = vehicles.select("vehicle_id").distinct().withColumn("_veh", F.lit(True))
+    j = checked.join(st, "service_id", "left").join(known, "vehicle_id", "left")
     return j.withColumn("reason", F.coalesce(
-        F.col("reason"), F.when(F.col("_svc").isNull(), F.lit("service_missing"))))
+        F.col("reason"), F.when(F.col("_svc").isNull(), F.lit("service_missing")),
+        F.when(F.col("vehicle_id").isNotNull() & F.col("_veh").isNull(), F.lit("vehicle_missing"))))
 
 
-def submit_requests_rejected(subs, service_type, spots, garage) -> DataFrame:
-    return (_submission_check(subs, service_type, spots, garage)
+def submit_requests_rejected(subs, service_type, spots, garage, vehicles) -> DataFrame:
+    return (_submission_check(subs, service_type, spots, garage, vehicles)
             .filter(F.col("reason").isNotNull()).select("user_id", "spot_id", "reason"))
 
 
-def _accepted_submissions(subs, requests, invoices, service_type, spots, garage) -> DataFrame:
-    ok = _submission_check(subs, service_type, spots, garage).filter(F.col("reason").isNull())
+def _accepted_submissions(subs, requests, invoices, service_type, spots, garage,
+                          vehicles) -> DataFrame:
+    ok = _submission_check(subs, service_type, spots, garage, vehicles).filter(
+        F.col("reason").isNull())
     order = [F.col("submitted_at").asc(), F.col("user_id").asc()]
     ok = assign_identity(ok, requests, "request_id", order)
     return assign_identity(ok, invoices, "invoice_id", order)
 
 
-def submit_requests_requests(subs, requests, invoices, service_type, spots, garage) -> DataFrame:
-    a = _accepted_submissions(subs, requests, invoices, service_type, spots, garage)
+def submit_requests_requests(subs, requests, invoices, service_type, spots, garage,
+                             vehicles) -> DataFrame:
+    a = _accepted_submissions(subs, requests, invoices, service_type, spots, garage, vehicles)
     return _new_requests(a, requests)
 
 
@@ -84,8 +91,9 @@ def _new_requests(a: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.unionByName(new.select(*requests.columns))
 
 
-def submit_requests_invoices(subs, requests, invoices, service_type, spots, garage) -> DataFrame:
-    a = _accepted_submissions(subs, requests, invoices, service_type, spots, garage)
+def submit_requests_invoices(subs, requests, invoices, service_type, spots, garage,
+                             vehicles) -> DataFrame:
+    a = _accepted_submissions(subs, requests, invoices, service_type, spots, garage, vehicles)
     return _new_invoices(a, invoices)
 
 
@@ -272,11 +280,12 @@ def apply_payments_payments(*args) -> DataFrame:
     return apply_payments(*args)["payment"]
 
 
-def submit_requests(subs, requests, invoices, service_type, spots, garage) -> dict:
+def submit_requests(subs, requests, invoices, service_type, spots, garage, vehicles) -> dict:
     """Tables changed by a batch of service-request submissions."""
-    a = cut_lineage(_accepted_submissions(subs, requests, invoices, service_type, spots, garage))
+    a = cut_lineage(_accepted_submissions(subs, requests, invoices, service_type, spots, garage,
+                                          vehicles))
     return {"service_request": _new_requests(a, requests), "invoice": _new_invoices(a, invoices),
-            "rejected": submit_requests_rejected(subs, service_type, spots, garage)}
+            "rejected": submit_requests_rejected(subs, service_type, spots, garage, vehicles)}
 
 
 def submit_registrations(regs_in, vehicles, registrations) -> dict:

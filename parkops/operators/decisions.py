@@ -133,48 +133,61 @@ def approve_vehicles(vehicles: DataFrame, actions: DataFrame) -> DataFrame:
         "access_status": F.lit(True), "approved_by": F.col("acted_by")})
 
 
-# reject = delete the vehicle and its logs, unless requests use it; the
-# blocked ones are reported with their request count.
-def _reject_split(vehicles: DataFrame, requests: DataFrame, actions: DataFrame):
+# reject = delete the vehicle and its logs, unless requests use it (the
+# page refuses, reporting the count) or an ownership row names it (the
+# delete fails and rolls back). Blocked vehicles are reported with the reason.
+def _reject_split(vehicles: DataFrame, requests: DataFrame, owns: DataFrame, actions: DataFrame):
     ids = actions.filter(F.col("action") == "reject").select("vehicle_id").distinct()
     ids = ids.join(vehicles.select("vehicle_id"), "vehicle_id", "left_semi")
     used = (requests.filter(F.col("vehicle_id").isNotNull()).groupBy("vehicle_id")
             .agg(F.count(F.lit(1)).alias("request_count")))
-    j = ids.join(used, "vehicle_id", "left")
-    return (j.filter(F.col("request_count").isNull()).select("vehicle_id"),
-            j.filter(F.col("request_count").isNotNull()))
+    owned = owns.select("vehicle_id").distinct().withColumn("_owned", F.lit(True))
+    j = ids.join(used, "vehicle_id", "left").join(owned, "vehicle_id", "left")
+    reason = (F.when(F.col("request_count").isNotNull(), F.lit("has_requests"))
+               .when(F.col("_owned").isNotNull(), F.lit("referenced_by_owns")))
+    j = j.select("vehicle_id", F.coalesce("request_count", F.lit(0)).alias("request_count"),
+                 reason.alias("reason"))
+    return j.filter(F.col("reason").isNull()).select("vehicle_id"), j.filter(F.col("reason").isNotNull())
 
 
-def reject_vehicles_vehicles(vehicles, requests, actions):
-    gone, _ = _reject_split(vehicles, requests, actions)
+def reject_vehicles_vehicles(vehicles, requests, owns, actions):
+    gone, _ = _reject_split(vehicles, requests, owns, actions)
     return vehicles.join(gone, "vehicle_id", "left_anti")
 
 
-def reject_vehicles_logs(logs, vehicles, requests, actions):
-    gone, _ = _reject_split(vehicles, requests, actions)
+def reject_vehicles_logs(logs, vehicles, requests, owns, actions):
+    gone, _ = _reject_split(vehicles, requests, owns, actions)
     return logs.join(gone, "vehicle_id", "left_anti")
 
 
-def reject_vehicles_blocked(vehicles, requests, actions):
-    _, blocked = _reject_split(vehicles, requests, actions)
-    return blocked.select("vehicle_id", "request_count")
+def reject_vehicles_blocked(vehicles, requests, owns, actions):
+    _, blocked = _reject_split(vehicles, requests, owns, actions)
+    return blocked
 
 
-# An owner deletes a vehicle: refused when requests use it, or when no
-# vehicle has that id and owner.
-def delete_own_outcome(vehicles: DataFrame, requests: DataFrame, deletions: DataFrame) -> DataFrame:
+# An owner deletes a vehicle: refused when requests use it; nothing
+# happens when no vehicle has that id and owner; the delete fails when a log
+# or an ownership row still names the vehicle (they are not removed first).
+def delete_own_outcome(vehicles: DataFrame, requests: DataFrame, logs: DataFrame,
+                       owns: DataFrame, deletions: DataFrame) -> DataFrame:
     used = (requests.filter(F.col("vehicle_id").isNotNull()).groupBy("vehicle_id")
             .agg(F.count(F.lit(1)).alias("request_count")))
+    refs = (logs.select("vehicle_id").unionByName(owns.select("vehicle_id"))
+            .filter(F.col("vehicle_id").isNotNull()).distinct().withColumn("_ref", F.lit(True)))
     owned = vehicles.select("vehicle_id", "user_id").withColumn("_own", F.lit(True))
     d = deletions.select("vehicle_id", "user_id").distinct()
-    j = d.join(used, "vehicle_id", "left").join(owned, ["vehicle_id", "user_id"], "left")
+    j = (d.join(used, "vehicle_id", "left").join(owned, ["vehicle_id", "user_id"], "left")
+         .join(refs, "vehicle_id", "left"))
     return j.select("vehicle_id", "user_id",
                     F.when(F.col("request_count").isNotNull(), "used")
-                     .when(F.col("_own").isNull(), "not_owner").otherwise("deleted").alias("outcome"))
+                     .when(F.col("_own").isNull(), "not_owner")
+                     .when(F.col("_ref").isNotNull(), "referenced")
+                     .otherwise("deleted").alias("outcome"))
 
 
-def delete_own_vehicles(vehicles, requests, deletions):
-    done = delete_own_outcome(vehicles, requests, deletions).filter(F.col("outcome") == "deleted")
+def delete_own_vehicles(vehicles, requests, logs, owns, deletions):
+    done = (delete_own_outcome(vehicles, requests, logs, owns, deletions)
+            .filter(F.col("outcome") == "deleted"))
     return vehicles.join(done.select("vehicle_id", "user_id"), ["vehicle_id", "user_id"], "left_anti")
 
 
@@ -227,9 +240,9 @@ def apply_registration_decisions(registrations: DataFrame, vehicles: DataFrame,
             "vehicle": registration_decisions_vehicles(registrations, vehicles, decisions)}
 
 
-def reject_vehicles(vehicles: DataFrame, logs: DataFrame, requests: DataFrame,
+def reject_vehicles(vehicles: DataFrame, logs: DataFrame, requests: DataFrame, owns: DataFrame,
                     actions: DataFrame) -> dict:
-    return {"vehicle": reject_vehicles_vehicles(vehicles, requests, actions),
-            "log_record": reject_vehicles_logs(logs, vehicles, requests, actions),
-            "blocked": reject_vehicles_blocked(vehicles, requests, actions)}
+    return {"vehicle": reject_vehicles_vehicles(vehicles, requests, owns, actions),
+            "log_record": reject_vehicles_logs(logs, vehicles, requests, owns, actions),
+            "blocked": reject_vehicles_blocked(vehicles, requests, owns, actions)}
 

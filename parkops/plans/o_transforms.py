@@ -142,21 +142,26 @@ LEFT JOIN (SELECT vehicle_id, max(acted_by) AS acted_by FROM vehicle_actions
            WHERE action = 'approve' GROUP BY vehicle_id) a ON v.vehicle_id = a.vehicle_id""")
 
 REJ = {"rcnt": """
-SELECT x.vehicle_id,
-       (SELECT COUNT(*) FROM service_request sr WHERE sr.vehicle_id = x.vehicle_id) AS request_count
-FROM (SELECT DISTINCT vehicle_id FROM vehicle_actions
-      WHERE action = 'reject' AND vehicle_id IN (SELECT vehicle_id FROM vehicle)) x"""}
+SELECT vehicle_id, request_count,
+       CASE WHEN request_count > 0 THEN 'has_requests'
+            WHEN EXISTS (SELECT 1 FROM owns o WHERE o.vehicle_id = y.vehicle_id)
+              THEN 'referenced_by_owns' END AS reason
+FROM (SELECT x.vehicle_id,
+             (SELECT COUNT(*) FROM service_request sr WHERE sr.vehicle_id = x.vehicle_id)
+               AS request_count
+      FROM (SELECT DISTINCT vehicle_id FROM vehicle_actions
+            WHERE action = 'reject' AND vehicle_id IN (SELECT vehicle_id FROM vehicle)) x) y"""}
 
 oracle("reject_vehicles__vehicles", """
 SELECT * FROM vehicle v
-WHERE NOT EXISTS (SELECT 1 FROM rcnt c WHERE c.request_count = 0 AND c.vehicle_id = v.vehicle_id)""",
+WHERE NOT EXISTS (SELECT 1 FROM rcnt c WHERE c.reason IS NULL AND c.vehicle_id = v.vehicle_id)""",
        REJ)
 oracle("reject_vehicles__logs", """
 SELECT * FROM log_record l
-WHERE NOT EXISTS (SELECT 1 FROM rcnt c WHERE c.request_count = 0 AND c.vehicle_id = l.vehicle_id)""",
-       REJ)
-oracle("reject_vehicles__blocked", "SELECT vehicle_id, request_count FROM rcnt WHERE request_count > 0",
+WHERE NOT EXISTS (SELECT 1 FROM rcnt c WHERE c.reason IS NULL AND c.vehicle_id = l.vehicle_id)""",
        REJ)
+oracle("reject_vehicles__blocked",
+       "SELECT vehicle_id, request_count, reason FROM rcnt WHERE reason IS NOT NULL", REJ)
 
 OWN = {"own_oc": """
 SELECT dd.vehicle_id, dd.user_id,
@@ -165,6 +170,9 @@ SELECT dd.vehicle_id, dd.user_id,
             WHEN NOT EXISTS (SELECT 1 FROM vehicle v
                              WHERE v.vehicle_id = dd.vehicle_id AND v.user_id = dd.user_id)
               THEN 'not_owner'
+            WHEN EXISTS (SELECT 1 FROM log_record l WHERE l.vehicle_id = dd.vehicle_id)
+                 OR EXISTS (SELECT 1 FROM owns o WHERE o.vehicle_id = dd.vehicle_id)
+              THEN 'referenced'
             ELSE 'deleted' END AS outcome
 FROM (SELECT DISTINCT vehicle_id, user_id FROM vehicle_edits) dd"""}
 
@@ -339,7 +347,10 @@ SELECT s.*, st.price AS _price,
                      WHEN v.spot_id IS NULL THEN 'spot_missing'
                      WHEN upper(COALESCE(v.spot_status, '')) <> 'AVAILABLE' THEN 'spot_not_available'
                      WHEN COALESCE(v.garage_status, 'Open') = 'Closed' THEN 'garage_closed' END,
-                CASE WHEN st.service_id IS NULL THEN 'service_missing' END) AS reason
+                CASE WHEN st.service_id IS NULL THEN 'service_missing' END,
+                CASE WHEN s.vehicle_id IS NOT NULL
+                      AND NOT EXISTS (SELECT 1 FROM vehicle x WHERE x.vehicle_id = s.vehicle_id)
+                     THEN 'vehicle_missing' END) AS reason
 FROM submissions s
 LEFT JOIN (SELECT ps.spot_id, ps.spot_status, pg.garage_status
            FROM parking_spots ps JOIN parking_garage pg ON ps.garage_id = pg.garage_id) v

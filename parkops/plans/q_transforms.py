@@ -69,27 +69,30 @@ def _(g):
 
 @query("reject_vehicles__vehicles")
 def _(g):
-    return D.reject_vehicles_vehicles(g.vehicle, g.service_request, g.vehicle_actions)
+    return D.reject_vehicles_vehicles(g.vehicle, g.service_request, g.owns, g.vehicle_actions)
 
 
 @query("reject_vehicles__logs")
 def _(g):
-    return D.reject_vehicles_logs(g.log_record, g.vehicle, g.service_request, g.vehicle_actions)
+    return D.reject_vehicles_logs(g.log_record, g.vehicle, g.service_request, g.owns,
+                                  g.vehicle_actions)
 
 
 @query("reject_vehicles__blocked")
 def _(g):
-    return D.reject_vehicles_blocked(g.vehicle, g.service_request, g.vehicle_actions)
+    return D.reject_vehicles_blocked(g.vehicle, g.service_request, g.owns, g.vehicle_actions)
 
 
 @query("delete_own_vehicle__vehicles")
 def _(g):
-    return D.delete_own_vehicles(g.vehicle, g.service_request, g.vehicle_edits)
+    return D.delete_own_vehicles(g.vehicle, g.service_request, g.log_record, g.owns,
+                                 g.vehicle_edits)
 
 
 @query("delete_own_vehicle__outcome")
 def _(g):
-    return D.delete_own_outcome(g.vehicle, g.service_request, g.vehicle_edits)
+    return D.delete_own_outcome(g.vehicle, g.service_request, g.log_record, g.owns,
+                                g.vehicle_edits)
 
 
 @query("edit_vehicles")
@@ -171,7 +174,7 @@ def _(g):
 
 def _subs_args(g):
     return (g.submissions, g.service_request, g.invoice, g.service_type, g.parking_spots,
-            g.parking_garage)
+            g.parking_garage, g.vehicle)
 
 
 @query("submit_requests__requests")
@@ -187,7 +190,7 @@ def _(g):
 @query("submit_requests__rejected")
 def _(g):
     return BL.submit_requests_rejected(g.submissions, g.service_type, g.parking_spots,
-                                       g.parking_garage)
+                                       g.parking_garage, g.vehicle)
 
 
 def _pay_args(g):

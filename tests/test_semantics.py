@@ -288,3 +288,38 @@ def test_status_labels(spark):
         T.decided_by_label(F.col("s"), F.col("ap")).alias("by")).collect()]
     assert got == [("Open", "Active", None), ("Open", "Inactive", "By: System"),
                    ("Closed", "Inactive", "By: Mia")]
+
+
+def test_deletes_that_a_reference_would_roll_back(spark):
+    veh = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 10)], "vehicle_id long, user_id long")
+    reqs = spark.createDataFrame([(100, 1)], "request_id long, vehicle_id long")
+    owns = spark.createDataFrame([(2, 100)], "vehicle_id long, request_id long")
+    logs = spark.createDataFrame([(9, 3)], "log_id long, vehicle_id long")
+    acts = spark.createDataFrame([(v, "reject", 1) for v in (1, 2, 3)],
+                                 "vehicle_id long, action string, acted_by long")
+    blocked = {r.vehicle_id: r.reason for r in D.reject_vehicles_blocked(veh, reqs, owns, acts).collect()}
+    assert blocked == {1: "has_requests", 2: "referenced_by_owns"}
+    assert sorted(r.vehicle_id for r in D.reject_vehicles_vehicles(veh, reqs, owns, acts).collect()) \
+        == [1, 2, 4]  # 3 is deleted with its log
+    assert D.reject_vehicles_logs(logs, veh, reqs, owns, acts).count() == 0
+    dels = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 10), (4, 11)],
+                                 "vehicle_id long, user_id long")
+    out = {(r.vehicle_id, r.user_id): r.outcome
+           for r in D.delete_own_outcome(veh, reqs, logs, owns, dels).collect()}
+    assert out == {(1, 10): "used", (2, 10): "referenced", (3, 10): "referenced",
+                   (4, 10): "deleted", (4, 11): "not_owner"}
+
+
+def test_submission_with_missing_vehicle_is_rejected(spark):
+    from decimal import Decimal as Dec
+    subs = spark.createDataFrame([(1, 5, 1, None, TS), (2, 99, 1, None, TS), (3, None, 7, None, TS)],
+                                 "user_id long, vehicle_id long, service_id long, spot_id long, "
+                                 "submitted_at timestamp_ntz")
+    st = spark.createDataFrame([(1, "Wash", None, Dec("5.00"))],
+                               "service_id long, service_name string, description string, "
+                               "price decimal(10,2)")
+    spots = spark.createDataFrame([], "spot_id long, spot_status string, garage_id long")
+    garage = spark.createDataFrame([], "garage_id long, garage_status string")
+    veh = spark.createDataFrame([(5,)], "vehicle_id long")
+    got = {r.user_id: r.reason for r in BL.submit_requests_rejected(subs, st, spots, garage, veh).collect()}
+    assert got == {2: "vehicle_missing", 3: "service_missing"}
