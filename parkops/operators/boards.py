@@ -26,6 +26,22 @@ def typed_null(t: str) -> Column:
     return F.lit(None).cast(t)
 
 
+# Align a table to another shape: literal tag columns, the target's
+# missing columns as typed NULLs (never VoidType), extra columns kept.
+def tag_literal_null(df: DataFrame, target: DataFrame, tags: dict[str, object]) -> DataFrame:
+    cols = []
+    for f in target.schema.fields:
+        if f.name in tags:
+            cols.append(F.lit(tags[f.name]).cast(f.dataType).alias(f.name))
+        elif f.name in df.columns:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    extra = [F.col(c) for c in df.columns if c not in target.columns]
+    extra += [F.lit(v).alias(k) for k, v in tags.items() if k not in target.columns]
+    return df.select(*cols, *extra)
+
+
 # Equality filter where 'all' means no filter.
 def filter_eq(df: DataFrame, column: str, value: str) -> DataFrame:
     return df if value == "all" else df.filter(F.col(column) == value)

@@ -302,3 +302,11 @@ SELECT request_type, request_id,
        CAST(created_at AS DATE) AS created_date,
        strftime(created_at, '%H:%M:%S') AS created_time
 FROM board""", BOARD)
+
+oracle("tag_literal_null", """
+SELECT request_id, user_id, CAST(NULL AS BIGINT) AS vehicle_id, CAST(NULL AS BIGINT) AS service_id,
+       status, approved_by, created_at, completed_at, CAST(NULL AS BIGINT) AS spot_id,
+       'none' AS receipt_id, CAST(NULL AS VARCHAR) AS payment_status,
+       license_plate, color, model, 'vehicle_registration' AS request_type
+FROM vehicle_registration_request""")
+

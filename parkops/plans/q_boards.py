@@ -225,3 +225,10 @@ def _(g):
 @query("scalar_labels")
 def _(g):
     return B.scalar_labels(_unified(g))
+
+
+@query("tag_literal_null")
+def _(g):
+    return B.tag_literal_null(g.registrations, g.service_request,
+                              {"request_type": "vehicle_registration", "receipt_id": "none"})
+
