@@ -30,9 +30,10 @@ def _key_text(cols: tuple[str, ...]) -> Column:
 
 
 # Primary keys, composite keys and UNIQUE columns.
-def dq_unique(table: TableFn) -> DataFrame:
-    checks = [(t, k) for t, k in S.PRIMARY_KEYS.items()]
-    checks += [(t, k) for t, keys in S.UNIQUE_KEYS.items() for k in keys]
+def dq_unique(table: TableFn, checks: list[tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
+    if checks is None:
+        checks = [(t, k) for t, k in S.PRIMARY_KEYS.items()]
+        checks += [(t, k) for t, keys in S.UNIQUE_KEYS.items() for k in keys]
     parts = []
     for t, cols in checks:
         g = table(t).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

@@ -96,3 +96,24 @@ def test_literal_table_is_jvm_only(spark):
     assert "ExistingRDD" not in st._jdf.queryExecution().executedPlan().toString()
     assert st.schema["price"].dataType == S.MONEY
     assert st.filter(F.col("price") > 60).count() == 2
+
+
+def test_unique_not_null_and_length_violations(spark):
+    users = literal_table(spark, [
+        (1, "U1", "Ann", "0101", "Staff", True, None),
+        (1, "u1", "Bob", "0101", "Student", True, None),      # duplicate id, same phone
+        (2, "U" + "9" * 20, None, None, "Admin", None, None),  # uni_id too long, name NULL
+    ], S.USERS)
+    tables = {"users": users}
+    t = tables.__getitem__
+    uniq = {(r.column_name, r.value, r.n) for r in
+            Q.dq_unique(t, [("users", ("user_id",)), ("users", ("uni_id",))]).collect()}
+    assert uniq == {("user_id", "1", 2)}  # 'U1' and 'u1' differ exactly; J2 catches them
+    ci = {(r.rule, r.value, r.n) for r in Q.dq_unique_ci(users).collect()}
+    assert ci == {("uni_id_ci", "u1", 2), ("phone", "0101", 2)}
+    nn = [(r.column_name, r.key) for r in Q.dq_not_null(t, [("users", "uni_id"), ("users", "name")])
+          .collect()]
+    assert nn == [("name", "2")]
+    ml = [(r.column_name, r.key, r.value_len) for r in
+          Q.dq_max_length(t, [("users", "uni_id", 20), ("users", "name", 100)]).collect()]
+    assert ml == [("uni_id", "2", 21)]
