@@ -18,7 +18,8 @@ def spark():
     b = (SparkSession.builder.master("local[4]").appName("parkops-tests")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", "8"))
+         .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="parkops-test-wh-")))
     for k, v in SESSION_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
