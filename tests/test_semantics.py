@@ -323,3 +323,10 @@ def test_submission_with_missing_vehicle_is_rejected(spark):
     veh = spark.createDataFrame([(5,)], "vehicle_id long")
     got = {r.user_id: r.reason for r in BL.submit_requests_rejected(subs, st, spots, garage, veh).collect()}
     assert got == {2: "vehicle_missing", 3: "service_missing"}
+
+
+def test_scale_conf():
+    from parkops.session import scale_conf
+    c = scale_conf(100 * 10**12)
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
+    assert scale_conf(10**6)["spark.sql.shuffle.partitions"] == "200"
