@@ -18,7 +18,7 @@ QUERIES: dict[str, QueryFn] = {}
 
 def query(name: str):
     def deco(fn: Callable[[Garage], DataFrame]) -> Callable[[Garage], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: fn(Garage(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Garage.shared(spark, sf_dir))
         return fn
     return deco
 

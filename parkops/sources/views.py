@@ -20,8 +20,19 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one driver table. The DataFrame (with its resolved schema) is
+    kept per session and path, so later queries skip parquet schema inference
+    (a Spark job reading footers); the scan itself still runs per query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def idiv(expr: str, n: int) -> Column:
@@ -307,6 +318,18 @@ class Garage:
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
 
+    _SHARED: dict[tuple[int, str], "Garage"] = {}
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Garage":
+        """One Garage per session and folder: its view DataFrames (already
+        analysed) are reused by later queries instead of being rebuilt."""
+        key = (id(spark), sf_dir.rstrip("/"))
+        g = cls._SHARED.get(key)
+        if g is None or g.spark is not spark:
+            g = cls._SHARED[key] = cls(spark, sf_dir)
+        return g
+
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
         if key not in self._cache:
