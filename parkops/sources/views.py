@@ -23,10 +23,18 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 _READS: dict[tuple[int, str], DataFrame] = {}
 
 
+def refresh() -> None:
+    """Forget cached reads and views (their file listings are taken when
+    first read); call after files were added to a folder in this session."""
+    _READS.clear()
+    Garage._SHARED.clear()
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one driver table. The DataFrame (with its resolved schema) is
-    kept per session and path, so later queries skip parquet schema inference
-    (a Spark job reading footers); the scan itself still runs per query."""
+    """Scan of one driver table. The DataFrame (with its resolved schema and
+    file listing) is kept per session and path, so later queries skip parquet
+    schema inference (a Spark job reading footers); the scan itself still
+    runs per query. ``refresh()`` drops the cache when a folder changes."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark), path)
     df = _READS.get(key)

@@ -330,3 +330,19 @@ def test_scale_conf():
     c = scale_conf(100 * 10**12)
     assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
     assert scale_conf(10**6)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_refresh_sees_new_files(spark):
+
+    import tempfile
+
+    from parkops.sources import views as V
+    d = tempfile.mkdtemp(prefix="parkops-refresh-")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{d}/nation.parquet")
+    g = V.Garage.shared(spark, d)
+    assert g.parking_garage.count() == 25
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").limit(3).write.mode("append") \
+        .parquet(f"{d}/nation.parquet")
+    V.refresh()
+    assert V.Garage.shared(spark, d).parking_garage.count() == 28
+
