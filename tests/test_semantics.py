@@ -333,7 +333,6 @@ def test_scale_conf():
 
 
 def test_refresh_sees_new_files(spark):
-
     import tempfile
 
     from parkops.sources import views as V
@@ -345,4 +344,3 @@ def test_refresh_sees_new_files(spark):
         .parquet(f"{d}/nation.parquet")
     V.refresh()
     assert V.Garage.shared(spark, d).parking_garage.count() == 28
-
