@@ -3,8 +3,12 @@
     python -m parkops list
     python -m parkops explain <query> [--sf-dir DIR]
     python -m parkops run <query> --out PATH [--sf-dir DIR] [--mode errorifexists|overwrite]
+                                [--store ROOT --buckets N]
+    python -m parkops store --root ROOT [--sf-dir DIR] [--buckets N]
 
 ``run`` writes the whole result as parquet (nothing passes through the driver).
+``store`` writes the garage tables bucketed on their join keys; ``run --store``
+then reads them instead of deriving the views.
 """
 
 from __future__ import annotations
@@ -25,18 +29,38 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--out", required=True)
     run.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     run.add_argument("--mode", default="errorifexists", choices=["errorifexists", "overwrite"])
+    run.add_argument("--store", default=None)
+    run.add_argument("--buckets", type=int, default=64)
+    st = sub.add_parser("store")
+    st.add_argument("--root", required=True)
+    st.add_argument("--sf-dir", default="/root/testdata/sf0.01")
+    st.add_argument("--buckets", type=int, default=64)
     args = ap.parse_args(argv)
 
-    from parkops.plans.registry import QUERIES
+    from parkops.plans.registry import QUERIES, RAW
     if args.cmd == "list":
         print("\n".join(sorted(QUERIES)))
         return 0
+    if args.cmd == "store":
+        from parkops.session import build_session
+        from parkops.sources import store
+        from parkops.sources.views import Garage
+        spark = build_session()
+        store.save_garage(Garage(spark, args.sf_dir), args.root, args.buckets)
+        print(f"stored {len(store.BUCKET_KEYS)} tables under {args.root}")
+        spark.stop()
+        return 0
     if args.query not in QUERIES:
         print(f"unknown query {args.query!r}; see `python -m parkops list`", file=sys.stderr)
         return 2
     from parkops.session import build_session
     spark = build_session()
-    df = QUERIES[args.query](spark, args.sf_dir)
+    if getattr(args, "store", None):
+        from parkops.sources import store
+        store.attach(spark, args.store, list(store.BUCKET_KEYS), args.buckets)
+        df = RAW[args.query](store.stored_garage(spark, "parkops", args.sf_dir))
+    else:
+        df = QUERIES[args.query](spark, args.sf_dir)
     if args.cmd == "explain":
         df.explain("formatted")
     else:

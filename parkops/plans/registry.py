@@ -14,11 +14,14 @@ from parkops.sources.views import Garage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+# the same queries over any Garage (derived views or stored tables)
+RAW: dict[str, Callable[[Garage], DataFrame]] = {}
 
 
 def query(name: str):
     def deco(fn: Callable[[Garage], DataFrame]) -> Callable[[Garage], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(Garage.shared(spark, sf_dir))
+        RAW[name] = fn
         return fn
     return deco
 

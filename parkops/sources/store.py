@@ -62,3 +62,26 @@ def attach(spark: SparkSession, root: str, names: list[str], buckets: int,
 
 def table(spark: SparkSession, name: str, db: str = "parkops") -> DataFrame:
     return spark.table(f"{db}.{name}")
+
+
+def stored_garage(spark: SparkSession, db: str, inputs_dir: str):
+    """A Garage whose tables are the stored (bucketed) catalog tables
+    ``db.<name>``; the batch-transform inputs still derive from ``inputs_dir``.
+    Every operator and registered query runs on it unchanged."""
+    from parkops.sources.views import Garage
+
+    class StoredGarage(Garage):
+        def __getattr__(self, name: str) -> DataFrame:
+            if name in BUCKET_KEYS:
+                if name not in self._cache:
+                    self._cache[name] = table(self.spark, name, db)
+                return self._cache[name]
+            return super().__getattr__(name)
+
+    return StoredGarage(spark, inputs_dir)
+
+
+def save_garage(g, root: str, buckets: int, db: str = "parkops") -> None:
+    """Store every garage table of ``g`` (a Garage) bucketed on its key."""
+    save({name: g.table(name) for name in BUCKET_KEYS}, root, buckets, db)
+

@@ -44,3 +44,16 @@ def test_attach_in_a_new_catalog_keeps_buckets(spark):
     # a report over stored tables gives the same rows as over the views
     led = R.total_revenue(pay)
     assert led.first()[0] == R.total_revenue(g.payment).first()[0]
+
+
+def test_every_query_runs_on_stored_tables(spark):
+    from parkops.plans.registry import QUERIES, RAW
+    g = Garage(spark, SF)
+    root = tempfile.mkdtemp(prefix="parkops-store-")
+    store.save_garage(g, root, buckets=4, db="store_all")
+    sg = store.stored_garage(spark, "store_all", SF)
+    for name in ["invoice_ledger", "garage_occupancy", "user_kpis", "purge_users__blocked",
+                 "apply_payments__payments", "dq_foreign_key"]:
+        got = RAW[name](sg)
+        want = QUERIES[name](spark, SF)
+        assert sorted(got.collect()) == sorted(want.collect()), name
