@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 # Characters removed by the application's trim.
 TRIM_CHARS = " \t\n\r\0\x0b"
 
+# Display texts of the application (labels, mask format, tags).
+CARD_MASK = ("Card: ****", ", Exp: ", ", Holder: ")
+PENDING_PAYMENT = "Pending Payment"
+NOT_AVAILABLE = "N/A"
+CURRENCY = "EGP "
+ACTIVE, INACTIVE = "Active", "Inactive"
+DECIDED_BY, NO_APPROVER = "By: ", "System"
+APPROVED_MARK, PENDING_MARK = " ✓ Approved", " (Pending)"
+REGISTRATION_SERVICE = "Vehicle Registration"
+PENDING_REGISTRATION = "Pending Registration"
+SERVICE_TAG, REGISTRATION_TAG = "service", "vehicle_registration"
+DIRECT_SOURCE, REQUEST_SOURCE = "direct_insert", "registration_request"
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -45,8 +58,8 @@ def ucfirst(c: str | Column) -> Column:
 
 # H9: masked card text stored instead of the card number.
 def mask_card(number: str | Column, expiry: str | Column, holder: str | Column) -> Column:
-    return F.concat(F.lit("Card: ****"), F.substring(_c(number), -4, 4), F.lit(", Exp: "),
-                    _c(expiry), F.lit(", Holder: "), _c(holder))
+    return F.concat(F.lit(CARD_MASK[0]), F.substring(_c(number), -4, 4), F.lit(CARD_MASK[1]),
+                    _c(expiry), F.lit(CARD_MASK[2]), _c(holder))
 
 
 # Validation patterns.
@@ -107,18 +120,18 @@ def time_part(c: str | Column) -> Column:
 # Payment cell of the request board.
 def payment_label(request_type: Column, status: Column, payment_status: Column,
                   method: Column, amount: Column) -> Column:
-    return (F.when(request_type == "vehicle_registration", F.lit("-"))
+    return (F.when(request_type == REGISTRATION_TAG, F.lit("-"))
              .when(status == "Approved",
                    F.when(F.coalesce(payment_status, F.lit("Pending")) == "Paid",
-                          F.concat(F.coalesce(method, F.lit("N/A")), F.lit(" EGP "),
+                          F.concat(F.coalesce(method, F.lit(NOT_AVAILABLE)), F.lit(" " + CURRENCY),
                                    F.format_number(F.coalesce(amount, F.lit(0)), 2)))
-                    .otherwise(F.lit("Pending Payment")))
+                    .otherwise(F.lit(PENDING_PAYMENT)))
              .otherwise(F.lit("-")))
 
 
 # Status labels.
 def active_label(access: Column) -> Column:
-    return F.when(access, "Active").otherwise("Inactive")
+    return F.when(access, ACTIVE).otherwise(INACTIVE)
 
 
 def open_label(garage_status: Column) -> Column:
@@ -127,19 +140,19 @@ def open_label(garage_status: Column) -> Column:
 
 def decided_by_label(status: Column, approver_name: Column) -> Column:
     return F.when(status == "Pending", F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("By: "), F.coalesce(approver_name, F.lit("System"))))
+        F.concat(F.lit(DECIDED_BY), F.coalesce(approver_name, F.lit(NO_APPROVER))))
 
 
 def or_na(c: str | Column) -> Column:
-    return F.coalesce(_c(c), F.lit("N/A"))
+    return F.coalesce(_c(c), F.lit(NOT_AVAILABLE))
 
 
 # Vehicle option text.
 def vehicle_label(plate: Column, model: Column, color: Column, access: Column) -> Column:
     color_part = F.when(F.coalesce(color, F.lit("")) != "", F.concat(F.lit(" ("), color, F.lit(")"))
                         ).otherwise(F.lit(""))
-    return F.concat(plate, F.lit(" - "), F.coalesce(model, F.lit("N/A")), color_part,
-                    F.when(access, F.lit(" ✓ Approved")).otherwise(F.lit(" (Pending)")))
+    return F.concat(plate, F.lit(" - "), F.coalesce(model, F.lit(NOT_AVAILABLE)), color_part,
+                    F.when(access, F.lit(APPROVED_MARK)).otherwise(F.lit(PENDING_MARK)))
 
 
 # Case-insensitive literal substring over the displayed cells; an empty

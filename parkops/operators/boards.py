@@ -78,7 +78,7 @@ def service_request_board(requests: DataFrame, service_type: DataFrame, users: D
                     F.col("v.model").alias("vehicle_model"), F.col("ps.spot_number"),
                     F.col("pg.name").alias("garage_name"),
                     F.col("ap.name").alias("approver_name"),
-                    F.lit("service").alias("request_type")))
+                    F.lit(T.SERVICE_TAG).alias("request_type")))
 
 
 # Registration requests shaped like C4 (B3: literal tags, typed NULLs).
@@ -92,13 +92,13 @@ def registration_board(registrations: DataFrame, users: DataFrame) -> DataFrame:
                     typed_null(LONG).alias("service_id"), F.col("r.status"),
                     F.col("r.approved_by"), F.col("r.created_at"), F.col("r.completed_at"),
                     typed_null(LONG).alias("spot_id"), typed_null(STR).alias("receipt_id"),
-                    F.lit("Vehicle Registration").alias("service_name"),
+                    F.lit(T.REGISTRATION_SERVICE).alias("service_name"),
                     F.lit(0).cast(S.MONEY).alias("service_price"),
                     F.col("u.name").alias("user_name"), F.col("u.user_type"), F.col("u.uni_id"),
                     F.col("r.license_plate"), F.col("r.model").alias("vehicle_model"),
                     typed_null(STR).alias("spot_number"), typed_null(STR).alias("garage_name"),
                     F.col("ap.name").alias("approver_name"),
-                    F.lit("vehicle_registration").alias("request_type")))
+                    F.lit(T.REGISTRATION_TAG).alias("request_type")))
 
 
 # G1: both kinds in one list (UNION ALL by name; missing columns NULL).
@@ -147,7 +147,7 @@ def pending_vehicles_direct(vehicle: DataFrame, users: DataFrame) -> DataFrame:
     return (vehicle.filter(~F.col("access_status") | F.col("access_status").isNull())
             .join(u, "user_id")
             .select(*vehicle.columns, "user_name", "uni_id", "user_type",
-                    F.lit("direct_insert").alias("source")))
+                    F.lit(T.DIRECT_SOURCE).alias("source")))
 
 
 # Pending registration requests with their owner.
@@ -155,7 +155,7 @@ def pending_registrations_board(registrations: DataFrame, users: DataFrame) -> D
     u = users.select("user_id", F.col("name").alias("user_name"), "uni_id", "user_type")
     return (registrations.filter(F.col("status") == "Pending").join(u, "user_id")
             .select(*registrations.columns, "user_name", "uni_id", "user_type",
-                    F.lit("registration_request").alias("source"),
+                    F.lit(T.REQUEST_SOURCE).alias("source"),
                     typed_null(LONG).alias("vehicle_id"),
                     typed_null(LONG).alias("vehicle_approved_by")))
 
@@ -235,7 +235,7 @@ def managers(users: DataFrame) -> DataFrame:
 # B19
 def pending_registrations(registrations: DataFrame) -> DataFrame:
     return (registrations.filter(F.col("status") == "Pending")
-            .withColumn("status_display", F.lit("Pending Registration")))
+            .withColumn("status_display", F.lit(T.PENDING_REGISTRATION)))
 
 
 # B20
@@ -255,15 +255,15 @@ def user_requests(requests: DataFrame, service_type: DataFrame, vehicle: DataFra
     return (requests.join(st, "service_id").join(v, "vehicle_id", "left")
             .join(ps, "spot_id", "left")
             .select(*requests.columns, "service_name", "service_price", "license_plate",
-                    "spot_number", F.lit("service").alias("request_type")))
+                    "spot_number", F.lit(T.SERVICE_TAG).alias("request_type")))
 
 
 # With the user's registration requests.
 def user_requests_unified(user_reqs: DataFrame, registrations: DataFrame) -> DataFrame:
     regs = registrations.select(
-        *registrations.columns, F.lit("Vehicle Registration").alias("service_name"),
+        *registrations.columns, F.lit(T.REGISTRATION_SERVICE).alias("service_name"),
         F.lit(0).cast(S.MONEY).alias("service_price"), typed_null(STR).alias("spot_number"),
-        F.lit("vehicle_registration").alias("request_type"))
+        F.lit(T.REGISTRATION_TAG).alias("request_type"))
     return user_reqs.unionByName(regs, allowMissingColumns=True)
 
 
@@ -290,12 +290,12 @@ def pending_top10(requests: DataFrame, registrations: DataFrame, service_type: D
            .join(spots.select("spot_id", "spot_number"), "spot_id", "left")
            .select("request_id", "user_id", "status", "created_at", "service_name", "user_name",
                    "user_type", "license_plate", "spot_number",
-                   F.lit("service").alias("request_type")))
+                   F.lit(T.SERVICE_TAG).alias("request_type")))
     reg = (registrations.filter(F.col("status") == "Pending").join(u, "user_id")
            .select("request_id", "user_id", "status", "created_at",
-                   F.lit("Vehicle Registration").alias("service_name"), "user_name", "user_type",
+                   F.lit(T.REGISTRATION_SERVICE).alias("service_name"), "user_name", "user_type",
                    "license_plate", typed_null(STR).alias("spot_number"),
-                   F.lit("vehicle_registration").alias("request_type")))
+                   F.lit(T.REGISTRATION_TAG).alias("request_type")))
     branch = [F.col("created_at").desc(), F.col("request_id").desc()]
     merged = top_k(svc, branch, k).unionByName(top_k(reg, branch, k))
     return top_k(merged, [F.col("created_at").desc(), F.col("request_type").asc(),
@@ -439,7 +439,7 @@ def scalar_text(users: DataFrame) -> DataFrame:
     return users.select(
         "user_id",
         F.upper("name").alias("name_upper"), F.lower("uni_id").alias("uni_id_lower"),
-        F.coalesce(F.col("phone"), F.lit("N/A")).alias("phone_or_na"),
+        F.coalesce(F.col("phone"), F.lit(T.NOT_AVAILABLE)).alias("phone_or_na"),
         F.col("user_id").cast("string").alias("user_id_text"),
         T.trim_app(F.concat(F.lit(" \t"), F.col("name"), F.lit("\n"))).alias("name_trimmed"),
         T.is_blank("phone").alias("phone_blank"),
@@ -464,8 +464,8 @@ def scalar_labels(board: DataFrame) -> DataFrame:
                         _col_or_null(board, "payment_method", STR),
                         _col_or_null(board, "payment_amount", "decimal(10,2)"))
          .alias("payment_label"),
-        F.when(F.col("request_type") == "vehicle_registration", F.lit("-"))
-         .otherwise(F.concat(F.lit("EGP "), T.format_money(F.coalesce(F.col("service_price"),
+        F.when(F.col("request_type") == T.REGISTRATION_TAG, F.lit("-"))
+         .otherwise(F.concat(F.lit(T.CURRENCY), T.format_money(F.coalesce(F.col("service_price"),
                                                                       F.lit(0)))))
          .alias("price_label"),
         T.decided_by_label(F.col("status"), F.col("approver_name")).alias("decided_by"),
