@@ -58,21 +58,32 @@ def default_fill(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 # The plate is already used by another vehicle (equality + inequality).
+# Vehicles are reduced to one row per plate (how many hold it) and the edited
+# vehicle's own current plate is looked up by id, so an edit meets one row
+# per key even when many vehicles share a plate. Output: edits whose plate is
+# taken, with the number of other vehicles holding it.
 def plate_taken_by_other(edits: DataFrame, vehicle: DataFrame) -> DataFrame:
-    v = vehicle.select(F.col("license_plate"), F.col("vehicle_id").alias("other_vehicle_id"))
-    return (edits.join(v, "license_plate")
-            .filter(F.col("other_vehicle_id") != F.col("vehicle_id"))
-            .select("vehicle_id", "license_plate", "other_vehicle_id"))
-
-
-# `id = ? OR phone = ?` as two equi-joins + union + distinct (an OR in
-# the join condition would force a nested-loop join).
+    per_plate = vehicle.groupBy("license_plate").agg(F.count(F.lit(1)).alias("_n"))
+    current = vehicle.select("vehicle_id", F.col("license_plate").alias("_current"))
+    j = edits.join(per_plate, "license_plate").join(current, "vehicle_id", "left")
+    holds = F.coalesce(F.col("_current") == F.col("license_plate"), F.lit(False))
+    others = F.col("_n") - F.when(holds, 1).otherwise(0)
+    return (j.select("vehicle_id", "license_plate", others.cast("long").alias("other_vehicles"))
+            .filter(F.col("other_vehicles") > 0))
+
+
+# `id = ? OR phone = ?`: an OR in a join condition would force a
+# nested-loop join, and joining on a shared phone would pair a sign-up with
+# every user holding it. Instead each new row is matched against the distinct
+# ids and the per-phone counts (one row per key): two equi-joins, no pairs.
 def id_or_phone_match(new: DataFrame, users: DataFrame) -> DataFrame:
-    by_id = new.join(users.select("uni_id", F.col("user_id").alias("matched_user_id")), "uni_id")
-    by_phone = (new.filter(F.col("phone").isNotNull())
-                .join(users.select("phone", F.col("user_id").alias("matched_user_id")), "phone"))
-    return (by_id.select("uni_id", "matched_user_id")
-            .unionByName(by_phone.select("uni_id", "matched_user_id")).distinct())
+    ids = users.select("uni_id").distinct().withColumn("_by_id", F.lit(True))
+    phones = (users.filter(F.col("phone").isNotNull()).groupBy("phone")
+              .agg(F.count(F.lit(1)).alias("phone_matches")))
+    j = new.join(ids, "uni_id", "left").join(phones, "phone", "left")
+    return (j.select("uni_id", F.coalesce(F.col("_by_id"), F.lit(False)).alias("id_match"),
+                     F.coalesce(F.col("phone_matches"), F.lit(0)).alias("phone_matches"))
+            .filter(F.col("id_match") | (F.col("phone_matches") > 0)))
 
 
 # Sink: a new snapshot folder per run; the pointer file is written last, so a

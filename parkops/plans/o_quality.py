@@ -111,10 +111,17 @@ FROM users_in""")
 oracle("like_filter", "SELECT vehicle_id, color FROM vehicle WHERE color LIKE '%re%'")
 
 oracle("plate_taken_by_other", """
-SELECT e.vehicle_id, e.license_plate, v.vehicle_id AS other_vehicle_id
-FROM vehicle_edits e JOIN vehicle v ON v.license_plate = e.license_plate
-WHERE v.vehicle_id <> e.vehicle_id""")
+SELECT * FROM (
+  SELECT e.vehicle_id, e.license_plate,
+         (SELECT COUNT(*) FROM vehicle v
+          WHERE v.license_plate = e.license_plate AND v.vehicle_id <> e.vehicle_id) AS other_vehicles
+  FROM vehicle_edits e) t
+WHERE other_vehicles > 0""")
 
 oracle("id_or_phone_match", """
-SELECT DISTINCT n.uni_id, u.user_id AS matched_user_id
-FROM users_in n JOIN users u ON u.uni_id = n.uni_id OR u.phone = n.phone""")
+SELECT * FROM (
+  SELECT n.uni_id,
+         EXISTS (SELECT 1 FROM users u WHERE u.uni_id = n.uni_id) AS id_match,
+         (SELECT COUNT(*) FROM users u WHERE u.phone = n.phone) AS phone_matches
+  FROM users_in n) t
+WHERE id_match OR phone_matches > 0""")

@@ -344,3 +344,19 @@ def test_refresh_sees_new_files(spark):
         .parquet(f"{d}/nation.parquet")
     V.refresh()
     assert V.Garage.shared(spark, d).parking_garage.count() == 28
+
+
+def test_plate_and_contact_matches_without_pairs(spark):
+    veh = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B")],
+                                "vehicle_id long, license_plate string")
+    edits = spark.createDataFrame([(2, "A"), (4, "A"), (4, "B"), (5, "C")],
+                                  "vehicle_id long, license_plate string")
+    got = sorted((r.vehicle_id, r.license_plate, r.other_vehicles)
+                 for r in TB.plate_taken_by_other(edits, veh).collect())
+    assert got == [(2, "A", 2), (4, "A", 3)]
+    users = spark.createDataFrame([("U1", "p1"), ("U2", "p1"), ("U3", None)], "uni_id string, phone string")
+    new = spark.createDataFrame([("U1", "x"), ("N1", "p1"), ("N2", None), ("U3", None)],
+                                "uni_id string, phone string")
+    got = sorted((r.uni_id, r.id_match, r.phone_matches)
+                 for r in TB.id_or_phone_match(new, users).collect())
+    assert got == [("N1", False, 2), ("U1", True, 0), ("U3", True, 0)]
