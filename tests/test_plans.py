@@ -56,3 +56,25 @@ def test_not_in_is_an_equi_anti_join(spark):
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
     assert "LeftAnti" in p and "BroadcastNestedLoopJoin" not in p
     assert "isNullAwareAntiJoin=true" not in p
+
+
+def _windows(node, out):
+    """Collect (partitionSpec empty?, orderSpec text) of every Window node."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _windows(node.inputPlan(), out)
+    if name == "Window":
+        out.append((node.partitionSpec().isEmpty(), node.orderSpec().toString()))
+    kids = node.children()
+    for i in range(kids.size()):
+        _windows(kids.apply(i), out)
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_single_partition_window(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    wins = _windows(df._jdf.queryExecution().executedPlan(), [])
+    for unpartitioned, order in wins:
+        # the only unpartitioned window numbers the per-partition counts
+        assert not unpartitioned or "_pos_pid" in order, (name, order)
