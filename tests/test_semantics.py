@@ -360,3 +360,30 @@ def test_plate_and_contact_matches_without_pairs(spark):
     got = sorted((r.uni_id, r.id_match, r.phone_matches)
                  for r in TB.id_or_phone_match(new, users).collect())
     assert got == [("N1", False, 2), ("U1", True, 0), ("U3", True, 0)]
+
+
+def test_decisions_ignore_current_state_and_method_vocabularies(spark):
+    reqs = spark.createDataFrame([(1, None, None, "Rejected", 3, TS)],
+                                 "request_id long, vehicle_id long, spot_id long, status string, "
+                                 "approved_by long, completed_at timestamp_ntz")
+    dec = spark.createDataFrame([(1, "approve", 5, TS + dt.timedelta(days=1))],
+                                "request_id long, action string, decided_by long, decided_at timestamp_ntz")
+    assert D.request_decisions_requests(reqs, dec).first().status == "Approved"  # no status guard
+    r2 = spark.createDataFrame([(2, 5, 1, "Approved", "Pending", "2")],
+                               "request_id long, user_id long, service_id long, status string, "
+                               "payment_status string, receipt_id string")
+    st = spark.createDataFrame([(1, Decimal("9.00"))], "service_id long, price decimal(10,2)")
+    pin = spark.createDataFrame([(2, 5, "Credit", "4111111111111111", "123", "12/27", "Ann", TS)],
+                                "request_id long, user_id long, method string, card_number string, "
+                                "card_cvv string, card_expiry string, cardholder_name string, "
+                                "paid_at timestamp_ntz")
+    inv = spark.createDataFrame([(20, 2, Decimal("9.00"), None, None, None)],
+                                "invoice_id long, request_id long, amount decimal(10,2), "
+                                "date_issued date, time_issued string, receipt_id string")
+    meth = spark.createDataFrame([], "method_id long, method_type string, payment_info string")
+    pay = spark.createDataFrame([], "payment_id long, invoice_id long, amount decimal(10,2), "
+                                    "date_paid date, time_paid string, status string, method_id long")
+    out = BL.apply_payments(pin, r2, inv, st, meth, pay)
+    assert out["service_request"].first().payment_method == "Credit"
+    assert out["payment_method"].first().method_type == "Credit Card"
+    assert [(r.method_id, r.payment_id) for r in out["payment"].collect()] == [(1, 1)]
