@@ -1 +1 @@
-
+"""Scalar column functions built from Spark built-ins."""
