@@ -80,3 +80,32 @@ def test_purge_plates(garage):
     c = P.plan_cascade(g.purge_plates, g.vehicle, g.service_request, g.invoice, g.log_record, g.owns)
     assert g.purge_plates.count() == 40
     assert c.vehicles.count() == 16
+
+
+def test_small_scale_values(spark):
+    from parkops.sources.views import Garage
+    g = Garage(spark, "/root/testdata/sf0.001")
+    led = R.invoice_ledger(g.invoice, g.payment, g.payment_method, g.service_request, g.users,
+                           g.vehicle)
+    assert (led.count(), led.filter(F.col("payment_id").isNotNull()).count(),
+            led.filter(F.col("vehicle_license_plate").isNotNull()).count()) == (4626, 4599, 3980)
+    pm = {r.method_type: r.total_amount for r in R.payments_by_method(g.payment, g.payment_method).collect()}
+    assert pm == {"Cash": Decimal("75157678.49"), "Credit Card": Decimal("145658604.49")}
+    assert R.total_revenue(g.payment).first()[0] == Decimal("121222552.12")
+    byg = R.requests_by_garage(g.parking_garage, g.parking_spots, g.service_request).collect()
+    assert (len(byg), sum(r[1] for r in byg), max(r[1] for r in byg)) == (10, 1125, 123)
+    assert R.request_spot_garage(g.service_request, g.users, g.vehicle, g.parking_spots,
+                                 g.parking_garage).count() == 964
+    assert R.repeat_requesters(g.users, g.service_request).count() == 150
+    assert (R.never_used_not_in(g.vehicle, g.service_request).count(),
+            R.never_used_anti(g.vehicle, g.service_request).count()) == (0, 46)
+    occ = B.garage_occupancy(g.parking_garage, g.parking_spots).collect()
+    assert (len(occ), sum(r.total_spots for r in occ), sum(r.available_spots for r in occ),
+            sum(r.reserved_spots for r in occ), sum(r.total_spots == 0 for r in occ)) == (25, 10, 2, 3, 15)
+    assert B.available_spots(g.parking_spots, g.parking_garage).count() == 4
+    assert B.pending_vehicles_direct(g.vehicle, g.users).count() == 87
+    ua = B.user_activity(g.users, g.vehicle, g.service_request).collect()
+    assert (len(ua), sum(r.vehicle_count for r in ua), sum(r.request_count for r in ua),
+            sum(r.vehicle_count == 0 for r in ua)) == (150, 113, 1500, 51)
+    c = P.plan_cascade(g.purge_plates, g.vehicle, g.service_request, g.invoice, g.log_record, g.owns)
+    assert (g.purge_plates.count(), c.vehicles.count()) == (4, 0)
