@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parkops.llm import bytebpe, common, packing
+from parkops.llm import bytebpe, common, imatch, packing, secretscan, simple8b, toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +22,34 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(ids, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_level_bpe)}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(common.read(spark, sf_dir, "documents"),
+                           public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
+
+
+def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_dir(spark)}/parkops-ids-{uuid.uuid4().hex}"
+    simple8b.write(common.read(spark, sf_dir, "documents"),
+                   public_tokenizers.path("word_bpe_49k.json"), path)
+    return simple8b.read_digests(spark, path)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.id_text(common.read(spark, sf_dir, "documents"))
+    model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"),
+        F.col("_predicted").alias("predicted"))
+
+
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(common.read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_level_bpe, op5_secret_scan,
+                                   op6_binary_output, op7_toxicity,
+                                   op10_imatch_fingerprints)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
