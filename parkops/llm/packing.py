@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkops.llm.common import id_text, map_rows, to_batch
-from parkops.llm.words import byte_level
+from parkops.llm.common import id_text, map_rows
+from parkops.llm.words import byte_level, in_batches
 
 SEQ_LEN = 1024
 OPEN_BINS = 16_384
@@ -78,8 +78,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = S
 
     def rows(ids: list, texts: list) -> Iterator[tuple]:
         enc = byte_level(tokenizer)
-        for k in range(0, len(texts), 256):
-            for doc, raw in zip(ids[k:k + 256], enc.encode_many(texts[k:k + 256])):
+        for some in in_batches(texts):
+            for doc, raw in zip(ids[some], enc.encode_many(texts[some])):
                 raw += end
                 n = len(raw) // 4
                 a, piece, b = 0, 0, (n - 1) % size + 1

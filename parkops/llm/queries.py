@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkops.llm import bytebpe, common, imatch, packing, secretscan, simple8b, toxicity
+from parkops.llm import (bytebpe, common, imatch, jaccard, packing, secretscan, simple8b, suffixdedup,
+                         topk, toxicity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(ids, ranks, public_tokenizers.PATTERN)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.read(spark, sf_dir, "embeddings"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup(common.read(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(common.read(spark, sf_dir, "documents"),
                            public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -43,13 +56,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_predicted").alias("predicted"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.read(spark, sf_dir, "documents"))
+
+
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_level_bpe, op5_secret_scan,
-                                   op6_binary_output, op7_toxicity,
-                                   op10_imatch_fingerprints)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_byte_level_bpe, op3_exact_top_k, op4_suffix_dedup, op5_secret_scan,
+    op6_binary_output, op7_toxicity, op8_ngram_jaccard, op10_imatch_fingerprints)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parkops.llm.common import id_text, to_batch
-from parkops.llm.words import word_ends
+from parkops.llm.words import in_batches, word_ends
 
 #: (values in a word, bits of each) by selector; the last selector marks an escape.
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
@@ -47,13 +47,12 @@ ROWS = ("part long, at long, first_doc long, n_ids long, docs binary, null_docs
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, exact for all of 64 bits."""
-    out = np.zeros(len(values), np.int8)
-    left = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = left >= np.uint64(1 << step)
-        out[big] += step
-        left[big] >>= np.uint64(step)
-    return out + (left > 0)
+    high = (values >> np.uint64(32)).astype(np.float64)
+    low = (values & np.uint64(0xffffffff)).astype(np.float64)
+    wide = np.frexp(low)[1]
+    big = np.flatnonzero(high)
+    wide[big] = 32 + np.frexp(high[big])[1]
+    return wide.astype(np.int8)
 
 
 def pack_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,19 +65,20 @@ def pack_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     # the widest value from each place on, over the counts in ascending order; places
     # past a block's end are empty, so a block's last word may be partly filled
     edge = (np.arange(n) // block + 1) * block
-    choice = np.full(n, ESCAPE, np.int8)
-    most, span = width, 1
-    room = edge - np.arange(n)
+    rows = -(-n // block)
+    most = np.zeros((rows, block), np.int8)
+    most.reshape(-1)[:n] = width
+    choice = np.full((rows, block), ESCAPE, np.int8)
+    span = 1
     for sel in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[sel]
         while span < count:  # a maximum over span places from two over fewer
             move = min(span, count - span)
-            ahead = np.flatnonzero(room[:n - move] > move) if move < n else ()
-            most = most.copy()
-            if len(ahead):
-                most[ahead] = np.maximum(most[ahead], most[ahead + move])
+            most[:, :-move] = np.maximum(most[:, :-move], most[:, move:]) if move < block \
+                else most[:, :-move]
             span += move
-        choice[most <= bits] = sel
+        np.putmask(choice, most <= bits, sel)
+    choice = choice.reshape(-1)[:n]
     step = _COUNTS[choice].tolist()
     starts, offsets = [], [0]
     add = starts.append
@@ -156,8 +156,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2,
         held, ids, size, at = [], [], 0, 0
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
-                for doc, raw in zip(names[k:k + 256], enc.encode_many(texts[k:k + 256])):
+            for some in in_batches(texts):
+                for doc, raw in zip(names[some], enc.encode_many(texts[some])):
                     held.append(doc)
                     ids.append(raw + end)
                     size += len(raw) // 4 + 1

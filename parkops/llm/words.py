@@ -14,6 +14,7 @@ import array
 import functools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -89,7 +90,7 @@ class ByteLevel:
         raw, cut = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
         return {w: raw[cut[i]:cut[i + 1]] for i, w in enumerate(words)}
 
-    def _resolve(self, new: set[str]) -> dict[str, bytes | None]:
+    def _resolve(self, new: list[str]) -> dict[str, bytes | None]:
         out: dict[str, bytes | None] = {}
         composed, cores = [], ({}, {})  # after a space, after a newline
         for w in new:
@@ -123,18 +124,19 @@ class ByteLevel:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         memo = self.memo
-        memo.add(self._resolve({w for parts in cut for w in parts[1:] if w not in memo}))
+        heads = [parts[0] for parts in cut]
+        for parts in cut:
+            del parts[0]
+        memo.add(self._resolve([w for w in set().union(*cut) if w not in memo]))
         out = []
-        for text, parts in zip(texts, cut):
+        for text, head, parts in zip(texts, heads, cut):
             if not text:
                 out.append(b"")
                 continue
-            head = parts[0]
             try:
                 if not head or head[-1] in _SPACES or any(s in text for s in self.special):
                     raise TypeError
-                parts[0] = self.exact(head)
-                out.append(parts[0] + b"".join([memo[p] for p in parts[1:]]))
+                out.append(self.exact(head) + b"".join([memo[p] for p in parts]))
             except TypeError:  # a cut would fall inside white space
                 out.append(self.exact(text))
         return out
@@ -197,13 +199,26 @@ class WordEnds:
             out |= {w: raw[cut[i]:cut[i + 1]] for i, w in enumerate(some)}
         return out
 
-    def _resolve(self, new: set[str]) -> dict[str, bytes]:
+    def _others(self, words: list[str]) -> dict[str, bytes]:
+        """Any words, several calls' worth at once: a token belongs to the word it
+        starts in."""
         out: dict[str, bytes] = {}
-        composed, cores, memo = [], {}, self.memo
+        for k in range(0, len(words), 1024):
+            some = words[k:k + 1024]
+            e = self.tk.encode(" ".join(some), add_special_tokens=False)
+            first = np.cumsum([0, *(len(w) + 1 for w in some)])
+            at = np.searchsorted([a for a, _ in e.offsets], first)
+            raw = u32(e.ids)
+            out |= {w: raw[4 * at[i]:4 * at[i + 1]] for i, w in enumerate(some)}
+        return out
+
+    def _resolve(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        composed, cores, others, memo = [], {}, [], self.memo
         for w in new:
             core = w.rstrip(_MARKS)
             if not _plain_word(core) or "\u0130" in core:
-                out[w] = self.library(w)
+                others.append(w)
                 continue
             low, marks = core.lower(), w[len(core):]
             if low not in memo:
@@ -211,7 +226,7 @@ class WordEnds:
             if marks and marks not in memo and marks not in out:
                 out[marks] = self.library(marks)
             composed.append((w, low, marks))
-        out |= self._cores(list(cores))
+        out |= self._cores(list(cores)) | self._others(others)
         memo.batch = out
         return out | {w: memo[low] + (memo[marks] if marks else b"") for w, low, marks in composed}
 
@@ -219,11 +234,24 @@ class WordEnds:
         # space and newline are white space that the library drops between words
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         memo = self.memo
-        memo.add(self._resolve({w for parts in cut for w in parts if w not in memo}))
+        memo.add(self._resolve([w for w in set().union(*cut) if w not in memo]))
         return [self.library(t) if any(s in t for s in self.special)
                 else b"".join([memo[p] for p in parts]) for t, parts in zip(texts, cut)]
 
 
+def in_batches(texts: list[str], chars: int = 4_000_000) -> Iterator[slice]:
+    """Runs of texts of about so many characters: a word new to the memo is then looked
+    up once for many texts."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield slice(a, i + 1)
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield slice(a, len(texts))
+
+
 @functools.cache
 def byte_level(path: str) -> ByteLevel:
     return ByteLevel(path)
