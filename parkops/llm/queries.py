@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkops.llm import (bytebpe, common, imatch, jaccard, packing, secretscan, simple8b, suffixdedup,
+from parkops.llm import (bytebpe, chat, common, imatch, jaccard, packing, secretscan, simple8b, suffixdedup,
                          topk, toxicity)
 
 
@@ -60,13 +60,19 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(common.read(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.read(spark, sf_dir, "conversations")
+    return chat.format_chats(turns, chat.fit(turns))
+
+
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(common.read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_byte_level_bpe, op3_exact_top_k, op4_suffix_dedup, op5_secret_scan,
-    op6_binary_output, op7_toxicity, op8_ngram_jaccard, op10_imatch_fingerprints)}
+    op6_binary_output, op7_toxicity, op8_ngram_jaccard, op9_chat_formatting,
+    op10_imatch_fingerprints)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
