@@ -36,7 +36,7 @@ def total_revenue(payment: DataFrame) -> DataFrame:
 
 # Grouped by method *type*; two method ids share 'Credit Card'.
 def payments_by_method(payment: DataFrame, payment_method: DataFrame) -> DataFrame:
-    return (payment.join(bounded(payment_method), "method_id")
+    return (payment.join(payment_method, "method_id")
             .groupBy("method_type").agg(money_sum("amount").alias("total_amount")))
 
 
@@ -65,7 +65,7 @@ def invoice_ledger(invoice: DataFrame, payment: DataFrame, payment_method: DataF
                    service_request: DataFrame, users: DataFrame, vehicle: DataFrame) -> DataFrame:
     i = invoice.alias("i")
     p = payment.alias("p")
-    pm = bounded(payment_method).alias("pm")
+    pm = payment_method.alias("pm")
     sr = service_request.select("request_id", "user_id", "vehicle_id").alias("sr")
     u = users.select("user_id", "uni_id", "name").alias("u")
     v = vehicle.select("vehicle_id", "license_plate").alias("v")

@@ -122,15 +122,17 @@ SELECT o_orderkey AS invoice_id, o_orderkey AS request_id,
 FROM orders""")
 
 view("payment", """
-SELECT l_orderkey * 8 + l_linenumber AS payment_id,
+SELECT (l_orderkey * 8 + l_linenumber) * 1000 + row_number() OVER (
+         PARTITION BY l_orderkey, l_linenumber
+         ORDER BY l_extendedprice, l_shipdate, l_linestatus, l_returnflag) AS payment_id,
        l_orderkey AS invoice_id,
-       CAST(min(l_extendedprice) AS DECIMAL(10,2)) AS amount,
-       CAST(min(l_shipdate) AS DATE) AS date_paid,
+       CAST(l_extendedprice AS DECIMAL(10,2)) AS amount,
+       CAST(l_shipdate AS DATE) AS date_paid,
        '00:00:00' AS time_paid,
-       CASE min(l_linestatus) WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Failed' END AS status,
-       CAST(CASE min(l_returnflag) WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS BIGINT)
+       CASE l_linestatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Failed' END AS status,
+       CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS BIGINT)
          AS method_id
-FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+FROM lineitem""")
 
 view("log_record", """
 SELECT event_id AS log_id, event_id % 10 AS spot_id, event_id % 100 AS request_id,

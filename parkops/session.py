@@ -84,10 +84,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is set (local runs,
-    tests) fall back to a fresh scratch folder."""
+    """Use the configured checkpoint folder; only a local session (tests) may do
+    without and gets a fresh scratch folder. Never a machine-local folder on a
+    cluster."""
     d = checkpoint_dir(spark)
     if d is None:
+        if not spark.sparkContext.master.startswith("local") \
+                or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parkops-ckpt-"))
         d = spark.sparkContext.getCheckpointDir()
     return d
@@ -95,8 +99,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder (survives executor
-    loss). Without a configured folder the plan is returned unchanged: results
-    stay correct, only recomputation is not avoided."""
-    if checkpoint_dir(df.sparkSession) is None:
-        return df
+    loss). Callers rely on both of two later reads seeing the same rows in the
+    same partitions, so a cluster session without a folder is an error; a local
+    one gets a scratch folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
@@ -20,27 +20,10 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
-
-
-def refresh() -> None:
-    """Forget cached reads and views (their file listings are taken when
-    first read); call after files were added to a folder in this session."""
-    _READS.clear()
-    Garage._SHARED.clear()
-
-
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one driver table. The DataFrame (with its resolved schema and
-    file listing) is kept per session and path, so later queries skip parquet
-    schema inference (a Spark job reading footers); the scan itself still
-    runs per query. ``refresh()`` drops the cache when a folder changes."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+    """Scan of one driver table. Nothing is kept between calls, so files added to a
+    folder are seen by the next query."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def idiv(expr: str, n: int) -> Column:
@@ -214,27 +197,23 @@ def invoice(orders: DataFrame) -> DataFrame:
 
 
 def payment(lineitem: DataFrame) -> DataFrame:
-    """One payment per (l_orderkey, l_linenumber); that pair is not unique in
-    lineitem, hence the aggregation (partial aggregation runs map-side).
-
-    The two flags are one-character codes; their minimum is taken over the
-    character code so that every aggregate buffer is fixed-width and Spark
-    keeps a hash aggregate (a min over strings falls back to a sort
-    aggregate)."""
-    g = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_extendedprice").alias("px"), F.min("l_shipdate").alias("ship"),
-        F.min(F.ascii("l_linestatus")).alias("ls"), F.min(F.ascii("l_returnflag")).alias("rf"))
-    return g.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("payment_id"),
+    """One payment per line item. (l_orderkey, l_linenumber) is not unique, so the id
+    adds the row's place among the rows of the pair, in the order of the columns read
+    here (rows equal in them are interchangeable). Pairs hold a few rows, and a query that doesn't
+    read payment_id drops the window and its shuffle."""
+    pair = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_extendedprice", "l_shipdate", "l_linestatus", "l_returnflag")
+    ls, rf = F.col("l_linestatus"), F.col("l_returnflag")
+    return lineitem.select(
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000
+         + F.row_number().over(pair)).alias("payment_id"),
         F.col("l_orderkey").alias("invoice_id"),
-        F.col("px").cast(S.MONEY).alias("amount"),
-        F.col("ship").cast("date").alias("date_paid"),
+        F.col("l_extendedprice").cast(S.MONEY).alias("amount"),
+        F.col("l_shipdate").cast("date").alias("date_paid"),
         F.lit("00:00:00").alias("time_paid"),
-        F.when(F.col("ls") == ord("F"), "Paid").when(F.col("ls") == ord("O"), "Failed")
-         .alias("status"),
-        F.when(F.col("rf") == ord("A"), F.lit(1).cast("long"))
-         .when(F.col("rf") == ord("N"), F.lit(2).cast("long"))
-         .when(F.col("rf") == ord("R"), F.lit(3).cast("long")).alias("method_id"),
+        F.when(ls == "F", "Paid").when(ls == "O", "Failed").alias("status"),
+        F.when(rf == "A", F.lit(1).cast("long")).when(rf == "N", F.lit(2).cast("long"))
+         .when(rf == "R", F.lit(3).cast("long")).alias("method_id"),
     )
 
 
@@ -326,18 +305,6 @@ class Garage:
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
 
-    _SHARED: dict[tuple[int, str], "Garage"] = {}
-
-    @classmethod
-    def shared(cls, spark: SparkSession, sf_dir: str) -> "Garage":
-        """One Garage per session and folder: its view DataFrames (already
-        analysed) are reused by later queries instead of being rebuilt."""
-        key = (id(spark), sf_dir.rstrip("/"))
-        g = cls._SHARED.get(key)
-        if g is None or g.spark is not spark:
-            g = cls._SHARED[key] = cls(spark, sf_dir)
-        return g
-
     def raw(self, name: str) -> DataFrame:
         key = "raw:" + name
         if key not in self._cache:

@@ -14,12 +14,12 @@ def test_reports(garage):
     g = garage
     led = R.invoice_ledger(g.invoice, g.payment, g.payment_method, g.service_request, g.users,
                            g.vehicle)
-    assert led.count() == 46089
-    assert led.filter(F.col("payment_id").isNotNull()).count() == 45832
-    assert led.filter(F.col("vehicle_license_plate").isNotNull()).count() == 39426
+    assert led.count() == 60257
+    assert led.filter(F.col("payment_id").isNotNull()).count() == 60000
+    assert led.filter(F.col("vehicle_license_plate").isNotNull()).count() == 51517
     pm = {r.method_type: r.total_amount for r in R.payments_by_method(g.payment, g.payment_method).collect()}
-    assert pm == {"Cash": Decimal("727324849.32"), "Credit Card": Decimal("1478874762.00")}
-    assert R.total_revenue(g.payment).first()[0] == Decimal("1203514283.78")
+    assert pm == {"Cash": Decimal("1056013450.83"), "Credit Card": Decimal("2127242820.80")}
+    assert R.total_revenue(g.payment).first()[0] == Decimal("1585914290.14")
     byg = R.requests_by_garage(g.parking_garage, g.parking_spots, g.service_request).collect()
     assert (len(byg), sum(r[1] for r in byg), max(r[1] for r in byg)) == (23, 10591, 1146)
     assert R.requests_by_service(g.service_type, g.service_request).count() == 5
@@ -88,10 +88,10 @@ def test_small_scale_values(spark):
     led = R.invoice_ledger(g.invoice, g.payment, g.payment_method, g.service_request, g.users,
                            g.vehicle)
     assert (led.count(), led.filter(F.col("payment_id").isNotNull()).count(),
-            led.filter(F.col("vehicle_license_plate").isNotNull()).count()) == (4626, 4599, 3980)
+            led.filter(F.col("vehicle_license_plate").isNotNull()).count()) == (6027, 6000, 5198)
     pm = {r.method_type: r.total_amount for r in R.payments_by_method(g.payment, g.payment_method).collect()}
-    assert pm == {"Cash": Decimal("75157678.49"), "Credit Card": Decimal("145658604.49")}
-    assert R.total_revenue(g.payment).first()[0] == Decimal("121222552.12")
+    assert pm == {"Cash": Decimal("110429570.98"), "Credit Card": Decimal("206935186.33")}
+    assert R.total_revenue(g.payment).first()[0] == Decimal("159193618.75")
     byg = R.requests_by_garage(g.parking_garage, g.parking_spots, g.service_request).collect()
     assert (len(byg), sum(r[1] for r in byg), max(r[1] for r in byg)) == (10, 1125, 123)
     assert R.request_spot_garage(g.service_request, g.users, g.vehicle, g.parking_spots,

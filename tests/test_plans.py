@@ -42,10 +42,21 @@ def test_filter_pushdown_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in p
 
 
-def test_payment_view_uses_hash_aggregate(spark):
+def test_payment_view_reads_all_rows_without_a_shuffle(spark):
     from parkops.sources.views import Garage
-    p = plan(Garage(spark, SF_SMALL).payment)
-    assert "HashAggregate" in p and "SortAggregate" not in p
+    g = Garage(spark, SF_SMALL)
+    assert g.payment.count() == g.raw("lineitem").count()
+    assert "Exchange" not in plan(g.payment.drop("payment_id"))
+
+
+def test_payment_methods_carry_no_broadcast_hint(spark):
+    from parkops.operators import reports
+    from parkops.sources.views import Garage
+    methods = spark.range(1000).selectExpr("id as method_id", "'Cash' as method_type",
+                                           "'x' as payment_info")
+    q = reports.payments_by_method(Garage(spark, SF_SMALL).payment, methods)
+    assert "hint" not in q._jdf.queryExecution().analyzed().toString().lower()
+    assert "SortMergeJoin" in q._jdf.queryExecution().sparkPlan().toString()
 
 
 def test_not_in_is_an_equi_anti_join(spark):

@@ -332,18 +332,17 @@ def test_scale_conf():
     assert scale_conf(10**6)["spark.sql.shuffle.partitions"] == "200"
 
 
-def test_refresh_sees_new_files(spark):
+def test_new_files_are_seen(spark):
     import tempfile
 
     from parkops.sources import views as V
-    d = tempfile.mkdtemp(prefix="parkops-refresh-")
+    d = tempfile.mkdtemp(prefix="parkops-new-files-")
     spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{d}/nation.parquet")
-    g = V.Garage.shared(spark, d)
+    g = V.Garage(spark, d)
     assert g.parking_garage.count() == 25
     spark.read.parquet("/root/testdata/sf0.001/nation.parquet").limit(3).write.mode("append") \
         .parquet(f"{d}/nation.parquet")
-    V.refresh()
-    assert V.Garage.shared(spark, d).parking_garage.count() == 28
+    assert V.Garage(spark, d).parking_garage.count() == 28
 
 
 def test_plate_and_contact_matches_without_pairs(spark):
