@@ -18,9 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkops.llm.common import NULL_ID, to_batch, written
+from parkops.llm.common import NULL_ID, release, tidy, to_batch, written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Keys a range of the hash space holds at most, about.
 RANGE_KEYS = 4 << 20
 
@@ -87,7 +87,7 @@ def in_blocks(docs: DataFrame, rest: list[str], extra: Callable[[Block], tuple[b
     cols = [F.col("doc_id").cast("long").alias("_d"),
             F.coalesce(F.col("text"), F.lit("")).alias("_t"),
             *(F.col(c).alias(f"_{i}") for i, c in enumerate(rest))]
-    return written(docs.select(*cols).mapInArrow(build, BLOCKS), "blocks")
+    return written(docs.select(*cols).mapInArrow(tidy(build), BLOCKS), "blocks")
 
 
 def shared_keys(table: DataFrame, keys: Callable[[Block, bytes], tuple[np.ndarray, np.ndarray]],
@@ -127,11 +127,13 @@ def shared_keys(table: DataFrame, keys: Callable[[Block, bytes], tuple[np.ndarra
         counts = np.empty(len(every), "<u2")
         counts[order] = np.repeat(np.minimum(sums, 65535), np.diff(np.r_[new, len(s)]))
         cut = np.cumsum([0, *map(len, keys)]).tolist()
+        del order, s, every, times, sums
+        release()
         return pa.table({"block": group.column("block"), "range": group.column("range"),
                          "counts": pa.array([counts[a:z].tobytes() for a, z in zip(cut, cut[1:])])})
 
     ranges = (table.select("block", "docs", "lengths", "data", "extra")
-              .mapInArrow(send, "range int, block long, keys binary, times binary"))
+              .mapInArrow(tidy(send), "range int, block long, keys binary, times binary"))
     back = ranges.groupBy("range").applyInArrow(meet, "block long, range int, counts binary")
     # a block has at most one row a range
     return written(back, "counts").groupBy("block").agg(

@@ -29,7 +29,7 @@ from parkops.llm.words import u32
 
 CHUNK = 32_768
 OVERLAP = 512
-MEMO = 700_000
+MEMO = 300_000
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()),

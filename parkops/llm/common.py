@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -49,8 +50,23 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def arrow_schema(ddl: Iterable[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema(list(ddl))
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, and what
+    they hold counts against the next one. Does nothing where libc has no such call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(fn: Callable) -> Callable:
+    """``fn`` over batches, with memory released when its task ends."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+    return run
 
 
 def map_rows(fn: Callable[[list, list], Iterable[tuple]], schema: pa.Schema,
@@ -68,7 +84,7 @@ def map_rows(fn: Callable[[list, list], Iterable[tuple]], schema: pa.Schema,
                     out = []
         if out:
             yield to_batch(out, schema)
-    return run
+    return tidy(run)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

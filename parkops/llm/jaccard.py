@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parkops.llm.blocks import Block, in_blocks, joined, shared_keys
-from parkops.llm.common import NULL_ID, to_batch, written
+from parkops.llm.common import NULL_ID, release, tidy, to_batch, written
 from parkops.llm.components import components
 
 WORDS = 5
@@ -201,7 +201,7 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
                 yield to_batch(out, _INFO)
 
     info = written(table.select("block", "docs", "lengths", "data").join(counts, "block", "left")
-                   .select("docs", "lengths", "data", "counts").mapInArrow(describe, INFO), "sets")
+                   .select("docs", "lengths", "data", "counts").mapInArrow(tidy(describe), INFO), "sets")
     classes = info.filter("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.min("node").alias("node"))
     # a class is compared once, by the row of its smallest document
@@ -270,6 +270,7 @@ def _links(active: DataFrame, percent: int, task_tokens: int) -> DataFrame:
         a, b = forest(group.column("node").to_numpy(), group.column("n").to_numpy(),
                       group.column("l").to_numpy(), group.column("base").to_numpy(),
                       [np.frombuffer(t, "<u8") for t in group.column("tokens").to_pylist()], percent)
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     out = dealt.select("node", "n", "l", "base", "tokens", "of", "t.i", "t.j") \

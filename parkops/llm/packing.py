@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkops.llm.common import id_text, map_rows
+from parkops.llm.common import id_text, map_rows, tidy
 from parkops.llm.words import byte_level, in_batches
 
 SEQ_LEN = 1024
@@ -130,4 +130,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SEQ_LEN,
                 [*(b.column(i) for i in range(1, at)), pa.array(out_seq, pa.int64()),
                  pa.array(out_off, pa.int64())], schema=schema)
 
-    return dealt.mapInArrow(run, ddl)
+    return dealt.mapInArrow(tidy(run), ddl)

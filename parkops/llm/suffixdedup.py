@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parkops.llm.blocks import Block, in_blocks, joined, shared_keys
-from parkops.llm.common import to_batch, written
+from parkops.llm.common import release, tidy, to_batch, written
 
 LENGTH = 50
 SEGMENT = 1 << 20
@@ -126,10 +126,16 @@ def suffixes(block: Block, at: np.ndarray, length: int) -> np.ndarray:
     as far as a window reaches. Bytes outside the document are 0xFF, which no text has."""
     k = gram(length)
     r = length - k
-    doc = np.searchsorted(block.ends, at, side="right")
-    places = np.concatenate([np.arange(k + r), -1 - np.arange(r)])[None, :] + at[:, None]
-    outside = (places < block.starts[doc][:, None]) | (places >= block.ends[doc][:, None])
-    return np.where(outside, np.uint8(255), block.data[np.clip(places, 0, len(block.data) - 1)])
+    steps = np.concatenate([np.arange(k + r), -1 - np.arange(r)])[None, :]
+    out = np.empty((len(at), k + 2 * r), np.uint8)
+    for i in range(0, len(at), 1 << 15):  # the places of all anchors at once are many
+        some = at[i:i + (1 << 15)]
+        doc = np.searchsorted(block.ends, some, side="right")
+        places = steps + some[:, None]
+        outside = (places < block.starts[doc][:, None]) | (places >= block.ends[doc][:, None])
+        out[i:i + len(some)] = np.where(outside, np.uint8(255), block.data[
+            np.clip(places, 0, len(block.data) - 1)])
+    return out
 
 
 def repeated_windows(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
@@ -278,13 +284,15 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH)
         rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
         mask = repeated_windows(rows, np.frombuffer(b"".join(docs), "<i8"), length)
         cut = np.cumsum([0, *(len(d) // 8 for d in docs)]).tolist()
+        del rows
+        release()
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"),
                          "mask": pa.array([mask[a:z].astype("<u4").tobytes()
                                            for a, z in zip(cut, cut[1:])])})
 
     cols = ["block", "docs", "lengths", "data", "extra"]
     masks = (table.select(*cols).join(counts, "block").mapInArrow(
-        send, "bucket int, block long, rows binary, docs binary")
+        tidy(send), "bucket int, block long, rows binary, docs binary")
         .groupBy("bucket").applyInArrow(meet, "block long, bucket int, mask binary"))
     masks = written(masks, "masks").groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "mask"))).alias("mask"))
@@ -324,7 +332,7 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH)
     return (table.select("block", "docs", "nulls", "lengths", "data", "rest", "extra")
             .join(counts, "block", "left").join(masks, "block", "left")
             .select("docs", "nulls", "lengths", "data", "rest", "extra", "counts", "mask")
-            .mapInArrow(cut_out, ddl))
+            .mapInArrow(tidy(cut_out), ddl))
 
 
 def _covered(block: Block, own: _Sent, mask: np.ndarray, length: int) -> np.ndarray:

@@ -131,7 +131,7 @@ class LexiconAutomaton:
 class Scorer(dict):
     """Kind of match by word, kept for frequent words; features and scores of texts."""
 
-    KEEP = 400_000
+    KEEP = 100_000
 
     def __init__(self, terms: list[str], stems: list[str]) -> None:
         self.automaton = LexiconAutomaton(terms, stems)

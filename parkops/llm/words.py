@@ -24,8 +24,9 @@ _SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000
 #: Characters whose class is the same in every Unicode version the libraries use.
 _PLAIN = re.compile("[\x00-\u024f]*\\Z")
 _MARKS = ".,;:!?|"
-#: Entries kept per Python worker. Words met later are encoded once a batch.
-MEMO = 700_000
+#: Entries kept per Python worker (about 200 bytes each), by vocabulary kind. Words met
+#: later are encoded once a batch.
+MEMO_BYTE_LEVEL, MEMO_WORD_ENDS = 250_000, 700_000
 
 
 def u32(ids) -> bytes:
@@ -39,7 +40,8 @@ def _plain_word(w: str) -> bool:
 class _Memo(dict):
     """word -> ids; a word that isn't kept is looked up among the batch's own."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.batch: dict[str, bytes | None] = {}
 
     def __missing__(self, word: str) -> bytes | None:
@@ -47,7 +49,7 @@ class _Memo(dict):
 
     def add(self, found: dict[str, bytes | None]) -> None:
         self.batch = found
-        if len(self) + len(found) <= MEMO:
+        if len(self) + len(found) <= self.most:
             self.update(found)
 
 
@@ -62,7 +64,7 @@ class ByteLevel:
             spec = json.load(f)
         self.special = [a["content"] for a in spec.get("added_tokens", [])]
         self.fast = _by_ranks(spec)
-        self.memo = _Memo()  # of " " + word, or of "\n" and what follows it
+        self.memo = _Memo(MEMO_BYTE_LEVEL)  # of " " + word, or of "\n" and what follows it
         self.mark: dict[str, bytes] = {}
         if self.fast is not None:
             self.newline = self.fast.encode_ordinary("\n")[0]
@@ -179,7 +181,7 @@ class WordEnds:
         self.tk = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.special = [a["content"] for a in json.load(f).get("added_tokens", [])]
-        self.memo = _Memo()
+        self.memo = _Memo(MEMO_WORD_ENDS)
 
     def library(self, text: str) -> bytes:
         return u32(self.tk.encode(text, add_special_tokens=False).ids)
