@@ -14,7 +14,6 @@ Decoding concatenates the raw bytes of the ids.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkops.llm.common import id_text, map_rows, to_batch
+from parkops.llm.common import id_text, map_rows, only, to_batch
 from parkops.llm.words import u32
 
 CHUNK = 32_768
@@ -79,9 +78,8 @@ class RankBpe(dict):
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.cache
 def rank_bpe(path: str, pattern: str) -> RankBpe:
-    return RankBpe(path, pattern)
+    return only(("rank_bpe", path, pattern), lambda: RankBpe(path, pattern))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK,

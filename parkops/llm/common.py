@@ -59,6 +59,20 @@ def release() -> None:
         trim(0)
 
 
+_HELD: dict = {}
+
+
+def only(key: tuple, make: Callable):
+    """``make()``, kept in this Python worker until another key is asked for: a worker
+    outlives its task, so it holds one tokenizer or model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = make()
+        release()
+    return _HELD[key]
+
+
 def tidy(fn: Callable) -> Callable:
     """``fn`` over batches, with memory released when its task ends."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parkops.llm.bytebpe import load_ranks
-from parkops.llm.common import id_text, map_rows
+from parkops.llm.common import id_text, map_rows, only
 
 KINDS = ("assign", "access", "hex", "random")
 #: Characters per token below which a candidate counts as random.
@@ -40,12 +40,13 @@ _IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-
                          r"[-_/+=]*\Z")
 
 
-@functools.cache
 def _tokens(ranks: str, pattern: str):
-    import tiktoken
-    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks),
-                            special_tokens={})
-    return functools.lru_cache(10_000)(lambda s: len(enc.encode_ordinary(s)))
+    def load():
+        import tiktoken
+        enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks),
+                                special_tokens={})
+        return functools.lru_cache(10_000)(lambda s: len(enc.encode_ordinary(s)))
+    return only(("tokens", ranks, pattern), load)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

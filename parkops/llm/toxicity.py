@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkops.llm.common import id_text, map_rows
+from parkops.llm.common import id_text, map_rows, only
 
 #: Labelled training documents used at most (the first by a hash of their id).
 MAX_LABELLED = 50_000
@@ -168,9 +168,6 @@ class Scorer(dict):
         return np.log1p([direct, quoted, fuzzy, stem, dense, address]).tolist()
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
 class Model:
     """What scoring needs: terms, stems and weights, all bounded."""
 
@@ -178,11 +175,8 @@ class Model:
         self.terms, self.stems, self.weights = terms, stems, weights
 
     def scorer(self) -> Scorer:
-        key = (tuple(self.terms), tuple(self.stems))
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(self.terms, self.stems)
-        return _SCORERS[key]
+        return only(("scorer", *self.terms, "", *self.stems),
+                    lambda: Scorer(self.terms, self.stems))
 
     def score(self, features: list[float]) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features))

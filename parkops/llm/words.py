@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from parkops.llm.common import only
+
 #: White space by Unicode's White_Space property (what both libraries call \\s).
 _SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
                     + "".join(map(chr, range(0x2000, 0x200b))))
@@ -58,8 +60,7 @@ class ByteLevel:
     text's ids as little-endian u32 bytes."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        self.tk = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [a["content"] for a in spec.get("added_tokens", [])]
@@ -72,6 +73,12 @@ class ByteLevel:
             self.spaced = np.zeros(n, bool)
             self.spaced[[i for t, i in spec["model"]["vocab"].items() if t[0] == "\u0120"]] = True
 
+    @functools.cached_property
+    def tk(self):
+        """The library's tokenizer, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def library(self, text: str) -> bytes:
         return u32(self.tk.encode(text, add_special_tokens=False).ids)
 
@@ -254,11 +261,9 @@ def in_batches(texts: list[str], chars: int = 4_000_000) -> Iterator[slice]:
         yield slice(a, len(texts))
 
 
-@functools.cache
 def byte_level(path: str) -> ByteLevel:
-    return ByteLevel(path)
+    return only(("byte_level", path), lambda: ByteLevel(path))
 
 
-@functools.cache
 def word_ends(path: str) -> WordEnds:
-    return WordEnds(path)
+    return only(("word_ends", path), lambda: WordEnds(path))
