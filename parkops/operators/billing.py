@@ -2,9 +2,9 @@
 I16, I17, C6).
 
 Conflicts inside one batch, which the application never meets because it
-works one row at a time, are settled by a total order: first payment of a
-request wins, first registration of a plate wins, first sign-up of an id or
-phone wins (by submission time, then key).
+works one row at a time, are settled by a total order: of the otherwise valid
+rows the first payment of a request, the first registration of a plate and the
+first sign-up of an id or phone win. A refused row blocks nobody.
 """
 
 from __future__ import annotations
@@ -22,19 +22,9 @@ from parkops.session import cut_lineage
 from parkops.sources import schema as S
 
 
-def first_per(df: DataFrame, key: str | list[str], order: list[str], flag: str = "_first") -> DataFrame:
-    """Flags the first row of each key by ``order`` (a min over a struct:
-    aggregated map-side, then joined back on the key)."""
-    keys = [key] if isinstance(key, str) else key
-    w = (df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_w"))
-         .select(*[F.col(k).alias("_wk_" + k) for k in keys],
-                 *[F.col("_w." + c).alias("_w_" + c) for c in order]))
-    j = df.join(w, [F.col(k).eqNullSafe(F.col("_wk_" + k)) for k in keys], "left")
-    same = None
-    for c in order:
-        e = F.col(c).eqNullSafe(F.col("_w_" + c))
-        same = e if same is None else same & e
-    return j.select(*df.columns, same.alias(flag))
+def copies(df: DataFrame) -> DataFrame:
+    """Distinct rows of ``df`` with how many copies there are (``_n``)."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
 
 
 # Request detail for (request, owner) pairs: the owner check is part of
@@ -119,9 +109,10 @@ def _payable(payments_in, requests, service_type) -> DataFrame:
     ok = ((F.col("user_id") == F.col("_owner"))
           & (Q.payable_verdict(F.col("status"), F.col("payment_status")) == "payable")
           & ((F.col("method") == "Cash") | ((F.col("method") == "Credit") & card.isNull())))
-    good = j.filter(ok)
-    good = first_per(good, "request_id", ["paid_at", "method"]).filter("_first")
-    return good
+    # one winner per request by a total order: rows that tie are alike in all that is used
+    rest = ["paid_at", "method", "card_number", "card_cvv", "card_expiry", "cardholder_name", "amount"]
+    first = j.filter(ok).groupBy("request_id").agg(F.min(F.struct(*rest)).alias("_f"))
+    return first.select("request_id", "_f.*")
 
 
 def _with_ids(payments_in, requests, invoices, service_type, methods, payments) -> DataFrame:
@@ -188,29 +179,43 @@ def _new_payments(p: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 # I16: vehicle registrations: required fields; plate not in Vehicle; no
-# pending request for the plate; inside the batch the first one wins.
+# pending request for the plate; of the batch's otherwise valid ones the first
+# of a plate (by time, user, colour, model) wins.
 def _registration_check(regs_in: DataFrame, vehicles: DataFrame, registrations: DataFrame) -> DataFrame:
-    plate = T.trim_app("license_plate")
-    r = regs_in.withColumn("license_plate", plate).withColumn(
-        "color", T.trim_app("color")).withColumn("model", T.trim_app("model"))
+    """Distinct registrations with ``_n`` copies, the reason against them, and the
+    winner of their plate (``_w``): exactly one distinct row a plate is the winner."""
+    r = copies(regs_in.select("user_id", "submitted_at", *[
+        T.trim_app(c).alias(c) for c in ("license_plate", "color", "model")]))
     taken = vehicles.select("license_plate").distinct().withColumn("_taken", F.lit(True))
     pend = (registrations.filter(F.col("status") == "Pending").select("license_plate").distinct()
             .withColumn("_pending", F.lit(True)))
     j = r.join(taken, "license_plate", "left").join(pend, "license_plate", "left")
-    j = first_per(j, "license_plate", ["submitted_at", "user_id"])
     missing = T.is_blank("license_plate") | T.is_blank("color") | T.is_blank("model")
     reason = (F.when(missing, "missing_field").when(F.col("_taken").isNotNull(), "plate_registered")
-               .when(F.col("_pending").isNotNull() | ~F.col("_first"), "already_pending"))
-    return j.withColumn("reason", reason)
+               .when(F.col("_pending").isNotNull(), "already_pending"))
+    return j.withColumn("reason", reason).withColumn(
+        "_row", F.struct("submitted_at", "user_id", "color", "model"))
+
+
+def _registration_winners(checked: DataFrame) -> DataFrame:
+    return (checked.filter(F.col("reason").isNull()).groupBy("license_plate")
+            .agg(F.min("_row").alias("_w")))
 
 
 def submit_registrations_rejected(regs_in, vehicles, registrations) -> DataFrame:
-    return (_registration_check(regs_in, vehicles, registrations).filter(F.col("reason").isNotNull())
-            .select("user_id", "license_plate", "reason"))
+    """One row per distinct rejected registration, with the number of its copies."""
+    c = _registration_check(regs_in, vehicles, registrations)
+    j = c.join(_registration_winners(c), "license_plate", "left")
+    won = F.col("reason").isNull() & F.col("_row").eqNullSafe(F.col("_w"))
+    n = F.col("_n") - F.when(won, 1).otherwise(0)
+    return (j.select("user_id", "license_plate", "submitted_at",
+                     F.coalesce("reason", F.lit("already_pending")).alias("reason"),
+                     n.cast("long").alias("copies")).filter("copies > 0"))
 
 
 def submit_registrations_registrations(regs_in, vehicles, registrations) -> DataFrame:
-    ok = _registration_check(regs_in, vehicles, registrations).filter(F.col("reason").isNull())
+    won = _registration_winners(_registration_check(regs_in, vehicles, registrations))
+    ok = won.select("license_plate", "_w.*")
     ok = assign_identity(ok, registrations, "request_id",
                          [F.col("submitted_at").asc(), F.col("user_id").asc(),
                           F.col("license_plate").asc()])
@@ -221,30 +226,56 @@ def submit_registrations_registrations(regs_in, vehicles, registrations) -> Data
     return registrations.unionByName(new.select(*registrations.columns))
 
 
-# Sign-ups. An id taken up to case wins over a bad type; the phone is
-# checked only when nothing else failed. Inside the batch the first sign-up
-# of an id (up to case) or of a phone wins.
+# Sign-ups, as if handled one after the other (by time, id, name, phone,
+# type): refused when a user, or a sign-up accepted before, has the id (up to
+# case); else when the type is unknown; else when one has the phone.
 def _signup_check(users_in: DataFrame, users: DataFrame) -> DataFrame:
-    u = (users_in.withColumn("uni_id", T.trim_app("uni_id")).withColumn("name", T.trim_app("name"))
-         .withColumn("phone", T.trim_app("phone")).withColumn("user_type", T.trim_app("user_type"))
-         .withColumn("_lid", F.lower("uni_id")))
+    """Distinct sign-ups with ``_n`` copies and the reason against them.
+
+    A refused sign-up blocks nobody, so who is accepted depends on who was before. Each
+    round accepts the open sign-ups that are first in both their id and their phone and
+    closes those sharing either; the rounds are as many as the longest chain of such
+    dependences (few), and only keys are carried.
+    """
+    cols = ["uni_id", "name", "phone", "user_type"]
+    u = copies(users_in.select("submitted_at", *[T.trim_app(c).alias(c) for c in cols]))
+    u = u.withColumn("_lid", F.coalesce(F.lower("uni_id"), F.lit(""))) \
+         .withColumn("_key", F.struct("submitted_at", *cols))
     ids = users.select(F.lower("uni_id").alias("_lid")).distinct().withColumn("_id_taken", F.lit(True))
     phones = (users.filter(F.col("phone").isNotNull()).select("phone").distinct()
               .withColumn("_ph_taken", F.lit(True)))
-    j = u.join(ids, "_lid", "left").join(phones, "phone", "left")
-    j = first_per(j, "_lid", ["submitted_at", "uni_id"], "_first_id")
-    j = first_per(j, "phone", ["submitted_at", "uni_id"], "_first_ph")
-    reason = (F.when(F.col("_id_taken").isNotNull() | ~F.col("_first_id"), "uni_id_taken")
-               .when(~F.col("user_type").isin(*S.USER_TYPES) | F.col("user_type").isNull(),
-                     "invalid_type")
-               .when(F.col("_ph_taken").isNotNull()
-                     | (F.col("phone").isNotNull() & ~F.col("_first_ph")), "phone_taken"))
+    known = F.coalesce(F.col("user_type").isin(*S.USER_TYPES), F.lit(False))
+    u = cut_lineage(u.join(ids, "_lid", "left").join(phones, "phone", "left")
+                    .withColumn("_known", known))
+    still = u.filter(F.col("_id_taken").isNull() & F.col("_ph_taken").isNull() & F.col("_known")) \
+        .select("_lid", "phone", "_key")
+    accepted = still.limit(0)
+    while not still.isEmpty():
+        by_id = still.groupBy("_lid").agg(F.min("_key").alias("_i"))
+        by_phone = (still.filter(F.col("phone").isNotNull()).groupBy("phone")
+                    .agg(F.min("_key").alias("_p")))
+        first = (F.col("_key") == F.col("_i")) & (F.col("phone").isNull() | (F.col("_key") == F.col("_p")))
+        won = cut_lineage(still.join(by_id, "_lid").join(by_phone, "phone", "left").filter(first)
+                          .select("_lid", "phone", "_key"))
+        accepted = accepted.unionByName(won)
+        still = cut_lineage(still.join(won.select("_lid"), "_lid", "left_anti")
+                            .join(won.select("phone"), "phone", "left_anti"))
+    of_id = accepted.select("_lid", F.col("_key").alias("_i"))
+    of_phone = accepted.filter(F.col("phone").isNotNull()).select("phone", F.col("_key").alias("_p"))
+    j = u.join(of_id, "_lid", "left").join(of_phone, "phone", "left")
+    reason = (F.when(F.col("_id_taken").isNotNull() | (F.col("_i") < F.col("_key")), "uni_id_taken")
+               .when(~F.col("_known"), "invalid_type")
+               .when(F.col("_ph_taken").isNotNull() | (F.col("_p") < F.col("_key")), "phone_taken"))
     return j.withColumn("reason", reason)
 
 
 def register_users_rejected(users_in, users) -> DataFrame:
-    return (_signup_check(users_in, users).filter(F.col("reason").isNotNull())
-            .select("uni_id", "reason"))
+    """One row per distinct rejected sign-up, with the number of its copies; the further
+    copies of an accepted one meet its id."""
+    n = F.col("_n") - F.when(F.col("reason").isNull(), 1).otherwise(0)
+    return (_signup_check(users_in, users)
+            .select("uni_id", "submitted_at", F.coalesce("reason", F.lit("uni_id_taken")).alias("reason"),
+                    n.cast("long").alias("copies")).filter("copies > 0"))
 
 
 def register_users_users(users_in, users) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parkops.functions import text as T
 from parkops.operators.tables import assign_identity
 
 _NEW = "_new"
@@ -75,31 +76,29 @@ def request_decisions_spots(spots: DataFrame, requests: DataFrame, decisions: Da
     return apply_updates(spots, "spot_id", keys, {"spot_status": F.lit("Reserved")})
 
 
-# Registration decisions. Approve inserts an approved vehicle and closes
-# the request; a plate already in Vehicle (or taken by an earlier approval of
-# the batch) makes the approval change nothing. Reject closes the request.
-def _registration_outcome(registrations: DataFrame, vehicles: DataFrame,
-                          decisions: DataFrame) -> DataFrame:
-    d = latest(decisions, "request_id", ["decided_at", "decided_by"], ["action"])
+# Registration decisions, as if taken one after the other (by time, manager,
+# request). An approval inserts an approved vehicle and closes the request, unless
+# a vehicle has the plate by then; a reject closes the request and removes no
+# vehicle. So of a free plate the first approval counts, and a request ends with
+# the latest of its rejects and that approval.
+def _registration_approvals(registrations: DataFrame, vehicles: DataFrame,
+                            decisions: DataFrame) -> DataFrame:
+    a = decisions.filter(F.col("action") == "approve").select("request_id", "decided_at", "decided_by")
     r = registrations.select("request_id", "user_id", "license_plate", "color", "model")
-    j = d.join(r, "request_id")
-    taken = vehicles.select("license_plate").distinct().withColumn("_taken", F.lit(True))
-    j = j.join(taken, "license_plate", "left")
-    approve = F.col("action") == "approve"
-    # within the batch the first approval of a plate wins
-    firsts = (j.filter(approve & F.col("_taken").isNull()).groupBy("license_plate")
-              .agg(F.min(F.struct("decided_at", "request_id")).alias("_f"))
-              .select("license_plate", F.col("_f.request_id").alias("_winner")))
-    j = j.join(firsts, "license_plate", "left")
-    ok = ~approve | (F.col("_taken").isNull() & (F.col("_winner") == F.col("request_id")))
-    return j.withColumn("applied", ok)
+    free = a.join(r, "request_id").join(vehicles.select("license_plate"), "license_plate", "left_anti")
+    first = free.groupBy("license_plate").agg(F.min(F.struct(
+        "decided_at", "decided_by", "request_id", "user_id", "color", "model")).alias("_f"))
+    return first.select("license_plate", "_f.*")
 
 
 def registration_decisions_registrations(registrations: DataFrame, vehicles: DataFrame,
                                          decisions: DataFrame) -> DataFrame:
-    o = _registration_outcome(registrations, vehicles, decisions).filter("applied")
-    upd = o.select("request_id", "action", "decided_by", "decided_at")
-    return apply_updates(registrations, "request_id", upd, {
+    cols = ["request_id", "action", "decided_by", "decided_at"]
+    won = _registration_approvals(registrations, vehicles, decisions)
+    effective = (decisions.filter(F.col("action") == "reject").select(*cols)
+                 .unionByName(won.withColumn("action", F.lit("approve")).select(*cols)))
+    last = latest(effective, "request_id", ["decided_at", "decided_by"], ["action"])
+    return apply_updates(registrations, "request_id", last, {
         "status": F.when(F.col("action") == "approve", F.lit("Approved")).otherwise(F.lit("Rejected")),
         "approved_by": F.col("decided_by"),
         "completed_at": F.col("decided_at"),
@@ -108,11 +107,10 @@ def registration_decisions_registrations(registrations: DataFrame, vehicles: Dat
 
 def registration_decisions_vehicles(registrations: DataFrame, vehicles: DataFrame,
                                     decisions: DataFrame) -> DataFrame:
-    o = (_registration_outcome(registrations, vehicles, decisions)
-         .filter(F.col("applied") & (F.col("action") == "approve")))
-    new = o.select("license_plate", "color", "user_id", "model",
-                   F.lit(True).alias("access_status"), F.col("decided_by").alias("approved_by"),
-                   F.col("decided_at").alias("created_at"), "request_id")
+    won = _registration_approvals(registrations, vehicles, decisions)
+    new = won.select("license_plate", "color", "user_id", "model",
+                     F.lit(True).alias("access_status"), F.col("decided_by").alias("approved_by"),
+                     F.col("decided_at").alias("created_at"), "request_id")
     new = assign_identity(new, vehicles, "vehicle_id",
                           [F.col("created_at").asc(), F.col("request_id").asc()])
     return vehicles.unionByName(new.select(*vehicles.columns))
@@ -191,17 +189,25 @@ def delete_own_vehicles(vehicles, requests, logs, owns, deletions):
     return vehicles.join(done.select("vehicle_id", "user_id"), ["vehicle_id", "user_id"], "left_anti")
 
 
-# Edit plate, colour, model when the plate is free (B6) and the editor
-# owns the vehicle.
+# Edit plate, colour, model (all required, trimmed) when the plate is free
+# (B6) and the editor owns the vehicle. Plates held at the start of the batch stay
+# taken; a free plate goes to the vehicle whose edit names it first. Of a vehicle's
+# remaining edits the latest counts.
 def edit_vehicles(vehicles: DataFrame, edits: DataFrame) -> DataFrame:
     from parkops.operators.tables import plate_taken_by_other
-    taken = plate_taken_by_other(edits, vehicles).select("vehicle_id").distinct()
+    e = edits.select("vehicle_id", "user_id", "edited_at",
+                     *[T.trim_app(c).alias(c) for c in ("license_plate", "color", "model")])
+    e = e.filter(~(T.is_blank("license_plate") | T.is_blank("color") | T.is_blank("model")))
+    taken = plate_taken_by_other(e, vehicles).select("vehicle_id", "license_plate")
     owners = vehicles.select("vehicle_id", F.col("user_id").alias("_owner"))
-    ok = (edits.join(taken, "vehicle_id", "left_anti").join(owners, "vehicle_id")
-          .filter(F.col("user_id") == F.col("_owner"))
-          .select("vehicle_id", F.col("license_plate").alias("_plate"),
+    ok = (e.join(taken, ["vehicle_id", "license_plate"], "left_anti").join(owners, "vehicle_id")
+          .filter(F.col("user_id") == F.col("_owner")))
+    claim = (ok.groupBy("license_plate").agg(F.min(F.struct("edited_at", "vehicle_id")).alias("_c"))
+             .select("license_plate", F.col("_c.vehicle_id").alias("vehicle_id")))
+    ok = (ok.join(claim, ["license_plate", "vehicle_id"], "left_semi")
+          .select("vehicle_id", "edited_at", F.col("license_plate").alias("_plate"),
                   F.col("color").alias("_color"), F.col("model").alias("_model")))
-    one = latest(ok, "vehicle_id", ["_plate", "_color", "_model"], [])
+    one = latest(ok, "vehicle_id", ["edited_at", "_plate", "_color", "_model"], []).drop("edited_at")
     return apply_updates(vehicles, "vehicle_id", one, {
         "license_plate": F.col("_plate"), "color": F.col("_color"), "model": F.col("_model")})
 

@@ -90,21 +90,25 @@ SELECT ps.spot_id, ps.spot_number,
 FROM parking_spots ps""", DEC)
 
 # --- I2 ---
+# row at a time: an approval counts unless a vehicle or an approval before it has the plate
 REG = {
-    "rd_last": """
-SELECT * FROM registration_decisions
-QUALIFY row_number() OVER (PARTITION BY request_id
-                           ORDER BY decided_at DESC, decided_by DESC, action DESC) = 1""",
-    "rj": """
-SELECT d.*, r.user_id, r.license_plate, r.color, r.model,
-       EXISTS (SELECT 1 FROM vehicle v WHERE v.license_plate = r.license_plate) AS taken
-FROM rd_last d JOIN vehicle_registration_request r ON d.request_id = r.request_id""",
-    "rw": """
-SELECT license_plate, request_id AS winner FROM rj WHERE action = 'approve' AND NOT taken
-QUALIFY row_number() OVER (PARTITION BY license_plate ORDER BY decided_at, request_id) = 1""",
-    "ro": """
-SELECT rj.* FROM rj LEFT JOIN rw ON rj.license_plate = rw.license_plate
-WHERE rj.action <> 'approve' OR (NOT rj.taken AND rw.winner = rj.request_id)"""}
+    "rapp": """
+SELECT DISTINCT d.decided_at, d.decided_by, d.request_id, r.user_id, r.license_plate, r.color, r.model
+FROM registration_decisions d JOIN vehicle_registration_request r ON d.request_id = r.request_id
+WHERE d.action = 'approve'
+  AND NOT EXISTS (SELECT 1 FROM vehicle v WHERE v.license_plate = r.license_plate)""",
+    "rwon": """
+SELECT * FROM rapp a
+WHERE NOT EXISTS (SELECT 1 FROM rapp b WHERE b.license_plate = a.license_plate
+                  AND (b.decided_at, b.decided_by, b.request_id)
+                      < (a.decided_at, a.decided_by, a.request_id))""",
+    "reff": """
+SELECT request_id, action, decided_by, decided_at FROM registration_decisions WHERE action = 'reject'
+UNION SELECT request_id, 'approve', decided_by, decided_at FROM rwon""",
+    "rend": """
+SELECT * FROM reff e
+WHERE NOT EXISTS (SELECT 1 FROM reff f WHERE f.request_id = e.request_id
+                  AND (f.decided_at, f.decided_by, f.action) > (e.decided_at, e.decided_by, e.action))"""}
 
 oracle("apply_registration_decisions__registrations", """
 SELECT r.request_id, r.user_id, r.license_plate, r.color, r.model,
@@ -113,7 +117,7 @@ SELECT r.request_id, r.user_id, r.license_plate, r.color, r.model,
        CASE WHEN o.request_id IS NULL THEN r.approved_by ELSE o.decided_by END AS approved_by,
        r.created_at,
        CASE WHEN o.request_id IS NULL THEN r.completed_at ELSE o.decided_at END AS completed_at
-FROM vehicle_registration_request r LEFT JOIN ro o ON r.request_id = o.request_id""", REG)
+FROM vehicle_registration_request r LEFT JOIN rend o ON r.request_id = o.request_id""", REG)
 
 oracle("apply_registration_decisions__vehicles", f"""
 SELECT {VEH_COLS} FROM vehicle
@@ -122,7 +126,7 @@ SELECT (SELECT COALESCE(MAX(vehicle_id), 0) FROM vehicle)
          + row_number() OVER (ORDER BY decided_at, request_id) AS vehicle_id,
        license_plate, color, user_id, model, TRUE AS access_status, decided_by AS approved_by,
        decided_at AS created_at
-FROM ro WHERE action = 'approve'""", REG)
+FROM rwon""", REG)
 
 oracle("set_garage_status", """
 SELECT g.garage_id, g.name, g.garage_access,
@@ -182,6 +186,24 @@ SELECT * FROM vehicle v
 WHERE NOT EXISTS (SELECT 1 FROM own_oc o WHERE o.outcome = 'deleted'
                   AND o.vehicle_id = v.vehicle_id AND o.user_id = v.user_id)""", OWN)
 
+EDIT = {
+    "ein": f"""
+SELECT vehicle_id, user_id, {t('license_plate')} AS license_plate, {t('color')} AS color,
+       {t('model')} AS model, edited_at
+FROM vehicle_edits""",
+    "eok": f"""
+SELECT e.* FROM ein e JOIN vehicle v ON e.vehicle_id = v.vehicle_id AND e.user_id = v.user_id
+WHERE NOT ({blank('e.license_plate')} OR {blank('e.color')} OR {blank('e.model')})
+  AND NOT EXISTS (SELECT 1 FROM vehicle o WHERE o.license_plate = e.license_plate
+                  AND o.vehicle_id <> e.vehicle_id)""",
+    "eclaim": """
+SELECT license_plate, vehicle_id FROM eok
+QUALIFY row_number() OVER (PARTITION BY license_plate ORDER BY edited_at, vehicle_id) = 1""",
+    "eend": """
+SELECT e.* FROM eok e JOIN eclaim c USING (license_plate, vehicle_id)
+QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY edited_at DESC, license_plate DESC,
+                           color DESC, model DESC) = 1"""}
+
 oracle("edit_vehicles", """
 SELECT v.vehicle_id,
        CASE WHEN ok.vehicle_id IS NOT NULL THEN ok.license_plate ELSE v.license_plate END
@@ -190,15 +212,7 @@ SELECT v.vehicle_id,
        v.user_id,
        CASE WHEN ok.vehicle_id IS NOT NULL THEN ok.model ELSE v.model END AS model,
        v.access_status, v.approved_by, v.created_at
-FROM vehicle v LEFT JOIN (
-  SELECT e.vehicle_id, e.license_plate, e.color, e.model
-  FROM vehicle_edits e JOIN vehicle v2 ON e.vehicle_id = v2.vehicle_id
-  WHERE e.user_id = v2.user_id
-    AND NOT EXISTS (SELECT 1 FROM vehicle o WHERE o.license_plate = e.license_plate
-                    AND o.vehicle_id <> e.vehicle_id)
-  QUALIFY row_number() OVER (PARTITION BY e.vehicle_id
-                             ORDER BY e.license_plate DESC, e.color DESC, e.model DESC) = 1
-) ok ON v.vehicle_id = ok.vehicle_id""")
+FROM vehicle v LEFT JOIN eend ok ON v.vehicle_id = ok.vehicle_id""", EDIT)
 
 # --- I8 ---
 CAS = {
@@ -394,7 +408,8 @@ SELECT * FROM pj
 WHERE user_id = _owner
   AND COALESCE(status, '') = 'Approved' AND COALESCE(payment_status, 'Pending') <> 'Paid'
   AND (method = 'Cash' OR (method = 'Credit' AND card IS NULL))
-QUALIFY rank() OVER (PARTITION BY request_id ORDER BY paid_at, method) = 1""",
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY paid_at, method, card_number NULLS FIRST,
+  card_cvv NULLS FIRST, card_expiry NULLS FIRST, cardholder_name NULLS FIRST) = 1""",
     "pwi": """
 SELECT g.*, (SELECT min(i.invoice_id) FROM invoice i WHERE i.request_id = g.request_id) AS inv0
 FROM pgood g""",
@@ -451,22 +466,28 @@ FROM pids""", PAY)
 RIN = {
     "rin": f"""
 SELECT user_id, {t('license_plate')} AS license_plate, {t('color')} AS color,
-       {t('model')} AS model, submitted_at
-FROM registrations_in""",
-    "rchk": f"""
-SELECT *,
-       CASE WHEN {blank('license_plate')} OR {blank('color')} OR {blank('model')} THEN 'missing_field'
-            WHEN taken THEN 'plate_registered'
-            WHEN pend OR NOT first THEN 'already_pending' END AS reason
-FROM (SELECT r.*,
-             EXISTS (SELECT 1 FROM vehicle v WHERE v.license_plate = r.license_plate) AS taken,
-             EXISTS (SELECT 1 FROM vehicle_registration_request q
-                     WHERE q.status = 'Pending' AND q.license_plate = r.license_plate) AS pend,
-             rank() OVER (PARTITION BY license_plate ORDER BY submitted_at, user_id) = 1 AS first
-      FROM rin r) x"""}
-
-oracle("submit_registrations__rejected",
-       "SELECT user_id, license_plate, reason FROM rchk WHERE reason IS NOT NULL", RIN)
+       {t('model')} AS model, submitted_at, count(*) AS n
+FROM registrations_in GROUP BY ALL""",
+    "rbase": f"""
+SELECT *, CASE WHEN {blank('license_plate')} OR {blank('color')} OR {blank('model')} THEN 'missing_field'
+               WHEN EXISTS (SELECT 1 FROM vehicle v WHERE v.license_plate = r.license_plate)
+                 THEN 'plate_registered'
+               WHEN EXISTS (SELECT 1 FROM vehicle_registration_request q
+                            WHERE q.status = 'Pending' AND q.license_plate = r.license_plate)
+                 THEN 'already_pending' END AS refused
+FROM rin r""",
+    # row at a time: pending by then if a valid one for the plate came before
+    "rchk": """
+SELECT *, EXISTS (SELECT 1 FROM rbase a WHERE a.refused IS NULL AND b.refused IS NULL
+                  AND a.license_plate = b.license_plate
+                  AND (a.submitted_at, a.user_id, a.color, a.model)
+                      < (b.submitted_at, b.user_id, b.color, b.model)) AS late
+FROM rbase b"""}
+
+oracle("submit_registrations__rejected", """
+SELECT user_id, license_plate, submitted_at, COALESCE(refused, 'already_pending') AS reason,
+       n - CASE WHEN refused IS NULL AND NOT late THEN 1 ELSE 0 END AS copies
+FROM rchk WHERE n > 1 OR refused IS NOT NULL OR late""", RIN)
 oracle("submit_registrations__registrations", """
 SELECT * FROM vehicle_registration_request
 UNION ALL BY NAME
@@ -475,28 +496,54 @@ SELECT (SELECT COALESCE(MAX(request_id), 0) FROM vehicle_registration_request)
        user_id, license_plate, color, model, 'Pending' AS status,
        CAST(NULL AS BIGINT) AS approved_by, submitted_at AS created_at,
        CAST(NULL AS TIMESTAMP) AS completed_at
-FROM rchk WHERE reason IS NULL""", RIN)
+FROM rchk WHERE refused IS NULL AND NOT late""", RIN)
 
 # --- I17 ---
+# row at a time: a recursive walk over the sign-ups that share an id or a phone
 SIGN = {
     "sin": f"""
 SELECT {t('uni_id')} AS uni_id, {t('name')} AS name, {t('phone')} AS phone,
-       {t('user_type')} AS user_type, submitted_at
-FROM users_in""",
+       {t('user_type')} AS user_type, submitted_at, count(*) AS n
+FROM users_in GROUP BY ALL""",
+    "sbase": """
+SELECT *, lower(uni_id) AS lid,
+       row_number() OVER (ORDER BY submitted_at, uni_id, name, phone NULLS FIRST, user_type NULLS FIRST)
+         AS rn,
+       EXISTS (SELECT 1 FROM users u WHERE lower(u.uni_id) = lower(s.uni_id)) AS id_taken,
+       COALESCE(user_type IN ('Student', 'Staff', 'Admin', 'Manager'), FALSE) AS known,
+       EXISTS (SELECT 1 FROM users u WHERE u.phone = s.phone) AS ph_taken
+FROM sin s""",
+    "scand": """
+SELECT rn, lid, phone, count(*) OVER (PARTITION BY lid) > 1
+       OR (phone IS NOT NULL AND count(*) OVER (PARTITION BY phone) > 1) AS shared
+FROM sbase WHERE NOT id_taken AND known AND NOT ph_taken""",
+    "swalk": """
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY rn) AS i, * FROM scand WHERE shared),
+w AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS rn, FALSE AS ok,
+         CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS phones
+  UNION ALL
+  SELECT i, rn, ok, CASE WHEN ok THEN list_append(ids, lid) ELSE ids END,
+         CASE WHEN ok THEN list_append(phones, phone) ELSE phones END
+  FROM (SELECT c.i, c.rn, c.lid, c.phone, w.ids, w.phones,
+               NOT (list_contains(w.ids, c.lid)
+                    OR COALESCE(list_contains(w.phones, c.phone), FALSE)) AS ok
+        FROM w JOIN c ON c.i = w.i + 1) x)
+SELECT rn FROM w WHERE ok""",
+    "sacc": "SELECT * FROM scand WHERE NOT shared OR rn IN (SELECT rn FROM swalk)",
     "schk2": """
 SELECT *,
-       CASE WHEN id_taken OR NOT first_id THEN 'uni_id_taken'
-            WHEN user_type IS NULL OR user_type NOT IN ('Student', 'Staff', 'Admin', 'Manager')
-              THEN 'invalid_type'
-            WHEN ph_taken OR (phone IS NOT NULL AND NOT first_ph) THEN 'phone_taken' END AS reason
-FROM (SELECT s.*,
-             EXISTS (SELECT 1 FROM users u WHERE lower(u.uni_id) = lower(s.uni_id)) AS id_taken,
-             EXISTS (SELECT 1 FROM users u WHERE u.phone = s.phone) AS ph_taken,
-             rank() OVER (PARTITION BY lower(uni_id) ORDER BY submitted_at, uni_id) = 1 AS first_id,
-             rank() OVER (PARTITION BY phone ORDER BY submitted_at, uni_id) = 1 AS first_ph
-      FROM sin s) x"""}
-
-oracle("register_users__rejected", "SELECT uni_id, reason FROM schk2 WHERE reason IS NOT NULL", SIGN)
+       CASE WHEN id_taken OR EXISTS (SELECT 1 FROM sacc a WHERE a.lid = b.lid AND a.rn < b.rn)
+              THEN 'uni_id_taken'
+            WHEN NOT known THEN 'invalid_type'
+            WHEN ph_taken OR EXISTS (SELECT 1 FROM sacc a WHERE a.phone = b.phone AND a.rn < b.rn)
+              THEN 'phone_taken' END AS reason
+FROM sbase b"""}
+
+oracle("register_users__rejected", """
+SELECT uni_id, submitted_at, COALESCE(reason, 'uni_id_taken') AS reason,
+       n - CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS copies
+FROM schk2 WHERE n > 1 OR reason IS NOT NULL""", SIGN)
 oracle("register_users__users", """
 SELECT * FROM users
 UNION ALL BY NAME

@@ -22,7 +22,7 @@ FROM part WHERE p_partkey % 6 = 0""")
 view("garage_actions", """
 SELECT CAST(n_nationkey AS BIGINT) AS garage_id,
        CASE WHEN n_nationkey % 2 = 0 THEN 'open' ELSE 'close' END AS action
-FROM nation WHERE n_nationkey < 5""")
+FROM nation""")
 
 view("vehicle_actions", """
 SELECT p_partkey AS vehicle_id,
@@ -35,9 +35,12 @@ SELECT p_partkey AS vehicle_id,
        CASE WHEN p_partkey % 120 = 0 THEN (p_partkey * 3) // 4 + 1 ELSE (p_partkey * 3) // 4 END
          AS user_id,
        CASE WHEN p_partkey % 80 = 0 THEN 'PL-' || CAST(p_partkey + 1 AS VARCHAR)
+            WHEN p_partkey % 7 = 0 THEN 'DUO-' || CAST(p_partkey // 14 AS VARCHAR)
             ELSE 'PL-' || CAST(p_partkey AS VARCHAR) || 'X' END AS license_plate,
-       'Silver' AS color, p_brand || ' S' AS model
-FROM part WHERE p_partkey % 40 = 0""")
+       'Silver' AS color, p_brand || ' S' AS model,
+       TIMESTAMP '2024-04-01 00:00:00' + to_minutes(CAST(
+         CASE WHEN p_partkey % 98 < 14 THEN 0 ELSE 1000 - p_partkey % 1000 END AS INTEGER)) AS edited_at
+FROM part""")
 
 view("submissions", """
 SELECT c_custkey AS user_id, (c_custkey * 4 + 2) // 3 AS vehicle_id,
@@ -46,7 +49,7 @@ SELECT c_custkey AS user_id, (c_custkey * 4 + 2) // 3 AS vehicle_id,
             ELSE CAST(999999 AS BIGINT) END AS spot_id,
        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c_custkey % 1000 AS INTEGER))
          AS submitted_at
-FROM customer WHERE c_custkey % 9 = 0""")
+FROM customer""")
 
 view("payments_in", """
 SELECT o_orderkey AS request_id,
@@ -71,16 +74,19 @@ SELECT (p_partkey * 3) // 4 AS user_id,
             WHEN p_partkey % 15 = 0 THEN 'NEW-' || CAST(p_partkey AS VARCHAR)
             WHEN p_partkey % 35 = 0 THEN 'TWIN-' || CAST((p_partkey + 35) // 70 AS VARCHAR)
             ELSE 'REG-' || CAST(p_partkey AS VARCHAR) END AS license_plate,
-       split_part(p_name, ' ', 1) AS color, p_brand AS model,
+       CASE WHEN p_partkey % 210 = 35 THEN ' ' ELSE split_part(p_name, ' ', 1) END AS color,
+       p_brand AS model,
        TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(p_partkey % 1000 AS INTEGER))
          AS submitted_at
-FROM part WHERE p_partkey % 5 = 0""")
+FROM part""")
 
 view("users_in", """
 SELECT CASE WHEN c_custkey % 49 = 0 THEN 'u' || CAST(c_custkey AS VARCHAR)
+            WHEN c_custkey % 11 = 0 THEN 'P' || CAST(c_custkey // 22 AS VARCHAR)
             ELSE 'N' || CAST(c_custkey AS VARCHAR) END AS uni_id,
        'New ' || c_name AS name,
        CASE WHEN c_custkey % 21 = 0 THEN '010' || lpad(CAST((c_custkey + 1) % 900 AS VARCHAR), 8, '0')
+            WHEN c_custkey % 13 = 0 THEN '030' || lpad(CAST(c_custkey // 26 AS VARCHAR), 8, '0')
             ELSE '020' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone,
        CASE WHEN c_custkey % 35 = 0 THEN 'Stafff'
             WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'Student'
@@ -89,7 +95,7 @@ SELECT CASE WHEN c_custkey % 49 = 0 THEN 'u' || CAST(c_custkey AS VARCHAR)
             WHEN c_mktsegment = 'MACHINERY' THEN 'Manager' END AS user_type,
        TIMESTAMP '2024-03-01 00:00:00' + to_minutes(CAST(c_custkey % 1000 AS INTEGER))
          AS submitted_at
-FROM customer WHERE c_custkey % 7 = 0""")
+FROM customer""")
 
 view("purge_ids", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 10 = 0")
 view("purge_plates", """

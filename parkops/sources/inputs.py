@@ -49,7 +49,7 @@ def registration_decisions(part: DataFrame) -> DataFrame:
 
 def garage_actions(nation: DataFrame) -> DataFrame:
     k = F.col("n_nationkey")
-    return nation.filter(k < 5).select(
+    return nation.select(
         k.cast("long").alias("garage_id"),
         F.when(k % 2 == 0, "open").otherwise("close").alias("action"))
 
@@ -64,25 +64,29 @@ def vehicle_actions(part: DataFrame) -> DataFrame:
 
 
 def vehicle_edits(part: DataFrame) -> DataFrame:
-    """Edits of vehicle_id % 40 = 0: own plate + 'X', or (every 80th) the plate
-    of the next vehicle, which is taken; every 120th comes from another user."""
+    """One edit per vehicle: own plate + 'X', or (every 80th) the plate of the next
+    vehicle, which is taken, or (every 7th) a free plate that two vehicles ask for,
+    at the same time in every 98th; every 120th comes from another user."""
     p = F.col("p_partkey")
     owner = idiv("p_partkey * 3", 4)
-    return part.filter(p % 40 == 0).select(
+    return part.select(
         p.alias("vehicle_id"),
         F.when(p % 120 == 0, owner + 1).otherwise(owner).alias("user_id"),
         F.when(p % 80 == 0, F.concat(F.lit("PL-"), (p + 1).cast("string")))
+         .when(p % 7 == 0, F.concat(F.lit("DUO-"), idiv("p_partkey", 14).cast("string")))
          .otherwise(F.concat(F.lit("PL-"), p.cast("string"), F.lit("X"))).alias("license_plate"),
         F.lit("Silver").alias("color"),
-        F.concat(F.col("p_brand"), F.lit(" S")).alias("model"))
+        F.concat(F.col("p_brand"), F.lit(" S")).alias("model"),
+        plus_minutes(base_time("2024-04-01"), F.when(p % 98 < 14, 0).otherwise(1000 - p % 1000))
+        .alias("edited_at"))
 
 
 def submissions(customer: DataFrame) -> DataFrame:
-    """One new service request per user with user_id % 9 = 0; the spot is
+    """One new service request per user; the spot is
     none, the user's usual spot, or a spot that does not exist."""
     c = F.col("c_custkey")
     pick = idiv("c_custkey", 9) % 3
-    return customer.filter(c % 9 == 0).select(
+    return customer.select(
         c.alias("user_id"),
         idiv("c_custkey * 4 + 2", 3).alias("vehicle_id"),
         (c % 6 + 1).alias("service_id"),
@@ -116,33 +120,37 @@ def payments_in(orders: DataFrame) -> DataFrame:
 
 
 def registrations_in(part: DataFrame) -> DataFrame:
-    """Registrations for p_partkey % 5 = 0: taken plates (% 25), plates of
-    registration requests (% 15), pairs sharing one plate (% 35), new ones."""
+    """A registration per part: taken plates (% 25), plates of
+    registration requests (% 15), pairs sharing one plate (% 35),
+    new ones; the colour is missing for some firsts of a pair."""
     p = F.col("p_partkey")
     plate = (F.when(p % 25 == 0, F.concat(F.lit("PL-"), p.cast("string")))
               .when(p % 15 == 0, F.concat(F.lit("NEW-"), p.cast("string")))
               .when(p % 35 == 0, F.concat(F.lit("TWIN-"), idiv("p_partkey + 35", 70).cast("string")))
               .otherwise(F.concat(F.lit("REG-"), p.cast("string"))))
-    return part.filter(p % 5 == 0).select(
+    return part.select(
         idiv("p_partkey * 3", 4).alias("user_id"),
         plate.alias("license_plate"),
-        F.substring_index("p_name", " ", 1).alias("color"),
+        F.when(p % 210 == 35, F.lit(" ")).otherwise(F.substring_index("p_name", " ", 1))
+        .alias("color"),
         F.col("p_brand").alias("model"),
         plus_minutes(base_time("2024-02-01"), p % 1000).alias("submitted_at"))
 
 
 def users_in(customer: DataFrame) -> DataFrame:
-    """Sign-ups for c_custkey % 7 = 0: new ids, a case variant of an existing
+    """A sign-up per customer: new ids, pairs sharing an id (% 11), a case variant of an existing
     id (% 49), the phone of another user (% 21), a type outside the list (% 35)."""
     c = F.col("c_custkey")
     seg = F.col("c_mktsegment")
     typ = (F.when(seg.isin("AUTOMOBILE", "BUILDING"), "Student").when(seg == "FURNITURE", "Staff")
             .when(seg == "HOUSEHOLD", "Admin").when(seg == "MACHINERY", "Manager"))
-    return customer.filter(c % 7 == 0).select(
+    return customer.select(
         F.when(c % 49 == 0, F.concat(F.lit("u"), c.cast("string")))
+         .when(c % 11 == 0, F.concat(F.lit("P"), idiv("c_custkey", 22).cast("string")))
          .otherwise(F.concat(F.lit("N"), c.cast("string"))).alias("uni_id"),
         F.concat(F.lit("New "), F.col("c_name")).alias("name"),
         F.when(c % 21 == 0, F.concat(F.lit("010"), F.lpad(((c + 1) % 900).cast("string"), 8, "0")))
+         .when(c % 13 == 0, F.concat(F.lit("030"), F.lpad(idiv("c_custkey", 26).cast("string"), 8, "0")))
          .otherwise(F.concat(F.lit("020"), F.lpad(c.cast("string"), 8, "0"))).alias("phone"),
         F.when(c % 35 == 0, F.lit("Stafff")).otherwise(typ).alias("user_type"),
         plus_minutes(base_time("2024-03-01"), c % 1000).alias("submitted_at"))

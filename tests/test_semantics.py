@@ -386,3 +386,97 @@ def test_decisions_ignore_current_state_and_method_vocabularies(spark):
     assert out["service_request"].first().payment_method == "Credit"
     assert out["payment_method"].first().method_type == "Credit Card"
     assert [(r.method_id, r.payment_id) for r in out["payment"].collect()] == [(1, 1)]
+
+
+def test_approval_inserts_even_if_rejected_later(spark):
+    regs = spark.createDataFrame([(1, 1, "P1", "red", "m"), (2, 2, "P1", "blue", "m")],
+                                 "request_id long, user_id long, license_plate string, color string, "
+                                 "model string")
+    regs = regs.withColumn("status", F.lit("Pending")).withColumn("approved_by", F.lit(None).cast("long")) \
+        .withColumn("created_at", F.lit(TS).cast("timestamp_ntz")) \
+        .withColumn("completed_at", F.lit(None).cast("timestamp_ntz"))
+    veh = spark.createDataFrame([], "vehicle_id long, license_plate string, color string, user_id long, "
+                                    "model string, access_status boolean, approved_by long, "
+                                    "created_at timestamp_ntz")
+    hour = dt.timedelta(hours=1)
+    dec = spark.createDataFrame([(1, "approve", 4, TS), (1, "approve", 4, TS), (1, "reject", 5, TS + hour),
+                                 (2, "approve", 4, TS + 2 * hour), (2, "reject", 4, TS)],
+                                "request_id long, action string, decided_by long, decided_at timestamp_ntz")
+    new = D.registration_decisions_vehicles(regs, veh, dec).collect()
+    assert [(r.license_plate, r.user_id, r.created_at) for r in new] == [("P1", 1, TS)]
+    st = {r.request_id: (r.status, r.completed_at) for r in
+          D.registration_decisions_registrations(regs, veh, dec).collect()}
+    assert st == {1: ("Rejected", TS + hour), 2: ("Rejected", TS)}
+
+
+def test_two_edits_of_one_free_plate(spark):
+    veh = spark.createDataFrame(
+        [(i, f"P{i}", "x", i, "m", True, 1, TS) for i in (1, 2, 3)],
+        "vehicle_id long, license_plate string, color string, user_id long, model string, "
+        "access_status boolean, approved_by long, created_at timestamp_ntz")
+    hour = dt.timedelta(hours=1)
+    edits = spark.createDataFrame(
+        [(1, 1, " FREE ", "c", "m", TS + hour), (2, 2, "FREE", "c", "m", TS), (2, 2, "OTHER", "d", "m", TS + hour),
+         (3, 3, "P1", "c", "m", TS), (3, 3, "P3", " ", "m", TS + hour), (3, 3, "P3", "new", "m", TS)],
+        "vehicle_id long, user_id long, license_plate string, color string, model string, "
+        "edited_at timestamp_ntz")
+    got = {r.vehicle_id: (r.license_plate, r.color) for r in D.edit_vehicles(veh, edits).collect()}
+    assert got == {1: ("P1", "x"), 2: ("OTHER", "d"), 3: ("P3", "new")}
+
+
+def test_tied_payments_pay_once(spark):
+    reqs = spark.createDataFrame([(1, 5, 1, "Approved", "Pending", "1")],
+                                 "request_id long, user_id long, service_id long, status string, "
+                                 "payment_status string, receipt_id string")
+    st = spark.createDataFrame([(1, Decimal("9.00"))], "service_id long, price decimal(10,2)")
+    pin = spark.createDataFrame([(1, 5, "Cash", None, None, None, None, TS)] * 3,
+                                "request_id long, user_id long, method string, card_number string, "
+                                "card_cvv string, card_expiry string, cardholder_name string, "
+                                "paid_at timestamp_ntz")
+    inv = spark.createDataFrame([], "invoice_id long, request_id long, amount decimal(10,2), "
+                                    "date_issued date, time_issued string, receipt_id string")
+    meth = spark.createDataFrame([], "method_id long, method_type string, payment_info string")
+    pay = spark.createDataFrame([], "payment_id long, invoice_id long, amount decimal(10,2), "
+                                    "date_paid date, time_paid string, status string, method_id long")
+    out = BL.apply_payments(pin, reqs, inv, st, meth, pay)
+    assert {k: v.count() for k, v in out.items()} == {
+        "service_request": 1, "invoice": 1, "payment_method": 1, "payment": 1}
+
+
+def test_refused_registration_blocks_nobody(spark):
+    regs = spark.createDataFrame([], "request_id long, user_id long, license_plate string, color string, "
+                                     "model string, status string, approved_by long, "
+                                     "created_at timestamp_ntz, completed_at timestamp_ntz")
+    veh = spark.createDataFrame([], "license_plate string")
+    later = TS + dt.timedelta(hours=1)
+    rin = spark.createDataFrame([(1, "A", " ", "m", TS)] + [(2, "A", "red", "m", later)] * 2
+                                + [(3, None, "red", "m", TS)],
+                                "user_id long, license_plate string, color string, model string, "
+                                "submitted_at timestamp_ntz")
+    new = BL.submit_registrations_registrations(rin, veh, regs).collect()
+    assert [(r.request_id, r.user_id, r.license_plate) for r in new] == [(1, 2, "A")]
+    bad = {(r.user_id, r.reason, r.copies) for r in
+           BL.submit_registrations_rejected(rin, veh, regs).collect()}
+    assert bad == {(1, "missing_field", 1), (2, "already_pending", 1), (3, "missing_field", 1)}
+
+
+def test_refused_signup_blocks_nobody(spark):
+    users = spark.createDataFrame([(7, "u0", "n", "p0", "Student", None, TS)],
+                                  "user_id long, uni_id string, name string, phone string, "
+                                  "user_type string, access_status boolean, created_at timestamp_ntz")
+    at = [TS + dt.timedelta(hours=i) for i in range(8)]
+    rows = [("a", "n", "p1", "Stafff", at[0]), ("A", "n", "p1", "Staff", at[1]),
+            ("b", "n", "p1", "Staff", at[2]), ("b", "n", "p3", "Staff", at[3]),
+            ("a", "n", "p4", "Staff", at[4]), ("c", "n", "p4", None, at[5]),
+            ("d", "n", "p4", "Staff", at[6]), ("d", "n", "p4", "Staff", at[6]),
+            ("U0", "n", None, "Staff", at[7]), ("e", "n", None, "Staff", at[7]), ("f", "n", None, "Staff", at[7])]
+    new = spark.createDataFrame(rows, "uni_id string, name string, phone string, user_type string, "
+                                      "submitted_at timestamp_ntz")
+    got = sorted((r.user_id, r.uni_id, r.phone) for r in
+                 BL.register_users_users(new, users).filter("user_id > 7").collect())
+    assert got == [(8, "A", "p1"), (9, "b", "p3"), (10, "d", "p4"), (11, "e", None), (12, "f", None)]
+    bad = sorted((r.submitted_at, r.uni_id, r.reason, r.copies) for r in
+                 BL.register_users_rejected(new, users).collect())
+    assert bad == [(at[0], "a", "invalid_type", 1), (at[2], "b", "phone_taken", 1),
+                   (at[4], "a", "uni_id_taken", 1), (at[5], "c", "invalid_type", 1),
+                   (at[6], "d", "uni_id_taken", 1), (at[7], "U0", "uni_id_taken", 1)]
