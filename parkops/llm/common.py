@@ -73,9 +73,13 @@ def only(key: tuple, make: Callable):
     return _HELD[key]
 
 
-def tidy(fn: Callable) -> Callable:
-    """``fn`` over batches, with memory released when its task ends."""
+def tidy(fn: Callable, holds: bool = False) -> Callable:
+    """``fn`` over batches, with memory released when its task ends. Unless it ``holds`` a
+    tokenizer or model by ``only``, what an earlier task left in the worker is dropped."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds and _HELD:
+            _HELD.clear()
+            release()
         try:
             yield from fn(batches)
         finally:
@@ -98,7 +102,7 @@ def map_rows(fn: Callable[[list, list], Iterable[tuple]], schema: pa.Schema,
                     out = []
         if out:
             yield to_batch(out, schema)
-    return tidy(run)
+    return tidy(run, holds=True)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
