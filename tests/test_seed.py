@@ -64,7 +64,7 @@ def test_foreign_key_catches_garage_5(spark):
 
 
 def test_domain_catches_stafff(spark):
-    users = literal_table(spark, [(1, "EUI20251235", "Mona Adel", None, "Stafff", True, None)],
+    users = literal_table(spark, [(1, "T1", "Sample User", None, "Stafff", True, None)],
                           S.USERS)
     rows = Q.dq_domain(lambda t: users, [("users", "user_type", S.USER_TYPES)]).collect()
     assert [(r.key, r.value) for r in rows] == [("1", "Stafff")]
