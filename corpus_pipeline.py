@@ -32,14 +32,12 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = suffixdedup.dedup(docs, rest)
-
-    @F.pandas_udf("string")
-    def text(kept):  # a cut can fall inside a character; what is left of it goes too
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    out = out.withColumn("text", text(F.col("kept")))
+    rest = {f"_{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = suffixdedup.dedup(
+        docs.select("doc_id", "text", *(F.col(c).alias(n) for n, c in rest.items())),
+        list(rest), as_text=True)
+    out = out.select("doc_id", F.col("kept").alias("text"),
+                     *(F.col(n).alias(c) for n, c in rest.items()))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

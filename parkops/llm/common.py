@@ -15,7 +15,22 @@ from pyspark.sql import functions as F
 NULL_ID = (1 << 63) - 1
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, about.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows here hold whole texts and blocks, so batches are bounded by bytes: the session's
+    bound (Spark's own is 64 MB, held by the executor and its worker at once) is lowered to
+    ``BATCH_BYTES`` unless it is given as fewer bytes already."""
+    now = spark.conf.get(_BATCH_CONF).lower().removesuffix("b")
+    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,6 +54,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
     lineage, survives lost executors, and every later use sees the same rows."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/parkops-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +62,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null text: empty), the columns most operators need."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 

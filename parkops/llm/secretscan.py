@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parkops.llm.bytebpe import load_ranks
-from parkops.llm.common import id_text, map_rows, only
+from parkops.llm.common import id_text, map_rows, only, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 #: Characters per token below which a candidate counts as random.
@@ -130,6 +130,7 @@ def redact(docs: DataFrame, ranks: str, pattern: str, mark: str = "[SECRET]") ->
             return "".join(out) + t[at:]
         return text.map(one)
 
+    small_batches(docs.sparkSession)
     out = docs.withColumn("text", clean(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns \
         else out

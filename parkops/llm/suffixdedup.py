@@ -98,7 +98,7 @@ def multikey_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     their first eight bytes, runs of ties by the next eight, and so on."""
     n, width = rows.shape
     pad = -width % 8
-    words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
+    words = np.pad(rows, ((0, 0), (0, pad))).view("<u8").byteswap(inplace=True)
     order = np.argsort(words[:, 0], kind="stable")
     tied = np.ones(n, bool)
     for j in range(words.shape[1]):
@@ -113,6 +113,7 @@ def multikey_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         run = np.cumsum(~same)[inside]
         sub = order[inside]
         order[inside] = sub[np.lexsort((words[sub, j + 1], run))]
+    del words
     s = rows[order]
     lcp = np.zeros(n, np.int32)
     if n > 1:
@@ -150,16 +151,18 @@ def repeated_windows(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndar
     run = np.cumsum(~same_key) - 1
     # all rows of one key equal: only documents have to be compared
     equal = lcp >= rows.shape[1]
-    inside = (s[:, k:k + r] != 255).cumprod(1).sum(1)   # bytes that follow in the document
-    before = (s[:, k + r:] != 255).cumprod(1).sum(1)    # and precede
+    run_of = np.logical_and.accumulate
+    inside = run_of(s[:, k:k + r] != 255, axis=1).sum(1)  # bytes that follow in the document
+    before = run_of(s[:, k + r:] != 255, axis=1).sum(1)   # and precede
     group = np.cumsum(~equal) - 1
     first = np.flatnonzero(~equal)
     least = np.minimum.reduceat(d, first)
     mask = np.zeros(len(rows), np.uint32)
     bits = np.arange(r + 1)
     fits = ((bits <= before[:, None]) & (r - bits <= inside[:, None]))
-    full = (fits << bits).sum(1).astype(np.uint32)
-    mask[d > least[group]] = full[d > least[group]]
+    late = d > least[group]
+    for o in range(r + 1):
+        mask[late & fits[:, o]] |= np.uint32(1 << o)
     # one row per distinct suffix goes on, if its key has another
     runs = np.bincount(run[first], minlength=run[-1] + 1)
     part = first[runs[run[first]] > 1]
@@ -229,9 +232,11 @@ def _anchor_hashes(block: Block, at: np.ndarray, length: int) -> np.ndarray:
     return _hashes(data, gram(length), at)
 
 
-def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
+          as_text: bool = False) -> DataFrame:
     """Per document: doc_id, kept (bytes left, in order), spans (array of start, end:
     maximal removed runs, in bytes of the input), n_bytes, and the columns ``rest``.
+    ``as_text``: kept is a string; what a cut left of a character goes too.
 
     Strings are judged on the input and never cross documents. Rows that share a doc_id
     are one document to each other (neither removes from the other); a null doc_id counts
@@ -298,7 +303,8 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH)
         F.sort_array(F.collect_list(F.struct("bucket", "mask"))).alias("mask"))
 
     fields = [f for f in docs.select(*rest).schema] if rest else []
-    ddl = StructType.fromDDL("doc_id long, kept binary, "
+    kept_type = ("string", pa.string()) if as_text else ("binary", pa.binary())
+    ddl = StructType.fromDDL(f"doc_id long, kept {kept_type[0]}, "
                              "spans array<struct<start: bigint, end: bigint>>, n_bytes long")
     for f in fields:
         ddl = ddl.add(f.name, f.dataType)
@@ -315,11 +321,12 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH)
                 for a, z in zip(block.starts.tolist(), block.ends.tolist()):
                     g = gone[a:z]
                     edge = np.flatnonzero(np.diff(np.r_[0, g.view(np.int8), 0])).reshape(-1, 2)
-                    kept.append(block.data[a:z][~g].tobytes() if len(edge)
-                                else block.data[a:z].tobytes())
+                    left = block.data[a:z][~g] if len(edge) else block.data[a:z]
+                    kept.append(left.tobytes().decode("utf-8", "ignore") if as_text
+                                else left.tobytes())
                     spans.append([{"start": x, "end": y} for x, y in edge.tolist()])
                 no_id = np.unpackbits(np.frombuffer(nulls, np.uint8))[:len(block.docs)].astype(bool)
-                arrays = [pa.array(block.docs, mask=no_id), pa.array(kept, pa.binary()),
+                arrays = [pa.array(block.docs, mask=no_id), pa.array(kept, kept_type[1]),
                           pa.array(spans, span), pa.array(block.lengths)]
                 if more:
                     t = pa.ipc.open_stream(zstandard.decompress(more)).read_all().combine_chunks()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkops.llm.common import id_text, map_rows, only
+from parkops.llm.common import id_text, map_rows, only, small_batches
 
 #: Labelled training documents used at most (the first by a hash of their id).
 MAX_LABELLED = 50_000
@@ -285,5 +285,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = model.scorer()
         return text.map(lambda t: model.score(scorer.features(t if isinstance(t, str) else "")))
 
+    small_batches(docs.sparkSession)
     return (docs.withColumn("_score", of(F.coalesce(F.col("text"), F.lit(""))))
             .withColumn("_predicted", (F.col("_score") >= 0.5).cast("int")))
