@@ -1,0 +1,71 @@
+"""Oracles of the ``..__whole`` queries: the bodies of the sliced ones over views that keep
+every order and part."""
+
+from parkops.plans.oracle_sql import BODIES, SQL
+from parkops.plans.oracle_views import with_views
+from parkops.plans.q_whole import READ_SLICES
+
+VIEWS = {
+    "decisions": """
+SELECT o_orderkey AS request_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'approve' ELSE 'reject' END AS action,
+       o_orderkey % 10 AS decided_by, o_orderdate + INTERVAL 1 DAY AS decided_at
+FROM orders
+UNION ALL
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'reject' WHEN o_orderkey % 2 = 0 THEN 'approve'
+            ELSE 'reject' END, (o_orderkey + 1) % 10, o_orderdate + INTERVAL 2 DAY
+FROM orders""",
+    "registration_decisions": """
+SELECT p_partkey AS request_id,
+       CASE WHEN (p_partkey // 6) % 2 = 0 THEN 'approve' ELSE 'reject' END AS action,
+       p_partkey % 10 AS decided_by,
+       CAST(DATE '1995-01-01' + CAST(p_partkey % 2400 AS INTEGER) AS TIMESTAMP) + INTERVAL 1 DAY
+         AS decided_at
+FROM part""",
+    "payments_in": """
+SELECT request_id, user_id, method,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 1 THEN '411111111111' ELSE '4111111111111111' END END AS card_number,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 2 THEN '12' ELSE '123' END END AS card_cvv,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 3 THEN '1/25' ELSE '12/27' END END AS card_expiry,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 4 THEN ' ' ELSE 'Holder ' || CAST(owner AS VARCHAR) END END
+         AS cardholder_name,
+       paid_at
+FROM (SELECT o_orderkey AS request_id, o_custkey AS owner,
+             CASE WHEN o_orderkey % 128 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
+             CASE WHEN (o_orderkey // 8) % 2 = 0 THEN 'Credit' ELSE 'Cash' END AS method,
+             (o_orderkey // 16) % 5 AS shape, o_orderdate + INTERVAL 30 DAY AS paid_at
+      FROM orders) o""",
+    "vehicle_registration_request": """
+SELECT request_id, user_id, license_plate, color, model, status,
+       CASE WHEN status <> 'Pending' THEN request_id % 10 END AS approved_by,
+       created_at,
+       CASE WHEN status <> 'Pending' THEN created_at + INTERVAL 1 DAY END AS completed_at
+FROM (
+  SELECT p_partkey AS request_id,
+         (p_partkey * 3) // 4 AS user_id,
+         CASE WHEN p_partkey % 30 = 0 THEN 'PL-' ELSE 'NEW-' END || CAST(p_partkey AS VARCHAR)
+           AS license_plate,
+         split_part(p_name, ' ', 1) AS color,
+         p_brand AS model,
+         CASE p_size % 3 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Approved' ELSE 'Rejected' END
+           AS status,
+         CAST(DATE '1995-01-01' + CAST(p_partkey % 2400 AS INTEGER) AS TIMESTAMP) AS created_at
+  FROM part) r""",
+    "requests": """
+SELECT CASE WHEN report_id % 10 = 0 THEN user_id
+            ELSE (greatest(user_id - 1, 0) // 10) * 10 + 1 END AS user_id, report_id
+FROM reports""",
+    "owns": """
+SELECT CASE WHEN request_id % 10 = 0 THEN vehicle_id
+            ELSE (greatest(vehicle_id - 1, 0) // 10) * 10 + 1 END AS vehicle_id, request_id
+FROM service_request WHERE vehicle_id IS NOT NULL""",
+}
+
+for _name in READ_SLICES:
+    _body, _extra = BODIES[_name]
+    SQL[f"{_name}__whole"] = with_views(_body, _extra, VIEWS)

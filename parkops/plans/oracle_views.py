@@ -178,13 +178,16 @@ def _order(names: list[str]) -> list[str]:
     return out
 
 
-def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
+def with_views(sql: str, extra: dict[str, str] | None = None,
+               views: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs it references. ``extra`` adds more named
-    CTEs (written after the views, so they may use them)."""
+    CTEs (written after the views, so they may use them); ``views`` takes the place of
+    the views of the same name."""
+    views = VIEWS | (views or {})
     extra = extra or {}
     body = sql + " " + " ".join(extra.values())
     names = _order(_mentioned(body))
-    ctes = [f"{n} AS (\n{VIEWS[n]}\n)" for n in names]
+    ctes = [f"{n} AS (\n{views[n].strip()}\n)" for n in names]
     ctes += [f"{k} AS (\n{v.strip()}\n)" for k, v in extra.items()]
     if not ctes:
         return sql

@@ -1,0 +1,36 @@
+"""The queries that read a modulo slice of their table, registered once more over all of it
+(``WholeGarage``) as ``<name>__whole``. The sliced inputs are fixed by FIXTURES.md, their
+oracles and the counts of tests/test_fixture_values.py. Not for stored tables (``RAW``), which
+are written from the slices."""
+
+from __future__ import annotations
+
+from parkops.plans.registry import QUERIES, RAW
+from parkops.sources.views import WholeGarage
+
+READ_SLICES = (
+    "registration_board", "requests_unified", "filter_status", "board_order", "row_search",
+    "role_scope", "pending_registrations_board", "pending_vehicles", "pending_vehicle_count",
+    "pending_registrations", "user_requests_unified", "recent_requests", "pending_top10",
+    "status_counts", "status_counts_map", "admin_kpis", "user_kpis", "vehicle_stats",
+    "scalar_labels", "tag_literal_null", "dq_unique", "dq_foreign_key", "dq_not_null",
+    "dq_max_length", "dq_card_fields", "dq_payable", "apply_request_decisions__requests",
+    "apply_request_decisions__vehicles", "apply_request_decisions__spots",
+    "apply_registration_decisions__registrations", "apply_registration_decisions__vehicles",
+    "reject_vehicles__vehicles", "reject_vehicles__logs", "reject_vehicles__blocked",
+    "delete_own_vehicle__outcome", "delete_own_vehicle__vehicles",
+    "delete_vehicle_cascade__payments", "delete_vehicle_cascade__invoices",
+    "delete_vehicle_cascade__requests", "delete_vehicle_cascade__vehicles",
+    "delete_vehicle_cascade__blocked", "purge_users__users", "purge_users__vehicles",
+    "purge_users__requests", "purge_users__registrations", "purge_users__invoices",
+    "purge_users__payments", "purge_users__logs", "purge_users__owns", "purge_users__reports",
+    "purge_users__mn_requests", "purge_users__controls", "purge_users__blocked",
+    "apply_payments__requests", "apply_payments__invoices", "apply_payments__methods",
+    "apply_payments__payments", "submit_registrations__rejected",
+    "submit_registrations__registrations", "request_detail",
+)
+
+for _name in READ_SLICES:
+    def _mk(fn):
+        return lambda spark, sf_dir: fn(WholeGarage(spark, sf_dir))
+    QUERIES[f"{_name}__whole"] = _mk(RAW[_name])

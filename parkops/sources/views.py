@@ -164,13 +164,13 @@ def service_request(orders: DataFrame) -> DataFrame:
     )
 
 
-def vehicle_registration_request(part: DataFrame) -> DataFrame:
+def vehicle_registration_request(part: DataFrame, whole: bool = False) -> DataFrame:
     p = F.col("p_partkey")
     size = F.col("p_size")
     status = (F.when(size % 3 == 0, "Pending").when(size % 3 == 1, "Approved")
                .otherwise("Rejected"))
     created = days_after("1995-01-01", p % 2400)
-    return part.filter(p % 3 == 0).select(
+    return (part if whole else part.filter(p % 3 == 0)).select(
         p.alias("request_id"),
         idiv("p_partkey * 3", 4).alias("user_id"),
         F.concat(F.when(p % 30 == 0, "PL-").otherwise("NEW-"), p.cast("string"))
@@ -243,7 +243,12 @@ def reports(events: DataFrame) -> DataFrame:
     )
 
 
-def requests_mn(reports_df: DataFrame) -> DataFrame:
+def requests_mn(reports_df: DataFrame, whole: bool = False) -> DataFrame:
+    """``whole``: a requester for every report, another user where report_id % 10 > 0."""
+    if whole:
+        other = idiv("greatest(user_id - 1, 0)", 10) * 10 + 1
+        return reports_df.select(F.when(F.col("report_id") % 10 == 0, F.col("user_id"))
+                                 .otherwise(other).alias("user_id"), "report_id")
     return reports_df.filter(F.col("report_id") % 10 == 0).select("user_id", "report_id")
 
 
@@ -252,7 +257,14 @@ def controls(users_df: DataFrame) -> DataFrame:
         "user_id", (F.col("user_id") % 25).alias("garage_id"))
 
 
-def owns(service_request_df: DataFrame) -> DataFrame:
+def owns(service_request_df: DataFrame, whole: bool = False) -> DataFrame:
+    """``whole``: every request with a vehicle; where request_id % 10 > 0 it may be another
+    vehicle than the request's."""
+    if whole:
+        other = idiv("greatest(vehicle_id - 1, 0)", 10) * 10 + 1
+        return service_request_df.filter(F.col("vehicle_id").isNotNull()).select(
+            F.when(F.col("request_id") % 10 == 0, F.col("vehicle_id")).otherwise(other)
+            .alias("vehicle_id"), "request_id")
     return service_request_df.filter(
         F.col("vehicle_id").isNotNull() & (F.col("request_id") % 10 == 0)
     ).select("vehicle_id", "request_id")
@@ -325,3 +337,19 @@ class Garage:
     @property
     def registrations(self) -> DataFrame:
         return self.vehicle_registration_request
+
+
+class WholeGarage(Garage):
+    """The tables of ``Garage`` without its modulo slices: every order and part is in the
+    inputs and tables derived from it (the queries named ``..__whole``)."""
+
+    _BUILDERS = Garage._BUILDERS | {
+        "vehicle_registration_request":
+            lambda g: vehicle_registration_request(g.raw("part"), whole=True),
+        "requests": lambda g: requests_mn(g.reports, whole=True),
+        "owns": lambda g: owns(g.service_request, whole=True),
+        "decisions": lambda g: _inputs().decisions(g.raw("orders"), whole=True),
+        "registration_decisions":
+            lambda g: _inputs().registration_decisions(g.raw("part"), whole=True),
+        "payments_in": lambda g: _inputs().payments_in(g.raw("orders"), whole=True),
+    }
