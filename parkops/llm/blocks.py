@@ -91,13 +91,16 @@ def in_blocks(docs: DataFrame, rest: list[str], extra: Callable[[Block], tuple[b
 
 
 def shared_keys(table: DataFrame, keys: Callable[[Block, bytes], tuple[np.ndarray, np.ndarray]],
-                total: int) -> DataFrame:
-    """(block, counts): for each block's sorted distinct 64-bit ``keys`` how often they
-    occur over all blocks, as u16 (65535: at least as often) in the same order.
+                total: int, codes: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(block, counts, most): for each block's sorted distinct 64-bit ``keys`` how often they
+    occur over all blocks, as u16 (65535: at least as often) in the same order,
+    and the largest of them.
 
     ``keys`` gives (sorted distinct keys, occurrences in the block). A range of the hash
     space is chosen by the key's leading bits and compares the next 32; two keys that
     agree on all of these are taken for one, so counts may be too high, never too low.
+    With ``codes`` the occurrences are places (below 256) in its two arrays: of owners (1, or
+    2 for several) and of occurrences; a key with one owner then counts as 1.
     """
     bits = 6
     while (1 << bits) * RANGE_KEYS < total and bits < 24:
@@ -123,21 +126,29 @@ def shared_keys(table: DataFrame, keys: Callable[[Block, bytes], tuple[np.ndarra
         order = np.argsort(every, kind="stable")
         s = every[order]
         new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        sums = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), new)
+        t = np.concatenate(times)[order]
+        if codes is None:
+            sums = np.add.reduceat(t.astype(np.int64), new)
+        else:
+            owners, sums = (np.add.reduceat(c[t], new, dtype=np.int64) for c in codes)
+            sums = np.where(owners < 2, 1, np.maximum(sums, 2))
         counts = np.empty(len(every), "<u2")
         counts[order] = np.repeat(np.minimum(sums, 65535), np.diff(np.r_[new, len(s)]))
         cut = np.cumsum([0, *map(len, keys)]).tolist()
-        del order, s, every, times, sums
+        del order, s, every, times, t, sums
         release()
         return pa.table({"block": group.column("block"), "range": group.column("range"),
-                         "counts": pa.array([counts[a:z].tobytes() for a, z in zip(cut, cut[1:])])})
+                         "counts": pa.array([counts[a:z].tobytes() for a, z in zip(cut, cut[1:])]),
+                         "most": pa.array([int(counts[a:z].max()) for a, z in zip(cut, cut[1:])],
+                                          pa.int32())})
 
     ranges = (table.select("block", "docs", "lengths", "data", "extra")
               .mapInArrow(tidy(send), "range int, block long, keys binary, times binary"))
-    back = ranges.groupBy("range").applyInArrow(meet, "block long, range int, counts binary")
+    back = ranges.groupBy("range").applyInArrow(meet, "block long, range int, counts binary, most int")
     # a block has at most one row a range
     return written(back, "counts").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("range", "counts"))).alias("counts"))
+        F.sort_array(F.collect_list(F.struct("range", "counts"))).alias("counts"),
+        F.max("most").alias("most"))
 
 
 def joined(parts: list | None, dtype: str) -> np.ndarray:

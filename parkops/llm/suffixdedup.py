@@ -14,6 +14,8 @@ no repeat is missed, and a window is judged at its anchors.
 3. Buckets are sorted by multikey quicksort (a word of eight bytes at a time, only ties
    go on); common prefixes of neighbours give the classes of equal windows and each
    class its smallest document. The windows to remove go back to their blocks.
+4. Keys with more occurrences than a bucket holds go another way, as one task would get all
+   of them: their windows' bytes are grouped for the least document, with partial sums.
 """
 
 from __future__ import annotations
@@ -35,6 +37,15 @@ SEGMENT = 1 << 20
 #: Suffixes a bucket holds, about.
 BUCKET = 400_000
 SPLITTER_BLOCKS = 4096
+#: Windows of hot keys that are sorted at once.
+SLICE = 1 << 16
+#: Occurrences of a key in a block (in one document, in several) that count as a power of two
+#: of at least as many; fewer count as 1 and 2.
+OFTEN_ONE, OFTEN = 8, 16
+#: Owners and occurrences: 1 and 2 as they are, 2 + x is several with 2^x, 100 + x one with 2^x.
+CODES = (np.array([0, 1] + [2] * 98 + [1] * 156, np.int64),
+         np.array([0, 1, 2] + [1 << min(x, 32) for x in range(1, 98)]
+                  + [1 << min(x, 32) for x in range(156)], np.int64))
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -203,10 +214,14 @@ class _Sent:
     """A block's suffixes that may repeat elsewhere, each distinct one once, with the
     smallest document; the same however often it is computed."""
 
-    def __init__(self, block: Block, extra: bytes, counts: np.ndarray, length: int) -> None:
+    def __init__(self, block: Block, extra: bytes, counts: np.ndarray, length: int,
+                 hot: int) -> None:
         at = _places(extra)
         keys, inverse = np.unique(_anchor_hashes(block, at, length), return_inverse=True)
-        self.at = at[(counts >= 2)[inverse]] if len(at) else at
+        often = counts >= hot
+        #: anchors of hot keys are not sent, their windows are
+        self.hot_at = at[often[inverse]] if len(at) else at
+        self.at = at[((counts >= 2) & (counts < hot))[inverse]] if len(at) else at
         self.doc = block.docs[np.searchsorted(block.ends, self.at, side="right")] \
             if len(self.at) else np.zeros(0, np.int64)
         rows = suffixes(block, self.at, length) if len(self.at) else np.zeros((0, 1), np.uint8)
@@ -222,6 +237,27 @@ class _Sent:
         self.row_of[order] = np.cumsum(new) - 1
 
 
+def _hot_windows(block: Block, at: np.ndarray, length: int) -> Iterator[tuple]:
+    """The windows at hot anchors, some at a time: (places, the distinct one of each,
+    bytes of the distinct ones, their smallest documents)."""
+    doc = np.searchsorted(block.ends, at, side="right")
+    starts = []
+    for o in range(length - gram(length) + 1):
+        fits = (at - o >= block.starts[doc]) & (at - o + length <= block.ends[doc])
+        starts.append(at[fits] - o)
+    starts = np.unique(np.concatenate(starts)) if len(at) else at
+    for i in range(0, len(starts), SLICE):
+        some = starts[i:i + SLICE]
+        rows = block.data[some[:, None] + np.arange(length)]
+        docs = block.docs[np.searchsorted(block.ends, some, side="right")]
+        order, lcp = multikey_order(rows)
+        new = lcp < length
+        first = np.flatnonzero(new)
+        of = np.empty(len(some), np.int64)
+        of[order] = np.cumsum(new) - 1
+        yield some, of, rows[order[first]], np.minimum.reduceat(docs[order], first)
+
+
 def _places(extra: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(extra), "<u4").astype(np.int64)) if extra \
         else np.zeros(0, np.int64)
@@ -233,10 +269,11 @@ def _anchor_hashes(block: Block, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
-          as_text: bool = False) -> DataFrame:
+          as_text: bool = False, hot_rows: int = BUCKET) -> DataFrame:
     """Per document: doc_id, kept (bytes left, in order), spans (array of start, end:
     maximal removed runs, in bytes of the input), n_bytes, and the columns ``rest``.
-    ``as_text``: kept is a string; what a cut left of a character goes too.
+    ``as_text``: kept is a string; what a cut left of a character goes too. ``hot_rows``
+    (2 to 65535, or more for 65535): counted occurrences from which on a key is hot.
 
     Strings are judged on the input and never cross documents. Rows that share a doc_id
     are one document to each other (neither removes from the other); a null doc_id counts
@@ -261,11 +298,15 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
         if not len(new):
             return s, np.zeros(0, np.int64)
         several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
-        return s[new], 1 + several
+        n = np.diff(np.r_[new, len(s)])
+        log = np.ceil(np.log2(n)).astype(np.int64)
+        return s[new], np.where(several, np.where(n >= OFTEN, log + 2, 2),
+                                np.where(n >= OFTEN_ONE, log + 100, 1))
 
     table = in_blocks(docs, rest, find)
     total = table.agg(F.sum("n_keys")).first()[0] or 0
-    counts = shared_keys(table, keys, total)
+    counts = shared_keys(table, keys, total, CODES)
+    hot = min(max(hot_rows, 2), 65535)
     cuts = np.array(_splitters(table, max(64, -(-total // (5 * BUCKET))), length), f"S{k}")
 
     sent = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("rows", pa.binary()),
@@ -274,7 +315,7 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, docs, lengths, data, extra, counts in zip(*(c.to_pylist() for c in b.columns)):
-                own = _Sent(Block(docs, lengths, data), extra, joined(counts, "<u2"), length)
+                own = _Sent(Block(docs, lengths, data), extra, joined(counts, "<u2"), length, hot)
                 if not len(own.rows):
                     continue
                 lead = np.ascontiguousarray(own.rows[:, :k]).view(f"S{k}")[:, 0]
@@ -296,12 +337,40 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
                                            for a, z in zip(cut, cut[1:])])})
 
     cols = ["block", "docs", "lengths", "data", "extra"]
-    masks = (table.select(*cols).join(counts, "block").mapInArrow(
+    masks = (table.select(*cols).join(counts, "block").select(*cols, "counts").mapInArrow(
         tidy(send), "bucket int, block long, rows binary, docs binary")
         .groupBy("bucket").applyInArrow(meet, "block long, bucket int, mask binary"))
     masks = written(masks, "masks").groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "mask"))).alias("mask"))
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("i", pa.int64()), ("window", pa.binary()),
+                            ("doc", pa.int64())])
+        for b in batches:
+            for name, docs, lengths, data, extra, counts in zip(*(c.to_pylist() for c in b.columns)):
+                block, at = Block(docs, lengths, data), _places(extra)
+                _, inverse = np.unique(_anchor_hashes(block, at, length), return_inverse=True)
+                often = joined(counts, "<u2") >= hot
+                made = 0
+                for _, _, rows, least in _hot_windows(block, at[often[inverse]], length):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), name, np.int64)),
+                         pa.array(np.arange(made, made + len(rows))),
+                         pa.array(rows.view(f"V{length}")[:, 0].tolist(), pa.binary()),
+                         pa.array(least)], schema=schema)
+                    made += len(rows)
+
+    if (counts.agg(F.max("most")).first()[0] or 0) >= hot:
+        # a block sends a window once (or once a slice), so the join meets few rows of one window
+        every = written(table.select(*cols).join(counts, "block").select(*cols, "counts").mapInArrow(
+            tidy(windows), "block long, i long, window binary, doc long"), "windows")
+        least = every.groupBy("window").agg(F.min("doc").alias("least"))
+        late = (every.join(least, "window").filter("least < doc").groupBy("block")
+                .agg(F.collect_list("i").alias("late")))
+        masks = masks.join(late, "block", "full")
+    else:
+        masks = masks.withColumn("late", F.lit(None).cast("array<bigint>"))
+
     fields = [f for f in docs.select(*rest).schema] if rest else []
     kept_type = ("string", pa.string()) if as_text else ("binary", pa.binary())
     ddl = StructType.fromDDL(f"doc_id long, kept {kept_type[0]}, "
@@ -312,11 +381,11 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            for docs, nulls, lengths, data, more, extra, counts, mask in zip(
+            for docs, nulls, lengths, data, more, extra, counts, mask, late in zip(
                     *(c.to_pylist() for c in b.columns)):
                 block = Block(docs, lengths, data)
-                gone = _covered(block, _Sent(block, extra, joined(counts, "<u2"), length),
-                                joined(mask, "<u4"), length)
+                gone = _covered(block, _Sent(block, extra, joined(counts, "<u2"), length, hot),
+                                joined(mask, "<u4"), np.array(late or [], np.int64), length)
                 kept, spans = [], []
                 for a, z in zip(block.starts.tolist(), block.ends.tolist()):
                     g = gone[a:z]
@@ -338,12 +407,14 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
 
     return (table.select("block", "docs", "nulls", "lengths", "data", "rest", "extra")
             .join(counts, "block", "left").join(masks, "block", "left")
-            .select("docs", "nulls", "lengths", "data", "rest", "extra", "counts", "mask")
+            .select("docs", "nulls", "lengths", "data", "rest", "extra", "counts", "mask", "late")
             .mapInArrow(tidy(cut_out), ddl))
 
 
-def _covered(block: Block, own: _Sent, mask: np.ndarray, length: int) -> np.ndarray:
-    """Which bytes of the block are removed."""
+def _covered(block: Block, own: _Sent, mask: np.ndarray, late: np.ndarray,
+             length: int) -> np.ndarray:
+    """Which bytes of the block are removed. ``late``: numbers of the windows of hot keys that
+    a smaller document of another block has."""
     n, k = len(block.data), gram(length)
     r = length - k
     edges = np.zeros(n + 1, np.int32)
@@ -360,6 +431,13 @@ def _covered(block: Block, own: _Sent, mask: np.ndarray, length: int) -> np.ndar
         starts = np.unique(own.at[where] - o)
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + length, -1)
+    made, late = 0, np.sort(late)
+    for starts, of, rows, least in _hot_windows(block, own.hot_at, length):
+        doc = block.docs[np.searchsorted(block.ends, starts, side="right")]
+        gone = starts[(doc > least[of]) | np.isin(of + made, late)]
+        np.add.at(edges, gone, 1)
+        np.add.at(edges, gone + length, -1)
+        made += len(rows)
     return np.cumsum(edges[:n]) > 0
 
 

@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+import zstandard
 
-from parkops.llm import jaccard, suffixdedup, topk
+from parkops.llm import blocks, jaccard, suffixdedup, topk
 
 NULL = 2**63 - 1
 
@@ -57,6 +58,34 @@ def test_suffix_dedup_equals_brute_force(spark, length, letters):
     assert suffixdedup.dedup(df.limit(0), length=length).collect() == []
 
 
+@pytest.mark.parametrize("hot_rows", [2, 5, 40])
+def test_hot_keys_give_the_same_result(spark, hot_rows):
+    rng = random.Random(hot_rows)
+    line = "a line that a third of all documents contain, more or less"
+    rows = [(rng.randrange(200) if rng.random() < .95 else None, "".join(
+        rng.choices("abc ", k=rng.randrange(60))) + line * rng.randrange(1, 3) + "".join(
+        rng.choices("abc ", k=rng.randrange(60)))) for _ in range(120)] + [
+        (300 + i, "".join(rng.choices("abcdefgh", k=200))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted((tuple(r) for r in suffixdedup.dedup(df).collect()), key=str)
+    got = sorted((tuple(r) for r in suffixdedup.dedup(df, hot_rows=hot_rows).collect()), key=str)
+    assert got == want and any(r[2] for r in got)
+
+
+def test_anchors_of_hot_keys_are_not_sent_to_a_bucket():
+    texts = [f"{i:05d} a line that every document contains, and not much else {i:05d}".encode()
+             for i in range(40)]
+    block = blocks.Block(np.arange(40).astype("<i8").tobytes(),
+                         np.array([len(t) for t in texts], "<i8").tobytes(),
+                         zstandard.compress(b"".join(texts)))
+    at = suffixdedup.anchors(block, 50)
+    extra = zstandard.compress(np.diff(at, prepend=0).astype("<u4").tobytes())
+    _, n = np.unique(suffixdedup._anchor_hashes(block, at, 50), return_counts=True)
+    for hot, cold in ((41, True), (40, False)):
+        sent = suffixdedup._Sent(block, extra, n, 50, hot)
+        assert (len(sent.rows) >= 40) == cold and (len(sent.hot_at) > 0) == (not cold)
+
+
 @pytest.mark.parametrize("task_tokens", [2_000_000, 60])
 def test_join_equals_brute_force(spark, task_tokens):
     rng = random.Random(5)
