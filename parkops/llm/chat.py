@@ -5,7 +5,7 @@ speaker marker ("User:", "### Assistant", ...) and its line features (length, li
 question, place at the start). Probabilities are counts over all turns whose role is
 known. Viterbi finds the likeliest roles; the given role is never an input of it.
 
-A conversation of any length is cut into segments of ``SEGMENT`` turn numbers. Viterbi is
+A conversation of any length is cut into segments of at most ``SEGMENT`` rows. Viterbi is
 a product of (max, +) matrices, which is associative: segments give one small matrix each
 in parallel, these tell at which roles each segment begins and ends, and segments are
 then traced back in parallel.
@@ -87,10 +87,22 @@ def _prepared(turns: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return turns.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NULL_ID)).alias("conv"), turn.alias("turn"),
-        F.floor(turn / SEGMENT).cast("long").alias("segment"), text.alias("text"),
+        text.alias("text"),
         F.xxhash64(text).alias("tie"), F.lower(F.trim("role")).alias("role"))
 
 
+def _segmented(rows: DataFrame) -> DataFrame:
+    """With ``place`` (ascending in the order of turns) and ``segment``: at most ``SEGMENT``
+    rows that follow each other. A range sort deals one conversation, one turn number and
+    even equal rows to many tasks, which number their own rows."""
+    rows = (rows.withColumn("equal", F.monotonically_increasing_id())
+            .orderBy("conv", "turn", "tie", "equal").drop("equal")
+            .withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    return written(rows.withColumn("segment", F.shiftleft(part, 33) + F.floor(
+        (F.col("place") - F.shiftleft(part, 33)) / SEGMENT)), "turns")
+
+
 def fit(turns: DataFrame) -> Model:
     """Count over all turns with a known role. Few numbers reach the driver: one per
     pair of roles and per role and feature value."""
@@ -112,7 +124,7 @@ def fit(turns: DataFrame) -> Model:
              .groupBy("role", "feature", "value").agg(F.sum("n").alias("n")).collect()}
     # the turn before, by its number: keys hold few rows, whatever a conversation's length
     one = known.select("conv", "turn", "role").dropDuplicates(["conv", "turn"])
-    before = one.select("conv", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
+    before = one.filter(F.col("turn") < NULL_ID).select("conv", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
     follows = {(r.before, r.role): r.n for r in one.join(before, ["conv", "turn"], "left")
                .filter((F.col("turn") == 0) | F.col("before").isNotNull())
                .groupBy(F.coalesce("before", F.lit("")).alias("before"), "role")
@@ -126,8 +138,8 @@ def format_chats(turns: DataFrame, model: Model) -> DataFrame:
     Turns are taken by number, ties by a hash of their text; a null turn comes last, and
     turns without a conv_id are one conversation. Null and empty texts are turns with an
     empty body. Repeated rows stay."""
-    rows = _prepared(turns).select("conv", "segment", "turn", "tie", "text")
-    order = ["conv", "segment", "turn", "tie"]
+    rows = _segmented(_prepared(turns).select("conv", "turn", "tie", "text")).drop("tie")
+    order = ["conv", "segment", "place"]
     states = range(len(ROLES))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

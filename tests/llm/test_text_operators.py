@@ -185,6 +185,22 @@ def test_segments_join_to_plain_viterbi(spark, monkeypatch):
     assert cut == sorted((r.turn, r.role) for r in chat.format_chats(df, model).collect())
 
 
+def test_segments_hold_few_rows_whatever_the_turn_numbers(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["x" * rng.randrange(900) + rng.choice("?.") for _ in range(50)]
+    rows = [(None, rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant"]),
+             rng.choice(texts)) for _ in range(300)] + [(None, None, "user", "")] * 100 + [
+        (7, 0, "user", rng.choice(texts)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(df)
+    plain = sorted((tuple(r) for r in chat.format_chats(df, model).collect()), key=str)
+    monkeypatch.setattr(chat, "SEGMENT", 16)
+    sizes = chat._segmented(chat._prepared(df)).groupBy("conv", "segment").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 16
+    assert plain == sorted((tuple(r) for r in chat.format_chats(df, model).collect()), key=str)
+    assert len(plain) == len(rows)
+
+
 def test_fingerprints(spark):
     rng = random.Random(1)
     vocab = ["w%d" % i for i in range(60)]
