@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkops.llm import (bytebpe, chat, common, imatch, jaccard, packing, secretscan, simple8b, suffixdedup,
-                         topk, toxicity)
+from parkops.llm import (bytebpe, chat, common, imatch, jaccard, lexical, mixing, oracles, packing,
+                         secretscan, simple8b, spelling, suffixdedup, topk, toxicity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +69,25 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(common.read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(common.read(spark, sf_dir, "benchmark"),
+                          common.read(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(common.read(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_byte_level_bpe, op3_exact_top_k, op4_suffix_dedup, op5_secret_scan,
     op6_binary_output, op7_toxicity, op8_ngram_jaccard, op9_chat_formatting,
-    op10_imatch_fingerprints)}
+    op10_imatch_fingerprints, op11_ranked_search, op12_source_mix, op13_spelling_variants)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": oracles.RANKED_SEARCH, "op12_source_mix": oracles.source_mix(),
+    "op13_spelling_variants": oracles.SPELLING_VARIANTS}
