@@ -16,8 +16,8 @@ from parkops.functions import text as T
 from parkops.operators import quality as Q
 from parkops.operators.decisions import apply_updates
 from parkops.operators.reports import bounded
-from parkops.operators.ranking import with_position
-from parkops.operators.tables import assign_identity
+from parkops.operators.ranking import asc
+from parkops.operators.tables import assign_identities, assign_identity
 from parkops.session import cut_lineage
 from parkops.sources import schema as S
 
@@ -60,9 +60,8 @@ def _accepted_submissions(subs, requests, invoices, service_type, spots, garage,
                           vehicles) -> DataFrame:
     ok = _submission_check(subs, service_type, spots, garage, vehicles).filter(
         F.col("reason").isNull())
-    order = [F.col("submitted_at").asc(), F.col("user_id").asc()]
-    ok = assign_identity(ok, requests, "request_id", order)
-    return assign_identity(ok, invoices, "invoice_id", order)
+    return assign_identities(ok, {"request_id": requests, "invoice_id": invoices},
+                             [asc("submitted_at"), asc("user_id")])
 
 
 def submit_requests_requests(subs, requests, invoices, service_type, spots, garage,
@@ -122,15 +121,12 @@ def _with_ids(payments_in, requests, invoices, service_type, methods, payments)
     p = _payable(payments_in, requests, service_type)
     inv = invoices.groupBy("request_id").agg(F.min("invoice_id").alias("invoice_id"))
     p = p.join(inv, "request_id", "left")
-    order = [F.col("paid_at").asc(), F.col("request_id").asc()]
-    p = with_position(p, order, "_pay_pos")
-    top = lambda df, c: df.select(F.coalesce(F.max(c), F.lit(0)).cast("long")).scalar()
-    p = p.withColumn("method_id", top(methods, "method_id") + F.col("_pay_pos")) \
-         .withColumn("payment_id", top(payments, "payment_id") + F.col("_pay_pos"))
+    order = [asc("paid_at"), asc("request_id")]
+    p = assign_identities(p, {"method_id": methods, "payment_id": payments}, order)
     have = p.filter(F.col("invoice_id").isNotNull()).withColumn("_created", F.lit(False))
     need = assign_identity(p.filter(F.col("invoice_id").isNull()).drop("invoice_id"), invoices,
                            "invoice_id", order).withColumn("_created", F.lit(True))
-    return have.unionByName(need).drop("_pay_pos")
+    return have.unionByName(need)
 
 
 def _paid_requests(p: DataFrame, requests: DataFrame) -> DataFrame:
@@ -217,8 +213,7 @@ def submit_registrations_registrations(regs_in, vehicles, registrations) -> Data
     won = _registration_winners(_registration_check(regs_in, vehicles, registrations))
     ok = won.select("license_plate", "_w.*")
     ok = assign_identity(ok, registrations, "request_id",
-                         [F.col("submitted_at").asc(), F.col("user_id").asc(),
-                          F.col("license_plate").asc()])
+                         [asc("submitted_at"), asc("user_id"), asc("license_plate")])
     new = ok.select("request_id", "user_id", "license_plate", "color", "model",
                     F.lit("Pending").alias("status"), F.lit(None).cast("long").alias("approved_by"),
                     F.col("submitted_at").alias("created_at"),
@@ -280,7 +275,7 @@ def register_users_rejected(users_in, users) -> DataFrame:
 
 def register_users_users(users_in, users) -> DataFrame:
     ok = _signup_check(users_in, users).filter(F.col("reason").isNull())
-    ok = assign_identity(ok, users, "user_id", [F.col("submitted_at").asc(), F.col("uni_id").asc()])
+    ok = assign_identity(ok, users, "user_id", [asc("submitted_at"), asc("uni_id")])
     new = ok.select("user_id", "uni_id", "name", "phone", "user_type",
                     F.lit(None).cast("boolean").alias("access_status"),
                     F.col("submitted_at").alias("created_at"))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parkops.functions import text as T
-from parkops.operators.ranking import position_in_group, top_k, top_k_per_group, with_position
+from parkops.operators.ranking import (Key, asc, desc, position_in_group, top_k, top_k_per_group,
+                                       with_position)
 from parkops.operators.reports import bounded
 from parkops.sources import schema as S
 
@@ -110,14 +111,28 @@ def requests_unified(service_board: DataFrame, registration_board_df: DataFrame,
 
 # pending first, then newest (whole seconds); ties: service before
 # registration, then the higher id.
-def board_order_keys() -> list[Column]:
-    return [F.when(F.col("status") == "Pending", 0).otherwise(1).asc(),
-            F.date_trunc("second", F.col("created_at")).desc(),
-            F.col("request_type").asc(), F.col("request_id").desc()]
+def board_order_keys() -> list[Key]:
+    return [asc(F.when(F.col("status") == "Pending", 0).otherwise(1)),
+            desc(F.date_trunc("second", F.col("created_at"))),
+            asc("request_type"), desc("request_id")]
 
 
-def board_order(board: DataFrame) -> DataFrame:
-    return with_position(board, board_order_keys())
+def board_order(board: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    return with_position(board, board_order_keys(), keys=keys)
+
+
+def board_keys(requests: DataFrame, registrations: DataFrame, service_type: DataFrame,
+               users: DataFrame) -> DataFrame:
+    """What orders the unified board, of the rows it has: the inner joins of the two boards
+    as semi joins, without those that only add columns."""
+    known = users.select("user_id")
+    cols = ("status", "created_at", "request_id")
+    svc = (requests.select(*cols, "user_id", "service_id")
+           .join(bounded(service_type).select("service_id"), "service_id", "left_semi")
+           .join(known, "user_id", "left_semi"))
+    reg = registrations.select(*cols, "user_id").join(known, "user_id", "left_semi")
+    return svc.select(*cols, F.lit(T.SERVICE_TAG).alias("request_type")).unionByName(
+        reg.select(*cols, F.lit(T.REGISTRATION_TAG).alias("request_type")))
 
 
 # B14
@@ -211,9 +226,9 @@ def vehicle_classes(vehicle: DataFrame) -> DataFrame:
 
 
 # Approved first, then newest, then the higher id.
-def vehicle_order_keys() -> list[Column]:
-    return [F.when(F.col("access_status"), 0).otherwise(1).asc(),
-            F.col("created_at").desc(), F.col("vehicle_id").desc()]
+def vehicle_order_keys() -> list[Key]:
+    return [asc(F.when(F.col("access_status"), 0).otherwise(1)), desc("created_at"),
+            desc("vehicle_id")]
 
 
 def sort_conditional(vehicle: DataFrame) -> DataFrame:
@@ -315,9 +330,9 @@ def user_activity(users: DataFrame, vehicle: DataFrame, requests: DataFrame) ->
 # newest first when created_at exists, else highest id first.
 def sort_fallback(df: DataFrame, id_col: str = "user_id") -> DataFrame:
     if "created_at" in df.columns:
-        order = [F.col("created_at").desc(), F.col(id_col).desc()]
+        order = [desc("created_at"), desc(id_col)]
     else:
-        order = [F.col(id_col).desc()]
+        order = [desc(id_col)]
     return with_position(df, order)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parkops.functions import text as T
+from parkops.operators.ranking import asc
 from parkops.operators.tables import assign_identity
 
 _NEW = "_new"
@@ -112,7 +113,7 @@ def registration_decisions_vehicles(registrations: DataFrame, vehicles: DataFram
                      F.lit(True).alias("access_status"), F.col("decided_by").alias("approved_by"),
                      F.col("decided_at").alias("created_at"), "request_id")
     new = assign_identity(new, vehicles, "vehicle_id",
-                          [F.col("created_at").asc(), F.col("request_id").asc()])
+                          [asc("created_at"), asc("request_id")])
     return vehicles.unionByName(new.select(*vehicles.columns))
 
 

@@ -1,63 +1,160 @@
-"""Positions in a sort order without a single-partition window.
-
-``row_number()`` over an unpartitioned window moves every row into one task.
-Here the sort is range-partitioned (Spark samples the sort keys and splits the
-key space, so a hot key or value is spread over several partitions), rows are
-tagged with (partition id, index in partition) and the dense position is
-index + the row count of all earlier partitions. The per-partition counts are
-one row per partition, so broadcasting them is bounded by the partition count.
-
-The order must be total (add unique tie-breakers) so that positions are
-reproducible.
+"""Positions in a sort order without a single-partition window and without a copy.
+
+``row_number()`` over an unpartitioned window moves every row into one task. Here the
+order is cut at quantiles of its keys: about ``PER_BUCKET`` keys per bucket, chosen by
+their hash from all rows, are sorted, and every n-th is a bound. A row's bucket is the
+number of bounds before it (a binary search in the row); its position is its number in its
+bucket plus the rows of all earlier buckets. Bounds and counts read the order's keys only
+and are subqueries of one lazy plan: building it starts no job, nothing is materialised,
+and rows are shuffled once, by bucket. Equal leading keys don't matter, since bounds are
+whole keys: a hot value is cut like any other range.
+
+The order must be total (add unique tie-breakers) so that positions are reproducible.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parkops.session import cut_lineage
-
-_PID, _MID, _OFF = "_pos_pid", "_pos_mid", "_pos_off"
-
-
-def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos",
-                  start: int = 1) -> DataFrame:
-    cols = df.columns
-    tagged = (df.orderBy(*order)
-              .select("*", F.spark_partition_id().alias(_PID),
-                      F.monotonically_increasing_id().alias(_MID)))
-    # Both uses below must see the same partitioning: materialise once in the
-    # reliable checkpoint folder.
-    tagged = cut_lineage(tagged)
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        _PID,
-        (F.sum("_n").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)))
-        .alias(_OFF))
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), _PID)
-            .select(*cols, (local + F.coalesce(F.col(_OFF), F.lit(0)) + F.lit(start))
+#: Buckets at most, and keys sampled per bucket: at 100 TB a bucket is about 1.5 GB, and
+#: the sample some MB.
+MAX_BUCKETS, PER_BUCKET = 65_536, 4
+
+
+class Key(NamedTuple):
+    """One key of an order. Ascending puts NULL first, descending last (Spark's default)."""
+
+    expr: Column
+    descending: bool = False
+
+    def sort(self) -> Column:
+        return self.expr.desc_nulls_last() if self.descending else self.expr.asc_nulls_first()
+
+
+def asc(c: Column | str) -> Key:
+    return Key(F.col(c) if isinstance(c, str) else c)
+
+
+def desc(c: Column | str) -> Key:
+    return Key(F.col(c) if isinstance(c, str) else c, True)
+
+
+def _not_after(order: Sequence[Key], a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """``a`` comes before ``b`` in the order or equals it."""
+    out = F.lit(True)
+    for key, x, y in reversed(list(zip(order, a, b))):
+        first, second = (y, x) if key.descending else (x, y)
+        before = F.coalesce(first < second, first.isNull() & second.isNotNull())
+        out = F.when(before, True).when(x.eqNullSafe(y), out).otherwise(False)
+    return out
+
+
+def _names(order: Sequence[Key]) -> list[str]:
+    return [f"_k{i}" for i in range(len(order))]
+
+
+def _keys(df: DataFrame, order: Sequence[Key]) -> DataFrame:
+    return df.select(*[k.expr.alias(n) for k, n in zip(order, _names(order))])
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a session's shuffles: two per partition, within ``MAX_BUCKETS``."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(MAX_BUCKETS, 2 * parts))
+
+
+def order_bounds(keys: DataFrame, order: Sequence[Key], buckets: int) -> DataFrame:
+    """One row, one array: at most about ``buckets`` bounds in order. ``keys`` has the columns
+    ``_k0 ..`` of the order. The sample is a share of the keys' hashes, so it is the same
+    however the rows are read."""
+    want = buckets * PER_BUCKET
+    rows = keys.select(F.count(F.lit(1))).scalar()
+    below = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << 30)) * F.greatest(rows, F.lit(1)) \
+        <= F.lit(want << 30)
+    fields = lambda s: [s[c] for c in keys.columns]
+    by_order = lambda x, y: (F.when(_not_after(order, fields(x), fields(y)),
+                                    F.when(_not_after(order, fields(y), fields(x)), 0).otherwise(-1))
+                             .otherwise(1))
+    sample = keys.filter(below).agg(F.array_sort(F.collect_list(F.struct(*keys.columns)), by_order)
+                                    .alias("s"))
+    return sample.select(F.filter("s", lambda _, i: i % F.greatest(
+        F.floor(F.size("s") / buckets).cast("int"), F.lit(1)) == 0).alias("bounds"))
+
+
+def with_bucket(df: DataFrame, keys: DataFrame, order: Sequence[Key], buckets: int,
+                name: str) -> DataFrame:
+    """Adds the bucket of each row, the number of bounds not after it. ``df`` and ``keys``
+    have the columns ``_k0 ..``. The bounds are read in one place of the expression, so
+    that Spark evaluates the subquery there instead of copying the array into each row."""
+    steps = F.array(*[F.lit(1 << b) for b in range((2 * buckets * PER_BUCKET).bit_length() - 1, -1, -1)])
+    own = [F.col(n) for n in _names(order)]
+
+    def step(at: Column, width: Column) -> Column:
+        reached = F.transform(F.array(F.try_element_at("_bounds", at + width)), lambda b: F.when(
+            b.isNull(), False).otherwise(_not_after(order, [b[n] for n in _names(order)], own)))[0]
+        return F.when(reached, at + width).otherwise(at)
+
+    bounded = df.withColumn("_bounds", order_bounds(keys, order, buckets).scalar())
+    return bounded.withColumn(name, F.aggregate(steps, F.lit(0), step)).drop("_bounds")
+
+
+def with_position(df: DataFrame, order: Sequence[Key], name: str = "pos", start: int = 1,
+                  keys: DataFrame | None = None) -> DataFrame:
+    """``df`` with each row's position. ``keys``: rows with the same order keys that are
+    cheaper to compute than ``df`` (a projection of the table the keys come from)."""
+    buckets = bucket_count(df)
+    ks = _keys(df if keys is None else keys, order)
+    rows = with_bucket(df.withColumns(dict(zip(_names(order), (k.expr for k in order)))),
+                       ks, order, buckets, "_bucket")
+    counts = with_bucket(ks, ks, order, buckets, "_bucket").groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("_n"))
+    # one row per bucket: bounded by MAX_BUCKETS x PER_BUCKET
+    earlier = Window.orderBy("_pos_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_bucket").alias("_pos_bucket"), "_n").select(
+        "_pos_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_bucket").orderBy(*[_sort(k, n) for k, n in zip(order, _names(order))])
+    return (rows.withColumn("_rn", F.row_number().over(inside))
+            .join(F.broadcast(offsets), F.col("_bucket") == F.col("_pos_bucket"))
+            .select(*df.columns, (F.col("_rn") + F.col("_before") + F.lit(start - 1))
                     .cast("long").alias(name)))
 
 
-def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
+def _sort(key: Key, name: str) -> Column:
+    return Key(F.col(name), key.descending).sort()
+
+
+def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Key],
                       name: str = "pos") -> DataFrame:
     """Dense 1-based position inside each group for every row.
 
-    Skew-safe: the global range-partitioned sort on (group, order) splits a
-    hot group over many tasks; the group's first position is a per-group
-    minimum (partial aggregation map-side) joined back on the group key.
+    Buckets cut the order (group, order), so a hot group is dealt to several. A group's
+    rows of earlier buckets are added up per (group, bucket); only a group that goes on
+    from the bucket before has any, at most one a bucket, so these are broadcast.
     """
-    glob = with_position(df, [F.asc_nulls_first(g) for g in group] + list(order), "_gpos")
-    keys = [f"_gk{i}" for i in range(len(group))]
-    first = (glob.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)])
-             .agg(F.min("_gpos").alias("_gfirst")))
-    cond = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys)]
-    return (glob.join(first, cond)
-            .select(*df.columns, (F.col("_gpos") - F.col("_gfirst") + 1).alias(name)))
+    whole = [asc(g) for g in group] + list(order)
+    buckets = bucket_count(df)
+    ks = _keys(df, whole)
+    gk = _names(whole)[:len(group)]
+    rows = with_bucket(df.withColumns(dict(zip(_names(whole), (k.expr for k in whole)))),
+                       ks, whole, buckets, "_bucket")
+    parts = with_bucket(ks, ks, whole, buckets, "_bucket").groupBy("_bucket", *gk).agg(
+        F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*gk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = (parts.withColumn("_before", F.sum("_n").over(earlier)).filter("_before > 0")
+               .select(F.col("_bucket").alias("_b"), "_before",
+                       *[F.col(n).alias(f"_g{i}") for i, n in enumerate(gk)]))
+    inside = Window.partitionBy("_bucket", *gk).orderBy(
+        *[_sort(k, n) for k, n in list(zip(whole, _names(whole)))[len(group):]])
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_g{i}")) for i, n in enumerate(gk)],
+                  F.col("_bucket") == F.col("_b"))
+    return (rows.withColumn("_rn", F.row_number().over(inside))
+            .join(F.broadcast(goes_on), same, "left")
+            .select(*df.columns, (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long").alias(name)))
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,

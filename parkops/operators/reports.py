@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parkops.operators.ranking import with_position
+from parkops.operators.ranking import asc, desc, with_position
 from parkops.sources import schema as S
 
 
@@ -57,7 +57,7 @@ def requests_by_garage(garage: DataFrame, spots: DataFrame, requests: DataFrame)
 # the same, in order of the count (ties by name), with its position.
 def sort_by_aggregate(garage: DataFrame, spots: DataFrame, requests: DataFrame) -> DataFrame:
     return with_position(requests_by_garage(garage, spots, requests),
-                         [F.desc("total_service_requests"), F.asc("garage_name")])
+                         [desc("total_service_requests"), asc("garage_name")])
 
 
 # Six-table left chain.
@@ -141,7 +141,7 @@ def users_by_name(users: DataFrame) -> DataFrame:
 # invoices newest first, id descending, with their position.
 def sort_multi(invoice: DataFrame) -> DataFrame:
     return with_position(invoice.select("invoice_id", "request_id", "amount", "date_issued"),
-                         [F.desc("date_issued"), F.desc("invoice_id")])
+                         [desc("date_issued"), desc("invoice_id")])
 
 
 # D15

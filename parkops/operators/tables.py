@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from parkops.operators.ranking import with_position
+from parkops.operators.ranking import Key, with_position
 
 
 # A2
@@ -27,11 +27,16 @@ def append_rows(base: DataFrame, new: DataFrame) -> DataFrame:
                             allowMissingColumns=True)
 
 
-# Surrogate ids continuing after the current maximum, in a total order.
-def assign_identity(new: DataFrame, base: DataFrame, id_col: str, order: Sequence[Column]) -> DataFrame:
-    top = base.select(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
-    return with_position(new, order, "_pos").select(
-        *[c for c in new.columns if c != id_col], (top + F.col("_pos")).alias(id_col))
+# Surrogate ids continuing after the current maximum, in a total order. Several id
+# columns that number the same rows in the same order share one pass.
+def assign_identities(new: DataFrame, bases: dict[str, DataFrame], order: Sequence[Key]) -> DataFrame:
+    ids = [(base.select(F.coalesce(F.max(c), F.lit(0)).cast("long")).scalar() + F.col("_pos")).alias(c)
+           for c, base in bases.items()]
+    return with_position(new, order, "_pos").select(*[c for c in new.columns if c not in bases], *ids)
+
+
+def assign_identity(new: DataFrame, base: DataFrame, id_col: str, order: Sequence[Key]) -> DataFrame:
+    return assign_identities(new, {id_col: base}, order)
 
 
 # A4: insert only rows whose key is absent from the base.

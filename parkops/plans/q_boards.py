@@ -46,7 +46,8 @@ def _(g):
 
 @query("board_order")
 def _(g):
-    return B.board_order(_unified(g))
+    return B.board_order(_unified(g), B.board_keys(g.service_request, g.registrations,
+                                                   g.service_type, g.users))
 
 
 @query("row_search")

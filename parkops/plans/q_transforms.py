@@ -10,6 +10,7 @@ from parkops.operators import boards as B
 from parkops.operators import decisions as D
 from parkops.operators import purge as P
 from parkops.operators import tables as TB
+from parkops.operators.ranking import asc
 from parkops.plans.registry import query
 
 # The manager running the purge (never purged).
@@ -250,7 +251,7 @@ def _(g):
 def _signups_with_ids(g):
     new = g.users_in.select("uni_id", "name", "phone", "user_type", "submitted_at")
     return TB.assign_identity(new, g.users, "user_id",
-                              [F.col("submitted_at").asc(), F.col("uni_id").asc()])
+                              [asc("submitted_at"), asc("uni_id")])
 
 
 @query("assign_identity")

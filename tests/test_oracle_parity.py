@@ -22,5 +22,5 @@ def test_parity(spark, duck_small, name):
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
-    assert df.count() == 4626
+    assert df.count() == 6027
     assert set(E.oracle_sql()) <= set(E.queries())

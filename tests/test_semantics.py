@@ -12,7 +12,7 @@ from parkops.operators import decisions as D
 from parkops.operators import purge as P
 from parkops.operators import reports as R
 from parkops.operators import tables as TB
-from parkops.operators.ranking import position_in_group, top_k_per_group, with_position
+from parkops.operators.ranking import asc, desc, position_in_group, top_k_per_group, with_position
 
 TS = dt.datetime(2024, 1, 1, 8, 0, 0)
 
@@ -68,12 +68,12 @@ def test_status_domain_drops_unknown_and_null(spark):
 
 def test_positions_are_dense_and_total(spark):
     df = spark.range(0, 1000).select((F.col("id") % 7).alias("g"), F.col("id"))
-    pos = with_position(df, [F.col("g").asc(), F.col("id").desc()])
+    pos = with_position(df, [asc("g"), desc("id")])
     rows = pos.orderBy("pos").collect()
     assert [r.pos for r in rows] == list(range(1, 1001))
     assert [(r.g, r.id) for r in rows] == sorted(((r.g, r.id) for r in rows),
                                                  key=lambda t: (t[0], -t[1]))
-    pig = position_in_group(df, ["g"], [F.col("id").asc()])
+    pig = position_in_group(df, ["g"], [asc("id")])
     for r in pig.filter("g = 3").collect():
         assert r.pos == (r.id - 3) // 7 + 1
 
@@ -82,7 +82,7 @@ def test_hot_group_positions(spark):
     # one key holds most rows: positions still dense inside the group
     df = spark.range(0, 3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 5)
                                      .alias("g"), F.col("id"))
-    pig = position_in_group(df, ["g"], [F.col("id").desc()])
+    pig = position_in_group(df, ["g"], [desc("id")])
     hot = pig.filter("g = 0").agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()
     n0 = df.filter("g = 0").count()
     assert tuple(hot) == (1, n0, n0)
