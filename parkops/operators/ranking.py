@@ -55,11 +55,25 @@ def _not_after(order: Sequence[Key], a: Sequence[Column], b: Sequence[Column]) -
 
 
 def _names(order: Sequence[Key]) -> list[str]:
-    return [f"_k{i}" for i in range(len(order))]
+    return [f"k{i}" for i in range(len(order))]
+
+
+def _key(order: Sequence[Key]) -> Column:
+    """The keys of a row as one struct, which Spark's optimizer looks through."""
+    return F.struct(*[k.expr.alias(n) for k, n in zip(order, _names(order))]).alias("_k")
+
+
+def _own(order: Sequence[Key]) -> list[Column]:
+    return [F.col("_k")[n] for n in _names(order)]
+
+
+def _of_key(order: Sequence[Key]) -> list[Key]:
+    """The order, of rows that have ``_k`` already."""
+    return [Key(c, k.descending) for c, k in zip(_own(order), order)]
 
 
 def _keys(df: DataFrame, order: Sequence[Key]) -> DataFrame:
-    return df.select(*[k.expr.alias(n) for k, n in zip(order, _names(order))])
+    return df.select(_key(order))
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -69,38 +83,42 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def order_bounds(keys: DataFrame, order: Sequence[Key], buckets: int) -> DataFrame:
-    """One row, one array: at most about ``buckets`` bounds in order. ``keys`` has the columns
-    ``_k0 ..`` of the order. The sample is a share of the keys' hashes, so it is the same
+    """One row, one array: at most about ``buckets`` bounds in order. ``keys`` has the column
+    ``_k`` of the order's keys. The sample is a share of the keys' hashes, so it is the same
     however the rows are read."""
     want = buckets * PER_BUCKET
     rows = keys.select(F.count(F.lit(1))).scalar()
-    below = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << 30)) * F.greatest(rows, F.lit(1)) \
+    below = F.pmod(F.xxhash64(*_own(order)), F.lit(1 << 30)) * F.greatest(rows, F.lit(1)) \
         <= F.lit(want << 30)
-    fields = lambda s: [s[c] for c in keys.columns]
+    fields = lambda s: [s[n] for n in _names(order)]
     by_order = lambda x, y: (F.when(_not_after(order, fields(x), fields(y)),
                                     F.when(_not_after(order, fields(y), fields(x)), 0).otherwise(-1))
                              .otherwise(1))
-    sample = keys.filter(below).agg(F.array_sort(F.collect_list(F.struct(*keys.columns)), by_order)
+    sample = keys.filter(below).agg(F.array_sort(F.collect_list("_k"), by_order)
                                     .alias("s"))
     return sample.select(F.filter("s", lambda _, i: i % F.greatest(
         F.floor(F.size("s") / buckets).cast("int"), F.lit(1)) == 0).alias("bounds"))
 
 
-def with_bucket(df: DataFrame, keys: DataFrame, order: Sequence[Key], buckets: int,
+def with_bucket(df: DataFrame, bounds: DataFrame, order: Sequence[Key], buckets: int,
                 name: str) -> DataFrame:
-    """Adds the bucket of each row, the number of bounds not after it. ``df`` and ``keys``
-    have the columns ``_k0 ..``. The bounds are read in one place of the expression, so
-    that Spark evaluates the subquery there instead of copying the array into each row."""
+    """Adds ``_k``, the keys of each row, and its bucket, the number of bounds not after them.
+    Rows and bounds are each read in one place of one expression, so that Spark evaluates
+    the subquery there and no row ever holds a copy of the array."""
     steps = F.array(*[F.lit(1 << b) for b in range((2 * buckets * PER_BUCKET).bit_length() - 1, -1, -1)])
-    own = [F.col(n) for n in _names(order)]
+    fields = lambda s: [s[n] for n in _names(order)]
 
-    def step(at: Column, width: Column) -> Column:
-        reached = F.transform(F.array(F.try_element_at("_bounds", at + width)), lambda b: F.when(
-            b.isNull(), False).otherwise(_not_after(order, [b[n] for n in _names(order)], own)))[0]
-        return F.when(reached, at + width).otherwise(at)
+    def found(p: Column) -> Column:
+        def step(at: Column, width: Column) -> Column:
+            reached = F.transform(F.array(F.try_element_at(p["bounds"], at + width)), lambda b: F.when(
+                b.isNull(), False).otherwise(_not_after(order, fields(b), fields(p["row"]["_k"]))))
+            return F.when(reached[0], at + width).otherwise(at)
+        return F.struct(p["row"].alias("row"), F.aggregate(steps, F.lit(0), step).alias("bucket"))
 
-    bounded = df.withColumn("_bounds", order_bounds(keys, order, buckets).scalar())
-    return bounded.withColumn(name, F.aggregate(steps, F.lit(0), step)).drop("_bounds")
+    both = (df.select(F.struct(*[F.col(c) for c in df.columns if c != "_k"], _key(order)).alias("row"))
+            .withColumn("bounds", bounds.scalar()))
+    out = both.select(F.transform(F.array(F.struct("row", "bounds")), found)[0].alias("_found"))
+    return out.select("_found.row.*", F.col("_found.bucket").alias(name))
 
 
 def with_position(df: DataFrame, order: Sequence[Key], name: str = "pos", start: int = 1,
@@ -109,23 +127,24 @@ def with_position(df: DataFrame, order: Sequence[Key], name: str = "pos", start:
     cheaper to compute than ``df`` (a projection of the table the keys come from)."""
     buckets = bucket_count(df)
     ks = _keys(df if keys is None else keys, order)
-    rows = with_bucket(df.withColumns(dict(zip(_names(order), (k.expr for k in order)))),
-                       ks, order, buckets, "_bucket")
-    counts = with_bucket(ks, ks, order, buckets, "_bucket").groupBy("_bucket").agg(
+    bounds, packed = order_bounds(ks, order, buckets), _of_key(order)
+    rows = with_bucket(df, bounds, order, buckets, "_bucket")
+    counts = with_bucket(ks, bounds, packed, buckets, "_bucket").groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_n"))
     # one row per bucket: bounded by MAX_BUCKETS x PER_BUCKET
     earlier = Window.orderBy("_pos_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_bucket").alias("_pos_bucket"), "_n").select(
         "_pos_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(*[_sort(k, n) for k, n in zip(order, _names(order))])
+    inside = Window.partitionBy("_bucket").orderBy(*[_sort(k, c) for k, c in zip(order, _own(order))])
     return (rows.withColumn("_rn", F.row_number().over(inside))
-            .join(F.broadcast(offsets), F.col("_bucket") == F.col("_pos_bucket"))
+            # every bucket has its row; an inner join would work the bucket out twice
+            .join(F.broadcast(offsets), F.col("_bucket") == F.col("_pos_bucket"), "left")
             .select(*df.columns, (F.col("_rn") + F.col("_before") + F.lit(start - 1))
                     .cast("long").alias(name)))
 
 
-def _sort(key: Key, name: str) -> Column:
-    return Key(F.col(name), key.descending).sort()
+def _sort(key: Key, value: Column) -> Column:
+    return Key(value, key.descending).sort()
 
 
 def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Key],
@@ -139,18 +158,19 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Key],
     whole = [asc(g) for g in group] + list(order)
     buckets = bucket_count(df)
     ks = _keys(df, whole)
-    gk = _names(whole)[:len(group)]
-    rows = with_bucket(df.withColumns(dict(zip(_names(whole), (k.expr for k in whole)))),
-                       ks, whole, buckets, "_bucket")
-    parts = with_bucket(ks, ks, whole, buckets, "_bucket").groupBy("_bucket", *gk).agg(
-        F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*gk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    n = len(group)
+    gs = [f"_g{i}" for i in range(n)]
+    bounds, packed = order_bounds(ks, whole, buckets), _of_key(whole)
+    rows = with_bucket(df, bounds, whole, buckets, "_bucket")
+    parts = (with_bucket(ks, bounds, packed, buckets, "_bucket")
+             .groupBy("_bucket", *[c.alias(g) for c, g in zip(_own(whole), gs)])
+             .agg(F.count(F.lit(1)).alias("_n")))
+    earlier = Window.partitionBy(*gs).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     goes_on = (parts.withColumn("_before", F.sum("_n").over(earlier)).filter("_before > 0")
-               .select(F.col("_bucket").alias("_b"), "_before",
-                       *[F.col(n).alias(f"_g{i}") for i, n in enumerate(gk)]))
-    inside = Window.partitionBy("_bucket", *gk).orderBy(
-        *[_sort(k, n) for k, n in list(zip(whole, _names(whole)))[len(group):]])
-    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_g{i}")) for i, n in enumerate(gk)],
+               .select(F.col("_bucket").alias("_b"), "_before", *gs))
+    inside = Window.partitionBy("_bucket", *_own(whole)[:n]).orderBy(
+        *[_sort(k, c) for k, c in list(zip(whole, _own(whole)))[n:]])
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(g)) for c, g in zip(_own(whole), gs)],
                   F.col("_bucket") == F.col("_b"))
     return (rows.withColumn("_rn", F.row_number().over(inside))
             .join(F.broadcast(goes_on), same, "left")
