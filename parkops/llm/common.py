@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -50,6 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Paths that ``written`` made inside ``noting``, for ``drop``.
+_NOTED: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
     lineage, survives lost executors, and every later use sees the same rows."""
@@ -57,9 +62,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/parkops-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _NOTED:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Adds the paths of the tables ``written`` meanwhile."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.remove(paths)
+
+
+def drop(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Delete tables that ``written`` made and nothing reads any more; those that
+    ``reader`` reads stay, in ``paths`` too."""
+    used = {f.rsplit("/", 2)[-2] for f in reader.inputFiles()} if reader is not None and paths else set()
+    for path in [p for p in paths if p.rsplit("/", 1)[-1] not in used]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        paths.remove(path)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no taken name is like it (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null text: empty), the columns most operators need."""
     small_batches(docs.sparkSession)

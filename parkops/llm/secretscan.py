@@ -132,5 +132,5 @@ def redact(docs: DataFrame, ranks: str, pattern: str, mark: str = "[SECRET]") ->
 
     small_batches(docs.sparkSession)
     out = docs.withColumn("text", clean(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns \
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns \
         else out

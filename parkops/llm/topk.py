@@ -121,6 +121,11 @@ def _fit(m: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, dims - m.shape[1]))) if m.shape[1] < dims else m
 
 
+def _long(m: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size as the nearest long but the least, which means none."""
+    return np.clip(m, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64) if m.dtype == object else m
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int,
            floor: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score) of each query's best ``k`` among ``ids`` with scores of
@@ -129,13 +134,13 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
     q, v = _fit(q, dims), _fit(v, dims)
     big = max(np.abs(q).max(initial=0), 1) * max(np.abs(v).max(initial=0), 1) * dims
     if big >= 1 << 53:  # beyond what doubles hold exactly
-        if big >= 1 << 62:
-            raise OverflowError("scores don't fit a long")
-        q, v = q.astype(np.int64), v.astype(np.int64)
+        # from 2**62 on in whole numbers of any size, scores beyond a long as the nearest long
+        q, v = ((np.vectorize(int, otypes=[object])(m) for m in (q, v)) if big >= 1 << 62
+                else (m.astype(np.int64) for m in (q, v)))
     cuts = range(0, len(ids), block)
     tops = np.maximum.reduceat(v, list(cuts))
     lows = np.minimum.reduceat(v, list(cuts))
-    bound = np.maximum(q, 0) @ tops.T + np.minimum(q, 0) @ lows.T
+    bound = _long(np.maximum(q, 0) @ tops.T + np.minimum(q, 0) @ lows.T)
     order = np.argsort(-bound, axis=1, kind="stable")
     best_s = np.full((len(q), k), np.iinfo(np.int64).min, np.int64)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
@@ -151,7 +156,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
             rows = active[at == b]
             a = b * block
             own = ids[a:a + block]
-            s = np.rint(q[rows] @ v[a:a + block].T).astype(np.int64)
+            s = _long(q[rows] @ v[a:a + block].T)
+            s = s if s.dtype == np.int64 else np.rint(s).astype(np.int64)
             hit = (s >= kth[rows, None]) & (own[None, :] != q_ids[rows, None])
             some = hit.any(1)
             if not some.any():
@@ -175,7 +181,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0,
           shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest scores (all, if fewer) of every
     row whose vec_id is divisible by ``every``, over all other rows; ties to smaller
-    vec_ids. ``vec_id`` is a key: of rows that repeat one, the least vector counts."""
+    vec_ids. ``vec_id`` is a key: of rows that repeat one, the least vector counts. A score
+    beyond a long is given, and ranked, as the nearest long."""
     table = shards(vectors, scale, shard)
     names = [r.shard for r in table.select("shard").collect()]  # one number a shard
 

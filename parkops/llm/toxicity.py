@@ -25,6 +25,8 @@ from parkops.llm.common import id_text, map_rows, only, small_batches
 
 #: Labelled training documents used at most (the first by a hash of their id).
 MAX_LABELLED = 50_000
+#: Independent hash functions on which near copies agree, for the lexicon.
+SKETCH = 2
 MAX_TERMS = 2_000
 #: A term must be in this many toxic training documents, and so sure a sign of them.
 MIN_DOCS, MIN_SHARE = 5, 0.9
@@ -184,27 +186,28 @@ class Model:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    """The fold that is never learned from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """The fold that is never learned from: crc32 of the id as text, modulo 5, is 0. A null id
+    is in no fold and never learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from the labelled documents outside the held-out fold. Labels that are null
     are left out; of several labels of a document the largest counts. Without labelled
     documents of both kinds the model knows no terms and scores every text alike."""
-    known = (labels.filter(F.col("toxic").isin(0, 1) & ~held_out())
+    known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max("toxic").cast("int").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     # at most max_labelled pairs of numbers
-    train = id_text(docs).join(F.broadcast(known), "doc_id").select("toxic", "text")
-    # near copies repeat one document's words and one label: they count once. Copies
-    # agree on the least hash of their long words, the rarest ones.
-    long_words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]{8,}"), F.lit(0))
-    sketch = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))),
-                        F.xxhash64("text"))
-    terms, stems = _lexicon(train.withColumn("_sketch", sketch)
-                            .dropDuplicates(["toxic", "_sketch"]).select("toxic", "text"))
+    train = id_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
+    # near copies repeat one document's words and one label: they count once, as the one of
+    # the least id. Copies agree on the least hashes of their long words by SKETCH functions.
+    long_words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]{5,}"), F.lit(0))
+    sketch = F.transform(F.sequence(F.lit(1), F.lit(SKETCH)), lambda i: F.coalesce(
+        F.array_min(F.transform(long_words, lambda w: F.xxhash64(w, i))), F.xxhash64("text")))
+    terms, stems = _lexicon(train.groupBy("toxic", sketch.alias("_sketch")).agg(
+        F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text")).select("toxic", "text"))
     model = Model(terms, stems, [0.0] * (1 + len(FEATURES)))
     schema = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
 
@@ -212,9 +215,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         scorer = model.scorer()
         return ((y, scorer.features(t)) for y, t in zip(labels, texts))
 
-    got = train.mapInArrow(map_rows(rows, schema), "toxic int, x array<double>").toPandas()
+    got = train.select("toxic", "text").mapInArrow(map_rows(rows, schema),
+                                                   "toxic int, x array<double>").toPandas()
     if len(got):
-        model.weights = _logistic(np.array(got["x"].tolist()), got["toxic"].to_numpy(float))
+        # in one order, so that sums don't depend on the partitioning
+        found = sorted(zip(got["toxic"].tolist(), map(tuple, got["x"].tolist())))
+        model.weights = _logistic(np.array([x for _, x in found]), np.array([float(y) for y, _ in found]))
     return model
 
 
@@ -277,14 +283,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> list[float]:
     return w.tolist()
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and the columns ``_score`` (0 to 1; null and empty texts have one too)
-    and ``_predicted`` (1 from 0.5 on). All other columns stay as they are."""
+def score(docs: DataFrame, model: Model,
+          names: tuple[str, str] = ("_score", "_predicted")) -> DataFrame:
+    """``docs`` and the columns ``names`` (not among its own): the score (0 to 1; null and
+    empty texts have one too) and the prediction (1 from 0.5 on)."""
     @F.pandas_udf("double")
     def of(text):
         scorer = model.scorer()
         return text.map(lambda t: model.score(scorer.features(t if isinstance(t, str) else "")))
 
     small_batches(docs.sparkSession)
-    return (docs.withColumn("_score", of(F.coalesce(F.col("text"), F.lit(""))))
-            .withColumn("_predicted", (F.col("_score") >= 0.5).cast("int")))
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"documents have a column named like one of {names}")
+    return (docs.withColumn(names[0], of(F.coalesce(F.col("text"), F.lit(""))))
+            .withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int")))
