@@ -6,18 +6,20 @@ view("decisions", """
 SELECT o_orderkey AS request_id,
        CASE WHEN o_orderkey % 2 = 0 THEN 'approve' ELSE 'reject' END AS action,
        o_orderkey % 10 AS decided_by, o_orderdate + INTERVAL 1 DAY AS decided_at
-FROM orders WHERE o_orderkey % 11 = 0
+FROM orders
 UNION ALL
-SELECT o_orderkey, 'reject', (o_orderkey + 1) % 10, o_orderdate + INTERVAL 2 DAY
-FROM orders WHERE o_orderkey % 44 = 0""")
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'reject' WHEN o_orderkey % 2 = 0 THEN 'approve'
+            ELSE 'reject' END, (o_orderkey + 1) % 10, o_orderdate + INTERVAL 2 DAY
+FROM orders""")
 
 view("registration_decisions", """
 SELECT p_partkey AS request_id,
-       CASE WHEN p_partkey % 12 = 0 THEN 'approve' ELSE 'reject' END AS action,
+       CASE WHEN (p_partkey // 6) % 2 = 0 THEN 'approve' ELSE 'reject' END AS action,
        p_partkey % 10 AS decided_by,
        CAST(DATE '1995-01-01' + CAST(p_partkey % 2400 AS INTEGER) AS TIMESTAMP) + INTERVAL 1 DAY
          AS decided_at
-FROM part WHERE p_partkey % 6 = 0""")
+FROM part""")
 
 view("garage_actions", """
 SELECT CAST(n_nationkey AS BIGINT) AS garage_id,
@@ -52,21 +54,22 @@ SELECT c_custkey AS user_id, (c_custkey * 4 + 2) // 3 AS vehicle_id,
 FROM customer""")
 
 view("payments_in", """
-SELECT o_orderkey AS request_id,
-       CASE WHEN o_orderkey % 128 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
-       CASE WHEN o_orderkey % 16 = 0 THEN 'Credit' ELSE 'Cash' END AS method,
-       CASE WHEN o_orderkey % 16 = 0 THEN
-         CASE WHEN (o_orderkey // 16) % 5 = 1 THEN '411111111111' ELSE '4111111111111111' END
-       END AS card_number,
-       CASE WHEN o_orderkey % 16 = 0 THEN
-         CASE WHEN (o_orderkey // 16) % 5 = 2 THEN '12' ELSE '123' END END AS card_cvv,
-       CASE WHEN o_orderkey % 16 = 0 THEN
-         CASE WHEN (o_orderkey // 16) % 5 = 3 THEN '1/25' ELSE '12/27' END END AS card_expiry,
-       CASE WHEN o_orderkey % 16 = 0 THEN
-         CASE WHEN (o_orderkey // 16) % 5 = 4 THEN ' '
-              ELSE 'Holder ' || CAST(o_custkey AS VARCHAR) END END AS cardholder_name,
-       o_orderdate + INTERVAL 30 DAY AS paid_at
-FROM orders WHERE o_orderkey % 8 = 0""")
+SELECT request_id, user_id, method,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 1 THEN '411111111111' ELSE '4111111111111111' END END AS card_number,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 2 THEN '12' ELSE '123' END END AS card_cvv,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 3 THEN '1/25' ELSE '12/27' END END AS card_expiry,
+       CASE WHEN method = 'Credit' THEN
+         CASE WHEN shape = 4 THEN ' ' ELSE 'Holder ' || CAST(owner AS VARCHAR) END END
+         AS cardholder_name,
+       paid_at
+FROM (SELECT o_orderkey AS request_id, o_custkey AS owner,
+             CASE WHEN o_orderkey % 128 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
+             CASE WHEN (o_orderkey // 8) % 2 = 0 THEN 'Credit' ELSE 'Cash' END AS method,
+             (o_orderkey // 16) % 5 AS shape, o_orderdate + INTERVAL 30 DAY AS paid_at
+      FROM orders) o""")
 
 view("registrations_in", """
 SELECT (p_partkey * 3) // 4 AS user_id,

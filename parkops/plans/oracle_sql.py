@@ -11,18 +11,14 @@ from parkops.plans import oracle_inputs  # noqa: F401  (registers input CTEs)
 from parkops.plans.oracle_views import with_views
 
 SQL: dict[str, str] = {}
-# the same without the CTEs of the views
-BODIES: dict[str, tuple[str, dict[str, str] | None]] = {}
 
 
 def oracle(name: str, sql: str, extra: dict[str, str] | None = None) -> None:
     SQL[name] = with_views(sql.strip(), extra)
-    BODIES[name] = sql.strip(), extra
 
 
 def _load_all() -> None:
     from parkops.plans import o_boards, o_quality, o_reports, o_transforms  # noqa: F401
-    from parkops.plans import o_whole  # noqa: F401  (last: it reuses the others)
 
 
 _load_all()

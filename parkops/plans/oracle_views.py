@@ -46,19 +46,18 @@ FROM part""")
 view("service_type", """
 SELECT CAST(service_id AS BIGINT) AS service_id, service_name, description,
        CAST(price AS DECIMAL(10,2)) AS price
-FROM (VALUES (1, 'Car Wash', 'Exterior and interior cleaning', 50.00),
-             (2, 'Oil Change', 'Standard oil change', 150.00),
-             (3, 'Tire Rotation', 'Rotate tires for even wear', 75.00),
-             (4, 'Reserved Spot', 'Reserved parking spot', NULL),
-             (5, 'Maintenance', 'General maintenance check', 20.00),
-             (6, 'Parking Permit', 'Semester parking permit', 10.00))
+FROM (VALUES (1, 'Valet Drop-off', 'An attendant parks the vehicle', 40.00),
+             (2, 'Battery Charging', 'Charging point for four hours', 65.00),
+             (3, 'Windscreen Care', 'Screen and mirrors cleaned on site', 18.50),
+             (4, 'Covered Bay', 'A bay under the roof for a day', NULL),
+             (5, 'Night Storage', 'Supervised overnight parking', 25.00),
+             (6, 'Visitor Pass', 'Entry for a guest vehicle', 8.00))
      AS t(service_id, service_name, description, price)""")
 
 view("payment_method", """
 SELECT CAST(method_id AS BIGINT) AS method_id, method_type, payment_info
-FROM (VALUES (1, 'Credit Card', 'Card on file'),
-             (2, 'Cash', 'Cash payment at service counter'),
-             (3, 'Credit Card', 'Card at kiosk')) AS t(method_id, method_type, payment_info)""")
+FROM (VALUES (1, 'Credit Card', 'Online terminal'), (2, 'Cash', 'Till at the gate'),
+             (3, 'Credit Card', 'Terminal on the upper deck')) AS t(method_id, method_type, payment_info)""")
 
 view("parking_garage", """
 SELECT CAST(n_nationkey AS BIGINT) AS garage_id,
@@ -111,7 +110,7 @@ FROM (
          CASE p_size % 3 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Approved' ELSE 'Rejected' END
            AS status,
          CAST(DATE '1995-01-01' + CAST(p_partkey % 2400 AS INTEGER) AS TIMESTAMP) AS created_at
-  FROM part WHERE p_partkey % 3 = 0) r""")
+  FROM part) r""")
 
 view("invoice", """
 SELECT o_orderkey AS invoice_id, o_orderkey AS request_id,
@@ -146,13 +145,15 @@ SELECT event_id AS report_id, event_type AS report_type, user_id,
        props AS details
 FROM events WHERE event_type = 'error'""")
 
-view("requests", "SELECT user_id, report_id FROM reports WHERE report_id % 10 = 0",
-     ("reports",))
+view("requests", """
+SELECT CASE WHEN report_id % 10 = 0 THEN user_id
+            ELSE (greatest(user_id - 1, 0) // 10) * 10 + 1 END AS user_id, report_id
+FROM reports""", ("reports",))
 view("controls", "SELECT user_id, user_id % 25 AS garage_id FROM users WHERE user_type = 'Admin'",
      ("users",))
 view("owns", """
 SELECT vehicle_id, request_id FROM service_request
-WHERE vehicle_id IS NOT NULL AND request_id % 10 = 0""", ("service_request",))
+WHERE vehicle_id IS NOT NULL AND service_id = 4 AND status = 'Approved'""", ("service_request",))
 
 
 def _mentioned(sql: str) -> list[str]:
@@ -178,16 +179,13 @@ def _order(names: list[str]) -> list[str]:
     return out
 
 
-def with_views(sql: str, extra: dict[str, str] | None = None,
-               views: dict[str, str] | None = None) -> str:
+def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs it references. ``extra`` adds more named
-    CTEs (written after the views, so they may use them); ``views`` takes the place of
-    the views of the same name."""
-    views = VIEWS | (views or {})
+    CTEs (written after the views, so they may use them)."""
     extra = extra or {}
     body = sql + " " + " ".join(extra.values())
     names = _order(_mentioned(body))
-    ctes = [f"{n} AS (\n{views[n].strip()}\n)" for n in names]
+    ctes = [f"{n} AS (\n{VIEWS[n]}\n)" for n in names]
     ctes += [f"{k} AS (\n{v.strip()}\n)" for k, v in extra.items()]
     if not ctes:
         return sql

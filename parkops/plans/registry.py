@@ -29,7 +29,6 @@ def query(name: str):
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from parkops.plans import q_boards, q_quality, q_reports, q_transforms  # noqa: F401
-    from parkops.plans import q_whole  # noqa: F401  (last: it reuses the others)
 
 
 _load_all()

@@ -22,37 +22,25 @@ def base_time(day: str) -> Column:
     return F.lit(day).cast("date").cast("timestamp_ntz")
 
 
-def decisions(orders: DataFrame, whole: bool = False) -> DataFrame:
-    """Approve/reject per request (request_id % 11 = 0), and a later reject
-    for request_id % 44 = 0 that overturns the first decision. ``whole``: two decisions
-    for every request, the later one a reject or the first one again."""
+def decisions(orders: DataFrame) -> DataFrame:
+    """Two decisions for every request, the later one a reject (request_id % 4 = 0) or the
+    first one again."""
     k = F.col("o_orderkey")
-    if whole:
-        first = F.when(k % 2 == 0, "approve").otherwise("reject")
-        return orders.select(
-            k.alias("request_id"), first.alias("action"), (k % 10).alias("decided_by"),
-            plus_days(F.col("o_orderdate"), F.lit(1)).alias("decided_at"),
-        ).unionByName(orders.select(
-            k.alias("request_id"),
-            F.when(k % 4 == 0, "reject").otherwise(first).alias("action"),
-            ((k + 1) % 10).alias("decided_by"),
-            plus_days(F.col("o_orderdate"), F.lit(2)).alias("decided_at")))
-    first = orders.filter(k % 11 == 0).select(
+    first = F.when(k % 2 == 0, "approve").otherwise("reject")
+    return orders.select(
+        k.alias("request_id"), first.alias("action"), (k % 10).alias("decided_by"),
+        plus_days(F.col("o_orderdate"), F.lit(1)).alias("decided_at"),
+    ).unionByName(orders.select(
         k.alias("request_id"),
-        F.when(k % 2 == 0, "approve").otherwise("reject").alias("action"),
-        (k % 10).alias("decided_by"),
-        plus_days(F.col("o_orderdate"), F.lit(1)).alias("decided_at"))
-    second = orders.filter(k % 44 == 0).select(
-        k.alias("request_id"), F.lit("reject").alias("action"),
+        F.when(k % 4 == 0, "reject").otherwise(first).alias("action"),
         ((k + 1) % 10).alias("decided_by"),
-        plus_days(F.col("o_orderdate"), F.lit(2)).alias("decided_at"))
-    return first.unionByName(second)
+        plus_days(F.col("o_orderdate"), F.lit(2)).alias("decided_at")))
 
 
-def registration_decisions(part: DataFrame, whole: bool = False) -> DataFrame:
-    """A decision for request_id % 6 = 0, or for every request (``whole``)."""
+def registration_decisions(part: DataFrame) -> DataFrame:
+    """A decision for every registration request."""
     p = F.col("p_partkey")
-    return (part if whole else part.filter(p % 6 == 0)).select(
+    return part.select(
         p.alias("request_id"),
         F.when(idiv("p_partkey", 6) % 2 == 0, "approve").otherwise("reject").alias("action"),
         (p % 10).alias("decided_by"),
@@ -107,15 +95,14 @@ def submissions(customer: DataFrame) -> DataFrame:
         plus_minutes(base_time("2024-01-01"), c % 1000).alias("submitted_at"))
 
 
-def payments_in(orders: DataFrame, whole: bool = False) -> DataFrame:
-    """Payments for request_id % 8 = 0 (``whole``: for every request) by the owner (another
-    user every 128th); Credit when request_id // 8 is even, else Cash. Card rows cycle
+def payments_in(orders: DataFrame) -> DataFrame:
+    """A payment for every request by the owner (another user every 128th); Credit when request_id // 8 is even, else Cash. Card rows cycle
     through one valid card and four invalid shapes."""
     k = F.col("o_orderkey")
     credit = idiv("o_orderkey", 8) % 2 == 0
     shape = idiv("o_orderkey", 16) % 5
     valid_no = F.lit("4111111111111111")
-    return (orders if whole else orders.filter(k % 8 == 0)).select(
+    return orders.select(
         k.alias("request_id"),
         F.when(k % 128 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
          .alias("user_id"),

@@ -43,19 +43,19 @@ def plus_days(ts: Column, n: Column) -> Column:
 
 # The service catalogue of the fixture views.
 SERVICE_TYPE_ROWS = [
-    (1, "Car Wash", "Exterior and interior cleaning", Decimal("50.00")),
-    (2, "Oil Change", "Standard oil change", Decimal("150.00")),
-    (3, "Tire Rotation", "Rotate tires for even wear", Decimal("75.00")),
-    (4, "Reserved Spot", "Reserved parking spot", None),
-    (5, "Maintenance", "General maintenance check", Decimal("20.00")),
-    (6, "Parking Permit", "Semester parking permit", Decimal("10.00")),
+    (1, "Valet Drop-off", "An attendant parks the vehicle", Decimal("40.00")),
+    (2, "Battery Charging", "Charging point for four hours", Decimal("65.00")),
+    (3, "Windscreen Care", "Screen and mirrors cleaned on site", Decimal("18.50")),
+    (4, "Covered Bay", "A bay under the roof for a day", None),
+    (5, "Night Storage", "Supervised overnight parking", Decimal("25.00")),
+    (6, "Visitor Pass", "Entry for a guest vehicle", Decimal("8.00")),
 ]
 
 # Payment methods of the fixture views (two ids share a type).
 PAYMENT_METHOD_ROWS = [
-    (1, "Credit Card", "Card on file"),
-    (2, "Cash", "Cash payment at service counter"),
-    (3, "Credit Card", "Card at kiosk"),
+    (1, "Credit Card", "Online terminal"),
+    (2, "Cash", "Till at the gate"),
+    (3, "Credit Card", "Terminal on the upper deck"),
 ]
 
 
@@ -164,13 +164,13 @@ def service_request(orders: DataFrame) -> DataFrame:
     )
 
 
-def vehicle_registration_request(part: DataFrame, whole: bool = False) -> DataFrame:
+def vehicle_registration_request(part: DataFrame) -> DataFrame:
     p = F.col("p_partkey")
     size = F.col("p_size")
     status = (F.when(size % 3 == 0, "Pending").when(size % 3 == 1, "Approved")
                .otherwise("Rejected"))
     created = days_after("1995-01-01", p % 2400)
-    return (part if whole else part.filter(p % 3 == 0)).select(
+    return part.select(
         p.alias("request_id"),
         idiv("p_partkey * 3", 4).alias("user_id"),
         F.concat(F.when(p % 30 == 0, "PL-").otherwise("NEW-"), p.cast("string"))
@@ -243,13 +243,11 @@ def reports(events: DataFrame) -> DataFrame:
     )
 
 
-def requests_mn(reports_df: DataFrame, whole: bool = False) -> DataFrame:
-    """``whole``: a requester for every report, another user where report_id % 10 > 0."""
-    if whole:
-        other = idiv("greatest(user_id - 1, 0)", 10) * 10 + 1
-        return reports_df.select(F.when(F.col("report_id") % 10 == 0, F.col("user_id"))
-                                 .otherwise(other).alias("user_id"), "report_id")
-    return reports_df.filter(F.col("report_id") % 10 == 0).select("user_id", "report_id")
+def requests_mn(reports_df: DataFrame) -> DataFrame:
+    """A requester for every report; another user than the report's where report_id % 10 > 0."""
+    other = idiv("greatest(user_id - 1, 0)", 10) * 10 + 1
+    return reports_df.select(F.when(F.col("report_id") % 10 == 0, F.col("user_id"))
+                             .otherwise(other).alias("user_id"), "report_id")
 
 
 def controls(users_df: DataFrame) -> DataFrame:
@@ -257,16 +255,10 @@ def controls(users_df: DataFrame) -> DataFrame:
         "user_id", (F.col("user_id") % 25).alias("garage_id"))
 
 
-def owns(service_request_df: DataFrame, whole: bool = False) -> DataFrame:
-    """``whole``: every request with a vehicle; where request_id % 10 > 0 it may be another
-    vehicle than the request's."""
-    if whole:
-        other = idiv("greatest(vehicle_id - 1, 0)", 10) * 10 + 1
-        return service_request_df.filter(F.col("vehicle_id").isNotNull()).select(
-            F.when(F.col("request_id") % 10 == 0, F.col("vehicle_id")).otherwise(other)
-            .alias("vehicle_id"), "request_id")
+def owns(service_request_df: DataFrame) -> DataFrame:
+    """The vehicle and request of every approved request for a covered bay (service 4)."""
     return service_request_df.filter(
-        F.col("vehicle_id").isNotNull() & (F.col("request_id") % 10 == 0)
+        F.col("vehicle_id").isNotNull() & (F.col("service_id") == 4) & (F.col("status") == "Approved")
     ).select("vehicle_id", "request_id")
 
 
@@ -337,19 +329,3 @@ class Garage:
     @property
     def registrations(self) -> DataFrame:
         return self.vehicle_registration_request
-
-
-class WholeGarage(Garage):
-    """The tables of ``Garage`` without its modulo slices: every order and part is in the
-    inputs and tables derived from it (the queries named ``..__whole``)."""
-
-    _BUILDERS = Garage._BUILDERS | {
-        "vehicle_registration_request":
-            lambda g: vehicle_registration_request(g.raw("part"), whole=True),
-        "requests": lambda g: requests_mn(g.reports, whole=True),
-        "owns": lambda g: owns(g.service_request, whole=True),
-        "decisions": lambda g: _inputs().decisions(g.raw("orders"), whole=True),
-        "registration_decisions":
-            lambda g: _inputs().registration_decisions(g.raw("part"), whole=True),
-        "payments_in": lambda g: _inputs().payments_in(g.raw("orders"), whole=True),
-    }

@@ -12,7 +12,6 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from parkops.plans.oracle_sql import SQL  # noqa: E402
-from parkops.plans.q_whole import READ_SLICES  # noqa: E402
 from parkops.plans.registry import QUERIES  # noqa: E402
 
 # (id, keys, function)
@@ -128,7 +127,6 @@ ROWS = [
     ("J8", ["dq_spot_choice"], "operators.quality.dq_spot_choice"),
     ("J9", ["dq_contact_fields"], "operators.quality.dq_contact_fields"),
     ("J10", ["dq_payable"], "operators.quality.dq_payable"),
-    ("B-J whole", [f"{k}__whole" for k in READ_SLICES], "plans.q_whole (over WholeGarage)"),
     ("E, K, L", [], "none in the reference (no window functions, streaming or UDFs)"),
 ]
 
