@@ -9,38 +9,22 @@ skewed join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parkops.functions import text as T
+from parkops.operators import constraints as C
+from parkops.operators.constraints import TableFn
 from parkops.sources import schema as S
 
-TableFn = Callable[[str], DataFrame]
 
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _key_text(cols: tuple[str, ...]) -> Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-
-
-# Primary keys, composite keys and UNIQUE columns.
-def dq_unique(table: TableFn, checks: list[tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
-    if checks is None:
-        checks = [(t, k) for t, k in S.PRIMARY_KEYS.items()]
-        checks += [(t, k) for t, keys in S.UNIQUE_KEYS.items() for k in keys]
-    parts = []
-    for t, cols in checks:
-        g = table(t).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        parts.append(g.select(F.lit("unique").alias("rule"), F.lit(t).alias("table_name"),
-                              F.lit(",".join(cols)).alias("column_name"),
-                              _key_text(cols).alias("value"), "n"))
-    return _union(parts)
+# Primary keys, composite keys and UNIQUE columns (constraints.py: one scan per table).
+def dq_unique(table: TableFn, checks: Sequence[C.Pair] = C.ALL_KEYS) -> DataFrame:
+    return C.violations(table, C.Rules(keys=checks)).select(
+        "rule", "table_name", "column_name", "value", "n")
 
 
 # Ids equal up to case; phone numbers used twice (NULL never equals NULL).
@@ -55,61 +39,33 @@ def dq_unique_ci(users: DataFrame) -> DataFrame:
 
 
 # Allowed lists; NULL passes.
-DOMAIN_CHECKS = S.DOMAINS + (("service_request", "status", S.REQUEST_STATUSES),)
+def dq_domain(table: TableFn, checks=S.DOMAINS) -> DataFrame:
+    return C.row_violations(table, C.Rules(domains=checks)).select(
+        "rule", "table_name", "column_name", "key", "value")
 
 
-def dq_domain(table: TableFn, checks=DOMAIN_CHECKS) -> DataFrame:
-    parts = []
-    for t, c, allowed in checks:
-        key = S.PRIMARY_KEYS[t]
-        df = table(t)
-        parts.append(df.filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)).select(
-            F.lit("domain").alias("rule"), F.lit(t).alias("table_name"), F.lit(c).alias("column_name"),
-            _key_text(key).alias("key"), F.col(c).cast("string").alias("value")))
-    return _union(parts)
-
-
-# Orphan references per foreign key, one row per missing value with the
-# number of child rows holding it. NULL passes. References to the same parent
-# key are checked together: their values are unioned, counted per (child
-# table, column, value) with a partial aggregate, and anti-joined once against
-# the parent's distinct keys (one scan and one join per parent table).
+# Orphan references per foreign key, one row per missing value with the number of child
+# rows holding it. NULL passes.
 def dq_foreign_key(table: TableFn, fks=S.FOREIGN_KEYS) -> DataFrame:
-    by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    for child, col, parent, pcol in fks:
-        by_parent.setdefault((parent, pcol), []).append((child, col))
-    parts = []
-    for (parent, pcol), refs in by_parent.items():
-        vals = _union([table(child).filter(F.col(col).isNotNull()).select(
-            F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
-            F.col(col).cast("long").alias("_v")) for child, col in refs])
-        counted = vals.groupBy("table_name", "column_name", "_v").agg(F.count(F.lit(1)).alias("n"))
-        keys = table(parent).select(F.col(pcol).cast("long").alias("_v")).distinct()
-        parts.append(counted.join(keys, "_v", "left_anti").select(
-            F.lit("foreign_key").alias("rule"), "table_name", "column_name",
-            F.lit(parent).alias("parent_table"), F.col("_v").cast("string").alias("value"), "n"))
-    return _union(parts)
+    return C.violations(table, C.Rules(references=fks)).select(
+        "rule", "table_name", "column_name", "parent_table", "value", "n")
 
 
 # J5
 def dq_not_null(table: TableFn, checks=S.NOT_NULL) -> DataFrame:
-    parts = []
-    for t, c in checks:
-        parts.append(table(t).filter(F.col(c).isNull()).select(
-            F.lit("not_null").alias("rule"), F.lit(t).alias("table_name"),
-            F.lit(c).alias("column_name"), _key_text(S.PRIMARY_KEYS[t]).alias("key")))
-    return _union(parts)
+    return C.row_violations(table, C.Rules(not_null=checks)).select(
+        "rule", "table_name", "column_name", "key")
 
 
 # VARCHAR(n) counts bytes.
 def dq_max_length(table: TableFn, checks=S.MAX_LENGTHS) -> DataFrame:
-    parts = []
-    for t, c, n in checks:
-        parts.append(table(t).filter(T.byte_length(c) > n).select(
-            F.lit("max_length").alias("rule"), F.lit(t).alias("table_name"),
-            F.lit(c).alias("column_name"), _key_text(S.PRIMARY_KEYS[t]).alias("key"),
-            T.byte_length(c).alias("value_len"), F.lit(n).alias("max_len")))
-    return _union(parts)
+    return C.row_violations(table, C.Rules(max_lengths=checks)).select(
+        "rule", "table_name", "column_name", "key", "value_len", "max_len")
+
+
+# J1, J3-J6 of all tables at once.
+def dq_constraints(table: TableFn) -> DataFrame:
+    return C.violations(table)
 
 
 # Card fields of credit payments; the first failing rule wins. No digit
@@ -171,7 +127,7 @@ def dq_contact_fields(users: DataFrame) -> DataFrame:
         e = T.trim_app("email")
         parts.append(users.select("user_id", F.when(e.isNull() | (e == ""), "email_required")
                                   .when(~T.valid_email(e), "email_invalid").alias("rule")))
-    return _union(parts).filter(F.col("rule").isNotNull())
+    return reduce(DataFrame.unionByName, parts).filter(F.col("rule").isNotNull())
 
 
 # Can this payment go ahead?

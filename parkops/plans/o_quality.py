@@ -8,13 +8,82 @@ def _keytext(cols):
     return "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
 
 
-_uniq = []
-for t, cols in list(S.PRIMARY_KEYS.items()) + [(t, k) for t, ks in S.UNIQUE_KEYS.items()
-                                                  for k in ks]:
-    _uniq.append(f"SELECT 'unique' AS rule, '{t}' AS table_name, '{','.join(cols)}' AS column_name, "
-                 f"{_keytext(cols)} AS value, COUNT(*) AS n FROM {t} "
-                 f"GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1")
-oracle("dq_unique", "\nUNION ALL\n".join(_uniq))
+def _unique(of):
+    keys = list(S.PRIMARY_KEYS.items()) + [(t, k) for t, ks in S.UNIQUE_KEYS.items() for k in ks]
+    return "\nUNION ALL\n".join(
+        f"SELECT 'unique' AS rule, '{t}' AS table_name, '{','.join(cols)}' AS column_name, "
+        f"{_keytext(cols)} AS value, COUNT(*) AS n FROM {of(t)} "
+        f"GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1" for t, cols in keys)
+
+
+def _domain(of):
+    return "\nUNION ALL\n".join(
+        f"SELECT 'domain' AS rule, '{t}' AS table_name, '{c}' AS column_name, "
+        f"{_keytext(S.PRIMARY_KEYS[t])} AS key, CAST({c} AS VARCHAR) AS value FROM {of(t)} "
+        f"WHERE {c} NOT IN ({', '.join(repr(a) for a in allowed)})"
+        for t, c, allowed in S.DOMAINS if c in of(t, c))
+
+
+def _foreign(of):
+    return "\nUNION ALL\n".join(
+        f"SELECT 'foreign_key' AS rule, '{child}' AS table_name, '{col}' AS column_name, "
+        f"'{parent}' AS parent_table, CAST(c.{col} AS VARCHAR) AS value, COUNT(*) AS n "
+        f"FROM {of(child)} c WHERE c.{col} IS NOT NULL "
+        f"AND NOT EXISTS (SELECT 1 FROM {of(parent)} p WHERE p.{pcol} = c.{col}) GROUP BY c.{col}"
+        for child, col, parent, pcol in S.FOREIGN_KEYS)
+
+
+def _not_null(of):
+    return "\nUNION ALL\n".join(
+        f"SELECT 'not_null' AS rule, '{t}' AS table_name, '{c}' AS column_name, "
+        f"{_keytext(S.PRIMARY_KEYS[t])} AS key FROM {of(t)} WHERE {c} IS NULL" for t, c in S.NOT_NULL)
+
+
+def _max_length(of, more=""):
+    return "\nUNION ALL\n".join(
+        f"SELECT 'max_length' AS rule, '{t}' AS table_name, '{c}' AS column_name, "
+        f"{_keytext(S.PRIMARY_KEYS[t])} AS key, CAST(strlen({c}) AS INTEGER) AS value_len, "
+        f"{n} AS max_len{more.format(c)} FROM {of(t)} WHERE strlen({c}) > {n}" for t, c, n in S.MAX_LENGTHS)
+
+
+class _Staged:
+    """Name of a table's staged form. Only that of service_request has a payment_method."""
+
+    SPOILED = ("users", "vehicle", "service_request", "payment", "requests", "gates")
+
+    def __call__(self, t, column=None):
+        if column is not None:
+            return (column,)
+        return f"staged_{t}" if t in self.SPOILED else t
+
+
+def _plain(t, column=None):
+    return t if column is None else () if column == "payment_method" else (column,)
+
+
+STAGED = _Staged()
+oracle("dq_unique", _unique(_plain))
+oracle("dq_domain", _domain(_plain))
+oracle("dq_foreign_key", _foreign(_plain))
+oracle("dq_not_null", _not_null(_plain))
+oracle("dq_max_length", _max_length(_plain))
+oracle("dq_unique__staged", _unique(STAGED))
+oracle("dq_domain__staged", _domain(STAGED))
+oracle("dq_foreign_key__staged", _foreign(STAGED))
+oracle("dq_not_null__staged", _not_null(STAGED))
+oracle("dq_max_length__staged", _max_length(STAGED))
+oracle("dq_constraints__staged", f"""
+SELECT rule, table_name, column_name, NULL::VARCHAR AS parent_table, NULL::VARCHAR AS key, value, n
+FROM ({_unique(STAGED)})
+UNION ALL
+SELECT rule, table_name, column_name, parent_table, NULL, value, n FROM ({_foreign(STAGED)})
+UNION ALL
+SELECT rule, table_name, column_name, NULL, key, min(value), COUNT(*)
+FROM (SELECT rule, table_name, column_name, key, value FROM ({_domain(STAGED)})
+      UNION ALL SELECT rule, table_name, column_name, key, NULL FROM ({_not_null(STAGED)})
+      UNION ALL SELECT rule, table_name, column_name, key, value
+                FROM ({_max_length(STAGED, ", {} AS value")}))
+GROUP BY rule, table_name, column_name, key""")
 
 oracle("dq_unique_ci", """
 SELECT 'uni_id_ci' AS rule, lower(uni_id) AS value, COUNT(*) AS n FROM users
@@ -23,32 +92,6 @@ UNION ALL
 SELECT 'phone', phone, COUNT(*) FROM users WHERE phone IS NOT NULL
 GROUP BY phone HAVING COUNT(*) > 1""")
 
-_dom = []
-for t, c, allowed in S.DOMAINS + (("service_request", "status", S.REQUEST_STATUSES),):
-    lst = ", ".join(f"'{a}'" for a in allowed)
-    _dom.append(f"SELECT 'domain' AS rule, '{t}' AS table_name, '{c}' AS column_name, "
-                f"{_keytext(S.PRIMARY_KEYS[t])} AS key, CAST({c} AS VARCHAR) AS value "
-                f"FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN ({lst})")
-oracle("dq_domain", "\nUNION ALL\n".join(_dom))
-
-_fk = []
-for child, col, parent, pcol in S.FOREIGN_KEYS:
-    _fk.append(f"SELECT 'foreign_key' AS rule, '{child}' AS table_name, '{col}' AS column_name, "
-               f"'{parent}' AS parent_table, CAST(c.{col} AS VARCHAR) AS value, COUNT(*) AS n "
-               f"FROM {child} c WHERE c.{col} IS NOT NULL "
-               f"AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = c.{col}) "
-               f"GROUP BY c.{col}")
-oracle("dq_foreign_key", "\nUNION ALL\n".join(_fk))
-
-oracle("dq_not_null", "\nUNION ALL\n".join(
-    f"SELECT 'not_null' AS rule, '{t}' AS table_name, '{c}' AS column_name, "
-    f"{_keytext(S.PRIMARY_KEYS[t])} AS key FROM {t} WHERE {c} IS NULL" for t, c in S.NOT_NULL))
-
-oracle("dq_max_length", "\nUNION ALL\n".join(
-    f"SELECT 'max_length' AS rule, '{t}' AS table_name, '{c}' AS column_name, "
-    f"{_keytext(S.PRIMARY_KEYS[t])} AS key, CAST(strlen({c}) AS INTEGER) AS value_len, "
-    f"{n} AS max_len FROM {t} WHERE strlen({c}) > {n}" for t, c, n in S.MAX_LENGTHS))
-
 TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 
 

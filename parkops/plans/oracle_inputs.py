@@ -103,3 +103,36 @@ FROM customer""")
 view("purge_ids", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 10 = 0")
 view("purge_plates", """
 SELECT 'PL-' || CAST(p_partkey AS VARCHAR) AS license_plate FROM part WHERE p_partkey % 50 = 0""")
+
+# the tables of an import, some rows of them broken
+view("staged_users", """
+SELECT user_id, CASE WHEN user_id % 17 = 3 THEN 'U' || CAST(user_id - 1 AS VARCHAR)
+                     WHEN user_id % 29 <> 4 THEN uni_id END AS uni_id,
+       CASE WHEN user_id % 19 = 5 THEN NULL WHEN user_id % 37 = 6 THEN repeat('x', 300) ELSE name END AS name,
+       CASE WHEN user_id % 23 = 7 THEN phone || phone || phone ELSE phone END AS phone,
+       CASE WHEN user_id % 13 = 8 THEN 'Stafff' ELSE user_type END AS user_type
+FROM users""", ("users",))
+view("staged_vehicle", """
+SELECT vehicle_id, CASE WHEN vehicle_id % 31 = 1 THEN 'PL-' || CAST(vehicle_id + 1 AS VARCHAR)
+                        WHEN vehicle_id % 41 <> 2 THEN license_plate END AS license_plate,
+       CASE WHEN vehicle_id % 43 = 3 THEN repeat('x', 300) ELSE color END AS color,
+       CASE WHEN vehicle_id % 11 = 4 THEN -vehicle_id ELSE user_id END AS user_id, model, approved_by
+FROM vehicle""", ("vehicle",))
+view("staged_service_request", """
+SELECT request_id + CASE WHEN request_id % 47 = 1 THEN 1 ELSE 0 END AS request_id, user_id, vehicle_id,
+       service_id, status, approved_by, receipt_id,
+       CASE WHEN request_id % 53 = 2 THEN 999999 ELSE spot_id END AS spot_id,
+       CASE WHEN request_id % 59 = 3 THEN 'Cheque' WHEN request_id % 2 = 0 THEN 'Cash' ELSE 'Credit' END
+         AS payment_method,
+       CASE WHEN request_id % 61 = 4 THEN 'Refunded' ELSE payment_status END AS payment_status
+FROM service_request""", ("service_request",))
+view("staged_payment", """
+SELECT payment_id, status, CASE WHEN payment_id % 67 = 1 THEN 9 ELSE method_id END AS method_id,
+       CASE WHEN payment_id % 71 = 2 THEN -invoice_id ELSE invoice_id END AS invoice_id
+FROM payment""", ("payment",))
+view("staged_requests", """
+SELECT user_id, CASE WHEN report_id % 3 = 1 THEN -1 ELSE report_id END AS report_id FROM requests""",
+     ("requests",))
+view("staged_gates", """
+SELECT gate_id + CASE WHEN gate_id % 5 = 3 THEN 1 ELSE 0 END AS gate_id, name,
+       CASE WHEN gate_id % 4 = 1 THEN 77 ELSE garage_id END AS garage_id FROM gates""", ("gates",))

@@ -134,9 +134,10 @@ SELECT (l_orderkey * 8 + l_linenumber) * 1000 + row_number() OVER (
 FROM lineitem""")
 
 view("log_record", """
-SELECT event_id AS log_id, event_id % 10 AS spot_id, event_id % 100 AS request_id,
+SELECT event_id AS log_id, event_id % 10 AS spot_id, event_id % 10 AS gate_id,
+       event_id % 100 AS request_id,
        CAST(NULL AS BIGINT) AS report_id, event_id % 40 AS vehicle_id, user_id,
-       event_type AS log_type, props AS details, ts AS "timestamp"
+       (event_id + 1) % 10 AS sensor_id, event_type AS log_type, props AS details, ts AS "timestamp"
 FROM events""")
 
 view("reports", """
@@ -155,6 +156,18 @@ view("owns", """
 SELECT vehicle_id, request_id FROM service_request
 WHERE vehicle_id IS NOT NULL AND service_id = 4 AND status = 'Approved'""", ("service_request",))
 
+view("gates", """
+SELECT s_suppkey AS gate_id, CAST(s_nationkey AS BIGINT) AS garage_id,
+       'Gate ' || CAST(s_suppkey AS VARCHAR) AS name FROM supplier""")
+view("sensors", """
+SELECT s_suppkey AS sensor_id, CASE s_suppkey % 2 WHEN 0 THEN 'Gate' ELSE 'Occupancy' END AS sensor_type,
+       CASE s_suppkey % 2 WHEN 1 THEN s_suppkey END AS spot_id FROM supplier""")
+view("gate_sensors", "SELECT sensor_id, sensor_id AS gate_id FROM sensors WHERE sensor_type = 'Gate'",
+     ("sensors",))
+view("occupancy_sensor", """
+SELECT s_suppkey AS sensor_id, s_suppkey AS spot_id,
+       CASE WHEN s_acctbal <= 8000 THEN s_acctbal > 0 END AS is_occupied FROM supplier""")
+
 
 def _mentioned(sql: str) -> list[str]:
     found = []

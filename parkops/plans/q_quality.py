@@ -9,6 +9,7 @@ from parkops.operators import quality as Q
 from parkops.operators import tables as TB
 from parkops.plans.registry import query
 from parkops.sources import schema as S
+from parkops.sources.staged import StagedGarage
 
 
 @query("dq_unique")
@@ -41,6 +42,41 @@ def _(g):
     return Q.dq_max_length(g.table)
 
 
+def _staged(g):
+    return StagedGarage(g.spark, g.sf_dir)
+
+
+# the same jobs over an import in which every rule is broken somewhere
+@query("dq_constraints__staged")
+def _(g):
+    return Q.dq_constraints(_staged(g).table)
+
+
+@query("dq_unique__staged")
+def _(g):
+    return Q.dq_unique(_staged(g).table)
+
+
+@query("dq_foreign_key__staged")
+def _(g):
+    return Q.dq_foreign_key(_staged(g).table)
+
+
+@query("dq_domain__staged")
+def _(g):
+    return Q.dq_domain(_staged(g).table)
+
+
+@query("dq_not_null__staged")
+def _(g):
+    return Q.dq_not_null(_staged(g).table)
+
+
+@query("dq_max_length__staged")
+def _(g):
+    return Q.dq_max_length(_staged(g).table)
+
+
 @query("dq_card_fields")
 def _(g):
     return Q.dq_card_fields(g.payments_in)

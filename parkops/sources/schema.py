@@ -17,6 +17,7 @@ TABLES = (
     "users", "vehicle", "service_type", "parking_garage", "parking_spots",
     "service_request", "invoice", "payment_method", "payment", "reports",
     "log_record", "requests", "controls", "owns", "vehicle_registration_request",
+    "gates", "sensors", "gate_sensors", "occupancy_sensor",
 )
 
 # Primary keys (single or composite) and UNIQUE columns.
@@ -36,6 +37,10 @@ PRIMARY_KEYS = {
     "controls": ("user_id", "garage_id"),
     "owns": ("vehicle_id", "request_id"),
     "vehicle_registration_request": ("request_id",),
+    "gates": ("gate_id",),
+    "sensors": ("sensor_id",),
+    "gate_sensors": ("sensor_id",),
+    "occupancy_sensor": ("sensor_id",),
 }
 UNIQUE_KEYS = {
     "users": (("uni_id",),),
@@ -69,6 +74,12 @@ FOREIGN_KEYS = (
     ("owns", "request_id", "service_request", "request_id"),
     ("vehicle_registration_request", "user_id", "users", "user_id"),
     ("vehicle_registration_request", "approved_by", "users", "user_id"),
+    ("gates", "garage_id", "parking_garage", "garage_id"),
+    ("sensors", "spot_id", "parking_spots", "spot_id"),
+    ("gate_sensors", "gate_id", "gates", "gate_id"),
+    ("occupancy_sensor", "spot_id", "parking_spots", "spot_id"),
+    ("log_record", "gate_id", "gates", "gate_id"),
+    ("log_record", "sensor_id", "sensors", "sensor_id"),
 )
 
 NOT_NULL = (
@@ -90,6 +101,8 @@ DOMAINS = (
     ("users", "user_type", USER_TYPES),
     ("parking_garage", "garage_status", GARAGE_STATUSES),
     ("service_request", "payment_status", PAYMENT_STATUSES),
+    ("service_request", "payment_method", PAYMENT_METHODS),
+    ("service_request", "status", REQUEST_STATUSES),
 )
 
 # VARCHAR(n) limits (bytes).
@@ -109,6 +122,7 @@ MAX_LENGTHS = (
     ("vehicle_registration_request", "color", 30),
     ("vehicle_registration_request", "model", 50),
     ("vehicle_registration_request", "status", 30),
+    ("gates", "name", 50), ("sensors", "sensor_type", 50),
 )
 
 # Column defaults declared by the schema (applied to new rows only).

@@ -222,10 +222,12 @@ def log_record(events: DataFrame) -> DataFrame:
     return events.select(
         e.alias("log_id"),
         (e % 10).alias("spot_id"),
+        (e % 10).alias("gate_id"),
         (e % 100).alias("request_id"),
         F.lit(None).cast("long").alias("report_id"),
         (e % 40).alias("vehicle_id"),
         F.col("user_id"),
+        ((e + 1) % 10).alias("sensor_id"),
         F.col("event_type").alias("log_type"),
         F.col("props").alias("details"),
         F.col("ts").alias("timestamp"),
@@ -262,6 +264,32 @@ def owns(service_request_df: DataFrame) -> DataFrame:
     ).select("vehicle_id", "request_id")
 
 
+def gates(supplier: DataFrame) -> DataFrame:
+    s = F.col("s_suppkey")
+    return supplier.select(s.alias("gate_id"), F.col("s_nationkey").cast("long").alias("garage_id"),
+                           F.concat(F.lit("Gate "), s.cast("string")).alias("name"))
+
+
+def sensors(supplier: DataFrame) -> DataFrame:
+    """A sensor per supplier: at a gate (even keys) or over a spot."""
+    s = F.col("s_suppkey")
+    return supplier.select(
+        s.alias("sensor_id"), F.when(s % 2 == 0, "Gate").otherwise("Occupancy").alias("sensor_type"),
+        F.when(s % 2 == 1, s).alias("spot_id"))
+
+
+def gate_sensors(supplier: DataFrame) -> DataFrame:
+    return sensors(supplier).filter("sensor_type = 'Gate'").select(
+        "sensor_id", F.col("sensor_id").alias("gate_id"))
+
+
+def occupancy_sensor(supplier: DataFrame) -> DataFrame:
+    s = F.col("s_suppkey")
+    return supplier.select(s.alias("sensor_id"), s.alias("spot_id"),
+                           F.when(F.col("s_acctbal") > 8000, F.lit(None).cast("boolean"))
+                           .otherwise(F.col("s_acctbal") > 0).alias("is_occupied"))
+
+
 def _inputs():
     from parkops.sources import inputs
     return inputs
@@ -290,6 +318,10 @@ class Garage:
         "requests": lambda g: requests_mn(g.reports),
         "controls": lambda g: controls(g.users),
         "owns": lambda g: owns(g.service_request),
+        "gates": lambda g: gates(g.raw("supplier")),
+        "sensors": lambda g: sensors(g.raw("supplier")),
+        "gate_sensors": lambda g: gate_sensors(g.raw("supplier")),
+        "occupancy_sensor": lambda g: occupancy_sensor(g.raw("supplier")),
         # inputs of the batch transforms (parkops/sources/inputs.py)
         "decisions": lambda g: _inputs().decisions(g.raw("orders")),
         "registration_decisions": lambda g: _inputs().registration_decisions(g.raw("part")),

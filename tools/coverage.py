@@ -117,12 +117,12 @@ ROWS = [
     ("I16", ["submit_registrations__registrations", "submit_registrations__rejected"],
      "operators.billing.submit_registrations"),
     ("I17", ["register_users__users", "register_users__rejected"], "operators.billing.register_users"),
-    ("J1", ["dq_unique"], "operators.quality.dq_unique"),
+    ("J1", ["dq_unique", "dq_unique__staged", "dq_constraints__staged"], "operators.quality.dq_unique"),
     ("J2", ["dq_unique_ci"], "operators.quality.dq_unique_ci"),
-    ("J3", ["dq_domain"], "operators.quality.dq_domain"),
-    ("J4", ["dq_foreign_key"], "operators.quality.dq_foreign_key"),
-    ("J5", ["dq_not_null"], "operators.quality.dq_not_null"),
-    ("J6", ["dq_max_length"], "operators.quality.dq_max_length"),
+    ("J3", ["dq_domain", "dq_domain__staged"], "operators.quality.dq_domain"),
+    ("J4", ["dq_foreign_key", "dq_foreign_key__staged"], "operators.quality.dq_foreign_key"),
+    ("J5", ["dq_not_null", "dq_not_null__staged"], "operators.quality.dq_not_null"),
+    ("J6", ["dq_max_length", "dq_max_length__staged"], "operators.quality.dq_max_length"),
     ("J7", ["dq_card_fields"], "operators.quality.dq_card_fields"),
     ("J8", ["dq_spot_choice"], "operators.quality.dq_spot_choice"),
     ("J9", ["dq_contact_fields"], "operators.quality.dq_contact_fields"),
