@@ -17,6 +17,7 @@ from parkops.functions import text as T
 from parkops.operators.ranking import (Key, asc, desc, position_in_group, top_k, top_k_per_group,
                                        with_position)
 from parkops.operators.reports import bounded
+from parkops.operators.skew import hot_map, spread_join
 from parkops.sources import schema as S
 
 LONG, STR = "long", "string"
@@ -59,47 +60,39 @@ def garage_status_lookup(garage: DataFrame) -> DataFrame:
 # approver (a second, aliased use of users).
 def service_request_board(requests: DataFrame, service_type: DataFrame, users: DataFrame,
                           vehicle: DataFrame, spots: DataFrame, garage: DataFrame) -> DataFrame:
-    sr = requests.alias("sr")
-    st = bounded(service_type).alias("st")
-    u = users.alias("u")
-    ap = users.select("user_id", "name").alias("ap")
-    v = vehicle.select("vehicle_id", "license_plate", "model").alias("v")
-    ps = spots.select("spot_id", "spot_number", "garage_id").alias("ps")
-    pg = garage.select("garage_id", "name").alias("pg")
-    return (sr.join(st, F.col("sr.service_id") == F.col("st.service_id"))
-            .join(u, F.col("sr.user_id") == F.col("u.user_id"))
-            .join(v, F.col("sr.vehicle_id") == F.col("v.vehicle_id"), "left")
-            .join(ps, F.col("sr.spot_id") == F.col("ps.spot_id"), "left")
-            .join(pg, F.col("ps.garage_id") == F.col("pg.garage_id"), "left")
-            .join(ap, F.col("sr.approved_by") == F.col("ap.user_id"), "left")
-            .select(*[F.col("sr." + c) for c in requests.columns],
-                    F.col("st.service_name"), F.col("st.price").alias("service_price"),
-                    F.col("u.name").alias("user_name"), F.col("u.user_type"),
-                    F.col("u.uni_id"), F.col("v.license_plate"),
-                    F.col("v.model").alias("vehicle_model"), F.col("ps.spot_number"),
-                    F.col("pg.name").alias("garage_name"),
-                    F.col("ap.name").alias("approver_name"),
-                    F.lit(T.SERVICE_TAG).alias("request_type")))
+    by, hot = ["request_id"], lambda c: hot_map(requests, c)
+    st = bounded(service_type).select("service_id", "service_name", F.col("price").alias("service_price"))
+    u = users.select("user_id", F.col("name").alias("user_name"), "user_type", "uni_id")
+    ap = users.select(F.col("user_id").alias("approved_by"), F.col("name").alias("approver_name"))
+    v = vehicle.select("vehicle_id", "license_plate", F.col("model").alias("vehicle_model"))
+    # a spot's garage is looked up once per spot, not per request
+    ps = spots.select("spot_id", "spot_number", "garage_id").join(
+        garage.select("garage_id", F.col("name").alias("garage_name")), "garage_id", "left").drop("garage_id")
+    board = spread_join(requests.join(st, "service_id"), u, "user_id", "inner", hot("user_id"), by)
+    board = spread_join(board, v, "vehicle_id", "left", hot("vehicle_id"), by)
+    board = spread_join(board, ps, "spot_id", "left", hot("spot_id"), by)
+    board = spread_join(board, ap, "approved_by", "left", hot("approved_by"), by)
+    return board.select(*requests.columns, "service_name", "service_price", "user_name", "user_type",
+                        "uni_id", "license_plate", "vehicle_model", "spot_number", "garage_name",
+                        "approver_name", F.lit(T.SERVICE_TAG).alias("request_type"))
 
 
 # Registration requests shaped like C4 (B3: literal tags, typed NULLs).
 def registration_board(registrations: DataFrame, users: DataFrame) -> DataFrame:
-    r = registrations.alias("r")
-    u = users.alias("u")
-    ap = users.select("user_id", "name").alias("ap")
-    return (r.join(u, F.col("r.user_id") == F.col("u.user_id"))
-            .join(ap, F.col("r.approved_by") == F.col("ap.user_id"), "left")
-            .select(F.col("r.request_id"), F.col("r.user_id"), typed_null(LONG).alias("vehicle_id"),
-                    typed_null(LONG).alias("service_id"), F.col("r.status"),
-                    F.col("r.approved_by"), F.col("r.created_at"), F.col("r.completed_at"),
-                    typed_null(LONG).alias("spot_id"), typed_null(STR).alias("receipt_id"),
-                    F.lit(T.REGISTRATION_SERVICE).alias("service_name"),
-                    F.lit(0).cast(S.MONEY).alias("service_price"),
-                    F.col("u.name").alias("user_name"), F.col("u.user_type"), F.col("u.uni_id"),
-                    F.col("r.license_plate"), F.col("r.model").alias("vehicle_model"),
-                    typed_null(STR).alias("spot_number"), typed_null(STR).alias("garage_name"),
-                    F.col("ap.name").alias("approver_name"),
-                    F.lit(T.REGISTRATION_TAG).alias("request_type")))
+    by, hot = ["request_id"], lambda c: hot_map(registrations, c)
+    u = users.select("user_id", F.col("name").alias("user_name"), "user_type", "uni_id")
+    ap = users.select(F.col("user_id").alias("approved_by"), F.col("name").alias("approver_name"))
+    board = spread_join(registrations, u, "user_id", "inner", hot("user_id"), by)
+    board = spread_join(board, ap, "approved_by", "left", hot("approved_by"), by)
+    return board.select("request_id", "user_id", typed_null(LONG).alias("vehicle_id"),
+                        typed_null(LONG).alias("service_id"), "status", "approved_by", "created_at",
+                        "completed_at", typed_null(LONG).alias("spot_id"),
+                        typed_null(STR).alias("receipt_id"),
+                        F.lit(T.REGISTRATION_SERVICE).alias("service_name"),
+                        F.lit(0).cast(S.MONEY).alias("service_price"), "user_name", "user_type", "uni_id",
+                        "license_plate", F.col("model").alias("vehicle_model"),
+                        typed_null(STR).alias("spot_number"), typed_null(STR).alias("garage_name"),
+                        "approver_name", F.lit(T.REGISTRATION_TAG).alias("request_type"))
 
 
 # G1: both kinds in one list (UNION ALL by name; missing columns NULL).
@@ -267,10 +260,11 @@ def user_requests(requests: DataFrame, service_type: DataFrame, vehicle: DataFra
                                       F.col("price").alias("service_price"))
     v = vehicle.select("vehicle_id", "license_plate")
     ps = spots.select("spot_id", "spot_number")
-    return (requests.join(st, "service_id").join(v, "vehicle_id", "left")
-            .join(ps, "spot_id", "left")
-            .select(*requests.columns, "service_name", "service_price", "license_plate",
-                    "spot_number", F.lit(T.SERVICE_TAG).alias("request_type")))
+    by, hot = ["request_id"], lambda c: hot_map(requests, c)
+    rows = spread_join(requests.join(st, "service_id"), v, "vehicle_id", "left", hot("vehicle_id"), by)
+    return spread_join(rows, ps, "spot_id", "left", hot("spot_id"), by).select(
+        *requests.columns, "service_name", "service_price", "license_plate", "spot_number",
+        F.lit(T.SERVICE_TAG).alias("request_type"))
 
 
 # With the user's registration requests.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parkops.functions import text as T
 from parkops.operators.ranking import asc
+from parkops.operators.skew import hot_map, spread_join
 from parkops.operators.tables import assign_identity
 
 _NEW = "_new"
@@ -156,7 +157,7 @@ def reject_vehicles_vehicles(vehicles, requests, owns, actions):
 
 def reject_vehicles_logs(logs, vehicles, requests, owns, actions):
     gone, _ = _reject_split(vehicles, requests, owns, actions)
-    return logs.join(gone, "vehicle_id", "left_anti")
+    return spread_join(logs, gone, "vehicle_id", "left_anti", hot_map(logs, "vehicle_id"), ["log_id"])
 
 
 def reject_vehicles_blocked(vehicles, requests, owns, actions):

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parkops.operators.skew import hot_map, spread_join
 from parkops.session import cut_lineage
 
 
@@ -24,8 +25,8 @@ def drop_keys(df: DataFrame, keys: DataFrame, col: str, key_col: str | None = No
 
 # SET col = NULL WHERE col IN keys.
 def nullify_reference(df: DataFrame, col: str, keys: DataFrame, key_col: str) -> DataFrame:
-    k = keys.select(F.col(key_col).alias("_k")).distinct().withColumn("_hit", F.lit(True))
-    j = df.join(k, df[col] == k["_k"], "left")
+    k = keys.select(F.col(key_col).alias(col)).distinct().withColumn("_hit", F.lit(True))
+    j = spread_join(df, k, col, "left", hot_map(df, col), [c for c in df.columns if c != col])
     return j.select(*[F.when(F.col("_hit"), F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c))
                       .alias(c) if c == col else F.col(c) for c in df.columns])
 
