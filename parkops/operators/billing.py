@@ -17,16 +17,12 @@ from parkops.operators import quality as Q
 from parkops.operators.decisions import apply_updates
 from parkops.operators.reports import bounded
 from parkops.operators.ranking import asc
+from parkops.operators.signups import copies, register_users_rejected, register_users_users  # noqa: F401
 from parkops.operators.tables import assign_identities, assign_identity
 from parkops.session import cut_lineage
 from parkops.sources import schema as S
 
 
-def copies(df: DataFrame) -> DataFrame:
-    """Distinct rows of ``df`` with how many copies there are (``_n``)."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-
-
 # Request detail for (request, owner) pairs: the owner check is part of
 # the key, so other users' requests never match.
 def request_detail(board: DataFrame, keys: DataFrame) -> DataFrame:
@@ -221,67 +217,6 @@ def submit_registrations_registrations(regs_in, vehicles, registrations) -> Data
     return registrations.unionByName(new.select(*registrations.columns))
 
 
-# Sign-ups, as if handled one after the other (by time, id, name, phone,
-# type): refused when a user, or a sign-up accepted before, has the id (up to
-# case); else when the type is unknown; else when one has the phone.
-def _signup_check(users_in: DataFrame, users: DataFrame) -> DataFrame:
-    """Distinct sign-ups with ``_n`` copies and the reason against them.
-
-    A refused sign-up blocks nobody, so who is accepted depends on who was before. Each
-    round accepts the open sign-ups that are first in both their id and their phone and
-    closes those sharing either; the rounds are as many as the longest chain of such
-    dependences (few), and only keys are carried.
-    """
-    cols = ["uni_id", "name", "phone", "user_type"]
-    u = copies(users_in.select("submitted_at", *[T.trim_app(c).alias(c) for c in cols]))
-    u = u.withColumn("_lid", F.coalesce(F.lower("uni_id"), F.lit(""))) \
-         .withColumn("_key", F.struct("submitted_at", *cols))
-    ids = users.select(F.lower("uni_id").alias("_lid")).distinct().withColumn("_id_taken", F.lit(True))
-    phones = (users.filter(F.col("phone").isNotNull()).select("phone").distinct()
-              .withColumn("_ph_taken", F.lit(True)))
-    known = F.coalesce(F.col("user_type").isin(*S.USER_TYPES), F.lit(False))
-    u = cut_lineage(u.join(ids, "_lid", "left").join(phones, "phone", "left")
-                    .withColumn("_known", known))
-    still = u.filter(F.col("_id_taken").isNull() & F.col("_ph_taken").isNull() & F.col("_known")) \
-        .select("_lid", "phone", "_key")
-    accepted = still.limit(0)
-    while not still.isEmpty():
-        by_id = still.groupBy("_lid").agg(F.min("_key").alias("_i"))
-        by_phone = (still.filter(F.col("phone").isNotNull()).groupBy("phone")
-                    .agg(F.min("_key").alias("_p")))
-        first = (F.col("_key") == F.col("_i")) & (F.col("phone").isNull() | (F.col("_key") == F.col("_p")))
-        won = cut_lineage(still.join(by_id, "_lid").join(by_phone, "phone", "left").filter(first)
-                          .select("_lid", "phone", "_key"))
-        accepted = accepted.unionByName(won)
-        still = cut_lineage(still.join(won.select("_lid"), "_lid", "left_anti")
-                            .join(won.select("phone"), "phone", "left_anti"))
-    of_id = accepted.select("_lid", F.col("_key").alias("_i"))
-    of_phone = accepted.filter(F.col("phone").isNotNull()).select("phone", F.col("_key").alias("_p"))
-    j = u.join(of_id, "_lid", "left").join(of_phone, "phone", "left")
-    reason = (F.when(F.col("_id_taken").isNotNull() | (F.col("_i") < F.col("_key")), "uni_id_taken")
-               .when(~F.col("_known"), "invalid_type")
-               .when(F.col("_ph_taken").isNotNull() | (F.col("_p") < F.col("_key")), "phone_taken"))
-    return j.withColumn("reason", reason)
-
-
-def register_users_rejected(users_in, users) -> DataFrame:
-    """One row per distinct rejected sign-up, with the number of its copies; the further
-    copies of an accepted one meet its id."""
-    n = F.col("_n") - F.when(F.col("reason").isNull(), 1).otherwise(0)
-    return (_signup_check(users_in, users)
-            .select("uni_id", "submitted_at", F.coalesce("reason", F.lit("uni_id_taken")).alias("reason"),
-                    n.cast("long").alias("copies")).filter("copies > 0"))
-
-
-def register_users_users(users_in, users) -> DataFrame:
-    ok = _signup_check(users_in, users).filter(F.col("reason").isNull())
-    ok = assign_identity(ok, users, "user_id", [asc("submitted_at"), asc("uni_id")])
-    new = ok.select("user_id", "uni_id", "name", "phone", "user_type",
-                    F.lit(None).cast("boolean").alias("access_status"),
-                    F.col("submitted_at").alias("created_at"))
-    return users.unionByName(new.select(*users.columns))
-
-
 def apply_payments(payments_in, requests, invoices, service_type, methods, payments) -> dict:
     """All tables changed by a batch of payments; the accepted payments with
     their new ids are computed once and materialised for the four outputs."""

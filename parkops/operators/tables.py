@@ -29,10 +29,12 @@ def append_rows(base: DataFrame, new: DataFrame) -> DataFrame:
 
 # Surrogate ids continuing after the current maximum, in a total order. Several id
 # columns that number the same rows in the same order share one pass.
-def assign_identities(new: DataFrame, bases: dict[str, DataFrame], order: Sequence[Key]) -> DataFrame:
+def assign_identities(new: DataFrame, bases: dict[str, DataFrame], order: Sequence[Key],
+                      keys: DataFrame | None = None) -> DataFrame:
     ids = [(base.select(F.coalesce(F.max(c), F.lit(0)).cast("long")).scalar() + F.col("_pos")).alias(c)
            for c, base in bases.items()]
-    return with_position(new, order, "_pos").select(*[c for c in new.columns if c not in bases], *ids)
+    return with_position(new, order, "_pos", keys=keys).select(
+        *[c for c in new.columns if c not in bases], *ids)
 
 
 def assign_identity(new: DataFrame, base: DataFrame, id_col: str, order: Sequence[Key]) -> DataFrame:

@@ -553,6 +553,37 @@ SELECT (SELECT COALESCE(MAX(user_id), 0) FROM users)
        submitted_at AS created_at
 FROM schk2 WHERE reason IS NULL""", SIGN)
 
+def _empty(c):
+    return f"({t(c)} IS NULL OR {t(c)} IN ('', '0'))"
+
+
+MANAGE = SIGN | {
+    "sin": f"""
+SELECT {t('uni_id')} AS uni_id, {t('name')} AS name, {t('phone')} AS phone, NULL::VARCHAR AS user_type,
+       submitted_at, COALESCE(password NOT IN ('', '0'), FALSE) AS has_password, count(*) AS n
+FROM managers_in GROUP BY ALL""",
+    "sbase": f"""
+SELECT *, lower(uni_id) AS lid,
+       row_number() OVER (ORDER BY submitted_at, uni_id, name, phone NULLS FIRST, has_password) AS rn,
+       EXISTS (SELECT 1 FROM users u WHERE lower(u.uni_id) = lower(s.uni_id)) AS id_taken,
+       has_password AND NOT {_empty('uni_id')} AND NOT {_empty('name')} AND NOT {_empty('phone')} AS known,
+       EXISTS (SELECT 1 FROM users u WHERE u.phone = s.phone) AS ph_taken
+FROM sin s""",
+    "schk2": SIGN["schk2"].replace("invalid_type", "missing_field")}
+
+oracle("register_managers__rejected", """
+SELECT uni_id, submitted_at, COALESCE(reason, 'uni_id_taken') AS reason,
+       n - CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS copies
+FROM schk2 WHERE n > 1 OR reason IS NOT NULL""", MANAGE)
+oracle("register_managers__users", """
+SELECT * FROM users
+UNION ALL BY NAME
+SELECT (SELECT COALESCE(MAX(user_id), 0) FROM users)
+         + row_number() OVER (ORDER BY submitted_at, uni_id) AS user_id,
+       uni_id, name, phone, 'Manager' AS user_type, CAST(NULL AS BOOLEAN) AS access_status,
+       submitted_at AS created_at
+FROM schk2 WHERE reason IS NULL""", MANAGE)
+
 oracle("request_detail", """
 SELECT b.* FROM svc_board b
 WHERE EXISTS (SELECT 1 FROM payments_in p WHERE p.request_id = b.request_id

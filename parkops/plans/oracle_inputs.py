@@ -100,6 +100,18 @@ SELECT CASE WHEN c_custkey % 49 = 0 THEN 'u' || CAST(c_custkey AS VARCHAR)
          AS submitted_at
 FROM customer""")
 
+view("managers_in", """
+SELECT CASE WHEN c_custkey % 31 = 0 THEN 'u' || CAST(c_custkey AS VARCHAR)
+            WHEN c_custkey % 14 < 2 THEN 'G' || CAST(c_custkey // 14 AS VARCHAR)
+            ELSE ' K' || CAST(c_custkey AS VARCHAR) END AS uni_id,
+       CASE WHEN c_custkey % 23 = 2 THEN ' ' || chr(9) ELSE 'Manager ' || c_name END AS name,
+       CASE WHEN c_custkey % 12 < 2 THEN '041' || lpad(CAST(c_custkey // 12 AS VARCHAR), 8, '0')
+            WHEN c_custkey % 37 = 5 THEN '010' || lpad(CAST((c_custkey + 1) % 900 AS VARCHAR), 8, '0')
+            ELSE '040' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone,
+       CASE WHEN c_custkey % 19 = 4 THEN '' ELSE 'pw' || CAST(c_custkey AS VARCHAR) END AS password,
+       TIMESTAMP '2024-05-01 00:00:00' + to_minutes(CAST(1000 - c_custkey % 1000 AS INTEGER))
+         AS submitted_at
+FROM customer""")
 view("purge_ids", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 10 = 0")
 view("purge_plates", """
 SELECT 'PL-' || CAST(p_partkey AS VARCHAR) AS license_plate FROM part WHERE p_partkey % 50 = 0""")

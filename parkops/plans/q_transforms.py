@@ -9,6 +9,7 @@ from parkops.operators import billing as BL
 from parkops.operators import boards as B
 from parkops.operators import decisions as D
 from parkops.operators import purge as P
+from parkops.operators import signups as SU
 from parkops.operators import tables as TB
 from parkops.operators.ranking import asc
 from parkops.plans.registry import query
@@ -248,6 +249,16 @@ def _(g):
 
 # --- table operations ---
 
+@query("register_managers__users")
+def _(g):
+    return SU.register_managers_users(g.managers_in, g.users)
+
+
+@query("register_managers__rejected")
+def _(g):
+    return SU.register_managers_rejected(g.managers_in, g.users)
+
+
 def _signups_with_ids(g):
     new = g.users_in.select("uni_id", "name", "phone", "user_type", "submitted_at")
     return TB.assign_identity(new, g.users, "user_id",

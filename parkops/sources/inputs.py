@@ -155,6 +155,23 @@ def users_in(customer: DataFrame) -> DataFrame:
         plus_minutes(base_time("2024-03-01"), c % 1000).alias("submitted_at"))
 
 
+def managers_in(customer: DataFrame) -> DataFrame:
+    """A manager's sign-up per customer: ids of users in another case (% 31), pairs sharing an
+    id (% 14), pairs sharing a phone with one of another pair (% 12), some without a password
+    or name; the order runs against the ids."""
+    c = F.col("c_custkey")
+    return customer.select(
+        F.when(c % 31 == 0, F.concat(F.lit("u"), c.cast("string")))
+         .when(c % 14 < 2, F.concat(F.lit("G"), idiv("c_custkey", 14).cast("string")))
+         .otherwise(F.concat(F.lit(" K"), c.cast("string"))).alias("uni_id"),
+        F.when(c % 23 == 2, F.lit(" \t")).otherwise(F.concat(F.lit("Manager "), F.col("c_name"))).alias("name"),
+        F.when(c % 12 < 2, F.concat(F.lit("041"), F.lpad(idiv("c_custkey", 12).cast("string"), 8, "0")))
+         .when(c % 37 == 5, F.concat(F.lit("010"), F.lpad(((c + 1) % 900).cast("string"), 8, "0")))
+         .otherwise(F.concat(F.lit("040"), F.lpad(c.cast("string"), 8, "0"))).alias("phone"),
+        F.when(c % 19 == 4, F.lit("")).otherwise(F.concat(F.lit("pw"), c.cast("string"))).alias("password"),
+        plus_minutes(base_time("2024-05-01"), 1000 - c % 1000).alias("submitted_at"))
+
+
 def purge_ids(customer: DataFrame) -> DataFrame:
     return customer.filter(F.col("c_custkey") % 10 == 0).select(F.col("c_custkey").alias("user_id"))
 

@@ -332,6 +332,7 @@ class Garage:
         "payments_in": lambda g: _inputs().payments_in(g.raw("orders")),
         "registrations_in": lambda g: _inputs().registrations_in(g.raw("part")),
         "users_in": lambda g: _inputs().users_in(g.raw("customer")),
+        "managers_in": lambda g: _inputs().managers_in(g.raw("customer")),
         "purge_ids": lambda g: _inputs().purge_ids(g.raw("customer")),
         "purge_plates": lambda g: _inputs().purge_plates(g.raw("part")),
     }

@@ -116,7 +116,7 @@ ROWS = [
     ("I15", ["nullify_reference"], "operators.purge.nullify_reference"),
     ("I16", ["submit_registrations__registrations", "submit_registrations__rejected"],
      "operators.billing.submit_registrations"),
-    ("I17", ["register_users__users", "register_users__rejected"], "operators.billing.register_users"),
+    ("I17", ["register_users__users", "register_users__rejected", "register_managers__users", "register_managers__rejected"], "operators.signups"),
     ("J1", ["dq_unique", "dq_unique__staged", "dq_constraints__staged"], "operators.quality.dq_unique"),
     ("J2", ["dq_unique_ci"], "operators.quality.dq_unique_ci"),
     ("J3", ["dq_domain", "dq_domain__staged"], "operators.quality.dq_domain"),
