@@ -71,11 +71,14 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     marks = common.written(found.filter("_n > 0").join(best.withColumn("_best", F.lit(True)), "_k", "left")
                            .filter(goes | (F.col("_rows") > 1))
                            .select(F.col("_k").alias(name), goes.alias(flag)), "marks")
+    rest = keyed.join(marks.select(name), name, "left_anti").select(*docs.columns)
     several = marks.filter(~F.col(flag)).select(name)
+    if several.isEmpty():
+        return rest
     one = (keyed.join(several, name).groupBy(name)
            .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(flag))
            .select(F.col(flag + ".*")))
-    return keyed.join(marks.select(name), name, "left_anti").select(*docs.columns).unionAll(one)
+    return rest.unionAll(one)
 
 
 @stage
