@@ -9,7 +9,10 @@ first sign-up of an id or phone win. A refused row blocks nobody.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parkops.functions import text as T
@@ -91,37 +94,88 @@ def _new_invoices(a: DataFrame, invoices: DataFrame) -> DataFrame:
     return invoices.unionByName(new.select(*invoices.columns))
 
 
-# Payments. Payable = request approved, not yet paid, payer is the
-# owner, card fields valid for Credit; the first payment of a request in the
-# batch wins. Amount = current service price.
-def _payable(payments_in, requests, service_type) -> DataFrame:
+# Payments. A payment is refused when no request of the payer has its id, the request is
+# not approved or already paid, or no method (with valid card fields) is chosen; the first
+# valid payment of a request in the batch wins, later ones find it paid. Amount = current price.
+CARD = ("card_number", "card_cvv", "card_expiry", "cardholder_name")
+
+
+def judge_payments(payments_in: DataFrame, requests: DataFrame, service_type: DataFrame) -> DataFrame:
+    """Distinct payments with ``_n`` copies, the ``amount`` and the ``reason`` against them (of
+    copies of an accepted one, those beyond the first are refused too)."""
     r = requests.select("request_id", F.col("user_id").alias("_owner"), "status", "payment_status",
                         "service_id")
     st = bounded(service_type.select("service_id", F.col("price").alias("amount")))
-    j = payments_in.join(r, "request_id").join(st, "service_id", "left")
-    card = Q.card_reason(F.col("card_number"), F.col("card_cvv"), F.col("card_expiry"),
-                         F.col("cardholder_name"))
-    ok = ((F.col("user_id") == F.col("_owner"))
-          & (Q.payable_verdict(F.col("status"), F.col("payment_status")) == "payable")
-          & ((F.col("method") == "Cash") | ((F.col("method") == "Credit") & card.isNull())))
-    # one winner per request by a total order: rows that tie are alike in all that is used
-    rest = ["paid_at", "method", "card_number", "card_cvv", "card_expiry", "cardholder_name", "amount"]
-    first = j.filter(ok).groupBy("request_id").agg(F.min(F.struct(*rest)).alias("_f"))
-    return first.select("request_id", "_f.*")
+    p = copies(payments_in.select("request_id", "user_id", "method", *CARD, "paid_at"))
+    j = p.join(r, "request_id", "left").join(st, "service_id", "left")
+    verdict = Q.payable_verdict(F.col("status"), F.col("payment_status"))
+    j = j.withColumn("_own", F.coalesce(
+        F.when(~F.coalesce(F.col("user_id") == F.col("_owner"), F.lit(False)), "request_not_found"),
+        F.when(verdict != "payable", verdict),
+        F.when(F.col("method") == "Credit", Q.card_reason(*map(F.col, CARD))),
+        F.when(~F.coalesce(F.col("method").isin("Credit", "Cash"), F.lit(False)), "no_method")))
+    # one winner per request by a total order
+    j = j.withColumn("_at", F.struct("paid_at", "method", *CARD))
+    first = j.filter(F.col("_own").isNull()).groupBy("request_id").agg(F.min("_at").alias("_first"))
+    late = F.when(F.col("_own").isNull() & (F.col("_at") > F.col("_first")), "already_paid")
+    return (j.join(first, "request_id", "left").withColumn("reason", F.coalesce("_own", late))
+            .select(*p.columns, "amount", "reason"))
+
+
+class Judged(NamedTuple):
+    """rows: a batch with reasons, materialised; counts: its input, accepted and rejected rows."""
+
+    rows: DataFrame
+    counts: dict[str, int]
+
+
+def reconciled(batch: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> Judged:
+    """Judge a batch in one pass that also counts what goes in and what comes out, and check
+    that no row was lost or made: ``judge`` gives distinct rows with ``_n`` copies and
+    ``reason`` (null: one copy is accepted, the others are not)."""
+    into, out = Observation(), Observation()
+    taken = F.col("reason").isNull()
+    judged = judge(batch.observe(into, F.count(F.lit(1)).alias("input"))).observe(
+        out, F.count(F.when(taken, 1)).alias("accepted"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("judged"))
+    rows = cut_lineage(judged)
+    n, got = into.get["input"], out.get
+    if n != got["judged"]:
+        raise RuntimeError(f"{n} rows went in and {got['judged']} were judged")
+    return Judged(rows, {"input": n, "accepted": got["accepted"], "rejected": n - got["accepted"]})
+
+
+def rejected_copies(rows: DataFrame, reason: str) -> DataFrame:
+    """The refused rows with the number of ``copies``; further copies of an accepted row are
+    refused for ``reason``."""
+    n = F.col("_n") - F.when(F.col("reason").isNull(), 1).otherwise(0)
+    return (rows.withColumn("copies", n.cast("long")).filter("copies > 0")
+            .withColumn("reason", F.coalesce("reason", F.lit(reason))))
+
+
+def apply_payments_rejected(payments_in: DataFrame, requests: DataFrame,
+                            service_type: DataFrame) -> DataFrame:
+    judged = reconciled(payments_in, lambda p: judge_payments(p, requests, service_type))
+    return rejected_copies(judged.rows, "already_paid").select(
+        "request_id", "user_id", "method", "paid_at", "reason", "copies")
 
 
 def _with_ids(payments_in, requests, invoices, service_type, methods, payments) -> DataFrame:
     """Accepted payments with their invoice (existing or new), method and
     payment ids. Method and payment ids share one numbering pass; only the
     payments without an invoice need a second one."""
-    p = _payable(payments_in, requests, service_type)
-    inv = invoices.groupBy("request_id").agg(F.min("invoice_id").alias("invoice_id"))
-    p = p.join(inv, "request_id", "left")
+    p = reconciled(payments_in, lambda df: judge_payments(df, requests, service_type)).rows
+    p = p.filter(F.col("reason").isNull()).select("request_id", "paid_at", "method", *CARD, "amount")
+    inv = (invoices.groupBy("request_id").agg(F.min("invoice_id").alias("invoice_id"))
+           .join(p.select("request_id"), "request_id", "left_semi"))
     order = [asc("paid_at"), asc("request_id")]
-    p = assign_identities(p, {"method_id": methods, "payment_id": payments}, order)
+    keys = p.select("paid_at", "request_id")
+    p = assign_identities(p, {"method_id": methods, "payment_id": payments}, order, keys)
+    p = p.join(inv, "request_id", "left")
+    without = keys.join(inv, "request_id", "left_anti")
     have = p.filter(F.col("invoice_id").isNotNull()).withColumn("_created", F.lit(False))
-    need = assign_identity(p.filter(F.col("invoice_id").isNull()).drop("invoice_id"), invoices,
-                           "invoice_id", order).withColumn("_created", F.lit(True))
+    need = assign_identities(p.filter(F.col("invoice_id").isNull()).drop("invoice_id"),
+                             {"invoice_id": invoices}, order, without).withColumn("_created", F.lit(True))
     return have.unionByName(need)
 
 

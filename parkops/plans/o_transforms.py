@@ -435,6 +435,25 @@ SELECT sr.request_id, sr.user_id, sr.vehicle_id, sr.service_id, sr.status, sr.ap
        CASE WHEN k.request_id IS NOT NULL THEN k.amount END AS payment_amount
 FROM service_request sr LEFT JOIN pids k ON sr.request_id = k.request_id""", PAY)
 
+oracle("apply_payments__rejected", """
+SELECT request_id, user_id, method, paid_at, COALESCE(why, 'already_paid') AS reason,
+       n - CASE WHEN why IS NULL AND rn = 1 THEN 1 ELSE 0 END AS copies
+FROM (SELECT *, CASE WHEN why IS NULL THEN row_number() OVER (
+               PARTITION BY request_id, why IS NULL ORDER BY paid_at, method, card_number NULLS FIRST,
+               card_cvv NULLS FIRST, card_expiry NULLS FIRST, cardholder_name NULLS FIRST) END AS rn
+      FROM pwhy) x
+WHERE why IS NOT NULL OR rn > 1 OR n > 1""", {"pwhy": f"""
+SELECT p.*, CASE
+    WHEN NOT EXISTS (SELECT 1 FROM service_request s
+                     WHERE s.request_id = p.request_id AND s.user_id = p.user_id) THEN 'request_not_found'
+    WHEN p.request_id NOT IN (SELECT request_id FROM service_request WHERE status = 'Approved')
+      THEN 'not_approved'
+    WHEN p.request_id IN (SELECT request_id FROM service_request WHERE payment_status = 'Paid')
+      THEN 'already_paid'
+    WHEN method = 'Credit' THEN {card_reason('card_number', 'card_cvv', 'card_expiry', 'cardholder_name')}
+    WHEN method IS DISTINCT FROM 'Cash' THEN 'no_method' END AS why
+FROM (SELECT *, COUNT(*) AS n FROM payments_in GROUP BY ALL) p"""})
+
 oracle("apply_payments__invoices", """
 SELECT i.invoice_id, i.request_id, i.amount, i.date_issued, i.time_issued,
        CASE WHEN EXISTS (SELECT 1 FROM pids k WHERE k.invoice_id = i.invoice_id)

@@ -249,6 +249,11 @@ def _(g):
 
 # --- table operations ---
 
+@query("apply_payments__rejected")
+def _(g):
+    return BL.apply_payments_rejected(g.payments_in, g.service_request, g.service_type)
+
+
 @query("register_managers__users")
 def _(g):
     return SU.register_managers_users(g.managers_in, g.users)

@@ -108,7 +108,7 @@ ROWS = [
      "operators.purge.purge_users"),
     ("I10", ["submit_requests__requests", "submit_requests__invoices", "submit_requests__rejected"],
      "operators.billing.submit_requests"),
-    ("I11", ["apply_payments__requests", "apply_payments__invoices", "apply_payments__methods",
+    ("I11", ["apply_payments__rejected", "apply_payments__requests", "apply_payments__invoices", "apply_payments__methods",
              "apply_payments__payments"], "operators.billing.apply_payments"),
     ("I12", ["update_where_exists"], "operators.decisions.update_where_exists"),
     ("I13", ["join_update"], "operators.decisions.join_update"),
