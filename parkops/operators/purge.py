@@ -1,8 +1,7 @@
 """Deletions across tables.
 
-Deletes are anti joins against key sets; references to deleted users become
-NULL through a left join on the key set. Key sets that many tables reuse are
-materialised once (``cut_lineage``). All-or-nothing per target: a target that
+Deletes follow references lazily (cascade.py): key sets and tables are plans until they are
+written; whole transforms, which write many tables, keep them. All-or-nothing per target: a target that
 would leave a dangling reference is reported and left untouched.
 """
 
@@ -13,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parkops.operators.cascade import Deletion
 from parkops.operators.skew import hot_map, spread_join
 from parkops.session import cut_lineage
 
@@ -42,12 +42,23 @@ def nested_in_join(payments: DataFrame, invoices: DataFrame, requests: DataFrame
     return payments.join(inv, "invoice_id", "left_semi")
 
 
-# DELETE p FROM payment p JOIN invoice i JOIN request sr WHERE sr.user_id IN keys.
+# The payments of the users' requests' invoices are deleted, nothing else.
 def join_delete(payments: DataFrame, invoices: DataFrame, requests: DataFrame,
                 users: DataFrame) -> DataFrame:
-    reqs = requests.join(users.select("user_id").distinct(), "user_id", "left_semi").select("request_id")
-    inv = invoices.join(reqs, "request_id", "left_semi").select("invoice_id")
-    return payments.join(inv, "invoice_id", "left_anti")
+    gone = Deletion("users", users.select("user_id"), {"service_request": requests, "invoice": invoices},
+                    OF_USERS)
+    return gone.table("payment", payments)
+
+
+# References that take their row along when a user or a vehicle goes; approvals become NULL.
+OF_REQUESTS = frozenset({("invoice", "request_id"), ("payment", "invoice_id")})
+OF_USERS = OF_REQUESTS | {
+    (t, "user_id") for t in ("service_request", "vehicle", "reports", "log_record", "requests",
+                             "controls", "vehicle_registration_request")} | {
+    ("log_record", "request_id"), ("log_record", "vehicle_id"), ("owns", "request_id")}
+OF_VEHICLES = OF_REQUESTS | {("service_request", "vehicle_id")}
+APPROVALS = frozenset((t, "approved_by") for t in
+                      ("service_request", "vehicle", "vehicle_registration_request"))
 
 
 # I8: delete by plate: payments -> invoices -> requests -> vehicle. A vehicle
@@ -55,14 +66,24 @@ def join_delete(payments: DataFrame, invoices: DataFrame, requests: DataFrame,
 # requests) is reported and nothing of it is deleted.
 @dataclass
 class Cascade:
-    vehicles: DataFrame   # deletable vehicle ids
-    requests: DataFrame   # their request ids
-    invoices: DataFrame   # their invoice ids
+    plan: Deletion
     blocked: DataFrame    # (license_plate, reason)
 
+    @property
+    def vehicles(self) -> DataFrame:
+        return self.plan.start_keys
+
+    @property
+    def requests(self) -> DataFrame:
+        return self.plan.keys("service_request")
+
+    @property
+    def invoices(self) -> DataFrame:
+        return self.plan.keys("invoice")
+
 
 def plan_cascade(plates: DataFrame, vehicles: DataFrame, requests: DataFrame,
-                 invoices: DataFrame, logs: DataFrame, owns: DataFrame) -> Cascade:
+                 invoices: DataFrame, logs: DataFrame, owns: DataFrame, keep: bool = False) -> Cascade:
     target = vehicles.join(plates.select("license_plate").distinct(), "license_plate",
                            "left_semi").select("vehicle_id", "license_plate")
     reqs = requests.select("request_id", "vehicle_id").join(target.select("vehicle_id"),
@@ -76,12 +97,13 @@ def plan_cascade(plates: DataFrame, vehicles: DataFrame, requests: DataFrame,
 
     blockers = first_reason(hits(logs, "referenced_by_log").unionByName(
         hits(owns, "referenced_by_owns")), "vehicle_id", ("referenced_by_log", "referenced_by_owns"))
-    flagged = cut_lineage(target.join(blockers, "vehicle_id", "left"))
+    flagged = target.join(blockers, "vehicle_id", "left")
+    if keep:
+        flagged = cut_lineage(flagged)
     ok = flagged.filter(F.col("reason").isNull()).select("vehicle_id")
-    ok_reqs = reqs.join(ok, "vehicle_id", "left_semi").select("request_id")
-    ok_inv = invoices.join(ok_reqs, "request_id", "left_semi").select("invoice_id")
-    return Cascade(ok, ok_reqs, ok_inv,
-                   flagged.filter(F.col("reason").isNotNull()).select("license_plate", "reason"))
+    plan = Deletion("vehicle", ok, {"vehicle": vehicles, "service_request": requests, "invoice": invoices},
+                    OF_VEHICLES, keep=keep)
+    return Cascade(plan, flagged.filter(F.col("reason").isNotNull()).select("license_plate", "reason"))
 
 
 # Purge users and what depends on them, in the application's order.
@@ -92,17 +114,17 @@ def plan_cascade(plates: DataFrame, vehicles: DataFrame, requests: DataFrame,
 # surviving log names one of their reports.
 @dataclass
 class Purge:
-    users: DataFrame      # purged user ids
-    requests: DataFrame   # their request ids
-    vehicles: DataFrame   # their vehicle ids
-    reports: DataFrame    # their report ids
-    invoices: DataFrame   # invoice ids of their requests
+    plan: Deletion
     blocked: DataFrame    # (user_id, reason)
 
+    @property
+    def users(self) -> DataFrame:
+        return self.plan.start_keys
+
 
 def plan_purge(candidates: DataFrame, acting_id: int, users: DataFrame, vehicles: DataFrame,
                requests: DataFrame, invoices: DataFrame, logs: DataFrame, reports: DataFrame,
-               mn_requests: DataFrame, owns: DataFrame) -> Purge:
+               mn_requests: DataFrame, owns: DataFrame, keep: bool = False) -> Purge:
     cand = (candidates.select("user_id").distinct()
             .join(users.select("user_id", "user_type"), "user_id"))
     veh = vehicles.select("vehicle_id", F.col("user_id").alias("owner"))
@@ -143,13 +165,14 @@ def plan_purge(candidates: DataFrame, acting_id: int, users: DataFrame, vehicles
              .unionByName(cand.filter(F.col("user_id") == acting_id).select("user_id")
                           .withColumn("reason", F.lit("self"))))
     allr = rules.unionByName(used).unionByName(owned).unionByName(requested).unionByName(lg)
-    blocked = cut_lineage(first_reason(allr, "user_id", PURGE_REASONS))
-    ok = cut_lineage(cand.select("user_id").join(blocked, "user_id", "left_anti"))
-    p_req = requests.join(ok, "user_id", "left_semi").select("request_id")
-    p_veh = vehicles.join(ok, "user_id", "left_semi").select("vehicle_id")
-    p_rep = reports.join(ok, "user_id", "left_semi").select("report_id")
-    p_inv = invoices.join(p_req, "request_id", "left_semi").select("invoice_id")
-    return Purge(ok, cut_lineage(p_req), p_veh, p_rep, cut_lineage(p_inv), blocked)
+    blocked = first_reason(allr, "user_id", PURGE_REASONS)
+    if keep:
+        blocked = cut_lineage(blocked)
+    ok = cand.select("user_id").join(blocked, "user_id", "left_anti")
+    plan = Deletion("users", cut_lineage(ok) if keep else ok,
+                    {"users": users, "vehicle": vehicles, "service_request": requests,
+                     "invoice": invoices, "reports": reports}, OF_USERS, APPROVALS, keep)
+    return Purge(plan, blocked)
 
 
 def first_reason(flags: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
@@ -172,25 +195,9 @@ PURGE_REASONS = ("manager", "type_not_allowed", "self", "vehicle_used_by_other",
 
 def purge_apply(p: Purge, name: str, t: DataFrame) -> DataFrame:
     """The table ``name`` after the purge."""
-    if name == "payment":
-        return drop_keys(t, p.invoices, "invoice_id")
-    if name == "invoice":
-        return drop_keys(t, p.requests, "request_id")
-    if name == "log_record":
-        t = drop_keys(t, p.requests, "request_id")
-        t = drop_keys(t, p.vehicles, "vehicle_id")
-        return drop_keys(t, p.users, "user_id")
-    if name == "owns":
-        return drop_keys(t, p.requests, "request_id")
-    if name == "service_request":
-        return nullify_reference(drop_keys(t, p.users, "user_id"), "approved_by", p.users, "user_id")
-    if name == "vehicle_registration_request":
-        return nullify_reference(drop_keys(t, p.users, "user_id"), "approved_by", p.users, "user_id")
-    if name == "vehicle":
-        return nullify_reference(drop_keys(t, p.users, "user_id"), "approved_by", p.users, "user_id")
-    if name in ("reports", "requests", "controls", "users"):
-        return drop_keys(t, p.users, "user_id")
-    raise KeyError(name)
+    if name not in PURGE_TABLES:
+        raise KeyError(name)
+    return p.plan.table(name, t)
 
 
 # Whole transforms over a dict of tables (names as in schema.TABLES).
@@ -200,18 +207,14 @@ PURGE_TABLES = ("users", "vehicle", "service_request", "invoice", "payment", "lo
 
 def purge_users(candidates: DataFrame, acting_id: int, t: dict) -> dict:
     p = plan_purge(candidates, acting_id, t["users"], t["vehicle"], t["service_request"],
-                   t["invoice"], t["log_record"], t["reports"], t["requests"], t["owns"])
-    out = {name: purge_apply(p, name, t[name]) for name in PURGE_TABLES}
-    out["blocked"] = p.blocked
-    return out
+                   t["invoice"], t["log_record"], t["reports"], t["requests"], t["owns"], keep=True)
+    return {name: purge_apply(p, name, t[name]) for name in PURGE_TABLES} | {"blocked": p.blocked}
+
+
+CASCADE_TABLES = ("payment", "invoice", "service_request", "vehicle")
 
 
 def delete_vehicle_cascade(plates: DataFrame, t: dict) -> dict:
     c = plan_cascade(plates, t["vehicle"], t["service_request"], t["invoice"], t["log_record"],
-                     t["owns"])
-    return {"payment": drop_keys(t["payment"], c.invoices, "invoice_id"),
-            "invoice": drop_keys(t["invoice"], c.requests, "request_id"),
-            "service_request": drop_keys(t["service_request"], c.requests, "request_id"),
-            "vehicle": drop_keys(t["vehicle"], c.vehicles, "vehicle_id"),
-            "blocked": c.blocked}
-
+                     t["owns"], keep=True)
+    return {name: c.plan.table(name, t[name]) for name in CASCADE_TABLES} | {"blocked": c.blocked}

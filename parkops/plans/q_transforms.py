@@ -111,22 +111,22 @@ def _cascade(g):
 
 @query("delete_vehicle_cascade__payments")
 def _(g):
-    return P.drop_keys(g.payment, _cascade(g).invoices, "invoice_id")
+    return _cascade(g).plan.table("payment", g.payment)
 
 
 @query("delete_vehicle_cascade__invoices")
 def _(g):
-    return P.drop_keys(g.invoice, _cascade(g).requests, "request_id")
+    return _cascade(g).plan.table("invoice", g.invoice)
 
 
 @query("delete_vehicle_cascade__requests")
 def _(g):
-    return P.drop_keys(g.service_request, _cascade(g).requests, "request_id")
+    return _cascade(g).plan.table("service_request", g.service_request)
 
 
 @query("delete_vehicle_cascade__vehicles")
 def _(g):
-    return P.drop_keys(g.vehicle, _cascade(g).vehicles, "vehicle_id")
+    return _cascade(g).plan.table("vehicle", g.vehicle)
 
 
 @query("delete_vehicle_cascade__blocked")
