@@ -1,7 +1,7 @@
 """Table-level operations and the snapshot sink.
 
 Tables are immutable: every change returns a new DataFrame; ``write_snapshot``
-writes a set of tables to a new folder and moves a pointer last.
+writes a set of tables to a new folder and a numbered version that names it last.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parkops.operators.ranking import Key, with_position
+from parkops.sources.versions import Versions
 
 
 # A2
@@ -93,8 +94,8 @@ def id_or_phone_match(new: DataFrame, users: DataFrame) -> DataFrame:
             .filter(F.col("id_match") | (F.col("phone_matches") > 0)))
 
 
-# Sink: a new snapshot folder per run; the pointer file is written last, so a
-# reader never sees a half-written snapshot.
+# Sink: a new snapshot folder per run; a numbered version that names it is made last, so a
+# reader never sees a half-written snapshot, whenever it looks.
 def write_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str | None = None) -> str:
     sid = snapshot_id or uuid.uuid4().hex
     base = f"{root.rstrip('/')}/snapshots/{sid}"
@@ -103,11 +104,11 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str | N
         df.write.mode("errorifexists").parquet(f"{base}/{name}")
         spark = df.sparkSession
     if spark is not None:
-        (spark.createDataFrame([(sid,)], "snapshot string").coalesce(1)
-         .write.mode("overwrite").text(f"{root.rstrip('/')}/CURRENT"))
+        versions = Versions(spark, root)
+        versions.commit({"snapshot": sid}, versions.latest())
     return base
 
 
 def read_snapshot(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    sid = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
+    sid = Versions(spark, root).manifest()["tables"]["snapshot"]
     return {n: spark.read.parquet(f"{root.rstrip('/')}/snapshots/{sid}/{n}") for n in names}

@@ -6,7 +6,7 @@ deletes, CASE expresses updates, UNION ALL BY NAME appends.
 """
 
 from parkops.plans.o_boards import SERVICE_BOARD
-from parkops.plans.oracle_sql import oracle
+from parkops.plans.oracle_sql import SQL, oracle
 
 TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 
@@ -632,3 +632,13 @@ oracle("default_fill", """
 SELECT user_id, license_plate, color, model, submitted_at AS created_at, 'Pending' AS status,
        CAST(NULL AS BIGINT) AS approved_by, CAST(NULL AS TIMESTAMP) AS completed_at
 FROM registrations_in""")
+
+# --- maintained counters: counted anew after the batch ---
+_DECIDED = SQL["apply_request_decisions__requests"]
+oracle("status_counts__maintained", "SELECT status, COUNT(*) AS n FROM decided GROUP BY status",
+       {"decided": _DECIDED})
+oracle("user_kpis__maintained", """
+SELECT user_id, COUNT(*) AS request_count, COUNT(*) FILTER (WHERE status = 'Pending') AS pending_count,
+       COUNT(*) FILTER (WHERE status = 'Approved') AS approved_count,
+       COUNT(*) FILTER (WHERE status = 'Rejected') AS rejected_count
+FROM decided GROUP BY user_id""", {"decided": _DECIDED})

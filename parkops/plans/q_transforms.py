@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parkops.operators import billing as BL
 from parkops.operators import boards as B
+from parkops.operators import counters as K
 from parkops.operators import decisions as D
 from parkops.operators import purge as P
 from parkops.operators import signups as SU
@@ -298,3 +299,21 @@ def _(g):
     return TB.default_fill(new.withColumnRenamed("submitted_at", "created_at"), {
         "status": F.lit("Pending"), "approved_by": F.lit(None).cast("long"),
         "completed_at": F.lit(None).cast("timestamp_ntz")})
+
+
+# --- maintained counters ---
+
+def _counted(g, counters):
+    stored = counters.of(g.service_request)
+    return counters.after_batch(stored, g.service_request, "request_id", g.decisions,
+                                lambda rows: D.request_decisions_requests(rows, g.decisions))
+
+
+@query("status_counts__maintained")
+def _(g):
+    return _counted(g, K.BY_STATUS)
+
+
+@query("user_kpis__maintained")
+def _(g):
+    return _counted(g, K.BY_USER)

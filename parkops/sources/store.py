@@ -32,6 +32,10 @@ BUCKET_KEYS = {
     "controls": "user_id",
     "owns": "vehicle_id",
     "vehicle_registration_request": "request_id",
+    "gates": "gate_id",
+    "sensors": "spot_id",
+    "gate_sensors": "gate_id",
+    "occupancy_sensor": "spot_id",
 }
 
 

@@ -64,12 +64,12 @@ ROWS = [
     ("D3", ["requests_by_service"], "operators.reports.requests_by_service"),
     ("D4", ["requests_by_garage"], "operators.reports.requests_by_garage"),
     ("D5", ["garage_occupancy"], "operators.boards.garage_occupancy"),
-    ("D6", ["status_counts"], "operators.boards.status_counts (streaming: streaming.live_board)"),
+    ("D6", ["status_counts", "status_counts__maintained"], "operators.boards.status_counts (streaming: streaming.live_board)"),
     ("D7", ["status_counts_map"], "operators.boards.status_counts_map"),
     ("D8", ["user_type_counts"], "operators.boards.user_type_counts"),
     ("D9", ["user_total"], "operators.boards.user_total"),
     ("D10", ["admin_kpis"], "operators.boards.admin_kpis"),
-    ("D11", ["user_kpis"], "operators.boards.user_kpis"),
+    ("D11", ["user_kpis", "user_kpis__maintained"], "operators.boards.user_kpis"),
     ("D12", ["vehicle_stats"], "operators.boards.vehicle_stats"),
     ("D13", ["available_by_garage"], "operators.boards.available_by_garage"),
     ("D14", ["distinct_ids"], "operators.reports.distinct_ids"),
