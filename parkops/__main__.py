@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     run.add_argument("--mode", default="errorifexists", choices=["errorifexists", "overwrite"])
     run.add_argument("--store", default=None)
+    run.add_argument("--input-gb", type=float, default=None, help="size partitions for this input")
     run.add_argument("--buckets", type=int, default=64)
     st = sub.add_parser("store")
     st.add_argument("--root", required=True)
@@ -53,8 +54,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.query not in QUERIES:
         print(f"unknown query {args.query!r}; see `python -m parkops list`", file=sys.stderr)
         return 2
-    from parkops.session import build_session
+    from parkops.session import apply_conf, build_session, scale_conf
     spark = build_session()
+    if getattr(args, "input_gb", None):
+        apply_conf(spark, scale_conf(int(args.input_gb * 1e9), max_partitions=100_000))
     if getattr(args, "store", None):
         from parkops.sources import store
         store.attach(spark, args.store, list(store.BUCKET_KEYS), args.buckets)

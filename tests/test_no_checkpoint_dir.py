@@ -41,3 +41,8 @@ def test_cluster_without_checkpoint_dir_is_refused(monkeypatch):
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(cluster)
+
+
+def test_partitions_are_sized_for_the_input_and_bounded():
+    parts = lambda n: int(session.scale_conf(n, max_partitions=100_000)["spark.sql.shuffle.partitions"])
+    assert (parts(1), parts(1 << 40), parts(100 << 40)) == (200, 4096, 100_000)
