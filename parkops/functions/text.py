@@ -36,6 +36,12 @@ def trim_app(c: str | Column) -> Column:
 
 
 # H7: "empty": NULL, '' and also '0'.
+def is_empty(c: str | Column) -> Column:
+    """NULL or nothing but white space at the ends."""
+    v = trim_app(c)
+    return v.isNull() | (v == "")
+
+
 def is_blank(c: str | Column) -> Column:
     c = _c(c)
     return c.isNull() | c.isin("", "0")
@@ -85,10 +91,20 @@ def valid_expiry(c: str | Column) -> Column:
     return _c(c).rlike(EXPIRY_PATTERN)
 
 
-def group_card_digits(c: str | Column) -> Column:
-    """Digits only, regrouped in blocks of four separated by spaces."""
+def card_number_input(c: str | Column) -> Column:
+    """The card field as typed: white space out, then a space after every four characters."""
+    return F.trim(F.regexp_replace(F.regexp_replace(_c(c), r"\s", ""), "(.{4})", "$1 "))
+
+
+def expiry_input(c: str | Column) -> Column:
+    """The expiry field as typed: digits only, a slash after two if a third follows, five
+    characters at most."""
     digits = F.regexp_replace(_c(c), r"\D", "")
-    return F.trim(F.regexp_replace(digits, r"(\d{4})", "$1 "))
+    return F.substring(F.regexp_replace(digits, r"^(\d{2})(\d)", "$1/$2"), 1, 5)
+
+
+def cvv_input(c: str | Column) -> Column:
+    return F.regexp_replace(_c(c), r"\D", "")
 
 
 # Display formats.

@@ -10,7 +10,6 @@ skewed join.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,21 +112,24 @@ def dq_spot_choice(submissions: DataFrame, spots: DataFrame, garage: DataFrame)
             .select("user_id", "spot_id", "reason"))
 
 
-# Contact fields (required, phone 10-15 digits after removing spaces and
-# dashes, e-mail shape when an e-mail column exists).
-def dq_contact_fields(users: DataFrame) -> DataFrame:
+# Contact fields (required, phone 10-15 digits after removing spaces and dashes, e-mail
+# shape and a password of six characters when there are such columns).
+def dq_contact_fields(users: DataFrame, key: str = "user_id") -> DataFrame:
     name = T.trim_app("name")
     phone = T.trim_app("phone")
     name_rule = F.when(name.isNull() | (name == ""), "name_required")
     phone_rule = (F.when(phone.isNull() | (phone == ""), "phone_required")
                    .when(~T.valid_phone(phone), "phone_invalid"))
-    parts = [users.select("user_id", name_rule.alias("rule")),
-             users.select("user_id", phone_rule.alias("rule"))]
+    rules = [name_rule, phone_rule]
     if "email" in users.columns:
         e = T.trim_app("email")
-        parts.append(users.select("user_id", F.when(e.isNull() | (e == ""), "email_required")
-                                  .when(~T.valid_email(e), "email_invalid").alias("rule")))
-    return reduce(DataFrame.unionByName, parts).filter(F.col("rule").isNotNull())
+        rules.append(F.when(e.isNull() | (e == ""), "email_required")
+                     .when(~T.valid_email(e), "email_invalid"))
+    if "password" in users.columns:
+        rules.append(F.when(T.is_empty("password"), "password_required")
+                     .when(F.length("password") < 6, "password_short"))
+    # every rule of a row from one scan
+    return users.select(key, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
 # Can this payment go ahead?

@@ -168,3 +168,36 @@ SELECT * FROM (
          (SELECT COUNT(*) FROM users u WHERE u.phone = n.phone) AS phone_matches
   FROM users_in n) t
 WHERE id_match OR phone_matches > 0""")
+
+
+def _missing(c):
+    return f"({_t(c)} IS NULL OR {_t(c)} = '')"
+
+
+oracle("dq_signup_fields", f"""
+SELECT uni_id, 'name_required' AS rule FROM managers_in WHERE {_missing('name')}
+UNION ALL
+SELECT uni_id, CASE WHEN {_missing('phone')} THEN 'phone_required' ELSE 'phone_invalid' END
+FROM managers_in WHERE {_missing('phone')}
+   OR NOT regexp_full_match(regexp_replace({_t('phone')}, '[\\s-]', '', 'g'), '[0-9]{{10,15}}')
+UNION ALL
+SELECT uni_id, CASE WHEN {_missing('email')} THEN 'email_required' ELSE 'email_invalid' END
+FROM managers_in WHERE {_missing('email')} OR {_t('email')} NOT LIKE '%_@_%._%'
+UNION ALL
+SELECT uni_id, CASE WHEN {_missing('password')} THEN 'password_required' ELSE 'password_short' END
+FROM managers_in WHERE {_missing('password')} OR length(password) < 6""")
+
+oracle("scalar_card", """
+SELECT request_id,
+       array_to_string(list_transform(range(0, length(b), 4), lambda i: substr(b, i + 1, 4)), ' ') AS typed_text,
+       array_to_string(list_transform(range(0, length(a), 4), lambda i: substr(a, i + 1, 4)), ' ') AS card_number,
+       CASE WHEN length(e) > 2 THEN substr(e, 1, 2) || '/' || substr(e, 3, 2) ELSE e END AS card_expiry,
+       card_cvv
+FROM typed""", {"typed": """
+SELECT request_id, card_number AS a, replace(replace(card_number || cardholder_name, ' ', ''), chr(9), '') AS b,
+       regexp_replace(card_expiry, '[^0-9]', '', 'g') AS e, card_cvv
+FROM payments_in WHERE method = 'Credit'"""})
+
+oracle("garage_labels", """
+SELECT garage_id, CASE WHEN garage_status = 'Open' OR garage_status IS NULL THEN 'Open' ELSE 'Closed' END
+         AS open_label FROM parking_garage""")

@@ -109,6 +109,8 @@ SELECT CASE WHEN c_custkey % 31 = 0 THEN 'u' || CAST(c_custkey AS VARCHAR)
             WHEN c_custkey % 37 = 5 THEN '010' || lpad(CAST((c_custkey + 1) % 900 AS VARCHAR), 8, '0')
             ELSE '040' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone,
        CASE WHEN c_custkey % 19 = 4 THEN '' ELSE 'pw' || CAST(c_custkey AS VARCHAR) END AS password,
+       CASE WHEN c_custkey % 9 = 1 THEN 'm' || CAST(c_custkey AS VARCHAR) || '@host'
+            WHEN c_custkey % 17 <> 2 THEN 'm' || CAST(c_custkey AS VARCHAR) || '@uni.example' END AS email,
        TIMESTAMP '2024-05-01 00:00:00' + to_minutes(CAST(1000 - c_custkey % 1000 AS INTEGER))
          AS submitted_at
 FROM customer""")

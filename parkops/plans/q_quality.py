@@ -116,3 +116,24 @@ def _(g):
 @query("id_or_phone_match")
 def _(g):
     return TB.id_or_phone_match(g.users_in, g.users)
+
+
+@query("dq_signup_fields")
+def _(g):
+    return Q.dq_contact_fields(g.managers_in, "uni_id")
+
+
+@query("scalar_card")
+def _(g):
+    """The card fields of payments as their inputs show them."""
+    return g.payments_in.filter(F.col("method") == "Credit").select(
+        "request_id", T.card_number_input(F.concat_ws(" \t", "card_number", "cardholder_name"))
+        .alias("typed_text"), T.card_number_input("card_number").alias("card_number"),
+        T.expiry_input("card_expiry").alias("card_expiry"),
+        T.cvv_input(F.concat(F.lit("cvv "), "card_cvv")).alias("card_cvv"))
+
+
+@query("garage_labels")
+def _(g):
+    """The open / closed badge of every garage."""
+    return g.parking_garage.select("garage_id", T.open_label(F.col("garage_status")).alias("open_label"))

@@ -169,6 +169,9 @@ def managers_in(customer: DataFrame) -> DataFrame:
          .when(c % 37 == 5, F.concat(F.lit("010"), F.lpad(((c + 1) % 900).cast("string"), 8, "0")))
          .otherwise(F.concat(F.lit("040"), F.lpad(c.cast("string"), 8, "0"))).alias("phone"),
         F.when(c % 19 == 4, F.lit("")).otherwise(F.concat(F.lit("pw"), c.cast("string"))).alias("password"),
+        F.when(c % 9 == 1, F.concat(F.lit("m"), c.cast("string"), F.lit("@host")))
+         .when(c % 17 == 2, F.lit(None))
+         .otherwise(F.concat(F.lit("m"), c.cast("string"), F.lit("@uni.example"))).alias("email"),
         plus_minutes(base_time("2024-05-01"), 1000 - c % 1000).alias("submitted_at"))
 
 

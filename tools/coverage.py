@@ -86,7 +86,7 @@ ROWS = [
     ("G1", ["requests_unified"], "operators.boards.requests_unified"),
     ("G2", ["user_requests_unified"], "operators.boards.user_requests_unified"),
     ("G3", ["pending_vehicles"], "operators.boards.pending_vehicles"),
-    ("H1-H17", ["scalar_text", "scalar_labels"],
+    ("H1-H17", ["scalar_text", "scalar_labels", "scalar_card", "garage_labels"],
      "functions.text.* (H9 in apply_payments__methods, H17 in my_vehicles)"),
     ("I1", ["apply_request_decisions__requests", "apply_request_decisions__vehicles",
             "apply_request_decisions__spots"], "operators.decisions.apply_request_decisions"),
@@ -125,7 +125,7 @@ ROWS = [
     ("J6", ["dq_max_length", "dq_max_length__staged"], "operators.quality.dq_max_length"),
     ("J7", ["dq_card_fields"], "operators.quality.dq_card_fields"),
     ("J8", ["dq_spot_choice"], "operators.quality.dq_spot_choice"),
-    ("J9", ["dq_contact_fields"], "operators.quality.dq_contact_fields"),
+    ("J9", ["dq_contact_fields", "dq_signup_fields"], "operators.quality.dq_contact_fields"),
     ("J10", ["dq_payable"], "operators.quality.dq_payable"),
     ("E, K, L", [], "none in the reference (no window functions, streaming or UDFs)"),
 ]
