@@ -21,7 +21,7 @@ from parkops.operators.decisions import apply_updates
 from parkops.operators.reports import bounded
 from parkops.operators.ranking import asc
 from parkops.operators.signups import copies, register_users_rejected, register_users_users  # noqa: F401
-from parkops.operators.tables import assign_identities, assign_identity
+from parkops.operators.tables import assign_identities, assign_identity, default_fill
 from parkops.session import cut_lineage
 from parkops.sources import schema as S
 
@@ -74,9 +74,11 @@ def _new_requests(a: DataFrame, requests: DataFrame) -> DataFrame:
                    F.lit("Pending").alias("status"), F.lit(None).cast("long").alias("approved_by"),
                    F.col("submitted_at").alias("created_at"),
                    F.lit(None).cast("timestamp_ntz").alias("completed_at"), "spot_id",
-                   F.col("invoice_id").cast("string").alias("receipt_id"),
-                   F.lit("Pending").alias("payment_status"))
-    return requests.unionByName(new.select(*requests.columns))
+                   F.col("invoice_id").cast("string").alias("receipt_id"))
+    # the declared defaults (A7) of the columns that a submission doesn't give
+    new = default_fill(new, {c: F.lit(v) for c, v in S.DEFAULTS["service_request"].items()
+                             if c in requests.columns})
+    return requests.unionByName(new, allowMissingColumns=True)
 
 
 def submit_requests_invoices(subs, requests, invoices, service_type, spots, garage,

@@ -33,7 +33,7 @@ SELECT unnest(request), wanted.service_name, wanted.price AS service_price,
 FROM resolved"""
 
 REG_BOARD = f"""
-SELECT * EXCLUDE (payment_status)
+SELECT * EXCLUDE (payment_status, payment_method, payment_amount)
 FROM (SELECT * FROM svc_board WHERE FALSE
       UNION ALL BY NAME
       SELECT request_id, user_id, status, approved_by, created_at, completed_at, license_plate,
@@ -294,7 +294,8 @@ SELECT request_type, request_id,
        CASE WHEN request_type = 'vehicle_registration' THEN '-'
             WHEN status = 'Approved' THEN
               CASE WHEN COALESCE(payment_status, 'Pending') = 'Paid'
-                   THEN 'N/A EGP ' || printf('%,.2f', 0.0) ELSE 'Pending Payment' END
+                   THEN payment_method || ' EGP ' || printf('%,.2f', CAST(payment_amount AS DOUBLE))
+                   ELSE 'Pending Payment' END
             ELSE '-' END AS payment_label,
        CASE WHEN request_type = 'vehicle_registration' THEN '-'
             ELSE 'EGP ' || printf('%,.2f', CAST(COALESCE(service_price, 0) AS DOUBLE)) END
@@ -313,7 +314,8 @@ FROM board""", BOARD)
 oracle("tag_literal_null", """
 SELECT request_id, user_id, CAST(NULL AS BIGINT) AS vehicle_id, CAST(NULL AS BIGINT) AS service_id,
        status, approved_by, created_at, completed_at, CAST(NULL AS BIGINT) AS spot_id,
-       'none' AS receipt_id, CAST(NULL AS VARCHAR) AS payment_status,
+       'none' AS receipt_id, CAST(NULL AS VARCHAR) AS payment_status, CAST(NULL AS VARCHAR) AS payment_method,
+       CAST(NULL AS DECIMAL(10,2)) AS payment_amount,
        license_plate, color, model, 'vehicle_registration' AS request_type
 FROM vehicle_registration_request""")
 

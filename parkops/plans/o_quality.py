@@ -47,7 +47,7 @@ def _max_length(of, more=""):
 
 
 class _Staged:
-    """Name of a table's staged form. Only that of service_request has a payment_method."""
+    """Name of a table's staged form."""
 
     SPOILED = ("users", "vehicle", "service_request", "payment", "requests", "gates")
 
@@ -58,7 +58,7 @@ class _Staged:
 
 
 def _plain(t, column=None):
-    return t if column is None else () if column == "payment_method" else (column,)
+    return t if column is None else (column,)
 
 
 STAGED = _Staged()

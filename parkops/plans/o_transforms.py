@@ -69,7 +69,8 @@ SELECT sr.request_id, sr.user_id, sr.vehicle_id, sr.service_id,
        CASE WHEN d.request_id IS NULL THEN sr.approved_by ELSE d.decided_by END AS approved_by,
        sr.created_at,
        CASE WHEN d.request_id IS NULL THEN sr.completed_at ELSE d.decided_at END AS completed_at,
-       sr.spot_id, sr.receipt_id, sr.payment_status
+       sr.spot_id, sr.receipt_id, sr.payment_status,
+       sr.payment_method, sr.payment_amount
 FROM service_request sr LEFT JOIN d_last d ON sr.request_id = d.request_id""", DEC)
 
 oracle("apply_request_decisions__vehicles", """
@@ -308,7 +309,8 @@ SELECT v.vehicle_id, v.license_plate, v.color, v.user_id, v.model, v.access_stat
 FROM vehicle v WHERE {_no_user('v')}""", PUR)
 oracle("purge_users__requests", f"""
 SELECT s.request_id, s.user_id, s.vehicle_id, s.service_id, s.status, {_null_approver('s')},
-       s.created_at, s.completed_at, s.spot_id, s.receipt_id, s.payment_status
+       s.created_at, s.completed_at, s.spot_id, s.receipt_id, s.payment_status,
+       s.payment_method, s.payment_amount
 FROM service_request s WHERE {_no_user('s')}""", PUR)
 oracle("purge_users__registrations", f"""
 SELECT r.request_id, r.user_id, r.license_plate, r.color, r.model, r.status,
@@ -343,7 +345,7 @@ oracle("nullify_reference", """
 SELECT request_id, user_id, vehicle_id, service_id, status,
        CASE WHEN approved_by IN (SELECT user_id FROM purge_ids) THEN NULL ELSE approved_by END
          AS approved_by,
-       created_at, completed_at, spot_id, receipt_id, payment_status
+       created_at, completed_at, spot_id, receipt_id, payment_status, payment_method, payment_amount
 FROM service_request""")
 
 oracle("nested_in_join", """
@@ -386,7 +388,7 @@ UNION ALL BY NAME
 SELECT request_id, user_id, vehicle_id, service_id, 'Pending' AS status,
        CAST(NULL AS BIGINT) AS approved_by, submitted_at AS created_at,
        CAST(NULL AS TIMESTAMP) AS completed_at, spot_id, CAST(invoice_id AS VARCHAR) AS receipt_id,
-       'Pending' AS payment_status
+       'Pending' AS payment_status, 'Pending' AS payment_method
 FROM sacc""", SUB)
 oracle("submit_requests__invoices", """
 SELECT * FROM invoice
@@ -431,8 +433,8 @@ SELECT sr.request_id, sr.user_id, sr.vehicle_id, sr.service_id, sr.status, sr.ap
        CASE WHEN k.request_id IS NOT NULL THEN CAST(k.invoice_id AS VARCHAR) ELSE sr.receipt_id END
          AS receipt_id,
        CASE WHEN k.request_id IS NOT NULL THEN 'Paid' ELSE sr.payment_status END AS payment_status,
-       CASE WHEN k.request_id IS NOT NULL THEN k.method END AS payment_method,
-       CASE WHEN k.request_id IS NOT NULL THEN k.amount END AS payment_amount
+       CASE WHEN k.request_id IS NOT NULL THEN k.method ELSE sr.payment_method END AS payment_method,
+       CASE WHEN k.request_id IS NOT NULL THEN k.amount ELSE sr.payment_amount END AS payment_amount
 FROM service_request sr LEFT JOIN pids k ON sr.request_id = k.request_id""", PAY)
 
 oracle("apply_payments__rejected", """
@@ -626,7 +628,8 @@ UNION ALL BY NAME
 SELECT user_id, uni_id, name, phone, user_type FROM ai
 WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.uni_id = ai.uni_id)""", AI)
 oracle("ensure_column", """
-SELECT *, 'Pending' AS payment_method, CAST(NULL AS DECIMAL(10,2)) AS payment_amount
+SELECT * EXCLUDE (payment_method, payment_amount), 'Pending' AS payment_method,
+       CAST(NULL AS DECIMAL(10,2)) AS payment_amount
 FROM service_request""")
 oracle("default_fill", """
 SELECT user_id, license_plate, color, model, submitted_at AS created_at, 'Pending' AS status,

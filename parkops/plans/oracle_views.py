@@ -92,7 +92,10 @@ SELECT o_orderkey AS request_id,
             THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) END AS completed_at,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey // 15 END AS spot_id,
        CAST(o_orderkey AS VARCHAR) AS receipt_id,
-       CASE WHEN o_orderkey % 3 = 0 THEN 'Paid' ELSE 'Pending' END AS payment_status
+       CASE WHEN o_orderkey % 3 = 0 THEN 'Paid' ELSE 'Pending' END AS payment_status,
+       CASE WHEN o_orderkey % 3 <> 0 THEN 'Pending' WHEN o_orderkey % 2 = 0 THEN 'Cash' ELSE 'Credit' END
+         AS payment_method,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(10,2)) END AS payment_amount
 FROM orders""")
 
 view("vehicle_registration_request", """

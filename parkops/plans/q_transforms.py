@@ -288,7 +288,8 @@ def _(g):
 
 @query("ensure_column")
 def _(g):
-    t = TB.ensure_column(g.service_request, "payment_method", "string", "Pending", backfill=True)
+    t = g.service_request.drop("payment_method", "payment_amount")  # as before they were added
+    t = TB.ensure_column(t, "payment_method", "string", "Pending", backfill=True)
     t = TB.ensure_column(t, "payment_amount", "decimal(10,2)", None)
     return TB.ensure_column(t, "receipt_id", "string", None)
 

@@ -161,6 +161,8 @@ def service_request(orders: DataFrame) -> DataFrame:
          .alias("spot_id"),
         k.cast("string").alias("receipt_id"),
         F.when(k % 3 == 0, "Paid").otherwise("Pending").alias("payment_status"),
+        F.when(k % 3 > 0, "Pending").when(k % 2 == 0, "Cash").otherwise("Credit").alias("payment_method"),
+        F.when(k % 3 == 0, F.col("o_totalprice").cast(S.MONEY)).alias("payment_amount"),
     )
 
 
