@@ -14,6 +14,8 @@ import array
 import functools
 import json
 import re
+import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,6 +181,63 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The splitting and folding that ``WordEnds`` can do itself.
+_WORD_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+        "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_FOLDED = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"}]}
+
+
+def _plain_split() -> re.Pattern:
+    """The pattern of ``_WORD_SPLIT`` over the characters of ``_PLAIN`` in lower case."""
+    chars = {"L": "", "N": ""}
+    for c in sorted({chr(i).lower() for i in range(0x250) if i != 0x130}):
+        kind = unicodedata.category(c)[0]
+        if kind in chars:
+            chars[kind] += re.escape(c)
+    space = "".join(map(re.escape, sorted(_SPACES)))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{chars['L']}]+|[{chars['N']}]"
+                      f"|[^{space}{chars['L']}{chars['N']}]+")
+
+
+def _word_ranks(spec: dict):
+    """The vocabulary for words that end in a-z as byte ranks, such a word's last letter
+    written as a capital in place of the word end, and which ids end a word; or None
+    unless merge order is id order and text is split and folded as above."""
+    import tiktoken
+    model = spec["model"]
+    if spec.get("pre_tokenizer") != _WORD_SPLIT or spec.get("normalizer") != _FOLDED \
+            or spec.get("post_processor") or model.get("end_of_word_suffix") != "</w>" \
+            or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") \
+            or model.get("continuing_subword_prefix"):
+        return None
+    special = {a["content"] for a in spec.get("added_tokens", [])}
+    char, vocab = _byte_chars(), model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [vocab[a.removesuffix("</w>") + b] for a, b in pairs]
+    if order != sorted(set(order)) or any(a.endswith("</w>") for a, _ in pairs) \
+            or set(vocab.values()) - set(order) - {vocab[t] for t in vocab
+                                                   if t in special or len(t.removesuffix("</w>")) == 1}:
+        return None
+    ranks, ends = {}, np.zeros(max(vocab.values()) + 1, bool)
+    for t, i in vocab.items():
+        core = t.removesuffix("</w>")
+        if t in special or not core or re.search("[A-Z]", core):
+            continue
+        if core == t:
+            ranks[bytes(char[c] for c in t)] = i
+        elif "a" <= core[-1] <= "z":
+            ranks[bytes(char[c] for c in core[:-1] + core[-1].upper())] = i
+            ends[i] = True
+    if any(c.encode() not in ranks for c in string.ascii_letters):
+        return None
+    return tiktoken.Encoding("words", pat_str="[^A-Z]*[A-Z]", mergeable_ranks=ranks,
+                             special_tokens={}), ends
+
+
 class WordEnds:
     """BPE with word ends that drops white space and folds case, given as a
     ``tokenizers`` file."""
@@ -187,12 +246,39 @@ class WordEnds:
         from tokenizers import Tokenizer
         self.tk = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.special = [a["content"] for a in json.load(f).get("added_tokens", [])]
+            spec = json.load(f)
+        self.special = [a["content"] for a in spec.get("added_tokens", [])]
         self.memo = _Memo(MEMO_WORD_ENDS)
+        self.ranks = _word_ranks(spec)
+        self.split = _plain_split()
 
     def library(self, text: str) -> bytes:
         return u32(self.tk.encode(text, add_special_tokens=False).ids)
 
+    def _ranked(self, words: list[str]) -> dict[str, bytes]:
+        """Lower-case letter words that end in a-z, several thousand a call."""
+        enc, ends = self.ranks
+        out: dict[str, bytes] = {}
+        for k in range(0, len(words), 4096):
+            some = words[k:k + 4096]
+            ids = np.array(enc.encode_ordinary("".join([w[:-1] + w[-1].upper() for w in some])), "<u4")
+            cut = [0, *(4 * (np.flatnonzero(ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            out |= {w: raw[a:z] for w, a, z in zip(some, cut[:-1], cut[1:], strict=True)}
+        return out
+
+    def _pretokens(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case pre-tokens of plain texts."""
+        ranked, cores, out = [], [], {}
+        for w in new:
+            if not w.isalpha():
+                out[w] = self.library(w)
+            elif "a" <= w[-1] <= "z":
+                ranked.append(w)
+            else:
+                cores.append(w)
+        return out | self._ranked(ranked) | self._cores(cores)
+
     def _cores(self, words: list[str]) -> dict[str, bytes]:
         """Letter-only words: each is one pre-token, so one call serves many."""
         out: dict[str, bytes] = {}
@@ -240,6 +326,19 @@ class WordEnds:
         return out | {w: memo[low] + (memo[marks] if marks else b"") for w, low, marks in composed}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        if self.ranks is None:
+            return self._by_words(texts)
+        plain = [_PLAIN.match(t) is not None and "\u0130" not in t
+                 and not any(s in t for s in self.special) for t in texts]
+        # plain texts are folded and split as the library does it
+        cut = [self.split.findall(t.lower()) for t, p in zip(texts, plain) if p]
+        memo = self.memo
+        memo.add(self._pretokens([w for w in set().union(*cut) if w not in memo]))
+        done = iter([b"".join([memo[w] for w in words]) for words in cut])
+        others = iter(self._by_words([t for t, p in zip(texts, plain) if not p]))
+        return [next(done if p else others) for p in plain]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         # space and newline are white space that the library drops between words
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         memo = self.memo

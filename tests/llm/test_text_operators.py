@@ -217,3 +217,16 @@ def test_fingerprints(spark):
         assert rows[i].n_chars == len(t) and 0 <= rows[i].near_edited <= 1
     assert rows[43].fingerprint == rows[44].fingerprint and rows[43].near_next == 1
     assert imatch.fingerprints(df.limit(0)).collect() == []
+
+
+def test_new_words_of_plain_texts_take_no_library_call():
+    rng = random.Random(6)
+    enc = words.WordEnds(WORD_JSON)
+    letters = [chr(c) for c in range(0x250)]
+    texts = ["".join(rng.choice(letters) if rng.random() < .3 else rng.choice("aeidtrsmLNV',. 1\n")
+                     for _ in range(rng.randint(0, 80))) for _ in range(2000)]
+    assert enc.encode_many(texts) == [enc.library(t) for t in texts]
+    plain = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(1, 14))) for _ in range(5000)]
+    want, seen = [enc.library(t) for t in plain], []
+    enc.library = enc._cores = enc._others = lambda w: seen.append(w) or {}
+    assert enc.encode_many(plain) == want and not any(seen)
