@@ -69,11 +69,13 @@ def invoice_ledger(invoice: DataFrame, payment: DataFrame, payment_method: DataF
     sr = service_request.select("request_id", "user_id", "vehicle_id").alias("sr")
     u = users.select("user_id", "uni_id", "name").alias("u")
     v = vehicle.select("vehicle_id", "license_plate").alias("v")
-    return (i.join(p, F.col("i.invoice_id") == F.col("p.invoice_id"), "left")
-            .join(pm, F.col("p.method_id") == F.col("pm.method_id"), "left")
-            .join(sr, F.col("i.request_id") == F.col("sr.request_id"), "left")
+    # an invoice's request, user and vehicle first: its payments multiply the rows, so they
+    # are met last and the widened rows are shuffled by the sort only
+    return (i.join(sr, F.col("i.request_id") == F.col("sr.request_id"), "left")
             .join(u, F.col("sr.user_id") == F.col("u.user_id"), "left")
             .join(v, F.col("sr.vehicle_id") == F.col("v.vehicle_id"), "left")
+            .join(p, F.col("i.invoice_id") == F.col("p.invoice_id"), "left")
+            .join(pm, F.col("p.method_id") == F.col("pm.method_id"), "left")
             .select(F.col("i.invoice_id").alias("invoice_id"),
                     F.col("i.amount").alias("amount"),
                     F.col("i.date_issued").alias("date_issued"),

@@ -201,15 +201,17 @@ def invoice(orders: DataFrame) -> DataFrame:
 def payment(lineitem: DataFrame) -> DataFrame:
     """One payment per line item. (l_orderkey, l_linenumber) is not unique, so the id
     adds the row's place among the rows of the pair, in the order of the columns read
-    here (rows equal in them are interchangeable). Pairs hold a few rows, and a query that doesn't
-    read payment_id drops the window and its shuffle."""
-    pair = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_extendedprice", "l_shipdate", "l_linestatus", "l_returnflag")
+    here (rows equal in them are interchangeable). The place is counted among the rows of the
+    order, so that a join by invoice needs no further shuffle. Orders hold a few rows, and a query
+    that doesn't read payment_id drops the windows and their shuffle."""
+    order = Window.partitionBy("invoice_id").orderBy("l_linenumber")
+    rows = Window.partitionBy("invoice_id").orderBy(
+        "l_linenumber", "l_extendedprice", "l_shipdate", "l_linestatus", "l_returnflag")
     ls, rf = F.col("l_linestatus"), F.col("l_returnflag")
-    return lineitem.select(
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000
-         + F.row_number().over(pair)).alias("payment_id"),
-        F.col("l_orderkey").alias("invoice_id"),
+    return lineitem.withColumnRenamed("l_orderkey", "invoice_id").select(
+        ((F.col("invoice_id") * 8 + F.col("l_linenumber")) * 1000
+         + F.row_number().over(rows) - F.rank().over(order) + 1).alias("payment_id"),
+        "invoice_id",
         F.col("l_extendedprice").cast(S.MONEY).alias("amount"),
         F.col("l_shipdate").cast("date").alias("date_paid"),
         F.lit("00:00:00").alias("time_paid"),

@@ -89,3 +89,29 @@ def test_no_single_partition_window(spark, name):
     for unpartitioned, order in wins:
         # the only unpartitioned window adds up the counts of the buckets
         assert not unpartitioned or "_pos_bucket" in order, (name, order)
+
+
+def test_ledger_shuffles_payments_by_invoice_once(spark):
+    p = plan(QUERIES["invoice_ledger"](spark, SF_SMALL))
+    shuffled = [x.split(", 200)")[0] for x in p.split("Exchange hashpartitioning(")[1:]]
+    names = [x.split("#")[0] for x in shuffled]
+    # rows with their payments are shuffled by method and by the sort only; a payment's place and
+    # its join by invoice share a shuffle (the other one is the invoices')
+    assert names[:2] == ["method_id", "invoice_id"], names
+    assert names.count("invoice_id") == 2 and not any("l_linenumber" in x.split(")")[0] for x in shuffled)
+
+
+def test_payment_ids_count_the_rows_of_a_pair(spark):
+    from parkops.sources import views
+    rows = [(k, n, price, d, "F", f) for k in (1, 2, None) for n in (1, 2, None)
+            for price, d, f in ((5.0, "2020-01-02", "A"), (5.0, "2020-01-01", "N"), (None, "2020-01-03", "R"),
+                                (5.0, "2020-01-02", "A"))]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, "
+                                  "d string, l_linestatus string, l_returnflag string").selectExpr(
+        "*", "cast(d as timestamp_ntz) as l_shipdate").drop("d")
+    got = [(r.payment_id, r.invoice_id) for r in views.payment(lines).collect()]
+    known = sorted(x for x, _ in got if x is not None)
+    assert known == sorted((k * 8 + n) * 1000 + i for k in (1, 2) for n in (1, 2) for i in (1, 2, 3, 4))
+    assert len(got) == len(rows) and sum(x is None for x, _ in got) == len(rows) - len(known)
+    first = {r.payment_id: (r.amount, str(r.date_paid)) for r in views.payment(lines).collect()}
+    assert first[9001] == (None, "2020-01-03") and str(first[9002][1]) == "2020-01-01"
