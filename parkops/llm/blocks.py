@@ -45,8 +45,9 @@ class Block:
 
 def in_blocks(docs: DataFrame, rest: list[str], extra: Callable[[Block], tuple[bytes, int]],
               block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write ``docs`` in blocks. ``rest``: further columns to carry along. ``extra``
-    computes once per block what later passes need again, and its number of keys."""
+    """Write ``docs`` in blocks, bucketed by block: passes join a block to what others sent
+    it. ``rest``: further columns to carry along. ``extra`` computes once per block what
+    later passes need again, and its number of keys."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
@@ -87,7 +88,7 @@ def in_blocks(docs: DataFrame, rest: list[str], extra: Callable[[Block], tuple[b
     cols = [F.col("doc_id").cast("long").alias("_d"),
             F.coalesce(F.col("text"), F.lit("")).alias("_t"),
             *(F.col(c).alias(f"_{i}") for i, c in enumerate(rest))]
-    return written(docs.select(*cols).mapInArrow(tidy(build), BLOCKS), "blocks")
+    return written(docs.select(*cols).mapInArrow(tidy(build), BLOCKS), "blocks", "block")
 
 
 def shared_keys(table: DataFrame, keys: Callable[[Block, bytes], tuple[np.ndarray, np.ndarray]],

@@ -258,6 +258,11 @@ def _hot_windows(block: Block, at: np.ndarray, length: int) -> Iterator[tuple]:
         yield some, of, rows[order[first]], np.minimum.reduceat(docs[order], first)
 
 
+def _masks(parts: list | None) -> np.ndarray:
+    """A block's masks in the order of its suffixes."""
+    return np.frombuffer(b"".join(zstandard.decompress(p["mask"]) for p in parts or []), "<u4")
+
+
 def _places(extra: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(extra), "<u4").astype(np.int64)) if extra \
         else np.zeros(0, np.int64)
@@ -320,20 +325,21 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
                     continue
                 lead = np.ascontiguousarray(own.rows[:, :k]).view(f"S{k}")[:, 0]
                 edge = [0, *np.searchsorted(lead, cuts, side="left").tolist(), len(lead)]
-                yield to_batch([(i, name, own.rows[a:z].tobytes(),
-                                 own.least[a:z].astype("<i8").tobytes())
+                yield to_batch([(i, name, zstandard.compress(own.rows[a:z].tobytes(), 3),
+                                 zstandard.compress(own.least[a:z].astype("<i8").tobytes(), 1))
                                 for i, (a, z) in enumerate(zip(edge, edge[1:])) if z > a], sent)
 
     def meet(group: pa.Table) -> pa.Table:
         width = k + 2 * (length - k)
-        raw, docs = group.column("rows").to_pylist(), group.column("docs").to_pylist()
+        raw, docs = ([zstandard.decompress(x) for x in group.column(c).to_pylist()]
+                     for c in ("rows", "docs"))
         rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
         mask = repeated_windows(rows, np.frombuffer(b"".join(docs), "<i8"), length)
         cut = np.cumsum([0, *(len(d) // 8 for d in docs)]).tolist()
         del rows
         release()
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"),
-                         "mask": pa.array([mask[a:z].astype("<u4").tobytes()
+                         "mask": pa.array([zstandard.compress(mask[a:z].astype("<u4").tobytes(), 1)
                                            for a, z in zip(cut, cut[1:])])})
 
     cols = ["block", "docs", "lengths", "data", "extra"]
@@ -385,7 +391,7 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
                     *(c.to_pylist() for c in b.columns)):
                 block = Block(docs, lengths, data)
                 gone = _covered(block, _Sent(block, extra, joined(counts, "<u2"), length, hot),
-                                joined(mask, "<u4"), np.array(late or [], np.int64), length)
+                                _masks(mask), np.array(late or [], np.int64), length)
                 kept, spans = [], []
                 for a, z in zip(block.starts.tolist(), block.ends.tolist()):
                     g = gone[a:z]

@@ -141,3 +141,18 @@ def test_pipeline_stages_keep_columns_and_decisions(spark):
     assert sorted(rows) == [1, 3, 4]
     assert rows[3].text == "[SECRET] is here" and rows[3].n_chars == len(rows[3].text)
     assert cp.STAGES[-1][1](spark, docs, sf).count() == 3
+
+
+def test_passes_join_blocks_without_shuffling_them_again(spark):
+    from parkops.llm.blocks import in_blocks
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat(cast(id as string), 40) as text")
+    table = in_blocks(docs, [], lambda block: (b"x", 1), block_bytes=500)
+    n = table.count()
+    sent = table.select("block").groupBy("block").count()
+    both = table.select("block", "data").join(sent, "block")
+    p = both._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in p and "Exchange" not in p, p
+    other = spark.range(10).selectExpr("id as block").groupBy("block").count()
+    p = table.select("block", "data").join(other, "block")._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange hashpartitioning") == 1, p
+    assert both.count() == n > 4 and not [t for t in spark.catalog.listTables() if "parkops" in t.name]
