@@ -269,8 +269,15 @@ def _places(extra: bytes) -> np.ndarray:
 
 
 def _anchor_hashes(block: Block, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the anchors' K bytes. Anchors are where ``_hashes`` is least, so most of its
+    values are small and a range of them would get many times its share; mixed once more
+    (one to one) they fill all ranges alike."""
     data = np.concatenate([block.data, np.zeros(32, np.uint8)])
-    return _hashes(data, gram(length), at)
+    h = _hashes(data, gram(length), at)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(32)
+    h *= _MIX[2]
+    return h
 
 
 def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,

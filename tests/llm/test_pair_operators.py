@@ -28,6 +28,18 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_anchor_keys_fill_the_ranges_evenly():
+    """Anchors have the least hashes of their windows; no range of keys may get more for it."""
+    text = np.random.default_rng(4).integers(97, 123, 1 << 20).astype(np.uint8).tobytes()
+    block = blocks.Block(np.array([1], "<i8").tobytes(), np.array([len(text)], "<i8").tobytes(),
+                         zstandard.compress(text))
+    at = suffixdedup.anchors(block, 50)
+    keys = suffixdedup._anchor_hashes(block, at, 50)
+    assert len(np.unique(keys)) == len(np.unique(suffixdedup.suffixes(block, at, 50)[:, :24], axis=0))
+    sizes = np.bincount((keys >> np.uint64(58)).astype(int), minlength=64)
+    assert sizes.max() < 1.3 * sizes.mean() and sizes.min() > 0.7 * sizes.mean()
+
+
 @pytest.mark.parametrize("length,letters", [(8, "ab"), (13, "abé"), (50, "abcd")])
 def test_suffix_dedup_equals_brute_force(spark, length, letters):
     rng = random.Random(length)
