@@ -97,6 +97,17 @@ def test_equals_brute_force(spark):
         assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+def test_a_large_lexicon_is_whole(spark, monkeypatch):
+    """A lexicon of more terms than a row holds keeps all of them (before: a random share)."""
+    monkeypatch.setattr(I, "MAX_LEXICON", 20)
+    rows = table()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint,
+            round(r.near_edited, 9), round(r.near_next, 9))
+           for r in I.fingerprints(df, LO, HI, 8).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(1, "only one text")], "doc_id long, text string")
     (r,) = I.fingerprints(df).collect()
