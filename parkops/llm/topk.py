@@ -4,8 +4,8 @@ Terms are the vector components. Vectors are put in an order that keeps similar
 together (nearest of a few pivots), and consecutive runs form blocks. A block keeps its
 vectors (the forward index) and each term's largest and smallest value. A query sums,
 over its terms, the most a block's vectors can reach; blocks are scored in descending
-order of that bound and the rest is skipped once the bound falls below the query's
-current k-th score. Bounds never lie under a true score and equal ones are still scored,
+order of that bound (one, then two, four, ... at a time) and the rest is skipped once the
+bound falls below the query's current k-th score. Bounds never lie under a true score and equal ones are still scored,
 so results are exact, ties included.
 
 Blocks come in shards of bounded size. Each query first searches its own shard, which
@@ -27,6 +27,8 @@ PIVOTS = 64
 BLOCK = 128
 SHARD = 8192
 QUERIES = 2048
+#: Hits that are held before each query's best are kept only.
+HITS_HELD = 1 << 18
 
 _SHARDS = pa.schema([("shard", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()),
                      ("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
@@ -133,6 +135,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
     dims = max(q.shape[1], v.shape[1])
     q, v = _fit(q, dims), _fit(v, dims)
     big = max(np.abs(q).max(initial=0), 1) * max(np.abs(v).max(initial=0), 1) * dims
+    if big < 1 << 24:  # every sum is a whole number that a single holds exactly
+        q, v = q.astype(np.float32), v.astype(np.float32)
     if big >= 1 << 53:  # beyond what doubles hold exactly
         # from 2**62 on in whole numbers of any size, scores beyond a long as the nearest long
         q, v = ((np.vectorize(int, otypes=[object])(m) for m in (q, v)) if big >= 1 << 62
@@ -142,39 +146,46 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
     lows = np.minimum.reduceat(v, list(cuts))
     bound = _long(np.maximum(q, 0) @ tops.T + np.minimum(q, 0) @ lows.T)
     order = np.argsort(-bound, axis=1, kind="stable")
-    best_s = np.full((len(q), k), np.iinfo(np.int64).min, np.int64)
-    best_i = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
     kth = floor.copy()
+    held = [tuple(np.zeros(0, np.int64) for _ in range(3))]
+
+    def merge() -> None:
+        """Each query's best ``k`` of what is held, by score and id; its k-th is raised."""
+        row, hit, score = (np.concatenate(c) for c in zip(*held))
+        by = np.lexsort((hit, ~score, row))
+        new = np.flatnonzero(np.r_[True, np.diff(row[by]) != 0]) if len(by) else by
+        nth = np.arange(len(by)) - np.repeat(new, np.diff(np.r_[new, len(by)]))
+        last = by[nth == k - 1]
+        kth[row[last]] = np.maximum(kth[row[last]], score[last])
+        by = by[nth < k]
+        held[:] = [(row[by], hit[by], score[by])]
+
     active = np.arange(len(q))
-    for r in range(order.shape[1]):
-        at = order[active, r]
-        more = bound[active, at] >= kth[active]
-        active, at = active[more], at[more]
+    r, step = 0, 1
+    while r < order.shape[1]:  # each query's next block, then its next two, four and so on
+        active = active[bound[active, order[active, r]] >= kth[active]]
         if not len(active):
             break
-        for b in np.unique(at):
-            rows = active[at == b]
+        due = np.zeros((len(active), order.shape[1]), bool)
+        np.put_along_axis(due, order[active, r:r + step], True, 1)
+        for b in np.flatnonzero(due.any(0)):
+            rows = active[due[:, b]]
+            rows = rows[bound[rows, b] >= kth[rows]]
+            if not len(rows):
+                continue
             a = b * block
             own = ids[a:a + block]
             s = _long(q[rows] @ v[a:a + block].T)
-            s = s if s.dtype == np.int64 else np.rint(s).astype(np.int64)
-            hit = (s >= kth[rows, None]) & (own[None, :] != q_ids[rows, None])
-            some = hit.any(1)
-            if not some.any():
-                continue
-            rows, s, hit = rows[some], s[some], hit[some]
-            s = np.c_[best_s[rows], np.where(hit, s, np.iinfo(np.int64).min)]
-            i = np.c_[best_i[rows], np.where(hit, own[None, :], np.iinfo(np.int64).max)]
-            # stable sorts: by id, then by score, both per row
-            by_id = np.argsort(i, axis=1, kind="stable")
-            s, i = np.take_along_axis(s, by_id, 1), np.take_along_axis(i, by_id, 1)
-            top = np.argsort(-s.astype(np.float64) if big < 1 << 53 else ~s, axis=1,
-                             kind="stable")[:, :k]
-            best_s[rows] = np.take_along_axis(s, top, 1)
-            best_i[rows] = np.take_along_axis(i, top, 1)
-            kth[rows] = np.maximum(kth[rows], best_s[rows, -1])
-    row, col = np.nonzero(best_i != np.iinfo(np.int64).max)
-    return row, best_i[row, col], best_s[row, col]
+            at, col = np.nonzero(s >= kth[rows, None])
+            other = own[col] != q_ids[rows[at]]
+            at, col = at[other], col[other]
+            held.append((rows[at], own[col], np.rint(s[at, col]).astype(np.int64)
+                         if s.dtype != np.int64 else s[at, col]))
+            if sum(len(x[0]) for x in held[1:]) >= HITS_HELD:
+                merge()
+        merge()
+        r, step = r + step, 2 * step
+    return held[0]
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0,
@@ -225,11 +236,12 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qi[row]), pa.array(hit), pa.array(score)], schema=_HITS)
 
+    # Spark sizes an exploded block as one row, and would broadcast all of them: that is ruled out
     met = (blocks.select(F.explode(F.array(*map(F.lit, names)).cast("array<bigint>")).alias("shard"),
                          "home", F.col("n").alias("nq"), F.col("dims").alias("dq"),
                          F.col("width").alias("wq"), F.col("ids").alias("qi"),
                          F.col("vectors").alias("qv"), "kth")
-           .filter(F.col("shard") != F.col("home")).join(table, "shard")
+           .filter(F.col("shard") != F.col("home")).join(table.hint("merge"), "shard")
            .select("nq", "dq", "wq", "qi", "qv", "kth", "n", "dims", "width", "ids", "vectors"))
     hits = (blocks.select("hit_query", "hit_id", "hit_score").mapInArrow(first, HITS)
             .unionByName(met.mapInArrow(others, HITS)))

@@ -28,6 +28,37 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_broadcasts_no_exploded_blocks(spark):
+    """Spark sizes a block that meets every shard as one row: small tables passed as broadcasts."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)],
+                               "vec_id long, embedding array<double>")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10MB")
+    try:
+        plan = topk.top_k(df, 5, 7, shard=32)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "Generate" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**12, 2.0**24, 2.0**31])
+def test_search_is_exact_at_every_width(scale):
+    """Singles, doubles, longs and whole numbers of any size; ties go to the smaller id."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (500, 5)) * np.floor(scale)
+    ids = rng.permutation(500)
+    at = np.flatnonzero(ids % 5 == 0)
+    got = topk.search(ids[at], v[at], ids, v, 6, np.full(len(at), np.iinfo(np.int64).min), block=16)
+    want = []
+    for row, i in enumerate(at):
+        score = [sum(int(x) * int(y) for x, y in zip(v[i], w)) for w in v]
+        best = sorted((-min(s, 2**63 - 1), int(j)) for s, j in zip(score, ids) if j != ids[i])[:6]
+        want += [(row, j, -s) for s, j in best]
+    assert list(zip(*(c.tolist() for c in got))) == want
+
+
 def test_anchor_keys_fill_the_ranges_evenly():
     """Anchors have the least hashes of their windows; no range of keys may get more for it."""
     text = np.random.default_rng(4).integers(97, 123, 1 << 20).astype(np.uint8).tobytes()
