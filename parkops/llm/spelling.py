@@ -151,7 +151,8 @@ def near_pairs(counted: DataFrame, parts: int = PARTS) -> DataFrame:
              .select(F.explode("signs").alias("sign"), F.col("word").alias(name))
              for longer, name in ((False, "a"), (True, "b"))]
     more = F.length("b") - F.length("a")
-    return (sides[0].join(sides[1], "sign")
+    # Spark sizes a word's exploded signatures as one row, and would broadcast them: ruled out
+    return (sides[0].join(sides[1].hint("merge"), "sign")
             .filter(((more == 1) | ((more == 0) & (F.col("a") < F.col("b"))))
                     & (F.expr("levenshtein(a, b, 1)") == 1))
             .select("a", "b").distinct())
@@ -163,27 +164,28 @@ def variants(docs: DataFrame, min_count: int = MIN_COUNT, parts: int = PARTS) ->
     Null texts have no words; a null doc_id is hashed as ``null``; repeated rows count
     again. Other columns are not read. A form has at least ``RATIO`` times its word's
     occurrences, so a chain of forms has at most 27 links (64-bit counts) and five
-    doublings of the links reach every root.
+    doublings of the links reach every root. Joins are merged: files of words are much smaller
+    than what a broadcast of them holds.
     """
     counted = written(words(docs, min_count), "spelling-words")
     pairs = written(near_pairs(counted, parts), "spelling-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionAll(pairs.select("b", "a")) \
-        .join(counted.select(F.col("word").alias("other"), F.col("n").alias("on")), "other")
+        .join(counted.select(F.col("word").alias("other"), F.col("n").alias("on")).hint("merge"), "other")
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"),
                                     F.min(F.struct((-F.col("on")).alias("m"), "other")).alias("best"))
     enough = -F.col("best.m") >= RATIO * F.col("n")
-    formed = written(counted.join(near, "word", "left").select(
+    formed = written(counted.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(enough, F.col("best.other")).alias("form"),
         F.when(enough, -F.col("best.m")).cast("long").alias("form_n")), "spelling-forms")
     links = formed.filter("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(5):
         nxt = links.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        doubled = written(links.join(nxt, "root", "left").select(
+        doubled = written(links.join(nxt.hint("merge"), "root", "left").select(
             "word", F.coalesce("_next", "root").alias("root"),
             F.col("_next").isNotNull().alias("_moved")), "spelling-links")
         links = doubled.select("word", "root")
         if doubled.filter("_moved").limit(1).count() == 0:
             break
-    return formed.join(links, "word", "left").select(
+    return formed.join(links.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -233,6 +233,21 @@ def test_variants_equal_brute_force(spark, monkeypatch, parts, held, slice_):
     assert spelling.variants(df.limit(0)).collect() == []
 
 
+def test_variants_broadcast_nothing(spark):
+    """Spark sizes a word's exploded signatures as one row: small files passed as broadcasts."""
+    df = spark.createDataFrame(spelled(), "doc_id long, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10MB")
+    try:
+        counted = spelling.written(spelling.words(df, 1), "spelling-words")
+        plans = [d._jdf.queryExecution().executedPlan().toString()
+                 for d in (spelling.near_pairs(counted), spelling.variants(df))]
+    finally:
+        spark.conf.set(key, before)
+    assert "Generate" in plans[0] and not any("Broadcast" in p for p in plans)
+
+
 def test_forms_are_followed_to_the_last(spark):
     chain = ["abcdefgh"[:6] + "a" * i for i in range(6)]  # each is near the next
     docs = [(i, (w + " ") * 5 ** (i + 1)) for i, w in enumerate(chain)]
