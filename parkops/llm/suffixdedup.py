@@ -319,7 +319,7 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
     total = table.agg(F.sum("n_keys")).first()[0] or 0
     counts = shared_keys(table, keys, total, CODES)
     hot = min(max(hot_rows, 2), 65535)
-    cuts = np.array(_splitters(table, max(64, -(-total // (5 * BUCKET))), length), f"S{k}")
+    cuts = np.array(_splitters(table, counts, length, hot), f"S{k}")
 
     sent = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("rows", pa.binary()),
                       ("docs", pa.binary())])
@@ -338,9 +338,9 @@ def dedup(docs: DataFrame, rest: list[str] | None = None, length: int = LENGTH,
 
     def meet(group: pa.Table) -> pa.Table:
         width = k + 2 * (length - k)
-        raw, docs = ([zstandard.decompress(x) for x in group.column(c).to_pylist()]
-                     for c in ("rows", "docs"))
-        rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+        rows = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in group.column("rows")),
+                             np.uint8).reshape(-1, width)
+        docs = [zstandard.decompress(x) for x in group.column("docs").to_pylist()]
         mask = repeated_windows(rows, np.frombuffer(b"".join(docs), "<i8"), length)
         cut = np.cumsum([0, *(len(d) // 8 for d in docs)]).tolist()
         del rows
@@ -454,21 +454,38 @@ def _covered(block: Block, own: _Sent, mask: np.ndarray, late: np.ndarray,
     return np.cumsum(edges[:n]) > 0
 
 
-def _splitters(table: DataFrame, buckets: int, length: int) -> list[bytes]:
-    """Leading bytes that cut the anchors of a bounded sample of blocks evenly."""
+def _splitters(table: DataFrame, counts: DataFrame, length: int, hot: int) -> list[bytes]:
+    """Leading bytes that cut the suffixes which blocks send into buckets of about ``BUCKET``,
+    by a bounded sample of the blocks (``SPLITTER_BLOCKS`` about), up to 64 of each."""
     k = gram(length)
-    schema = pa.schema([("lead", pa.binary())])
+    schema = pa.schema([("leads", pa.binary()), ("n", pa.int64())])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for docs, lengths, data, extra in zip(*(c.to_pylist() for c in b.columns)):
-                block, at = Block(docs, lengths, data), _places(extra)
-                pick = at[np.linspace(0, len(at) - 1, min(64, len(at))).astype(int)] if len(at) else at
-                yield to_batch([(block.data[p:p + k].tobytes(),) for p in pick.tolist()], schema)
-
-    picked = table.select("block", "docs", "lengths", "data", "extra") \
-        .orderBy(F.xxhash64("block")).limit(SPLITTER_BLOCKS).drop("block") \
-        if table.count() > SPLITTER_BLOCKS else table.select("docs", "lengths", "data", "extra")
-    lead = sorted(r.lead for r in picked.mapInArrow(some, "lead binary").collect())
-    cuts = sorted({lead[i * len(lead) // buckets] for i in range(1, buckets)} if lead else set())
-    return [bytes(c) for c in cuts]
+            for docs, lengths, data, extra, counts in zip(*(c.to_pylist() for c in b.columns)):
+                block, at, times = Block(docs, lengths, data), _places(extra), joined(counts, "<u2")
+                _, inverse = np.unique(_anchor_hashes(block, at, length), return_inverse=True)
+                at = at[((times >= 2) & (times < hot))[inverse]] if len(at) else at
+                if len(at):
+                    pick = at[np.linspace(0, len(at) - 1, min(64, len(at))).astype(int)]
+                    yield to_batch([(b"".join(block.data[p:p + k].tobytes() for p in pick.tolist()),
+                                     len(at))], schema)
+
+    blocks = table.count()
+    # by a filter: whole blocks that are sorted for a limit meet in one task
+    picked = table if blocks <= SPLITTER_BLOCKS else table.filter(
+        F.pmod(F.xxhash64("block"), F.lit(blocks)) < SPLITTER_BLOCKS)
+    found = (picked.select("block", "docs", "lengths", "data", "extra").join(counts, "block")
+             .select("docs", "lengths", "data", "extra", "counts")
+             .mapInArrow(tidy(some), "leads binary, n long").collect())
+    if not found:
+        return []
+    lead = np.frombuffer(b"".join(r.leads for r in found), f"S{k}")
+    each = [len(r.leads) // k for r in found]
+    order = np.argsort(lead, kind="stable")
+    # a lead stands for its share of the block's suffixes
+    upto = np.cumsum(np.repeat([r.n / e for r, e in zip(found, each)], each)[order])
+    total = upto[-1] * max(1.0, blocks / SPLITTER_BLOCKS)
+    buckets = max(64, int(-(-total // BUCKET)))
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, buckets) / buckets)
+    return [bytes(c) for c in np.unique(lead[order[np.minimum(at, len(lead) - 1)]])]

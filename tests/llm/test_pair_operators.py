@@ -59,6 +59,32 @@ def test_search_is_exact_at_every_width(scale):
     assert list(zip(*(c.tolist() for c in got))) == want
 
 
+@pytest.mark.parametrize("sample", [4096, 8])
+def test_buckets_are_cut_by_what_is_sent(spark, monkeypatch, sample):
+    """Where all suffixes repeat, buckets hold no more than elsewhere; a sample of blocks is
+    filtered (sorted whole blocks met in one task)."""
+    monkeypatch.setattr(suffixdedup, "BUCKET", 20)
+    monkeypatch.setattr(suffixdedup, "SPLITTER_BLOCKS", sample)
+    found, whole = [], suffixdedup._splitters
+
+    def noted(table, *args):
+        monkeypatch.setattr(type(table), "limit", None)
+        found.append(whole(table, *args))
+        monkeypatch.undo()
+        return found[-1]
+
+    monkeypatch.setattr(suffixdedup, "_splitters", noted)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 123, 4000).astype(np.uint8).tobytes() for _ in range(8)]
+    df = spark.createDataFrame([(i + n, t.decode()) for n in (0, 100) for i, t in enumerate(texts)],
+                               "doc_id long, text string").repartition(16)
+    kept = {r.doc_id: bytes(r.kept) for r in suffixdedup.dedup(df).collect()}
+    assert kept == {i + n: b"" if n else t for n in (0, 100) for i, t in enumerate(texts)}
+    n = 2 * sum(len(suffixdedup.anchors(blocks.Block(np.array([1], "<i8").tobytes(), np.array(
+        [len(t)], "<i8").tobytes(), zstandard.compress(t)), 50)) for t in texts)
+    assert n / (len(found[0]) + 1) < 2 * 20
+
+
 def test_anchor_keys_fill_the_ranges_evenly():
     """Anchors have the least hashes of their windows; no range of keys may get more for it."""
     text = np.random.default_rng(4).integers(97, 123, 1 << 20).astype(np.uint8).tobytes()
